@@ -60,7 +60,8 @@ def range_window(df: DataFrame, keys: list[str], ts: str, width_us: int, aggs: d
                  row_id: str) -> DataFrame:
     """Aggregates over the key's rows with epoch in [t − width, t − 1µs]
     (current row and same-instant rows excluded).  ``aggs`` maps output
-    name → aggregate Column over the window rows; result joins back by
+    name → aggregate Column (or a function of the window, for
+    expressions around a window aggregate); result joins back by
     ``row_id``.  Rows are replicated into the next width-bucket so each
     (key, bucket) partition is self-sufficient."""
     e = epoch_us(ts)
@@ -68,15 +69,68 @@ def range_window(df: DataFrame, keys: list[str], ts: str, width_us: int, aggs: d
     copies = d.withColumn("_tgt", F.lit(True)).unionByName(
         d.withColumn("_b", F.col("_b") + 1).withColumn("_tgt", F.lit(False)))
     w = Window.partitionBy(*keys, "_b").orderBy("_e").rangeBetween(-width_us, -1)
-    sel = [F.col(row_id)] + [a.over(w).alias(n) for n, a in aggs.items()]
+    sel = [F.col(row_id)] + [(a(w) if callable(a) else a.over(w)).alias(n) for n, a in aggs.items()]
     res = copies.select("_tgt", *sel).where("_tgt").drop("_tgt")
     return res
 
 
-def last_before(df: DataFrame, keys: list[str], ts: str, seq: str, cond: Column, value: Column,
-                out: str) -> DataFrame:
-    """L13 as-of: value of the latest earlier row (in (ts, seq) order) of the
-    key where ``cond`` holds; null if none.  Computed as max over earlier
-    rows of struct(ts, seq, value) with the two-level bucket scheme."""
-    del keys, ts, seq, cond, value, out
-    raise NotImplementedError
+def _struct_of(ts: str, seq: str, values: dict[str, Column]) -> Column:
+    return F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"), *[v.alias(k) for k, v in values.items()])
+
+
+def last_before(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[str, Column],
+                out: str, cond: Column | None = None, bucket_us: int = DAY_US,
+                inclusive: bool = False) -> DataFrame:
+    """As-of lookup: struct(t, s, values…) of the key's latest row strictly
+    before the current one (or at it when ``inclusive``) in (ts, seq) order
+    where ``cond`` holds; null if none.  Two levels: the last match inside
+    the (key, bucket) partition, else the last match of earlier buckets
+    from a per-bucket table (one row per key and bucket)."""
+    ref = _struct_of(ts, seq, values)
+    if cond is not None:
+        ref = F.when(cond, ref)
+    d = df.withColumn("_b", F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("bigint")).withColumn("_ref", ref)
+    hi = 0 if inclusive else -1
+    wi = Window.partitionBy(*keys, "_b").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, hi)
+    d = d.withColumn("_within", F.max("_ref").over(wi))
+    per = d.groupBy(*keys, "_b").agg(F.max("_ref").alias("_last"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prior = per.select(*keys, "_b", F.max("_last").over(wb).alias("_prior"))
+    j = d.join(prior, [*keys, "_b"], "left")
+    return j.withColumn(out, F.coalesce("_within", "_prior")).drop("_b", "_ref", "_within", "_prior")
+
+
+def next_after(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[str, Column],
+               out: str, cond: Column | None = None, bucket_us: int = DAY_US) -> DataFrame:
+    """Mirror of :func:`last_before`: the key's earliest row strictly after
+    the current one where ``cond`` holds."""
+    ref = _struct_of(ts, seq, values)
+    if cond is not None:
+        ref = F.when(cond, ref)
+    d = df.withColumn("_b", F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("bigint")).withColumn("_ref", ref)
+    wi = Window.partitionBy(*keys, "_b").orderBy(ts, seq).rowsBetween(1, Window.unboundedFollowing)
+    d = d.withColumn("_within", F.min("_ref").over(wi))
+    per = d.groupBy(*keys, "_b").agg(F.min("_ref").alias("_first"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = per.select(*keys, "_b", F.min("_first").over(wb).alias("_later"))
+    j = d.join(later, [*keys, "_b"], "left")
+    return j.withColumn(out, F.coalesce("_within", "_later")).drop("_b", "_ref", "_within", "_later")
+
+
+def first_per_key(df: DataFrame, keys: list[str], ts: str, out: str) -> DataFrame:
+    """min(ts) per key joined back (L10 account age)."""
+    m = df.groupBy(*keys).agg(F.min(ts).alias(out))
+    return df.join(m, keys, "left")
+
+
+def gap_sessions(df: DataFrame, keys: list[str], ts: str, seq: str, gap_us: int,
+                 out: str = "session_no") -> DataFrame:
+    """L14 batch sessions: a new session starts when the gap to the key's
+    previous event exceeds ``gap_us``; the session number is the running
+    count of starts (1-based)."""
+    d = last_before(df, keys, ts, seq, {}, "_prev")
+    start = F.when(F.col("_prev").isNull(), F.lit(1)).when(
+        epoch_us(ts) - epoch_us(F.col("_prev.t")) > F.lit(gap_us), F.lit(1)).otherwise(F.lit(0))
+    d = d.withColumn("_start", start).drop("_prev")
+    d = running_before(d, keys, ts, seq, F.col("_start"), "_starts_before")
+    return d.withColumn(out, (F.col("_starts_before") + F.col("_start")).cast("bigint")).drop("_start", "_starts_before")
