@@ -5,7 +5,7 @@
   nation; beneficiary = part of the order's first line (lowest line
   number, then part, then supplier) (null when the
   order has no line); location = nation of that line's supplier;
-  failed auth attempts = returned lines; behaviour = 3 × mean discount;
+  failed auth attempts = returned lines; behaviour = 4 × mean discount;
   label = every line returned and at least two lines.
 * session event = events row; account = user_id; device = props.k.
 
@@ -36,7 +36,7 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
         F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("discount_pct_sum"),
     ).select("l_orderkey", F.col("_first.l_partkey").alias("first_partkey"),
              F.col("_first.l_suppkey").alias("first_suppkey"), "n_lines", "n_returned",
-             (F.col("discount_pct_sum") * 3.0 / (F.col("n_lines") * 100.0)).alias("discount_score"))
+             (F.col("discount_pct_sum") * 4.0 / (F.col("n_lines") * 100.0)).alias("discount_score"))
 
 
 def transactions_from(orders: DataFrame, customer: DataFrame, nation: DataFrame,
@@ -120,7 +120,7 @@ LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey))[2] AS first_partkey,
                   min((l_linenumber, l_partkey, l_suppkey))[3] AS first_suppkey, count(*) AS n_lines,
                   count_if(l_returnflag = 'R') AS n_returned,
-                  sum(CAST(round(l_discount * 100) AS BIGINT)) * 3.0 / (count(*) * 100.0) AS discount_score
+                  sum(CAST(round(l_discount * 100) AS BIGINT)) * 4.0 / (count(*) * 100.0) AS discount_score
            FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
 LEFT JOIN supplier s ON l.first_suppkey = s.s_suppkey
 LEFT JOIN nation sn ON s.s_nationkey = sn.n_nationkey)

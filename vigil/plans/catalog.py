@@ -13,6 +13,7 @@ from collections.abc import Callable
 MODULES = [
     "vigil.plans.q_detect",
     "vigil.plans.q_history",
+    "vigil.plans.q_accounts",
 ]
 
 

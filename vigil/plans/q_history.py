@@ -101,8 +101,8 @@ def q_distinct(spark, sf):
 
 
 SQL_DISTINCT = EV + f"""SELECT event_id, account, device,
-  CAST(len(list_distinct({_range_sql('list(account)', 'device', DAY)})) AS INTEGER) AS device_distinct_accounts_24h,
-  CAST(len(list_distinct({_range_sql('list(device)', 'account', 4 * WEEK)})) AS INTEGER) AS account_distinct_devices_4w
+  CAST(coalesce(len(list_distinct({_range_sql('list(account)', 'device', DAY)})), 0) AS INTEGER) AS device_distinct_accounts_24h,
+  CAST(coalesce(len(list_distinct({_range_sql('list(device)', 'account', 4 * WEEK)})), 0) AS INTEGER) AS account_distinct_devices_4w
 FROM ev"""
 
 
