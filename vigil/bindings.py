@@ -136,3 +136,101 @@ EVENTS_SQL = """
         CAST(json_extract_string(props, '$.k') AS INTEGER) AS device
  FROM events)
 """
+
+
+# --- tabular applications: documents + labels, as raw CSV-like text ---------
+
+# FIXED VALUES: the categorical levels used for derived columns
+DEVICE_OS_LEVELS = ["linux", "windows", "macintosh", "x11", "other"]
+EMPLOYMENT_LEVELS = ["CA", "CB", "CC", "CD", "CE", "CF", "CG"]
+HOUSING_LEVELS = ["BA", "BB", "BC", "BD", "BE", "BF", "BG"]
+
+
+def _pick(levels, idx):
+    return F.element_at(F.array(*[F.lit(x) for x in levels]), (idx % len(levels) + 1).cast("int"))
+
+
+def applications_from(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """One application per document.  ``fraud_bool`` = toxic label (null when
+    unlabelled); ``income`` arrives as text with dirt (padding, words, Java
+    suffixes, NaN, blanks, nulls); other columns are numeric derivations of
+    the document (its full text length and line count) or md5 draws."""
+    lab = labels.select("doc_id", "toxic", "quality")
+    d = documents.select("doc_id", "text", "lang", "source", "n_chars").join(lab, "doc_id", "left")
+    i = F.col("doc_id")
+    nc = F.col("n_chars").cast("string")
+    income = (F.when(i % 11 == 0, F.lit("abc"))
+               .when(i % 13 == 0, F.concat(F.lit(" "), nc, F.lit(" ")))
+               .when(i % 17 == 0, F.lit("12d"))
+               .when(i % 19 == 0, F.lit("NaN"))
+               .when(i % 23 == 0, F.lit(None).cast("string"))
+               .when(i % 29 == 0, F.lit(""))
+               .otherwise(nc))
+    u = lambda s: hash_uniform(s, i)
+    lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1
+    return d.select(
+        i.alias("application_id"),
+        F.col("toxic").alias("fraud_bool"),
+        income.alias("income"),
+        F.round(u("nes"), 6).alias("name_email_similarity"),
+        (i % 120).cast("int").alias("prev_address_months_count"),
+        (F.col("n_chars") % 240).cast("int").alias("current_address_months_count"),
+        (F.lit(18) + i % 60).cast("int").alias("customer_age"),
+        F.round(u("dsr") * 30, 4).alias("days_since_request"),
+        F.round((u("iba") - 0.5) * 200, 2).alias("intended_balcon_amount"),
+        F.length("text").cast("bigint").alias("zip_count_4w"),
+        F.round(u("v6") * 10000, 2).alias("velocity_6h"),
+        lines.cast("bigint").alias("velocity_24h"),
+        F.round(u("v4w") * 6000, 2).alias("velocity_4w"),
+        (F.coalesce(F.col("quality"), F.lit(0)) * 100 + i % 100).cast("int").alias("credit_risk_score"),
+        (i % 2).cast("int").alias("email_is_free"),
+        ((i / 2).cast("bigint") % 2).cast("int").alias("phone_home_valid"),
+        F.round(u("pcl") * 2000, 0).alias("proposed_credit_limit"),
+        F.round(u("slm") * 60, 4).alias("session_length_in_minutes"),
+        (i % 5).cast("int").alias("device_distinct_emails_8w"),
+        (i % 8).cast("int").alias("month"),
+        F.col("lang").alias("payment_type"),
+        _pick(EMPLOYMENT_LEVELS, i).alias("employment_status"),
+        F.when(i % 9 == 0, F.lit(None).cast("string")).otherwise(_pick(HOUSING_LEVELS, (i / 3).cast("bigint"))).alias("housing_status"),
+        F.col("source"),
+        F.when(i % 7 == 0, F.lit(None).cast("string")).otherwise(_pick(DEVICE_OS_LEVELS, i)).alias("device_os"),
+    )
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applications_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _u_sql(seed: str, col: str = "d.doc_id") -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({col} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+APPS_SQL = f"""
+(SELECT d.doc_id AS application_id, l.toxic AS fraud_bool,
+  CASE WHEN d.doc_id % 11 = 0 THEN 'abc' WHEN d.doc_id % 13 = 0 THEN ' ' || CAST(d.n_chars AS VARCHAR) || ' '
+       WHEN d.doc_id % 17 = 0 THEN '12d' WHEN d.doc_id % 19 = 0 THEN 'NaN' WHEN d.doc_id % 23 = 0 THEN NULL
+       WHEN d.doc_id % 29 = 0 THEN '' ELSE CAST(d.n_chars AS VARCHAR) END AS income,
+  {sround(_u_sql('nes'), 6)} AS name_email_similarity,
+  CAST(d.doc_id % 120 AS INTEGER) AS prev_address_months_count,
+  CAST(d.n_chars % 240 AS INTEGER) AS current_address_months_count,
+  CAST(18 + d.doc_id % 60 AS INTEGER) AS customer_age,
+  {sround(_u_sql('dsr') + ' * 30', 4)} AS days_since_request,
+  {sround('(' + _u_sql('iba') + ' - 0.5) * 200', 2)} AS intended_balcon_amount,
+  CAST(length(d.text) AS BIGINT) AS zip_count_4w,
+  {sround(_u_sql('v6') + ' * 10000', 2)} AS velocity_6h,
+  CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 AS BIGINT) AS velocity_24h,
+  {sround(_u_sql('v4w') + ' * 6000', 2)} AS velocity_4w,
+  CAST(coalesce(l.quality, 0) * 100 + d.doc_id % 100 AS INTEGER) AS credit_risk_score,
+  CAST(d.doc_id % 2 AS INTEGER) AS email_is_free,
+  CAST(CAST(trunc(d.doc_id / 2) AS BIGINT) % 2 AS INTEGER) AS phone_home_valid,
+  {sround(_u_sql('pcl') + ' * 2000', 0)} AS proposed_credit_limit,
+  {sround(_u_sql('slm') + ' * 60', 4)} AS session_length_in_minutes,
+  CAST(d.doc_id % 5 AS INTEGER) AS device_distinct_emails_8w,
+  CAST(d.doc_id % 8 AS INTEGER) AS month,
+  d.lang AS payment_type,
+  ['CA', 'CB', 'CC', 'CD', 'CE', 'CF', 'CG'][CAST(d.doc_id % 7 AS INTEGER) + 1] AS employment_status,
+  CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE ['BA', 'BB', 'BC', 'BD', 'BE', 'BF', 'BG'][CAST(CAST(trunc(d.doc_id / 3) AS BIGINT) % 7 AS INTEGER) + 1] END AS housing_status,
+  d.source,
+  CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE ['linux', 'windows', 'macintosh', 'x11', 'other'][CAST(d.doc_id % 5 AS INTEGER) + 1] END AS device_os
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+"""

@@ -14,6 +14,7 @@ MODULES = [
     "vigil.plans.q_detect",
     "vigil.plans.q_history",
     "vigil.plans.q_accounts",
+    "vigil.plans.q_clean",
 ]
 
 
