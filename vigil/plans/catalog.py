@@ -15,6 +15,7 @@ MODULES = [
     "vigil.plans.q_history",
     "vigil.plans.q_accounts",
     "vigil.plans.q_clean",
+    "vigil.plans.q_baseline",
 ]
 
 

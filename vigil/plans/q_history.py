@@ -202,13 +202,16 @@ def sessions(spark, sf, gap_us: int = SESSION_GAP):
         F.count_if(F.col("event_type").isin("click", "view")).cast("bigint").alias("n_pages"),
         F.count_if(F.col("event_type") == "error").cast("bigint").alias("failed_login_attempts_session"),
         F.count_if(F.col("event_type") == "purchase").cast("bigint").alias("n_purchases"),
+        F.count_if(F.col("event_type") == "signup").cast("bigint").alias("n_signups"),
         F.sum("amount").alias("_amount"),
         F.countDistinct("device").cast("bigint").alias("n_devices"))
     minutes = (epoch_us("session_end") - epoch_us("session_start")) / F.lit(60_000_000.0)
     return g.select(
         "account", "session_no", "session_start", "session_end", "n_events", "n_pages",
-        "failed_login_attempts_session", "n_purchases", "n_devices",
+        "failed_login_attempts_session", "n_purchases", "n_signups", "n_devices",
         F.round(minutes, 6).alias("session_length_in_minutes"),
+        F.floor((epoch_us("session_end") - epoch_us("session_start")) / F.lit(1_000_000)).cast("bigint")
+         .alias("session_length_seconds"),
         F.round(F.col("n_pages") / F.greatest(minutes, F.lit(1.0)), 6).alias("page_navigation_velocity"),
         F.round(F.col("_amount"), 2).alias("session_amount"))
 
@@ -216,6 +219,8 @@ def sessions(spark, sf, gap_us: int = SESSION_GAP):
 SQL_SESSIONS = EV + f"""SELECT account, session_no, min(ts) AS session_start, max(ts) AS session_end,
   count(*) AS n_events, count_if(event_type IN ('click', 'view')) AS n_pages,
   count_if(event_type = 'error') AS failed_login_attempts_session, count_if(event_type = 'purchase') AS n_purchases,
+  count_if(event_type = 'signup') AS n_signups,
+  CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS session_length_seconds,
   count(DISTINCT device) AS n_devices,
   {sround('(epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0', 6)} AS session_length_in_minutes,
   {sround('count_if(event_type IN (\'click\', \'view\')) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 1.0)', 6)} AS page_navigation_velocity,
