@@ -16,6 +16,7 @@ MODULES = [
     "vigil.plans.q_accounts",
     "vigil.plans.q_clean",
     "vigil.plans.q_baseline",
+    "vigil.plans.q_sampling",
 ]
 
 
