@@ -45,10 +45,15 @@ def coerce_numeric(df: DataFrame, cols: list[str] = S.NUMERIC_FEATURES) -> DataF
     return df.withColumns({c: to_double_or_zero(c) for c in cols if c in df.columns})
 
 
-def label_encode(df: DataFrame, cols: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
+LABEL_MAP_MAX = 100_000  # code tables up to this size travel as a literal map
+
+
+def label_encode(df: DataFrame, cols: list[str] = S.CATEGORICAL_FEATURES,
+                 max_literal: int = LABEL_MAP_MAX) -> DataFrame:
     """code = 0-based rank of the string form among the column's sorted
     distinct values; null is the string 'nan'.  One distinct pass for all
-    columns; the code table is joined back (AQE broadcasts it when small)."""
+    columns; a code table within ``max_literal`` entries (counted first)
+    becomes a literal map in the projection, a larger one is joined back."""
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
@@ -57,6 +62,12 @@ def label_encode(df: DataFrame, cols: list[str] = S.CATEGORICAL_FEATURES) -> Dat
     vals = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("val"))
                                         for c in present])).alias("x")).select("x.*").distinct()
     codes = vals.withColumn("code", (F.dense_rank().over(Window.partitionBy("col").orderBy("val")) - 1).cast("int"))
+    if codes.count() <= max_literal:
+        table = {}
+        for r in codes.collect():
+            table.setdefault(r["col"], []).extend([F.lit(r["val"]), F.lit(r["code"])])
+        return d.withColumns({c: F.create_map(*table[c])[F.col(c)] if c in table else F.lit(None).cast("int")
+                              for c in present})
     for c in present:
         m = codes.where(F.col("col") == c).select(F.col("val").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         d = d.join(m, d[c] == m[f"_v_{c}"], "left").withColumn(c, F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}")

@@ -17,6 +17,7 @@ MODULES = [
     "vigil.plans.q_clean",
     "vigil.plans.q_baseline",
     "vigil.plans.q_sampling",
+    "vigil.plans.q_models",
 ]
 
 
