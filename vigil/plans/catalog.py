@@ -18,6 +18,7 @@ MODULES = [
     "vigil.plans.q_baseline",
     "vigil.plans.q_sampling",
     "vigil.plans.q_models",
+    "vigil.plans.q_stream",
 ]
 
 
