@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vigil import bindings
 from vigil.operators import decide, history, lists
 from vigil.plans.sqltext import sround
+from vigil.session import materialize
 
 DETECTION_COLUMNS = [
     "transaction_id", "account_number", "txn_seq", "transaction_ts", "ip_country",
@@ -45,7 +46,11 @@ def detections_from(txn: DataFrame) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections_from(bindings.transactions(spark, sf_dir))
+    """The bound transactions feed five branches (two first-seen
+    aggregates, the list seed and three flag joins); they are written once
+    so each branch scans a table instead of re-running the order/line
+    joins."""
+    return detections_from(materialize(bindings.transactions(spark, sf_dir), "transactions"))
 
 
 DETECTIONS_SQL = """

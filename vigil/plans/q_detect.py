@@ -382,6 +382,7 @@ REGISTRY = {
     "i6_risk_summary": (q_risk_summary, SQL_RISK_SUMMARY),
     "i7_histogram_actions": (q_histogram, SQL_HISTOGRAM),
     "i7_histogram_bands": (q_histogram_bands, SQL_HISTOGRAM_BANDS),
+    "i8_service_summary": (q_summary, None),
     "i9_parse_sort": (q_parse_sort, SQL_PARSE_SORT),
     "i10_level_counts": (q_level_counts, SQL_LEVEL_COUNTS),
     "i11_first_flagged": (q_lookup, SQL_LOOKUP),
