@@ -86,3 +86,24 @@ def test_same_result_under_other_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert list(a.n) == list(b.n)
+
+
+def test_earlier_at_most_matches_bruteforce(spark):
+    ev = _events(spark, n=400, seed=11)
+    got = _pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id"))
+    p = _pdf(ev)
+    for r in p.itertuples():
+        prior = p[(p.acc == r.acc) & ((p.ts < r.ts) | ((p.ts == r.ts) & (p.id < r.id)))]
+        g = got[got.id == r.id].iloc[0]
+        assert g.prior_rows == len(prior)
+        assert g.earlier_at_most == int((prior.v <= r.v).sum())
+
+
+def test_prefix_sum_sorted_hot_group(spark):
+    rows = [(i, 0 if i % 3 else i % 7, float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g long, v double")
+    got = H.prefix_sum_sorted(df, ["g"], ["v", "id"], F.lit(1), "c", partitions=6).toPandas()
+    p = pd.DataFrame(rows, columns=["id", "g", "v"]).sort_values(["g", "v", "id"])
+    p["exp"] = p.groupby("g").cumcount()
+    m = got.merge(p, on="id")
+    assert (m.c == m.exp).all()

@@ -80,6 +80,24 @@ FROM (SELECT *, coalesce(sum(amount) OVER w, 0) AS s, CAST(count(*) OVER w AS BI
       WINDOW w AS (PARTITION BY account ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x"""
 
 
+def q_amount_percentile(spark, sf):
+    """Share of the account's earlier purchases whose amount is ≤ the
+    current one (null for a first purchase)."""
+    p = _ev(spark, sf).where("event_type = 'purchase'")
+    d = H.earlier_at_most(p, ["account"], "ts", "event_id", "amount", "event_id")
+    pct = F.when(F.col("prior_rows") > 0, F.round(F.col("earlier_at_most") / F.col("prior_rows"), 6))
+    return d.select("event_id", "account", "amount", "prior_rows", "earlier_at_most", pct.alias("amount_percentile"))
+
+
+SQL_AMOUNT_PERCENTILE = EV + f""", p AS (SELECT *, CAST(row_number() OVER (PARTITION BY account ORDER BY ts, event_id) - 1 AS BIGINT) AS r
+  FROM ev WHERE event_type = 'purchase'),
+ c AS (SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS n FROM p a LEFT JOIN p b
+       ON a.account = b.account AND b.r < a.r AND b.amount <= a.amount GROUP BY a.event_id)
+SELECT p.event_id, p.account, p.amount, p.r AS prior_rows, c.n AS earlier_at_most,
+  CASE WHEN p.r > 0 THEN {sround('c.n / p.r', 6)} END AS amount_percentile
+FROM p JOIN c ON p.event_id = c.event_id"""
+
+
 def q_new_device(spark, sf):
     ev = _ev(spark, sf)
     return H.first_seen(ev, ["account", "device"], "ts", "event_id", "is_new_device_uid").select(
@@ -257,6 +275,7 @@ REGISTRY = {
     "l2_txn_frequency": (q_txn_frequency, SQL_TXN_FREQUENCY),
     "l3_failed_tx_1h": (q_failed_1h, SQL_FAILED_1H),
     "l4_amount_vs_avg": (q_amount_vs_avg, SQL_AMOUNT_VS_AVG),
+    "l5_amount_percentile": (q_amount_percentile, SQL_AMOUNT_PERCENTILE),
     "l6_new_device": (q_new_device, SQL_NEW_DEVICE),
     "l7_distinct_rolling": (q_distinct, SQL_DISTINCT),
     "l8_prior_frauds": (q_prior_frauds, SQL_PRIOR_FRAUDS),
