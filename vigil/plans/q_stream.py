@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vigil import bindings
 from vigil.operators import lists
 from vigil.plans import detect
+from vigil.plans import q_accounts as QA
 from vigil.plans.q_accounts import SQL_FOLD
 from vigil.plans.q_clean import SQL_PROCESSED, processed
 from vigil.plans import q_sampling as QS
@@ -291,7 +292,56 @@ def q_dedupe(spark, sf):
 
 SQL_DEDUPE = D + "SELECT transaction_id, action FROM d"
 
+def q_stream_account_state(spark, sf):
+    """H1 + H3 on a stream: challenges and attempts replayed in time order
+    through keyed state; the accounts still suspended at the end."""
+    from vigil.operators import accounts as A
+    from vigil.plans.q_accounts import attempts_from
+    from vigil.streaming import state as SS
+    base = IO.scratch_dir(spark, "acct")
+    det = cut_lineage(detect.detections(spark, sf))
+    ch = cut_lineage(A.challenges(det))
+    chal = ch.join(det.select("transaction_id", "action", "ato_probability", "behavioral_anomaly_score"),
+                   "transaction_id").select(
+        F.lit("challenge").alias("kind"), "account_number", F.col("issued_ts").alias("t"),
+        F.col("cseq").alias("ord"), "otp", "action", "transaction_id", "ato_probability", "behavioral_anomaly_score")
+    att = attempts_from(ch).select(
+        F.lit("attempt").alias("kind"), "account_number", F.col("attempt_ts").alias("t"),
+        (F.lit(1 << 40) + F.col("attempt_seq")).alias("ord"), "otp", F.lit(None).cast("string").alias("action"),
+        F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("double").alias("ato_probability"),
+        F.lit(None).cast("double").alias("behavioral_anomaly_score"))
+    evs = chal.unionByName(att).withColumn("ts", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+    # the feed must arrive in time order: write the time slices one after
+    # another (the file source replays files by modification time)
+    payload = F.to_json(F.struct("kind", "account_number", "ts", "ord", "otp", "action", "transaction_id",
+                                 "ato_probability", "behavioral_anomaly_score")).alias("value")
+    epoch = F.unix_micros(F.col("t").cast("timestamp"))
+    cuts = evs.select(epoch.alias("e")).approxQuantile("e", [i / N_FILES for i in range(1, N_FILES)], 0.0)
+    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (epoch > F.lit(lo))
+        if hi is not None:
+            cond = cond & (epoch <= F.lit(hi))
+        evs.where(cond).coalesce(1).select(payload).write.mode("append").text(base + "/in")
+    raw = spark.readStream.option("maxFilesPerTrigger", 1).text(base + "/in")
+    events = raw.select(F.from_json("value", SS.EVENT_SCHEMA).alias("e")).select("e.*")
+
+    def cb(batch, batch_id):
+        batch.withColumn("b", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+    ST.run_available_now(SS.account_state(events), None, None, base + "/ckpt", mode="update", foreach_batch=cb)
+    out = spark.read.parquet(base + "/out")
+    last = out.groupBy("account_number").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("account_number", "batch")]),
+                                                       "b").alias("s"))
+    return last.where("s.suspended").select(
+        "account_number", F.col("s.suspension_time").cast("timestamp_ntz").alias("suspension_time"),
+        F.col("s.transaction_id").alias("transaction_id"), F.col("s.ato_probability").alias("ato_probability"),
+        F.col("s.behavioral_anomaly_score").alias("behavioral_anomaly_score"), F.lit("SUSPENDED").alias("status"))
+
+
 REGISTRY = {
+    "h1_h3_stream_account_state": (q_stream_account_state, QA.SQL_SUSPENDED),
     "a1_csv_folder": (q_csv_folder, SQL_CSV_FOLDER),
     "a2_write_table": (q_write_table, SQL_PROCESSED),
     "a3_a4_g7_list_documents": (q_list_documents, SQL_LIST_DOCUMENTS),
