@@ -10,7 +10,7 @@ from vigil.operators import accounts as A
 from vigil.operators import lists
 from vigil.plans import detect
 from vigil.plans.sqltext import sround
-from vigil.session import cut_lineage
+from vigil.session import cut_lineage, materialize
 from vigil.sources.tables import table
 
 TX = f"WITH tx AS {bindings.TXN_SQL}, "
@@ -69,7 +69,7 @@ FROM o FULL OUTER JOIN n ON o.list = n.list AND o.key = n.key"""
 def _manual_adds(spark, sf):
     """Analysts list the devices of every order by a customer whose
     balance is negative, with a reason."""
-    tx = bindings.transactions(spark, sf)
+    tx = materialize(bindings.transactions(spark, sf), "transactions")
     cust = table(spark, sf, "customer").where("c_acctbal < 0").select(
         F.concat(F.lit("ACC-"), F.col("c_custkey").cast("string")).alias("account_number"))
     m = tx.join(cust, "account_number", "left_semi")
@@ -98,7 +98,7 @@ FROM o FULL OUTER JOIN n ON o.list = n.list AND o.key = n.key"""
 
 
 def q_membership(spark, sf):
-    tx = bindings.transactions(spark, sf)
+    tx = materialize(bindings.transactions(spark, sf), "transactions")
     ls = lists.fold_adds(lists.fan_out_adds(tx.where(F.col("actual_is_ato") == 1)))
     t = tx.select("transaction_id", "ip_address", "device_id", "beneficiary_account")
     t = lists.is_listed(t, ls, "ip", "ip_address", "ip_listed")

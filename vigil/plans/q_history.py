@@ -8,6 +8,7 @@ from vigil import bindings
 from vigil.functions import epoch_us
 from vigil.operators import history as H
 from vigil.plans.sqltext import sround
+from vigil.session import materialize
 
 HOUR = H.HOUR_US
 DAY = H.DAY_US
@@ -125,7 +126,7 @@ FROM ev"""
 
 
 def q_prior_frauds(spark, sf):
-    tx = bindings.transactions(spark, sf)
+    tx = materialize(bindings.transactions(spark, sf), "transactions")
     fraud = F.coalesce((F.col("actual_is_ato") == 1).cast("bigint"), F.lit(0).cast("bigint"))
     d = H.running_before(tx, ["device_id"], "transaction_ts", "txn_seq", fraud, "device_fraud_count")
     d = H.running_before(d, ["account_number"], "transaction_ts", "txn_seq", fraud, "previous_fraud_flags")
@@ -260,7 +261,7 @@ SQL_ROLLING_OTHER = EV + f"""SELECT event_id, device, {_range_sql('count(*)', 'd
 
 
 def q_country_8w(spark, sf):
-    tx = bindings.transactions(spark, sf)
+    tx = materialize(bindings.transactions(spark, sf), "transactions")
     a = H.range_window(tx, ["ip_country"], "transaction_ts", 8 * WEEK,
                        {"country_txn_8w": F.count(F.lit(1))}, "transaction_id")
     return tx.select("transaction_id", "ip_country").join(a, "transaction_id")
