@@ -58,3 +58,13 @@ def test_model_learns(spark):
     assert s.where("ato_probability < 0 OR ato_probability > 1").count() == 0
     zero = M.score(model, df.select("id").limit(3), ["a", "b"])  # absent features backfilled with 0
     assert zero.count() == 3
+
+
+def test_queries_pin_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = E.queries()["l15_country_8w"](spark, SF001).count()
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert rows > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

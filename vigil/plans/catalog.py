@@ -7,9 +7,12 @@ them); ``None`` marks operators checked by invariants only.
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
+from vigil.session import ensure_session_defaults
+
 MODULES = [
     "vigil.plans.q_detect",
     "vigil.plans.q_history",
@@ -22,6 +25,14 @@ MODULES = [
 ]
 
 
+def _with_defaults(fn: Callable) -> Callable:
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ensure_session_defaults(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def _collect():
     qs: dict[str, Callable] = {}
     sql: dict[str, str] = {}
@@ -30,7 +41,7 @@ def _collect():
         for name, (fn, text) in mod.REGISTRY.items():
             if name in qs:
                 raise ValueError(f"duplicate query {name}")
-            qs[name] = fn
+            qs[name] = _with_defaults(fn)
             if text is not None:
                 sql[name] = text
     return qs, sql

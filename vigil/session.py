@@ -42,6 +42,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def ensure_session_defaults(spark: SparkSession) -> None:
+    """The library's timestamp semantics are UTC (NTZ columns are read as
+    UTC wall clock, windows align to the epoch in UTC); pin the session
+    time zone and make sure a checkpoint folder is known."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only when
     the session has none (local tests)."""
