@@ -260,6 +260,26 @@ def q_summary(spark, sf):
     return reports.service_summary(m, flagged, susp, recent, sizes)
 
 
+def _summary_sql():
+    adds = """SELECT 'ip' AS list, ip_address AS key FROM d WHERE actual_is_ato = 1
+      UNION SELECT 'device', device_id FROM d WHERE actual_is_ato = 1
+      UNION SELECT 'beneficiary', beneficiary_account FROM d WHERE actual_is_ato = 1"""
+    return L + f""", rt AS ({_rates_sql(_cm_sql('lab'))}), au AS ({auc_sql('lab')}),
+ ls AS (SELECT list, count(*) AS n FROM ({adds}) a WHERE key IS NOT NULL AND trim(key) <> '' GROUP BY list)
+SELECT 'ATO Detection System' AS service, 'Online' AS status,
+  printf('%.1f%%', {sround('rt.accuracy * 100', 1)}) AS model_accuracy,
+  printf('%.4f', {sround('au.auc_roc', 4)}) AS model_auc,
+  printf('%.4f', {sround('rt.f1_score', 4)}) AS model_f1,
+  printf('%.2f%%', {sround('rt.false_positive_rate * 100', 2)}) AS false_positive_rate,
+  (SELECT count(*) FROM (SELECT 1 FROM d WHERE otp_required ORDER BY transaction_ts DESC, txn_seq DESC LIMIT 50)) AS fraud_transactions_count,
+  (SELECT count(DISTINCT account_number) FROM d WHERE action = 'SUSPEND') AS suspended_accounts_count,
+  (SELECT count(*) FROM (SELECT 1 FROM d ORDER BY transaction_ts DESC, txn_seq DESC LIMIT 100)) AS recent_detections_count,
+  CAST(coalesce((SELECT n FROM ls WHERE list = 'ip'), 0) AS BIGINT) AS blacklisted_ips,
+  CAST(coalesce((SELECT n FROM ls WHERE list = 'device'), 0) AS BIGINT) AS blacklisted_devices,
+  CAST(coalesce((SELECT n FROM ls WHERE list = 'beneficiary'), 0) AS BIGINT) AS blacklisted_beneficiaries
+FROM rt, au"""
+
+
 # --- J: evaluation of the rule scorer against the labels ------------------------
 
 def _labelled(spark, sf):
@@ -382,7 +402,6 @@ REGISTRY = {
     "i6_risk_summary": (q_risk_summary, SQL_RISK_SUMMARY),
     "i7_histogram_actions": (q_histogram, SQL_HISTOGRAM),
     "i7_histogram_bands": (q_histogram_bands, SQL_HISTOGRAM_BANDS),
-    "i8_service_summary": (q_summary, None),
     "i9_parse_sort": (q_parse_sort, SQL_PARSE_SORT),
     "i10_level_counts": (q_level_counts, SQL_LEVEL_COUNTS),
     "i11_first_flagged": (q_lookup, SQL_LOOKUP),
@@ -394,3 +413,5 @@ REGISTRY = {
     "j5_class_report": (q_class_report, SQL_CLASS_REPORT),
     "j6_log_loss": (q_log_loss, SQL_LOG_LOSS),
 }
+
+REGISTRY["i8_service_summary"] = (q_summary, _summary_sql())
