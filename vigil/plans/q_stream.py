@@ -120,18 +120,55 @@ def q_first_rows(spark, sf):
 SQL_FIRST_ROWS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000"
 
 
-def q_export_holdout(spark, sf):
-    """A10: the holdout with its target written next to the balanced train
-    set, read back."""
+def export_balanced(spark, sf, path):
+    """A10: train set imputed, scaled, SMOTE-balanced and scaled back to
+    original units (D1 → D2 → C4-C7 → D3), written next to the holdout
+    with its target; partitioned by part."""
+    from vigil.operators import preprocess as P
     from vigil.operators import sampling as C
     sp = C.stratified_split(labelled(spark, sf), "is_ato", "application_id", 0.2, SEED)
+    train, test = sp.where(~F.col("is_test")), sp.where("is_test")
+    med = P.exact_medians(train, NUMS)
+    st = P.scaling_stats(P.impute(train, med), NUMS)
+    tr = P.scale(P.impute(train, med), st).withColumn("vec", F.array(*[F.col(c) for c in NUMS]))
+    plan = C.smote_plan(tr, "is_ato", 1.0, 5).first()
+    out = tr.select("application_id", "is_ato", *NUMS, F.lit(False).alias("synthetic"))
+    if plan["run"]:
+        mi = tr.where("is_ato = 1").select(F.col("application_id").alias("id"), "vec")
+        nn = C.knn(mi, "id", "vec", int(plan["k"]))
+        syn = C.smote_synthesize(mi, nn, "id", "vec", int(plan["n_new"]), int(plan["k"]), SEED)
+        syn = syn.select((-1 - F.col("draw")).alias("application_id"), F.lit(1).alias("is_ato"),
+                         *[F.col("vec")[i].alias(c) for i, c in enumerate(NUMS)], F.lit(True).alias("synthetic"))
+        out = out.unionByName(syn)
+    train_out = P.unscale(out, st).withColumn("part", F.lit("train"))
+    hold = test.select("application_id", "is_ato", *[F.col(c).cast("double").alias(c) for c in NUMS],
+                       F.lit(False).alias("synthetic"), F.lit("holdout").alias("part"))
+    IO.write_table(train_out.unionByName(hold), path, ["part"])
+    return plan
+
+
+def q_export_holdout(spark, sf):
+    """A10: the holdout read back from the export."""
     path = IO.scratch_dir(spark, "export")
-    IO.write_table(sp.withColumn("part", F.when(F.col("is_test"), F.lit("holdout")).otherwise(F.lit("train"))),
-                   path, ["part"])
+    export_balanced(spark, sf, path)
     return spark.read.parquet(path).where("part = 'holdout'").select("application_id", "is_ato", *NUMS)
 
 
+def q_export_train_balance(spark, sf):
+    """A10 + J7: class balance of the exported train set."""
+    from vigil.operators import evaluate
+    path = IO.scratch_dir(spark, "export")
+    export_balanced(spark, sf, path)
+    tr = spark.read.parquet(path).where("part = 'train'")
+    return evaluate.class_balance(tr, "is_ato").crossJoin(
+        tr.agg(F.count_if("synthetic").cast("bigint").alias("synthetic_rows")))
+
+
 SQL_EXPORT_HOLDOUT = QS.AP + QS.SPLIT + f" SELECT application_id, is_ato, {', '.join(NUMS)} FROM sp WHERE is_test"
+SQL_EXPORT_TRAIN_BALANCE = QS.AP + QS.SPLIT + """, tr AS (SELECT is_ato FROM sp WHERE NOT is_test),
+ c AS (SELECT count_if(is_ato = 0) AS neg, count_if(is_ato = 1) AS pos FROM tr)
+SELECT CAST(2 * neg AS BIGINT) AS rows, CAST(neg AS BIGINT) AS positives,
+  CASE WHEN neg > 0 THEN 50.0 ELSE 0.0 END AS pct_positive, CAST(neg - pos AS BIGINT) AS synthetic_rows FROM c"""
 
 
 # --- S: streams -------------------------------------------------------------------
@@ -349,6 +386,7 @@ REGISTRY = {
     "a8_newest_buffer": (q_newest, SQL_NEWEST),
     "a9_first_rows": (q_first_rows, SQL_FIRST_ROWS),
     "a10_export_holdout": (q_export_holdout, SQL_EXPORT_HOLDOUT),
+    "a10_export_train_balance": (q_export_train_balance, SQL_EXPORT_TRAIN_BALANCE),
     "s1_s2_stream_alerts": (q_stream_alerts, SQL_STREAM_ALERTS),
     "s3_dead_letters": (q_dead_letter, SQL_DEAD_LETTER),
     "s4_alert_callback": (q_callback, SQL_CALLBACK),

@@ -118,7 +118,7 @@ def read_list_documents(spark: SparkSession, folder: str, whole_file: bool = Fal
     fs, p = _fs(spark, folder)
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    raw = spark.read.option("wholetext", whole_file).text(folder)
+    raw = spark.read.text(folder, wholetext=whole_file)
     if "list" not in raw.columns:
         raw = raw.withColumn("list", F.regexp_extract(F.input_file_name(), r"([a-z]+)_blacklist\.json$", 1))
     m = F.from_json("value", T.MapType(T.StringType(), LIST_ENTRY))
