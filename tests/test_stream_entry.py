@@ -68,3 +68,17 @@ def test_queries_pin_utc(spark):
         assert rows > 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_flagship_same_under_other_partitioning(spark):
+    cols = ["transaction_id", "ato_probability", "action", "new_device", "new_location", "ip_blacklisted",
+            "device_blacklisted", "beneficiary_blacklisted"]
+    a = sorted(tuple(r) for r in detect.detections(spark, SF001).select(*cols).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        b = sorted(tuple(r) for r in detect.detections(spark, SF001).select(*cols).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert a == b
