@@ -16,8 +16,10 @@ def test_csv_folder_mixed_headers_and_broken_file(spark):
         f.write("id,income,fraud_bool\n1,10,0\n2,abc,1\n")
     with open(os.path.join(folder, "b.csv"), "w") as f:
         f.write("id,source,fraud_bool\n3,web,0\n")
-    with open(os.path.join(folder, "c.csv"), "wb") as f:
-        f.write(b"")  # empty: no header
+    with open(os.path.join(folder, "c.csv"), "w") as f:
+        f.write("\n4,5\n")  # blank header line: reported, skipped
+    with open(os.path.join(folder, "d.csv"), "wb") as f:
+        f.write(b"")  # empty file: listed by nobody, contributes nothing
     df, errors = IO.read_csv_folder(spark, folder)
     rows = {r["id"]: r for r in df.collect()}
     assert set(rows) == {"1", "2", "3"}

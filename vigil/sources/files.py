@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,33 +23,29 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
-    """Paths of the folder's files with the suffix (Hadoop FS, so any
-    storage the cluster mounts)."""
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
+    """Paths of the folder's files with the suffix, listed by the
+    ``binaryFile`` source (only path and length are read)."""
+    try:
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
+                 .load(folder).select("path").collect())  # one row per file, not per record
+    except AnalysisException:
         return []
-    return sorted(st.getPath().toString() for st in fs.listStatus(p)
-                  if st.isFile() and st.getPath().getName().endswith(suffix))
+    return sorted(r["path"] for r in files)
 
 
-def _header(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    try:
-        stream = fs.open(p)
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        reader.close()
-        return line
-    except Exception:  # unreadable file: reported by the caller
-        return None
+def headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """First line of each file, in one scan: the lines of each file's first
+    block, the earliest of them per file."""
+    if not files:
+        return {}
+    lines = (spark.read.text(files)
+             .select("value", F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("pos"))
+             .where(F.col("block") == 0))
+    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("header")).collect()
+    return {r["path"]: r["header"] for r in first}
 
 
 def read_csv_folder(spark: SparkSession, folder: str, empty_schema: str = "is_ato int") -> tuple[DataFrame, list[str]]:
@@ -58,8 +55,18 @@ def read_csv_folder(spark: SparkSession, folder: str, empty_schema: str = "is_at
     No file (or none readable) gives an empty frame of ``empty_schema``."""
     groups: dict[str, list[str]] = {}
     errors: list[str] = []
-    for f in list_files(spark, folder):
-        h = _header(spark, f)
+    files = list_files(spark, folder)
+    try:
+        heads = headers(spark, files)
+    except Exception:  # unreadable content: fall back to one file at a time
+        heads = {}
+        for f in files:
+            try:
+                heads.update(headers(spark, [f]))
+            except Exception:
+                pass
+    for f in files:
+        h = heads.get(f)
         if h is None or not h.strip():
             errors.append(f)
             continue
@@ -115,10 +122,10 @@ def read_list_documents(spark: SparkSession, folder: str, whole_file: bool = Fal
     rows; an absent folder gives an empty typed frame."""
     schema = "list string, key string, count long, account string, fraud_confirmed boolean, " \
              "last_updated string, reason string"
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
+    try:
+        raw = spark.read.text(folder, wholetext=whole_file)
+    except AnalysisException:  # absent folder = empty list
         return spark.createDataFrame([], schema)
-    raw = spark.read.text(folder, wholetext=whole_file)
     if "list" not in raw.columns:
         raw = raw.withColumn("list", F.regexp_extract(F.input_file_name(), r"([a-z]+)_blacklist\.json$", 1))
     m = F.from_json("value", T.MapType(T.StringType(), LIST_ENTRY))
