@@ -279,6 +279,18 @@ def q_ids_first(spark, sf):
     return clean.ids_first(s)
 
 
+def _ids_first_sql():
+    from vigil.plans import detect
+    return f"""WITH d AS {detect.DETECTIONS_SQL} SELECT account_number, transaction_id, ato_probability,
+  CASE WHEN ato_probability > -0.001 AND ato_probability <= 0.499 THEN 'LOW'
+       WHEN ato_probability > 0.499 AND ato_probability <= 0.799 THEN 'MEDIUM'
+       WHEN ato_probability > 0.799 AND ato_probability <= 1.001 THEN 'HIGH' END AS risk_level,
+  CASE WHEN ato_probability > -0.001 AND ato_probability <= 0.499 THEN 'ALLOW'
+       WHEN ato_probability > 0.499 AND ato_probability <= 0.799 THEN 'OTP REQUIRED'
+       WHEN ato_probability > 0.799 AND ato_probability <= 1.001 THEN 'SUSPEND' END AS recommended_action,
+  ip_country FROM d"""
+
+
 def q_prepare(spark, sf):
     d = clean.rename_target(bindings.applications(spark, sf)).select("application_id", "device_os", "is_ato")
     return clean.prepare_for_scoring(d)
@@ -305,5 +317,8 @@ REGISTRY = {
     "b15_clip": (q_clip, SQL_CLIP),
     "b16_user_agent": (q_user_agent, SQL_USER_AGENT),
     "b17_travel_speed": (q_travel_speed, SQL_TRAVEL_SPEED),
+    "b18_ids_first": (q_ids_first, None),
     "b19_prepare_for_scoring": (q_prepare, SQL_PREPARE),
 }
+
+REGISTRY["b18_ids_first"] = (q_ids_first, _ids_first_sql())

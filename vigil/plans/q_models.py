@@ -33,13 +33,13 @@ def _metrics(scored, p="ato_probability"):
         evaluate.log_loss(lab, prob="score").drop("n"))
 
 
-def _fit_tabular(spark, sf):
+def _fit_tabular(spark, sf, impute_scale=False):
     sp = _split(spark, sf)
     train = sp.where(~F.col("is_test"))
     w = C.class_weight(train, "is_ato").collect()[0]["scale_pos_weight"]
     train = M.with_weight(train, "is_ato", max(int(w), 1))
     learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH, weight="weight")
-    model = M.tabular_pipeline(FEATURES, learner).fit(train)
+    model = M.tabular_pipeline(FEATURES, learner, impute_scale=impute_scale).fit(train)
     return model, sp
 
 
@@ -87,9 +87,10 @@ def _model_dir(spark):
 
 
 def q_persist(spark, sf):
-    """A11 + E5: save the fitted pipeline, load it back, score the test
-    rows with both; the probabilities must agree."""
-    model, sp = _fit_tabular(spark, sf)
+    """A11 + D4 + E5: save the fitted pipeline (impute+scale bundle,
+    assembler, trees), load it back, score the test rows with both; the
+    probabilities must agree."""
+    model, sp = _fit_tabular(spark, sf, impute_scale=True)
     path = _model_dir(spark)
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
