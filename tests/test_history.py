@@ -107,3 +107,15 @@ def test_prefix_sum_sorted_hot_group(spark):
     p["exp"] = p.groupby("g").cumcount()
     m = got.merge(p, on="id")
     assert (m.c == m.exp).all()
+
+
+def test_distinct_in_window_matches_bruteforce(spark):
+    ev = _events(spark, n=500, seed=5)
+    ev = ev.unionByName(ev.limit(20).withColumn("id", F.col("id") + 100000))  # same-instant duplicates
+    w = 4 * HOUR
+    got = _pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", w, "id", "n"))
+    p = _pdf(ev)
+    us = (p.ts - pd.Timestamp(0)).dt.total_seconds().mul(1e6).round().astype("int64")
+    for i, r in p.iterrows():
+        m = (p.acc == r.acc) & (us >= us[i] - w) & (us <= us[i] - 1)
+        assert got.set_index("id").loc[r.id, "n"] == p[m].kind.nunique()

@@ -41,11 +41,13 @@ def first_seen(df: DataFrame, keys: list[str], ts: str, seq: str, out: str) -> D
 
 
 def running_before(df: DataFrame, keys: list[str], ts: str, seq: str, value: Column,
-                   out: str, bucket_us: int = DAY_US, agg: str = "sum") -> DataFrame:
+                   out: str, bucket_us: int = DAY_US, agg: str = "sum", numeric_time: bool = False) -> DataFrame:
     """Sum (or count) of ``value`` over the key's rows strictly before the
     current row in (ts, seq) order, computed skew-safely as prior-bucket
-    total + running total inside the bucket."""
-    b = F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("bigint")
+    total + running total inside the bucket.  ``numeric_time``: ``ts`` is
+    already epoch microseconds."""
+    t = F.col(ts) if numeric_time else epoch_us(ts)
+    b = F.floor(t / F.lit(bucket_us)).cast("bigint")
     d = df.withColumn("_b", b).withColumn("_v", value)
     per = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,3 +192,34 @@ def earlier_at_most(df: DataFrame, keys: list[str], ts: str, seq: str, value: st
         d = d.withColumn(out_count, F.lit(None).cast("bigint"))
     return d.withColumn(out_count, F.coalesce(F.col(out_count), F.lit(0)).cast("bigint")) \
             .withColumn(out_prior, F.col("_r").cast("bigint")).drop("_r", "_n")
+
+
+def distinct_in_window(df: DataFrame, key: str, item: str, ts: str, seq: str, width_us: int,
+                       row_id: str, out: str) -> DataFrame:
+    """Number of distinct ``item`` values among the key's rows with
+    time in [t − width, t − 1µs], exactly and without per-row sets.
+
+    Each row covers the query times (t_j, t_j + width]; an item's rows
+    whose gaps are ≤ width merge into one coverage segment, which starts
+    after a row with no earlier row of the item within width and ends width
+    after a row with no later row within width (prev/next per (key, item)
+    from the bucketed as-of helpers).  The count at t is then the number of
+    segment starts ≤ t minus segment ends < t: a running sum of +1/−1 over
+    one time-ordered union per key, again in two levels."""
+    e = epoch_us(ts)
+    d = df.where(F.col(item).isNotNull()).select(row_id, key, item, ts, seq)
+    d = last_before(d, [key, item], ts, seq, {}, "_prev", bucket_us=width_us)
+    d = next_after(d, [key, item], ts, seq, {}, "_next", bucket_us=width_us)
+    d = d.withColumn("_e", e)
+    gap_prev = F.col("_e") - epoch_us(F.col("_prev.t"))
+    gap_next = epoch_us(F.col("_next.t")) - F.col("_e")
+    starts = d.where(F.col("_prev").isNull() | (gap_prev > width_us)).select(
+        F.col(key), (F.col("_e") + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"),
+        F.lit(None).cast(df.schema[row_id].dataType).alias(row_id))
+    ends = d.where(F.col("_next").isNull() | (gap_next > width_us)).select(
+        F.col(key), (F.col("_e") + width_us + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(-1).alias("_delta"),
+        F.lit(None).cast(df.schema[row_id].dataType).alias(row_id))
+    queries = df.select(F.col(key), e.alias("_time"), F.lit(1).alias("_kind"), F.lit(0).alias("_delta"), row_id)
+    tl = starts.unionByName(ends).unionByName(queries)
+    r = running_before(tl, [key], "_time", "_kind", F.col("_delta"), "_n", bucket_us=width_us, numeric_time=True)
+    return r.where(F.col("_kind") == 1).select(row_id, F.col("_n").cast("int").alias(out))

@@ -112,10 +112,10 @@ FROM ev"""
 
 def q_distinct(spark, sf):
     ev = _ev(spark, sf)
-    a = H.range_window(ev, ["device"], "ts", DAY,
-                       {"device_distinct_accounts_24h": lambda w: F.size(F.collect_set("account").over(w))}, "event_id")
-    b = H.range_window(ev, ["account"], "ts", 4 * WEEK,
-                       {"account_distinct_devices_4w": lambda w: F.size(F.collect_set("device").over(w))}, "event_id")
+    a = H.distinct_in_window(ev, "device", "account", "ts", "event_id", DAY, "event_id",
+                             "device_distinct_accounts_24h")
+    b = H.distinct_in_window(ev, "account", "device", "ts", "event_id", 4 * WEEK, "event_id",
+                             "account_distinct_devices_4w")
     return ev.select("event_id", "account", "device").join(a, "event_id").join(b, "event_id")
 
 
