@@ -90,7 +90,14 @@ def test_same_result_under_other_partitioning(spark):
 
 def test_earlier_at_most_matches_bruteforce(spark):
     ev = _events(spark, n=400, seed=11)
-    got = _pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id"))
+    _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id")), ev)
+    # every group through the divide-and-conquer path (as a hot key would go)
+    _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id", small_group=0)), ev)
+    # mixed: only the hot account (about 40 % of rows) takes that path
+    _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id", small_group=100)), ev)
+
+
+def _check_dominance(got, ev):
     p = _pdf(ev)
     for r in p.itertuples():
         prior = p[(p.acc == r.acc) & ((p.ts < r.ts) | ((p.ts == r.ts) & (p.id < r.id)))]
