@@ -10,7 +10,7 @@ from vigil.operators import accounts as A
 from vigil.operators import lists
 from vigil.plans import detect
 from vigil.plans.sqltext import sround
-from vigil.session import cut_lineage, materialize
+from vigil.session import materialize
 from vigil.sources.tables import table
 
 TX = f"WITH tx AS {bindings.TXN_SQL}, "
@@ -168,13 +168,14 @@ SQL_LIST_FLAGS = f"WITH d AS {detect.DETECTIONS_SQL} SELECT transaction_id, ip_b
 
 def _det(spark, sf):
     """The detection log as a written table (reliable checkpoint in the
-    shared folder): every OTP and suspension query reads it several times."""
-    return cut_lineage(detect.detections(spark, sf))
+    shared folder, written once): every OTP and suspension query reads it
+    several times."""
+    return materialize(detect.detections(spark, sf), "detections")
 
 
 def _challenges(spark, sf, det=None):
     det = _det(spark, sf) if det is None else det
-    return cut_lineage(A.challenges(det))
+    return materialize(A.challenges(det), "challenges")
 
 
 def q_challenges(spark, sf):

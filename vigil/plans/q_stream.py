@@ -18,7 +18,7 @@ from vigil.plans.q_clean import SQL_PROCESSED, processed
 from vigil.plans import q_sampling as QS
 from vigil.plans.q_sampling import NUMS, SEED, labelled
 from vigil.plans.sqltext import sround
-from vigil.session import cut_lineage
+from vigil.session import materialize
 from vigil.sources import files as IO
 from vigil.sources.tables import table
 from vigil.streaming import stream as ST
@@ -32,7 +32,7 @@ MSG_FIELDS = ["transaction_id", "account_number", "ip_country", "ip_address", "d
 
 
 def _publish(spark, sf, folder, behaviour="behavioral_anomaly_score"):
-    det = cut_lineage(detect.detections(spark, sf))
+    det = materialize(detect.detections(spark, sf), "detections")
     msgs = det.select(*MSG_FIELDS, F.col(behaviour).alias("behavioral_anomaly_score"),
                       F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"), "txn_seq")
     IO.publish_messages(msgs.drop("txn_seq").withColumn("_o", F.lit(0)).drop("_o"), folder, STAMP, N_FILES,
@@ -336,8 +336,8 @@ def q_stream_account_state(spark, sf):
     from vigil.plans.q_accounts import attempts_from
     from vigil.streaming import state as SS
     base = IO.scratch_dir(spark, "acct")
-    det = cut_lineage(detect.detections(spark, sf))
-    ch = cut_lineage(A.challenges(det))
+    det = materialize(detect.detections(spark, sf), "detections")
+    ch = materialize(A.challenges(det), "challenges")
     chal = ch.join(det.select("transaction_id", "action", "ato_probability", "behavioral_anomaly_score"),
                    "transaction_id").select(
         F.lit("challenge").alias("kind"), "account_number", F.col("issued_ts").alias("t"),
