@@ -109,3 +109,14 @@ def test_auc_and_metrics(spark):
     ll = evaluate.log_loss(df, prob="score").first()["log_loss"]
     exp_ll = -np.mean([y * np.log(s) + (1 - y) * np.log(1 - s) for y, s in rows])
     assert abs(ll - exp_ll) < 1e-6
+
+
+def test_exact_medians_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=1001)
+    b = np.round(rng.exponential(size=1000), 1)  # many ties
+    rows = [(float(a[i]), float(b[i]) if i < 1000 else None) for i in range(1001)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    for acc in (1_000_000, 100):  # a tight and a loose bracket
+        med = P.exact_medians(df, ["a", "b"], accuracy=acc)
+        assert med["a"] == float(np.median(a)) and med["b"] == float(np.median(b))

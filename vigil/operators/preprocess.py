@@ -13,30 +13,77 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.ordering import dense_index
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+MEDIAN_SKETCH_ACCURACY = 1_000_000  # rank error of the bracketing sketch ≤ n / accuracy
+
+
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = MEDIAN_SKETCH_ACCURACY) -> dict[str, float | None]:
     """D1 fit: exact median of each column (mean of the two middle values
-    for an even count; nulls ignored).  All columns share one distributed
-    sort of (column, value); only 2 values per column reach the driver."""
+    for an even count; nulls and NaN ignored) in two passes, without a
+    full sort:
+
+    1. one aggregate gives n and an approximate-percentile bracket
+       [q(½ − 2/accuracy), q(½ + 2/accuracy)] whose rank error bound makes
+       it contain both middle ranks;
+    2. one aggregate counts the values below the bracket, and the values
+       inside it are counted per distinct value (a slice of about
+       4·n/accuracy rows), whose running counts locate the middle ranks.
+
+    Only a few numbers per column reach the driver."""
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v"))
-                                         for c in cols])).alias("x")).select("x.*").where(F.col("v").isNotNull())
-    idx = dense_index(long.withColumn("_t", F.monotonically_increasing_id()), ["col", "v", "_t"], "_i")
-    per = idx.groupBy("col").agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    j = idx.join(F.broadcast(per), "col").withColumn("_r", F.col("_i") - F.col("_start"))
-    mid = j.where((F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2)))
-    med = mid.groupBy("col").agg(((F.min("v") + F.max("v")) / 2.0).alias("median")).collect()
-    out = {c: None for c in cols}
-    out.update({r["col"]: r["median"] for r in med})
+                                         for c in cols])).alias("x")).select("x.*") \
+             .where(F.col("v").isNotNull() & ~F.isnan("v"))
+    d = 2.0 / accuracy
+    first = long.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("br")).collect()
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not first:
+        return out
+    spark = df.sparkSession
+    brackets = {r["col"]: (int(r["n"]), float(r["br"][0]), float(r["br"][1])) for r in first}
+    todo = dict(brackets)
+    while todo:
+        found = _median_in_brackets(spark, long, todo)
+        missed = {}
+        for c, (n, lo, hi) in todo.items():
+            if c in found:
+                out[c] = found[c]
+            else:  # the sketch bracket missed a middle rank: widen to everything
+                missed[c] = (n, float("-inf"), float("inf"))
+        if any(lo == float("-inf") for (_, lo, _) in todo.values()):
+            break
+        todo = missed
     return out
 
 
+def _median_in_brackets(spark, long: DataFrame, brackets: dict) -> dict:
+    br = spark.createDataFrame([(c, n, lo, hi) for c, (n, lo, hi) in brackets.items()],
+                               "col string, n long, lo double, hi double")
+    j = long.join(F.broadcast(br), "col")  # one row per column
+    below = j.where(F.col("v") < F.col("lo")).groupBy("col").agg(F.count(F.lit(1)).alias("below"))
+    inside = (j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+              .groupBy("col", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = inside.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(br.select("col", "n")), "col") \
+                .join(F.broadcast(below), "col", "left") \
+                .withColumn("upto", F.col("upto") + F.coalesce(F.col("below"), F.lit(0)))
+    r_lo, r_hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # 0-based middle ranks
+    start = F.col("upto") - F.col("c")                                   # rank of the value's first copy
+    has_lo = (start <= r_lo) & (r_lo < F.col("upto"))
+    has_hi = (start <= r_hi) & (r_hi < F.col("upto"))
+    hit = cum.where(has_lo | has_hi).groupBy("col").agg(
+        ((F.min("v") + F.max("v")) / 2.0).alias("m"),
+        F.max(has_lo.cast("int")).alias("l"), F.max(has_hi.cast("int")).alias("h"))
+    return {r["col"]: r["m"] for r in hit.collect() if r["l"] == 1 and r["h"] == 1}
+
+
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """D1 apply: fill nulls (and NaN) with the fitted median."""
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),
