@@ -120,7 +120,12 @@ def test_distinct_in_window_matches_bruteforce(spark):
     ev = _events(spark, n=500, seed=5)
     ev = ev.unionByName(ev.limit(20).withColumn("id", F.col("id") + 100000))  # same-instant duplicates
     w = 4 * HOUR
-    got = _pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", w, "id", "n"))
+    for bound in (50_000, 0, 100):  # all small, all through the sweep, mixed
+        got = _pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", w, "id", "n", small_group=bound))
+        _check_distinct(got, ev, w)
+
+
+def _check_distinct(got, ev, w):
     p = _pdf(ev)
     us = (p.ts - pd.Timestamp(0)).dt.total_seconds().mul(1e6).round().astype("int64")
     for i, r in p.iterrows():

@@ -161,6 +161,15 @@ def prefix_sum_sorted(df: DataFrame, group: list[str], order: list[str], value:
 SMALL_GROUP_ROWS = 50_000
 
 
+def split_by_group_size(df: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows of groups with ≤ bound rows, rows of larger groups, whether any
+    larger group exists).  Group sizes come from one grouped count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+    d = df.join(sizes, keys)
+    has_big = bool(sizes.where(F.col("_gn") > bound).limit(1).count())
+    return (d.where(F.col("_gn") <= bound).drop("_gn"), d.where(F.col("_gn") > bound).drop("_gn"), has_big)
+
+
 def _dominance_in_group(keys, ts, seq, value, row_id, out_count, out_prior):
     import numpy as np
     import pandas as pd
@@ -199,16 +208,12 @@ def earlier_at_most(df: DataFrame, keys: list[str], ts: str, seq: str, value: st
     value ranks; larger groups go through :func:`_earlier_at_most_dc`, which
     never puts a group into one task."""
     cols = list(dict.fromkeys([*keys, ts, seq, value, row_id]))
-    d = df.select(*cols)
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    d = d.join(sizes, keys)
-    small = d.where(F.col("_gn") <= small_group).drop("_gn")
+    small, big, has_big = split_by_group_size(df.select(*cols), keys, small_group)
     schema = T.StructType(list(small.schema.fields) + [T.StructField(out_count, T.LongType()),
                                                        T.StructField(out_prior, T.LongType())])
     res = small.groupBy(*keys).applyInPandas(
         _dominance_in_group(keys, ts, seq, value, row_id, out_count, out_prior), schema)
-    if sizes.where(F.col("_gn") > small_group).limit(1).count():
-        big = d.where(F.col("_gn") > small_group).drop("_gn")
+    if has_big:
         res = res.unionByName(_earlier_at_most_dc(big, keys, ts, seq, value, row_id, out_count, out_prior)
                               .select(*schema.fieldNames()))
     return res
@@ -251,10 +256,55 @@ def _earlier_at_most_dc(df: DataFrame, keys: list[str], ts: str, seq: str, value
             .withColumn(out_prior, F.col("_r").cast("bigint")).drop("_r", "_n")
 
 
+def _distinct_in_group(key, item, ts, width_us, row_id, out):
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf["_e"].to_numpy()
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        items = pdf[item].to_numpy()[order]
+        counts: dict = {}
+        res = np.zeros(len(t), dtype=np.int32)
+        lo = hi = 0   # rows [lo, hi) are inside [t_i − width, t_i − 1]
+        for i in range(len(t)):
+            while hi < len(t) and t[hi] <= t[i] - 1:
+                x = items[hi]
+                if x is not None and x == x:
+                    counts[x] = counts.get(x, 0) + 1
+                hi += 1
+            while lo < hi and t[lo] < t[i] - width_us:
+                x = items[lo]
+                if x is not None and x == x:
+                    counts[x] -= 1
+                    if counts[x] == 0:
+                        del counts[x]
+                lo += 1
+            res[i] = len(counts)
+        return pd.DataFrame({row_id: pdf[row_id].to_numpy()[order], out: res})
+    return fn
+
+
 def distinct_in_window(df: DataFrame, key: str, item: str, ts: str, seq: str, width_us: int,
-                       row_id: str, out: str) -> DataFrame:
+                       row_id: str, out: str, small_group: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Number of distinct ``item`` values among the key's rows with
-    time in [t − width, t − 1µs], exactly and without per-row sets.
+    time in [t − width, t − 1µs], exactly and without per-row sets.  Keys
+    with at most ``small_group`` rows (a counted bound) are solved in one
+    grouped ``applyInPandas`` with a two-pointer sliding window; larger keys
+    go through :func:`_distinct_sweep`."""
+    d = df.select(*dict.fromkeys([key, item, ts, seq, row_id])).withColumn("_e", epoch_us(ts))
+    small, big, has_big = split_by_group_size(d, [key], small_group)
+    schema = T.StructType([df.schema[row_id], T.StructField(out, T.IntegerType())])
+    res = small.groupBy(key).applyInPandas(_distinct_in_group(key, item, ts, width_us, row_id, out), schema)
+    if has_big:
+        res = res.unionByName(_distinct_sweep(big.drop("_e"), key, item, ts, seq, width_us, row_id, out))
+    return res
+
+
+def _distinct_sweep(df: DataFrame, key: str, item: str, ts: str, seq: str, width_us: int,
+                    row_id: str, out: str) -> DataFrame:
+    """Distinct count for keys of any size:
 
     Each row covers the query times (t_j, t_j + width]; an item's rows
     whose gaps are ≤ width merge into one coverage segment, which starts
