@@ -95,3 +95,20 @@ def flag_listed_before(txn: DataFrame, firsts: DataFrame, list_name: str, key_co
     j = txn.join(f, txn[key_col] == f["_k"], "left")
     flag = F.coalesce(ts_seq_before(F.col("_f.ts"), F.col("_f.seq"), F.col(ts), F.col(seq)), F.lit(False))
     return j.withColumn(out, flag).drop("_k", "_f")
+
+
+def first_listing_by_key(folded: DataFrame) -> DataFrame:
+    """One row per entity key with the first listing of each list as a
+    column (``first_ip`` …); (list, key) is unique in a folded list."""
+    return (folded.groupBy("key").pivot("list", S.LIST_NAMES)
+            .agg(F.first("first_listed"))
+            .select("key", *[F.col(n).alias(f"first_{n}") for n in S.LIST_NAMES]))
+
+
+def flag_listed_before_by_key(txn: DataFrame, per_key: DataFrame, list_name: str, key_col: str, out: str,
+                              ts: str = "transaction_ts", seq: str = "txn_seq") -> DataFrame:
+    """G8 as-of against :func:`first_listing_by_key`."""
+    f = per_key.select(F.col("key").alias("_k"), F.col(f"first_{list_name}").alias("_f"))
+    j = txn.join(f, txn[key_col] == f["_k"], "left")
+    flag = F.coalesce(ts_seq_before(F.col("_f.ts"), F.col("_f.seq"), F.col(ts), F.col(seq)), F.lit(False))
+    return j.withColumn(out, flag).drop("_k", "_f")

@@ -35,10 +35,12 @@ def seed_lists(txn: DataFrame) -> DataFrame:
 def detections_from(txn: DataFrame) -> DataFrame:
     t = history.first_seen(txn, ["account_number", "device_id"], "transaction_ts", "txn_seq", "new_device")
     t = history.first_seen(t, ["account_number", "location_city"], "transaction_ts", "txn_seq", "new_location")
-    firsts = seed_lists(txn).select("list", "key", "first_listed")
-    t = lists.flag_listed_before(t, firsts, "ip", "ip_address", "ip_blacklisted")
-    t = lists.flag_listed_before(t, firsts, "device", "device_id", "device_blacklisted")
-    t = lists.flag_listed_before(t, firsts, "beneficiary", "beneficiary_account", "beneficiary_blacklisted")
+    # one table keyed by entity with each list's first listing: the three
+    # flag joins read the same subtree, so it is computed once and reused
+    per_key = lists.first_listing_by_key(seed_lists(txn))
+    t = lists.flag_listed_before_by_key(t, per_key, "ip", "ip_address", "ip_blacklisted")
+    t = lists.flag_listed_before_by_key(t, per_key, "device", "device_id", "device_blacklisted")
+    t = lists.flag_listed_before_by_key(t, per_key, "beneficiary", "beneficiary_account", "beneficiary_blacklisted")
     t = t.withColumn("behavioral_anomaly_score", decide.behaviour_or_default())
     t = decide.score_rules(t)
     t = decide.with_decision(t)
