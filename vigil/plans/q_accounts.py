@@ -9,7 +9,6 @@ from vigil.functions import hash_uniform
 from vigil.operators import accounts as A
 from vigil.operators import lists
 from vigil.plans import detect
-from vigil.plans.sqltext import sround
 from vigil.session import materialize
 from vigil.sources.tables import table
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vigil import bindings
 from vigil.operators import baseline as K
-from vigil.plans import detect
 from vigil.plans.q_history import SQL_SESSIONS, sessions
 from vigil.plans.sqltext import sround
 
@@ -88,4 +87,3 @@ REGISTRY = {
     "k4_score_sessions": (q_score, _score_sql()),
     "k5_behaviour_default": (q_default, SQL_DEFAULT),
 }
-del detect

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil import bindings
 from vigil import schemas as S
-from vigil.functions import NUMBER_PATTERN, hash_uniform
+from vigil.functions import NUMBER_PATTERN
 from vigil.operators import clean, decide, evaluate, history
 from vigil.plans.sqltext import sround
 from vigil.sources.tables import table

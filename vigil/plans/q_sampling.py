@@ -128,7 +128,6 @@ def q_synth(spark, sf):
                     F.size("embedding").alias("dims"))
 
 
-SYN = SQL_SMOTE_PLAN.replace(EMB, "").join(["", ""]) if False else None
 SYNTH = f""", pl AS (SELECT count_if(y = 1) AS m, CAST(floor(count_if(y <> 1) * {RATIO}) - count_if(y = 1) AS BIGINT) AS n_new,
    least({K}, count_if(y = 1) - 1) AS k FROM em),
  mix AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS bidx FROM mi),

@@ -35,8 +35,7 @@ def _publish(spark, sf, folder, behaviour="behavioral_anomaly_score"):
     det = materialize(detect.detections(spark, sf), "detections")
     msgs = det.select(*MSG_FIELDS, F.col(behaviour).alias("behavioral_anomaly_score"),
                       F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"), "txn_seq")
-    IO.publish_messages(msgs.drop("txn_seq").withColumn("_o", F.lit(0)).drop("_o"), folder, STAMP, N_FILES,
-                        order=["transaction_ts", "transaction_id"])
+    IO.publish_messages(msgs.drop("txn_seq"), folder, STAMP, N_FILES, order=["transaction_ts", "transaction_id"])
     return det
 
 
