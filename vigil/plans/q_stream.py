@@ -280,12 +280,17 @@ SQL_ACTION_COUNTS = D + "SELECT action, count(*) AS n FROM d GROUP BY action"
 
 
 def q_window_counts(spark, sf):
-    """S8 windowed: actions per 30-day tumbling event-time window, with a
-    watermark (update mode, the latest counts per window kept)."""
+    """S8 windowed: actions per 30-day tumbling event-time window with a
+    2-day watermark over a time-ordered feed (update mode; the latest
+    count per window is kept)."""
     base = IO.scratch_dir(spark, "win")
-    _publish(spark, sf, base + "/in")
-    m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=2))))
-    agg = (m.withWatermark("event_time", "3650 days")
+    det = materialize(detect.detections(spark, sf), "detections")
+    msg = det.select(*MSG_FIELDS, "behavioral_anomaly_score",
+                     F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"))
+    IO.publish_in_time_order(msg.select(F.to_timestamp("transaction_ts").alias("t"),
+                                        F.to_json(F.struct(*msg.columns)).alias("value")), base + "/in", "t", N_FILES)
+    m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=1))))
+    agg = (m.withWatermark("event_time", REDELIVERY_DELAY)
            .groupBy(F.window("event_time", "30 days"), "action").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
     def cb(batch, batch_id):
@@ -293,8 +298,7 @@ def q_window_counts(spark, sf):
                      F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{base}/out/b={batch_id}")
     ST.run_available_now(agg, None, None, base + "/ckpt", mode="update", foreach_batch=cb)
     r = spark.read.parquet(base + "/out")
-    latest = r.groupBy("window_start", "action").agg(F.max_by("n", "b").alias("n"))
-    return latest
+    return r.groupBy("window_start", "action").agg(F.max_by("n", "b").alias("n"))
 
 
 SQL_WINDOW_COUNTS = D + """SELECT time_bucket(INTERVAL '30 days', transaction_ts, TIMESTAMP '1970-01-01') AS window_start, action,
@@ -311,16 +315,22 @@ def q_stream_lists(spark, sf):
     return lists.fold_adds(adds.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).drop("first_listed")
 
 
+REDELIVERY_DELAY = "2 days"
+
+
 def q_dedupe(spark, sf):
-    """A redelivered message (same id) is scored once."""
+    """A redelivered message (same id, arriving right after the
+    original) is scored once; the watermark keeps 2 days of ids in state."""
     base = IO.scratch_dir(spark, "dedupe")
-    det = _publish(spark, sf, base + "/in")
-    dup = det.where(F.col("txn_seq") % 10 == 0).select(
-        *MSG_FIELDS, "behavioral_anomaly_score",
-        F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"))
-    IO.publish_messages(dup, base + "/dup", STAMP, files=1)
-    spark.read.text(base + "/dup").write.mode("append").text(base + "/in")
-    m = ST.dedupe(ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=2))))
+    det = materialize(detect.detections(spark, sf), "detections")
+    msg = det.select(*MSG_FIELDS, "behavioral_anomaly_score",
+                     F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"),
+                     F.lit(STAMP).alias("streamed_at"), "txn_seq")
+    feed = msg.unionByName(msg.where(F.col("txn_seq") % 10 == 0))  # every 10th message twice
+    IO.publish_in_time_order(feed.select(F.to_timestamp("transaction_ts").alias("t"),
+                                         F.to_json(F.struct(*[c for c in msg.columns if c != "txn_seq"])).alias("value")),
+                             base + "/in", "t", N_FILES)
+    m = ST.dedupe(ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=1))), REDELIVERY_DELAY)
     out = ST.score(m).select("transaction_id", "action")
     ST.run_available_now(out, "parquet", base + "/out", base + "/ckpt")
     return spark.read.parquet(base + "/out")
@@ -347,20 +357,9 @@ def q_stream_account_state(spark, sf):
         F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("double").alias("ato_probability"),
         F.lit(None).cast("double").alias("behavioral_anomaly_score"))
     evs = chal.unionByName(att).withColumn("ts", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-    # the feed must arrive in time order: write the time slices one after
-    # another (the file source replays files by modification time)
     payload = F.to_json(F.struct("kind", "account_number", "ts", "ord", "otp", "action", "transaction_id",
                                  "ato_probability", "behavioral_anomaly_score")).alias("value")
-    epoch = F.unix_micros(F.col("t").cast("timestamp"))
-    cuts = evs.select(epoch.alias("e")).approxQuantile("e", [i / N_FILES for i in range(1, N_FILES)], 0.0)
-    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (epoch > F.lit(lo))
-        if hi is not None:
-            cond = cond & (epoch <= F.lit(hi))
-        evs.where(cond).coalesce(1).select(payload).write.mode("append").text(base + "/in")
+    IO.publish_in_time_order(evs.select("t", payload), base + "/in", "t", N_FILES)
     raw = spark.readStream.option("maxFilesPerTrigger", 1).text(base + "/in")
     events = raw.select(F.from_json("value", SS.EVENT_SCHEMA).alias("e")).select("e.*")
 

@@ -136,7 +136,7 @@ def counts_callback(out_dir: str):
     return cb
 
 
-def dedupe(df: DataFrame, delay: str = "3650 days") -> DataFrame:
+def dedupe(df: DataFrame, delay: str = "2 days") -> DataFrame:
     """Drop re-delivered messages (same transaction id) within the
-    watermark delay."""
+    watermark delay; state holds only the ids of the last ``delay``."""
     return df.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["transaction_id"])
