@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from vigil.functions import hash_uniform
 from vigil.functions.ordering import dense_index, hash_rank
+from vigil.session import materialize
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -56,57 +57,54 @@ def smote_plan(df: DataFrame, label: str, ratio: float = 1.0, k: int = 5, minori
                     F.when(run, kk).otherwise(F.lit(0)).alias("k"), run.alias("run"))
 
 
-def _knn_chunk(chunk_ids: np.ndarray, chunk_mat: np.ndarray, k: int, id_col: str, vec_col: str):
-    def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            d2 = np.zeros((x.shape[0], chunk_mat.shape[0]))
-            for j in range(x.shape[1]):  # fixed summation order over dimensions
-                d2 += (x[:, [j]] - chunk_mat[None, :, j]) ** 2
-            ids = pdf[id_col].to_numpy()
-            d2[ids[:, None] == chunk_ids[None, :]] = np.inf  # never your own neighbour
-            kk = min(k, chunk_mat.shape[0])
-            rows = []
-            for r in range(x.shape[0]):
-                for c in np.lexsort((chunk_ids, d2[r]))[:kk]:  # by distance, then id
-                    if np.isfinite(d2[r, c]):
-                        rows.append((int(ids[r]), int(chunk_ids[c]), float(np.sqrt(d2[r, c]))))
-            yield pd.DataFrame(rows, columns=["id", "neighbor_id", "distance"])
+def _knn_block(k: int, id_col: str, vec_col: str):
+    """Distances between one query block and one reference block (numpy,
+    fixed summation order over dimensions); the k best per query point."""
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "neighbor_id": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        x = np.stack(q[vec_col].to_numpy()).astype(np.float64)
+        y = np.stack(r[vec_col].to_numpy()).astype(np.float64)
+        qid, rid = q[id_col].to_numpy(), r[id_col].to_numpy()
+        d2 = np.zeros((len(x), len(y)))
+        for j in range(x.shape[1]):
+            d2 += (x[:, [j]] - y[None, :, j]) ** 2
+        d2[qid[:, None] == rid[None, :]] = np.inf  # never your own neighbour
+        kk = min(k, len(y))
+        ids, nbs, dist = [], [], []
+        for i in range(len(x)):
+            for c in np.lexsort((rid, d2[i]))[:kk]:  # by distance, then id
+                if np.isfinite(d2[i, c]):
+                    ids.append(int(qid[i]))
+                    nbs.append(int(rid[c]))
+                    dist.append(float(np.sqrt(d2[i, c])))
+        return pd.DataFrame({"id": np.asarray(ids, dtype=np.int64), "neighbor_id": np.asarray(nbs, dtype=np.int64),
+                             "distance": np.asarray(dist, dtype=np.float64)})
     return fn
 
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: int = 20000) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, ties by id) of every point
-    among the same set.  The reference side is cut into chunks of at most
-    ``chunk_rows`` rows (a checked size); each chunk is broadcast and
-    scanned by an Arrow-batched ``mapInPandas`` over the partitioned
-    points, which emits only its k best per point; the per-point top k of
-    all chunks is then a grouped aggregate of k × chunks rows."""
-    spark = points.sparkSession
-    n = points.count()
-    n_chunks = max(1, -(-n // chunk_rows))
-    keyed = points.select(id_col, vec_col).withColumn(
-        "_chunk", (F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint") % n_chunks))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
-                           T.StructField("distance", T.DoubleType())])
-    parts = []
-    for c in range(n_chunks):
-        rows = keyed.where(F.col("_chunk") == c).select(id_col, vec_col).toArrow()  # ≤ chunk size (checked)
-        if rows.num_rows > 2 * chunk_rows:
-            raise ValueError("chunk larger than its bound; raise chunk count")
-        ids = np.asarray(rows.column(id_col).to_pylist(), dtype=np.int64)
-        mat = np.array(rows.column(vec_col).to_pylist(), dtype=np.float64).reshape(len(ids), -1) \
-            if len(ids) else np.zeros((0, 1))
-        if len(ids) == 0:
-            continue
-        parts.append(points.select(id_col, vec_col).mapInPandas(_knn_chunk(ids, mat, k, id_col, vec_col), schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    among the same set, fully distributed.  Points are hashed into
+    B = ⌈n / chunk_rows⌉ blocks; every (query block, reference block) pair
+    is one cogroup of two bounded blocks, whose Arrow-batched numpy kernel
+    emits only the k best per query point; the per-point top k over the B
+    pairs is a grouped aggregate of k·B rows.  Exact kNN is quadratic in
+    n by nature; this spreads it evenly and never gathers the set."""
+    # the points are read B times: write them once (shared folder) and
+    # start from that table, which also gives a lineage-free input
+    pts = materialize(points.select(id_col, vec_col), "knn-points")
+    n = pts.count()
+    b = max(1, -(-n // chunk_rows))
+    blk = (F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint") % b)
+    base = pts.withColumn("_blk", blk)
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint")))
+    q = base.select(F.col("_blk").alias("_qb"), others.alias("_rb"), id_col, vec_col)
+    r = base.select(others.alias("_qb"), F.col("_blk").alias("_rb"), id_col, vec_col)
+    schema = "id long, neighbor_id long, distance double"
+    cand = (q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb"))
+            .applyInPandas(_knn_block(k, id_col, vec_col), schema))
     best = cand.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
                                   .alias("nn"))
     return best.select("id", F.posexplode("nn").alias("pos", "x")).select(
@@ -122,17 +120,18 @@ def smote_synthesize(minority: DataFrame, neighbours: DataFrame, id_col: str, ve
     m = minority.count()
     if n_new <= 0 or m < 2:
         return spark.createDataFrame([], f"draw long, base_id long, neighbor_id long, gap double, {vec_col} array<double>")
-    idx = dense_index(minority.select(id_col, vec_col), [id_col], "_bidx")
+    mins = minority.select(F.col(id_col).alias("_sm_id"), F.col(vec_col).alias("_sm_vec"))
+    idx = dense_index(mins, ["_sm_id"], "_bidx")
     draws = spark.range(n_new).withColumnRenamed("id", "draw").select(
         "draw",
         F.floor(hash_uniform(f"base{seed}", F.col("draw")) * m).cast("bigint").alias("_bidx"),
         (F.floor(hash_uniform(f"nb{seed}", F.col("draw")) * k) + 1).cast("int").alias("rank"),
         hash_uniform(f"gap{seed}", F.col("draw")).alias("gap"))
-    b = draws.join(idx, "_bidx").select("draw", "rank", "gap", F.col(id_col).alias("base_id"),
-                                       F.col(vec_col).alias("_x"))
-    nb = neighbours.select(F.col("id").alias("base_id"), "rank", "neighbor_id")
+    b = draws.join(idx, "_bidx").select("draw", "rank", "gap", F.col("_sm_id").alias("base_id"),
+                                       F.col("_sm_vec").alias("_x"))
+    nb = neighbours.select(F.col("id").alias("base_id"), F.col("rank"), F.col("neighbor_id"))
     b = b.join(nb, ["base_id", "rank"])
-    vecs = minority.select(F.col(id_col).alias("neighbor_id"), F.col(vec_col).alias("_n"))
+    vecs = mins.select(F.col("_sm_id").alias("neighbor_id"), F.col("_sm_vec").alias("_n"))
     b = b.join(vecs, "neighbor_id")
     point = F.zip_with("_x", "_n", lambda x, y: x.cast("double") + F.col("gap") * (y.cast("double") - x.cast("double")))
     return b.select("draw", "base_id", "neighbor_id", "gap", point.alias(vec_col))
