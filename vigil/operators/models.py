@@ -64,13 +64,18 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], backfill: bo
     return probability(model.transform(d), out).select(*keep, out)
 
 
-# --- FIXED VALUES: search space of the hyper-parameter search (lo, hi) ---
+# --- FIXED VALUES: search space of the hyper-parameter search (lo, hi), in
+# the reference's order, for the parameters with a Spark equivalent:
+# trees 100-500, depth 3-10, rate .01-.3, subsample .6-.95, min child 1-10,
+# gamma 0-.5 (as minimum information gain).  Column sample and L1/L2 have
+# no GBTClassifier equivalent.
 SEARCH_SPACE = {
+    "maxIter": (100, 500),
     "maxDepth": (3, 10),
     "stepSize": (0.01, 0.3),
-    "maxIter": (100, 1000),
-    "subsamplingRate": (0.6, 1.0),
+    "subsamplingRate": (0.6, 0.95),
     "minInstancesPerNode": (1, 10),
+    "minInfoGain": (0.0, 0.5),
 }
 
 

@@ -76,8 +76,13 @@ def q_search(spark, sf):
     """Seeded random search, stratified folds, mean AUC per trial."""
     d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
     d = C.stratified_folds(d, "is_ato", "application_id", 3, SEED).cache()
-    learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH)
-    space = {"maxDepth": (2, 5), "stepSize": (0.05, 0.3), "maxIter": (5, 20)}
+    w = C.class_weight(d, "is_ato").first()["scale_pos_weight"]
+    d = M.with_weight(d, "is_ato", max(int(w), 1))
+    learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH, weight="weight")
+    # the reference's ranges, with fewer/shallower trees so the registered
+    # query stays small; the full space is models.SEARCH_SPACE
+    space = {"maxIter": (5, 20), "maxDepth": (2, 5), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 0.95),
+             "minInstancesPerNode": (1, 10), "minInfoGain": (0.0, 0.5)}
     _, res = M.search(d, FEATURES, learner, "fold", trials=3, seed=SEED, space=space)
     return res.withColumn("mean_auc", F.round("mean_auc", 6))
 
