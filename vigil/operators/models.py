@@ -26,12 +26,13 @@ from vigil.operators.preprocess import ImputeScale
 
 def gbt(trees: int = S.TABULAR_GBT["trees"], depth: int = S.TABULAR_GBT["depth"],
         rate: float = S.TABULAR_GBT["rate"], subsample: float = S.TABULAR_GBT["subsample"],
-        min_child: int = S.TABULAR_GBT["min_child"], label: str = "label",
-        weight: str | None = None, seed: int = 42) -> GBTClassifier:
-    """E1/E2 learner with the reference's defaults as parameters."""
+        min_child: int = S.TABULAR_GBT["min_child"], gamma: float = S.TABULAR_GBT["gamma"],
+        label: str = "label", weight: str | None = None, seed: int = 42) -> GBTClassifier:
+    """E1/E2 learner with the reference's defaults as parameters (gamma as
+    the minimum information gain of a split; l1/l2 have no equivalent)."""
     g = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth,
                       stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_child,
-                      featureSubsetStrategy="all", seed=seed, maxBins=64)
+                      minInfoGain=gamma, featureSubsetStrategy="all", seed=seed, maxBins=64)
     if weight:
         g.setWeightCol(weight)
     return g

@@ -104,7 +104,7 @@ STREAM_BUFFER_KEEP = 10000
 
 # --- FIXED VALUES: default boosted-tree settings (tabular, behavioural) ---
 TABULAR_GBT = dict(trees=400, depth=7, rate=0.05, subsample=0.85, colsample=0.85,
-                   min_child=3)
+                   min_child=3, gamma=0.1, l1=0.1, l2=1.5)
 BEHAVIORAL_GBT = dict(trees=350, depth=6)
 SEARCH_TRIALS = 30
 SEARCH_FOLDS = 5
