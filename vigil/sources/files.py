@@ -133,15 +133,20 @@ def read_list_documents(spark: SparkSession, folder: str, whole_file: bool = Fal
                .select("list", "key", "v.count", "v.account", "v.fraud_confirmed", "v.last_updated", "v.reason"))
 
 
-def publish_messages(df: DataFrame, folder: str, stamp: str, files: int | None = None,
-                     order: list[str] | None = None) -> None:
+def publish_messages(df: DataFrame, folder: str | None, stamp: str, files: int | None = None,
+                     order: list[str] | None = None, kafka_options: dict | None = None) -> None:
     """NaN → null, a ``streamed_at`` stamp (a parameter, so replays are
-    repeatable), one JSON message per line."""
+    repeatable), one JSON message per line — to a folder, or to a topic
+    with ``kafka_options`` (``kafka.bootstrap.servers``, ``topic``)."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     d = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in num}).withColumn("streamed_at", F.lit(stamp))
     if files:
         d = d.repartitionByRange(files, *[F.col(c) for c in order]) if order else d.repartition(files)
-    d.select(F.to_json(F.struct(*d.columns)).alias("value")).write.mode("overwrite").text(folder)
+    out = d.select(F.to_json(F.struct(*d.columns)).alias("value"))
+    if kafka_options is not None:
+        out.write.format("kafka").options(**kafka_options).save()
+        return
+    out.write.mode("overwrite").text(folder)
 
 
 def publish_in_time_order(df: DataFrame, folder: str, time_col: str, slices: int, value: str = "value") -> None:

@@ -87,6 +87,20 @@ def as_message(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def start_alert_sink(alerts_df: DataFrame, checkpoint: str, path: str | None = None,
+                     kafka_options: dict | None = None, available_now: bool = False):
+    """Results as JSON messages to the alert topic (``kafka_options``
+    with ``kafka.bootstrap.servers`` and ``topic``; needs the Kafka
+    connector) or to a JSON-lines folder.  Returns the started query."""
+    msgs = as_message(alerts_df).withColumn("key", F.get_json_object("value", "$.transaction_id"))
+    w = msgs.writeStream.option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    if kafka_options is not None:
+        return w.format("kafka").options(**kafka_options).start()
+    return w.format("text").option("path", path).start() if path else w.format("console").start()
+
+
 def run_available_now(df: DataFrame, fmt: str, path: str | None, checkpoint: str, mode: str = "append",
                       foreach_batch=None) -> None:
     """Start a query with ``availableNow`` (process everything there is,
