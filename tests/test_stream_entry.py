@@ -82,3 +82,14 @@ def test_flagship_same_under_other_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert a == b
+
+
+def test_alert_sink_text(spark):
+    base = IO.scratch_dir(spark, "t-sink")
+    q_stream._publish(spark, SF001, base + "/in")
+    m = ST.read_messages(spark, base + "/in")
+    q = ST.start_alert_sink(ST.alerts(ST.score(ST.good(m))), base + "/ck", path=base + "/out", available_now=True)
+    q.awaitTermination()
+    lines = spark.read.text(base + "/out")
+    assert lines.count() == detect.detections(spark, SF001).where("action <> 'ALLOW'").count()
+    assert lines.where(F.get_json_object("value", "$.action") == "ALLOW").count() == 0

@@ -92,7 +92,9 @@ def start_alert_sink(alerts_df: DataFrame, checkpoint: str, path: str | None = N
     """Results as JSON messages to the alert topic (``kafka_options``
     with ``kafka.bootstrap.servers`` and ``topic``; needs the Kafka
     connector) or to a JSON-lines folder.  Returns the started query."""
-    msgs = as_message(alerts_df).withColumn("key", F.get_json_object("value", "$.transaction_id"))
+    msgs = as_message(alerts_df)
+    if kafka_options is not None:  # keyed by transaction id
+        msgs = msgs.withColumn("key", F.get_json_object("value", "$.transaction_id"))
     w = msgs.writeStream.option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
