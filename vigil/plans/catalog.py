@@ -11,6 +11,7 @@ import functools
 import importlib
 from collections.abc import Callable
 
+from vigil.plans.sqltext import bigint_counts
 from vigil.session import ensure_session_defaults
 
 MODULES = [
@@ -43,7 +44,7 @@ def _collect():
                 raise ValueError(f"duplicate query {name}")
             qs[name] = _with_defaults(fn)
             if text is not None:
-                sql[name] = text
+                sql[name] = bigint_counts(text)
     return qs, sql
 
 

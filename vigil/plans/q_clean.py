@@ -89,7 +89,7 @@ def q_backfill(spark, sf):
 
 
 SQL_BACKFILL = AP + "SELECT application_id, " + ", ".join(
-    f"0.0 AS {c}" for c in S.NUMERIC_FEATURES if c not in PRESENT_NUM + ["income"]) + " FROM ap"
+    f"CAST(0.0 AS DOUBLE) AS {c}" for c in S.NUMERIC_FEATURES if c not in PRESENT_NUM + ["income"]) + " FROM ap"
 
 
 def q_coerce(spark, sf):
@@ -135,7 +135,7 @@ def q_features(spark, sf):
 
 
 SQL_FEATURES = AP + "SELECT application_id, " + ", ".join(
-    f"{_num_sql(c) if c in PRESENT_NUM + ['income'] or c in S.CATEGORICAL_FEATURES else '0.0'} AS {c}"
+    f"{_num_sql(c) if c in PRESENT_NUM + ['income'] or c in S.CATEGORICAL_FEATURES else 'CAST(0.0 AS DOUBLE)'} AS {c}"
     for c in S.MODEL_FEATURES) + " FROM ap"
 
 

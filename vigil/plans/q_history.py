@@ -175,7 +175,7 @@ def q_login_hour(spark, sf):
                     F.round(score, 6).alias("login_hour_anomaly_score"))
 
 
-SQL_LOGIN_HOUR = EV + f"""SELECT event_id, account, hour(ts) AS login_hour_of_day_local,
+SQL_LOGIN_HOUR = EV + f"""SELECT event_id, account, CAST(hour(ts) AS INTEGER) AS login_hour_of_day_local,
   {sround('1.0 - coalesce(count(*) OVER (PARTITION BY account, hour(ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(coalesce(count(*) OVER (PARTITION BY account ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 1)', 6)} AS login_hour_anomaly_score
 FROM ev"""
 

@@ -167,7 +167,7 @@ SQL_EXPORT_HOLDOUT = QS.AP + QS.SPLIT + f" SELECT application_id, is_ato, {', '.
 SQL_EXPORT_TRAIN_BALANCE = QS.AP + QS.SPLIT + """, tr AS (SELECT is_ato FROM sp WHERE NOT is_test),
  c AS (SELECT count_if(is_ato = 0) AS neg, count_if(is_ato = 1) AS pos FROM tr)
 SELECT CAST(2 * neg AS BIGINT) AS rows, CAST(neg AS BIGINT) AS positives,
-  CASE WHEN neg > 0 THEN 50.0 ELSE 0.0 END AS pct_positive, CAST(neg - pos AS BIGINT) AS synthetic_rows FROM c"""
+  CAST(CASE WHEN neg > 0 THEN 50.0 ELSE 0.0 END AS DOUBLE) AS pct_positive, CAST(neg - pos AS BIGINT) AS synthetic_rows FROM c"""
 
 
 # --- S: streams -------------------------------------------------------------------
