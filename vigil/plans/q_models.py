@@ -14,7 +14,7 @@ from vigil import schemas as S
 from vigil.operators import decide, evaluate, models as M, sampling as C
 from vigil.operators import history as H
 from vigil.plans.q_sampling import NUMS, SEED, labelled
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, materialize
 
 # small settings for the registered queries; the defaults are the reference's
 QUERY_TREES, QUERY_DEPTH = 20, 4
@@ -23,7 +23,7 @@ FEATURES = NUMS + S.CATEGORICAL_FEATURES
 
 def _split(spark, sf):
     d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    return C.stratified_split(d, "is_ato", "application_id", 0.2, SEED).cache()
+    return materialize(C.stratified_split(d, "is_ato", "application_id", 0.2, SEED), "split")
 
 
 def _metrics(scored, p="ato_probability"):
@@ -75,7 +75,7 @@ def q_behavioral(spark, sf):
 def q_search(spark, sf):
     """Seeded random search, stratified folds, mean AUC per trial."""
     d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    d = C.stratified_folds(d, "is_ato", "application_id", 3, SEED).cache()
+    d = materialize(C.stratified_folds(d, "is_ato", "application_id", 3, SEED), "folds")
     w = C.class_weight(d, "is_ato").first()["scale_pos_weight"]
     d = M.with_weight(d, "is_ato", max(int(w), 1))
     learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH, weight="weight")
