@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import materialize
+
 AUC_BUCKETS = 65536  # score buckets for the two-level prefix; the bucket table is bounded by this
 
 
@@ -41,9 +43,10 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count_if(F.col(label) == 1).cast("bigint").alias("pos"),
                 F.count_if(F.col(label) != 1).cast("bigint").alias("neg")))
-    s_min_max = F.col("s")
-    bucket = F.least(F.greatest(F.floor(s_min_max * AUC_BUCKETS), F.lit(-1)), F.lit(AUC_BUCKETS)).cast("int")
-    per = per.withColumn("b", bucket)
+    bucket = F.least(F.greatest(F.floor(F.col("s") * AUC_BUCKETS), F.lit(-1)), F.lit(AUC_BUCKETS)).cast("int")
+    # one row per distinct score, read by two branches: write it once so the
+    # (possibly large) input is scanned a single time
+    per = materialize(per.withColumn("b", bucket), "auc-scores")
     bt = per.groupBy("b").agg(F.sum("neg").alias("bneg"))
     wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ AUC_BUCKETS + 2 rows
     bt = bt.select("b", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_before_bucket"))
