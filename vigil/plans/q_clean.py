@@ -74,9 +74,6 @@ def q_missing(spark, sf):
     return clean.missing_columns(clean.rename_target(bindings.applications(spark, sf)))
 
 
-SQL_MISSING = AP + ", cols AS (SELECT unnest(map_keys(m)) AS c FROM (SELECT map_from_entries([(column_name, 1) FOR column_name IN (SELECT list(column_name) FROM (DESCRIBE SELECT * FROM ap))]) m))"
-
-
 def _missing_sql():
     present = set(PRESENT_NUM + ["income"] + S.CATEGORICAL_FEATURES)
     vals = ", ".join(f"('{c}', {i}, {'true' if c in present else 'false'})" for i, c in enumerate(S.ALL_FEATURES))
