@@ -24,7 +24,8 @@ RANK_BUCKETS_HEX = 4  # 16**4 = 65536 buckets per group
 def dense_index(df: DataFrame, order: list[str], out: str = "idx", partitions: int | None = None) -> DataFrame:
     """0-based dense position of every row in ``order`` (must be a total
     order for a deterministic result)."""
-    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    # as many range partitions as any other shuffle (sized for the data)
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     d = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))

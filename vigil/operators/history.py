@@ -146,7 +146,8 @@ def prefix_sum_sorted(df: DataFrame, group: list[str], order: list[str], value:
     over many tasks, a running window works inside each (task, group), and
     the per-(group, task) totals — at most one row per group and task —
     give the offsets."""
-    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    # as many range partitions as any other shuffle (sized for the data)
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     d = df.withColumn("_val", value).repartitionByRange(n, *group, *order) \
           .withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
