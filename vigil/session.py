@@ -45,10 +45,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_session_defaults(spark: SparkSession) -> None:
     """The library's timestamp semantics are UTC (NTZ columns are read as
     UTC wall clock, windows align to the epoch in UTC); pin the session
-    time zone and make sure a checkpoint folder is known."""
+    time zone, make sure a checkpoint folder is known and that executors
+    can import this package."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the executors' Python path once per context
+    (like ``--py-files``), so grouped pandas functions and stateful
+    streaming functions resolve on any worker."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="vigil-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "vigil"), "zip", os.path.dirname(pkg_dir), "vigil")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
