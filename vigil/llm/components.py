@@ -12,37 +12,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest
     node of the component.
 
-    Each round every node takes the smallest label among its own and its
-    neighbours', then jumps to that label's label, and edges inside one label
-    go. A round is three joins on single keys (a node with very many edges is
-    only pre-aggregated or split, never one task) and is written to the
-    shared folder. Rounds end when no edge joins two labels.
+    Contraction: every node points to the smallest of itself and its
+    neighbours, then to where that one points; edges are redrawn between the
+    nodes pointed to, and loops and repeats go. The edge table shrinks from round
+    to round until it is empty; the pointers of all rounds, followed in turn, lead
+    to the root. A node with very many edges is a pre-aggregated minimum and one
+    side of a join that adaptive execution splits. Each round is written to the
+    shared folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    links = materialize(both.distinct(), "edges")
-    labels = materialize(links.groupBy("a").agg(F.min("b").alias("m"))
-                         .select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = materialize(links.filter("a <> b").distinct(), "edges")
+    steps: list[DataFrame] = []
     for _ in range(max_rounds):
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = materialize(labels.join(jump, "root", "left")
-                             .select("node", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        # links between labels, each label's smallest neighbouring label
-        end = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        start = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        open_links = materialize(links.join(end, "b").join(start, "a").filter("ra <> rb")
-                                 .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
-        if open_links.isEmpty():
-            if _settled(labels):
-                return labels
-            continue
-        links = open_links
-        lower = links.groupBy("a").agg(F.min("b").alias("m")).filter("m < a").select(F.col("a").alias("root"), "m")
-        labels = materialize(labels.join(lower, "root", "left")
-                             .select("node", F.coalesce("m", "root").alias("root")), "labels")
-    raise RuntimeError("components did not settle")
-
-
-def _settled(labels: DataFrame) -> bool:
-    """Every root is its own root."""
-    roots = labels.select(F.col("root").alias("node")).distinct()
-    return labels.join(roots, "node").filter("node <> root").isEmpty()
+        lowest = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        onward = lowest.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        steps.append(materialize(lowest.join(onward, "to").select("node", F.col("next").alias("to")), "pointers"))
+        start = steps[-1].select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        end = steps[-1].select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        links = materialize(links.filter("a < b").join(start, "a").join(end, "b").filter("ta <> tb")
+                            .select(F.explode(F.array(F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")),
+                                                      F.struct(F.col("tb").alias("a"), F.col("ta").alias("b")))).alias("e"))
+                            .select("e.*").distinct(), "edges")
+        if links.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    labels = steps[0].select("node", F.col("to").alias("root"))
+    for step in steps[1:]:
+        onward = step.select(F.col("node").alias("root"), "to")
+        labels = labels.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(labels, "components")

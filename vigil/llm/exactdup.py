@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import id_and_text, table
+from vigil.llm.common import id_and_text, keep_rows, table
 from vigil.session import materialize
 
 BLOCK_BYTES = 4096
@@ -78,21 +78,22 @@ def _distinct_blocks(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
 def _occurrences(docs: DataFrame, size: int, bits: int, with_blocks: bool) -> DataFrame:
     """One row per document: a row number of its own, id, digest, and its blocks' hashes in order."""
-    schema = "row long, doc_id long, text_sha256 string, hs array<long>" + (", blocks array<binary>" if with_blocks else "")
+    schema = "row long, doc_id long, text_md5 string, text_sha256 string, hs array<long>" + (", blocks array<binary>" if with_blocks else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            shas, hs, kept = [], [], []
+            md5s, shas, hs, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
                 data = normalised(text)
+                md5s.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest())
                 blocks = _blocks(data, size)
                 shas.append(hashlib.sha256(data).hexdigest())
                 hs.append([_hash(b, bits) for b in blocks])
                 kept.append(blocks)
             columns = [pa.array(range(row, row + len(shas)), pa.int64()), batch.column("doc_id"),
-                       pa.array(shas, pa.string()), pa.array(hs, pa.list_(pa.int64()))]
-            names = ["row", "doc_id", "text_sha256", "hs"]
+                       pa.array(md5s, pa.string()), pa.array(shas, pa.string()), pa.array(hs, pa.list_(pa.int64()))]
+            names = ["row", "doc_id", "text_md5", "text_sha256", "hs"]
             if with_blocks:
                 columns.append(pa.array(kept, pa.list_(pa.binary())))
                 names.append("blocks")
@@ -111,7 +112,7 @@ def _named(distinct: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64,
                    buckets: int = BUCKETS) -> DataFrame:
-    """(row, doc_id, text_sha256, level, name): one row per input row; (level,
+    """(row, doc_id, text_md5, text_sha256, level, name): one row per input row; (level,
     name) is equal exactly for equal normalised texts."""
     docs = id_and_text(docs)
     distinct = _distinct_blocks(docs, block_bytes, hash_bits)
@@ -120,20 +121,21 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: i
     names = materialize(_named(ranked, ["h", "r"], buckets), "block-names")
     shared = names.filter("r > 0").select("h").distinct()
     collided = not shared.isEmpty()
+    attributes = ["row", "doc_id", "text_md5", "text_sha256"]
     rows = _occurrences(docs, block_bytes, hash_bits, collided)
     if collided:
         by_content = Window.partitionBy("h").orderBy("block")
         ranks = materialize(distinct.join(shared, "h", "left_semi")
                             .select("h", "block", (F.row_number().over(by_content) - 1).alias("r")), "block-ranks")
-        spread = rows.select("row", "doc_id", "text_sha256", F.posexplode(F.arrays_zip("hs", "blocks")).alias("pos", "b"))
-        spread = (spread.select("row", "doc_id", "text_sha256", "pos", F.col("b.hs").alias("h"), F.col("b.blocks").alias("block"))
+        spread = rows.select(*attributes, F.posexplode(F.arrays_zip("hs", "blocks")).alias("pos", "b"))
+        spread = (spread.select(*attributes, "pos", F.col("b.hs").alias("h"), F.col("b.blocks").alias("block"))
                   .join(ranks, ["h", "block"], "left")
-                  .groupBy("row", "doc_id", "text_sha256")
+                  .groupBy(*attributes)
                   .agg(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("r", F.lit(0)).alias("r")))).alias("bs")))
         written = materialize(spread, "documents")
     else:
         rows = rows.withColumn("bs", F.transform("hs", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(0).alias("r"))))
-        written = materialize(rows.select("row", "doc_id", "text_sha256", "bs"), "documents")
+        written = materialize(rows.select(*attributes, "bs"), "documents")
     ids = written.select("row", F.size("bs").alias("n"), F.explode("bs").alias("b"))
     level = materialize(ids.select("row", "n", "b.pos", "b.h", "b.r").join(names, ["h", "r"])
                         .select("row", "pos", "name", "n"), "level-0")
@@ -151,23 +153,29 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: i
         pair_names = _named(pairs.select("left", "right").distinct(), ["left", "right"], buckets)
         level = materialize(pairs.join(pair_names, ["left", "right"]).select("row", "pos", "name", "n"), f"level-{depth}")
         done = done.unionByName(level.filter("n = 1").select("row", F.lit(depth).alias("level"), "name"))
-    return written.select("row", "doc_id", "text_sha256").join(done, "row")
+    return written.select(*attributes).join(done, "row")
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row: of equal
+    """doc_id, keep_id, group_size, kept, text_sha256, text_md5 for every row: of equal
     texts the row with the largest doc_id stays."""
     named = materialize(document_names(docs, block_bytes, hash_bits), "identities")
-    groups = (named.groupBy("level", "name")
-              .agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")))
+    # written, so that the join below has plain shuffles on both sides and a hot group's rows can be split
+    groups = materialize(named.groupBy("level", "name")
+                         .agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")), "groups")
     return (named.join(groups, ["level", "name"])
             .select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
-                    (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256"))
+                    (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256", "text_md5"))
+
+
+def without_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, all columns."""
+    return keep_rows(docs, exact_duplicates(docs).filter("kept"))
 
 
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents."""
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 OP6_SQL = """

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import id_and_text, table
+from vigil.llm.common import content_key, id_and_text, keep_rows, table
 from vigil.llm.components import connected_components
 from vigil.session import materialize
 
@@ -76,13 +76,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the fingerprint as a signed long."""
+    """(doc_id, text_md5, fp): one row per input row; fp is the fingerprint as a signed long."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "text_md5", "fp"])
 
-    return id_and_text(docs).mapInArrow(per_batch, "doc_id long, fp long")
+    keyed = id_and_text(docs).withColumn("text_md5", content_key(F.col("text")))
+    return keyed.mapInArrow(per_batch, "doc_id long, text_md5 string, fp long")
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -218,16 +220,24 @@ def near_duplicate_edges(nodes: DataFrame, max_bits: int, leaf_target: int = LEA
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, **limits: int) -> DataFrame:
-    """(doc_id, fp, component_id): fingerprints within ``max_bits`` bits link;
-    component_id is the smallest doc_id reachable over links."""
+    """(doc_id, text_md5, fp, root, component_id): fingerprints within ``max_bits`` bits link;
+    component_id is the smallest doc_id reachable over links, root a
+    fingerprint that names the component where no member has an id."""
     hashed = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = connected_components(near_duplicate_edges(nodes, max_bits, **limits))
     rooted = (nodes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return hashed.join(named, "fp").select("doc_id", "text_md5", "fp", "root", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id (then content), all columns."""
+    found = near_duplicates(docs, shingle, max_bits)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_md5")).alias("top"))
+    return keep_rows(docs, first.select("top.doc_id", "top.text_md5"))
 
 
 def op9_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
