@@ -305,7 +305,7 @@ def fitted_blocks(docs: DataFrame, benchmark: DataFrame, min_share: float, rank:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35, min_share: float = 0.7,
-                 min_answer: float = 0.5, rank: int = RANK, item_block: int = 4096) -> DataFrame:
+                 min_answer: float = 0.5, rank: int = RANK, item_block: int = 1024) -> DataFrame:
     """(doc_id, item_id, part, share): the confirmed matches, the best share of each document and passage."""
     plain = id_and_text(docs)
     schema = "doc_id long, item_id long, part int, share double"
@@ -328,7 +328,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35, min_share: float = 0.7,
-                      min_answer: float = 0.5, rank: int = RANK, item_block: int = 4096, text_col: str = "text") -> DataFrame:
+                      min_answer: float = 0.5, rank: int = RANK, item_block: int = 1024, text_col: str = "text") -> DataFrame:
     """The rows without a confirmed match, all columns."""
     kept = docs
     plain = docs.select(F.col(text_col).cast("string").alias("text"))

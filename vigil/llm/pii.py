@@ -191,6 +191,10 @@ def _joined(spans):
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: counts and digest of the base spans, and all spans."""
     found = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(i) for i in range(len(KINDS))]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 

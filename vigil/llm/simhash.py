@@ -42,7 +42,8 @@ from vigil.session import materialize
 
 #: Row b holds the bits of byte b, each in a byte of its own (lowest bit lowest): eight counters in one 64-bit word.
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint64) << (8 * np.arange(8)).astype(np.uint64)).sum(axis=1).astype(np.uint64)
-#: The tree is fitted on at most so many fingerprints (the ones that hash lowest).
+#: The tree is fitted on one distinct fingerprint in SAMPLE_EVERY, and on at most SAMPLE_LIMIT (the ones that hash lowest).
+SAMPLE_EVERY = 8
 SAMPLE_LIMIT = 65_536
 LEAF_TARGET = 4096
 LEAF_LIMIT = 32_768
@@ -71,8 +72,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist(), strict=True)
-    return majority_bits(np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64))
+    n = len(words) - shingle + 1
+    spans = zip(starts[:n].tolist(), ends[shingle - 1:].tolist(), strict=True)
+    return majority_bits(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -184,7 +186,8 @@ def near_duplicate_edges(nodes: DataFrame, max_bits: int, leaf_target: int = LEA
     components are those of all pairs within ``max_bits``."""
     spark = nodes.sparkSession
     total = nodes.count()
-    sample = [r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample_limit).collect()]
+    drawn = nodes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_EVERY)) == 0)
+    sample = [r.fp for r in drawn.orderBy(F.xxhash64("fp")).limit(sample_limit).collect()]
     tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), math.ceil(math.log2(max(1, total / leaf_target))))
     shared = spark.sparkContext.broadcast(tree)
 
