@@ -20,6 +20,13 @@ def test_baseline_needs_three_sessions(spark):
     assert [r["n_accounts"] for r in K.listing(K.build(s, SIG)).collect()] == [1]
 
 
+def test_baseline_of_fractional_signals(spark):
+    rows = [("R", .15, 4.5), ("R", .12, 4.4), ("R", .20, 5.4)]
+    s = spark.createDataFrame(rows, "account string, s1 double, s2 double")
+    b = K.rounded(K.build(s, SIG), SIG).first()
+    assert (b["mean_s1"], b["std_s1"], b["mean_s2"], b["std_s2"]) == (0.156667, 0.032998, 4.766667, 0.449691)
+
+
 def test_baseline_score(spark):
     hist = spark.createDataFrame([("B", 10, 2), ("B", 20, 4), ("B", 30, 6)], "account string, s1 long, s2 long")
     new = spark.createDataFrame([("B", 20, 4), ("B", 100, 4), ("Z", 1, 1)], "account string, s1 long, s2 long")

@@ -30,7 +30,7 @@ def _pdf(df):
 
 def test_running_before_matches_bruteforce(spark):
     ev = _events(spark)
-    got = _pdf(H.running_before(ev, ["acc"], "ts", "id", F.col("v"), "s", bucket_us=6 * HOUR))
+    got = _pdf(H.running_before(ev, ["acc"], "ts", "id", F.col("v"), "s"))
     p = _pdf(ev)
     exp = [p[(p.acc == r.acc) & ((p.ts < r.ts) | ((p.ts == r.ts) & (p.id < r.id)))].v.sum() for r in p.itertuples()]
     assert list(got.s) == exp
@@ -39,7 +39,7 @@ def test_running_before_matches_bruteforce(spark):
 def test_range_window_matches_bruteforce(spark):
     ev = _events(spark)
     w = 3 * HOUR
-    got = _pdf(H.range_window(ev, ["acc"], "ts", w, {"n": F.count(F.lit(1))}, "id"))
+    got = _pdf(H.rolling_sums(ev, ["acc"], "ts", "id", {"n": (w, F.lit(1))}))
     p = _pdf(ev)
     us = (p.ts - pd.Timestamp(0)).dt.total_seconds().mul(1e6).round().astype("int64")
     exp = [int(((p.acc == a) & (us >= e - w) & (us <= e - 1)).sum()) for a, e in zip(p.acc, us)]
@@ -48,9 +48,8 @@ def test_range_window_matches_bruteforce(spark):
 
 def test_last_before_and_next_after(spark):
     ev = _events(spark)
-    lb = _pdf(H.last_before(ev, ["acc"], "ts", "id", {"k": F.col("kind")}, "p", cond=F.col("kind") == "a",
-                            bucket_us=2 * HOUR))
-    na = _pdf(H.next_after(ev, ["acc"], "ts", "id", {}, "n", bucket_us=2 * HOUR))
+    lb = _pdf(H.last_before(ev, ["acc"], "ts", "id", {"k": F.col("kind")}, "p", cond=F.col("kind") == "a"))
+    na = _pdf(H.next_after(ev, ["acc"], "ts", "id", {}, "n"))
     p = _pdf(ev)
     for i, r in p.iterrows():
         prior = p[(p.acc == r.acc) & (p.kind == "a") & ((p.ts < r.ts) | ((p.ts == r.ts) & (p.id < r.id)))]
@@ -91,10 +90,6 @@ def test_same_result_under_other_partitioning(spark):
 def test_earlier_at_most_matches_bruteforce(spark):
     ev = _events(spark, n=400, seed=11)
     _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id")), ev)
-    # every group through the divide-and-conquer path (as a hot key would go)
-    _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id", small_group=0)), ev)
-    # mixed: only the hot account (about 40 % of rows) takes that path
-    _check_dominance(_pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id", small_group=100)), ev)
 
 
 def _check_dominance(got, ev):
@@ -120,9 +115,7 @@ def test_distinct_in_window_matches_bruteforce(spark):
     ev = _events(spark, n=500, seed=5)
     ev = ev.unionByName(ev.limit(20).withColumn("id", F.col("id") + 100000))  # same-instant duplicates
     w = 4 * HOUR
-    for bound in (50_000, 0, 100):  # all small, all through the sweep, mixed
-        got = _pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", w, "id", "n", small_group=bound))
-        _check_distinct(got, ev, w)
+    _check_distinct(_pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", w, "id", "n")), ev, w)
 
 
 def _check_distinct(got, ev, w):
@@ -131,3 +124,37 @@ def _check_distinct(got, ev, w):
     for i, r in p.iterrows():
         m = (p.acc == r.acc) & (us >= us[i] - w) & (us <= us[i] - 1)
         assert got.set_index("id").loc[r.id, "n"] == p[m].kind.nunique()
+
+
+def _hot_day(spark):
+    """One account with a third of all rows inside one day, and rows with a null account."""
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(i, 0 if i % 3 == 0 else (None if i % 17 == 0 else rng.randint(1, 40)), t0 + dt.timedelta(seconds=rng.randrange(86_400)),
+             rng.choice(["a", "b", "c", None]), float(rng.randint(1, 9))) for i in range(1500)]
+    return spark.createDataFrame(rows, "id long, acc long, ts timestamp_ntz, kind string, v double").repartition(5)
+
+
+def test_hot_key_inside_one_day_and_null_keys(spark):
+    ev = _hot_day(spark)
+    p = _pdf(ev)
+    acc = p.acc.fillna(-1)
+    us = (p.ts - pd.Timestamp(0)).dt.total_seconds().mul(1e6).round().astype("int64").tolist()
+    order = list(zip(us, p.id))
+    groups = {a: [i for i in range(len(p)) if acc[i] == a] for a in set(acc)}
+    before = [[j for j in groups[acc[i]] if order[j] < order[i]] for i in range(len(p))]
+    got = _pdf(H.sums_before(ev, ["acc"], ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)}, partitions=9))
+    assert list(got.n) == [len(b) for b in before] and list(got.s) == [p.v[b].sum() for b in before]
+    last = _pdf(H.last_before(ev, ["acc"], "ts", "id", {}, "p"))
+    assert [x and x["s"] for x in last.p] == [p.id[max(b, key=lambda j: order[j])] if b else None for b in before]
+    after = [[j for j in groups[acc[i]] if order[j] > order[i]] for i in range(len(p))]
+    nxt = _pdf(H.next_after(ev, ["acc"], "ts", "id", {}, "n"))
+    assert [x and x["s"] for x in nxt.n] == [p.id[min(b, key=lambda j: order[j])] if b else None for b in after]
+    widths = {"a": HOUR, "b": 5 * HOUR}
+    roll = _pdf(H.rolling_sums(ev, ["acc"], "ts", "id", {n: (w, F.lit(1)) for n, w in widths.items()}))
+    for n, w in widths.items():
+        assert list(roll[n]) == [sum(us[i] - w <= us[j] < us[i] for j in groups[acc[i]]) for i in range(len(p))]
+    seen = _pdf(H.distinct_in_window(ev, "acc", "kind", "ts", "id", HOUR, "id", "n"))
+    assert list(seen.n) == [len({p.kind[j] for j in groups[acc[i]] if us[i] - HOUR <= us[j] < us[i]} - {None}) for i in range(len(p))]
+    dom = _pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id"))
+    assert list(dom.earlier_at_most) == [int((p.v[b] <= p.v[i]).sum()) for i, b in enumerate(before)]

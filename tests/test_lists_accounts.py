@@ -74,10 +74,12 @@ def test_otp_sequence(spark):
         ("a3", "A", T0 + 3 * h, 3, code["T1"]),      # right twice → fails (consumed)
         ("a4", "A", T0 + 6 * h, 4, code["T1"]),      # old code after reissue → fails
         ("a5", "A", T0 + 7 * h, 5, code["T2"]),      # new code → valid
-        ("a6", "B", T0 + h, 6, "12ab"),              # malformed: not an attempt
+        ("a6", "B", T0 + h, 6, "12ab"),              # four characters, wrong code → blocked
+        ("a7", "B", T0 + h, 7, "123"),               # too short: not an attempt
+        ("a8", "B", T0 + h, 8, "123456789"),         # too long: not an attempt
     ])
     v = {r["attempt_id"]: r["otp_valid"] for r in A.verify(ch, att).collect()}
-    assert v == {"a1": False, "a2": True, "a3": False, "a4": False, "a5": True}
+    assert v == {"a1": False, "a2": True, "a3": False, "a4": False, "a5": True, "a6": False}
     out = {r["attempt_id"]: r["action"] for r in A.outcome(A.verify(ch, att)).collect()}
     assert out["a2"] == "ACCOUNT_UNLOCKED" and out["a1"] == "ACCOUNT_BLOCKED"
     sus = [r["account_number"] for r in A.suspended_now(det, A.verify(ch, att)).collect()]
@@ -86,4 +88,4 @@ def test_otp_sequence(spark):
 
 def test_otp_shape(spark):
     df = spark.createDataFrame([("123",), ("1234",), ("12345678",), ("123456789",), ("12a4",), (None,)], "otp string")
-    assert [r[0] for r in df.select(A.otp_shape_ok()).collect()] == [False, True, True, False, False, False]
+    assert [r[0] for r in df.select(A.otp_shape_ok()).collect()] == [False, True, True, False, True, False]

@@ -47,6 +47,25 @@ def test_knn_matches_bruteforce(spark):
         assert list(g.neighbor_id) == exp
 
 
+def test_lsh_neighbours_are_nearly_the_exact_ones(spark):
+    rng = np.random.default_rng(4)
+    pts = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in pts[i]]) for i in range(400)], "id long, vec array<double>")
+    exact = {(r["id"], r["neighbor_id"]) for r in C.knn(df, "id", "vec", 4).collect()}
+    found = C.knn_lsh(df, "id", "vec", 4).collect()
+    assert len({(r["id"], r["neighbor_id"]) for r in found} & exact) / len(exact) > 0.9
+    assert all(abs(r["distance"] - np.linalg.norm(pts[r["id"]] - pts[r["neighbor_id"]])) < 1e-9 for r in found)
+
+
+def test_null_class_is_a_class_of_its_own(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    got = C.stratified_split(df, "y", "id", 0.2).collect()
+    assert len(got) == 90 and sum(r["is_test"] for r in got if r["y"] is None) == 6
+    assert C.stratified_folds(df, "y", "id", 5).count() == 90
+    assert C.pick_exact(df, "y", "id", 0.5, "s", "p").where("p AND y IS NULL").count() == 15
+
+
 def test_smote_points_on_segments(spark):
     rng = np.random.default_rng(5)
     pts = rng.normal(size=(12, 3))
@@ -120,3 +139,25 @@ def test_exact_medians_against_numpy(spark):
     for acc in (1_000_000, 100):  # a tight and a loose bracket
         med = P.exact_medians(df, ["a", "b"], accuracy=acc)
         assert med["a"] == float(np.median(a)) and med["b"] == float(np.median(b))
+
+
+def test_dense_numbers_of_many_wide_rows(spark):
+    """2,000,000 rows with a payload: every number once, in order (range bounds are sampled only once)."""
+    df = spark.range(0, 2_000_000, 1, 8).select(
+        F.xxhash64("id").alias("k"), "id", F.concat(F.lit("payload-"), F.md5(F.col("id").cast("string"))).alias("wide"))
+    got = dense_index(df, ["k", "id"], "i", partitions=8)
+    one = got.agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.count(F.lit(1)), F.countDistinct("wide")).first()
+    assert tuple(one) == (0, 1_999_999, 2_000_000, 2_000_000, 2_000_000)
+    assert got.groupBy(F.floor(F.col("i") / 1000).alias("b")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).selectExpr(
+        "b", "hi", "lead(lo) over (order by b) as next").filter("next < hi").count() == 0
+
+
+def test_running_sums_of_many_wide_rows(spark):
+    from pyspark.sql import Window
+
+    from vigil.operators.history import sums_before
+    df = spark.range(0, 600_000, 1, 6).select((F.col("id") % 3 * 0 + F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5)).alias("g"),
+                                              F.xxhash64("id").alias("k"), "id", F.md5(F.col("id").cast("string")).alias("wide"))
+    got = sums_before(df, ["g"], ["k", "id"], {"n": F.lit(1)}, partitions=8)
+    want = F.row_number().over(Window.partitionBy("g").orderBy("k", "id")) - 1
+    assert got.withColumn("want", want).filter("n <> want").count() == 0 and got.count() == 600_000

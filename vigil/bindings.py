@@ -58,7 +58,7 @@ def transactions_from(orders: DataFrame, customer: DataFrame, nation: DataFrame,
                   ((cust / 256).cast("bigint") % 256).cast("string"), F.lit("."),
                   (cust % 256).cast("string"))
     return j.select(
-        F.concat(F.lit("TXN-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("transaction_id"),
+        F.when(F.col("o_orderkey").isNotNull(), F.format_string("TXN-%010d", F.col("o_orderkey"))).alias("transaction_id"),
         F.concat(F.lit("ACC-"), cust.cast("string")).alias("account_number"),
         F.col("o_orderkey").alias("txn_seq"),
         F.col("o_orderdate").alias("transaction_ts"),
@@ -70,12 +70,13 @@ def transactions_from(orders: DataFrame, customer: DataFrame, nation: DataFrame,
         F.when(F.col("first_partkey").isNotNull(),
                F.concat(F.lit("BEN-"), F.col("first_partkey").cast("string"))).alias("beneficiary_account"),
         F.col("location_city"),
-        F.coalesce(F.col("n_returned"), F.lit(0)).cast("int").alias("failed_auth_attempts"),
+        F.coalesce(F.col("n_returned") * 10, F.lit(0)).cast("int").alias("failed_auth_attempts"),
         F.round(F.col("discount_score"), 4).alias("behavioral_anomaly_score"),
         F.when(F.col("n_lines").isNull(), F.lit(None).cast("int"))
          .when((F.col("n_returned") == F.col("n_lines")) & (F.col("n_lines") >= 2), F.lit(1))
          .otherwise(F.lit(0)).alias("actual_is_ato"),
-    ).withColumn("ip_fraud_score", F.round(hash_uniform("ip", F.col("ip_address")), 4))
+    ).withColumn("_safe", 1.0 - hash_uniform("ip", F.col("ip_address"))) \
+     .withColumn("ip_fraud_score", F.round(1.0 - F.col("_safe") * F.col("_safe"), 4)).drop("_safe")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB text of the same bindings, used by the oracle queries.
 TXN_SQL = """
 (SELECT
-  'TXN-' || lpad(CAST(o.o_orderkey AS VARCHAR), 10, '0') AS transaction_id,
+  'TXN-' || printf('%010d', o.o_orderkey) AS transaction_id,
   'ACC-' || CAST(o.o_custkey AS VARCHAR) AS account_number,
   o.o_orderkey AS txn_seq,
   o.o_orderdate AS transaction_ts,
@@ -110,7 +111,7 @@ TXN_SQL = """
   'DEV-' || CAST(o.o_custkey AS VARCHAR) || '-' || substr(o.o_orderpriority, 1, 1) AS device_id,
   CASE WHEN l.first_partkey IS NOT NULL THEN 'BEN-' || CAST(l.first_partkey AS VARCHAR) END AS beneficiary_account,
   sn.n_name AS location_city,
-  CAST(coalesce(l.n_returned, 0) AS INTEGER) AS failed_auth_attempts,
+  CAST(coalesce(l.n_returned * 10, 0) AS INTEGER) AS failed_auth_attempts,
   {SROUND_B} AS behavioral_anomaly_score,
   CASE WHEN l.n_lines IS NULL THEN NULL WHEN l.n_returned = l.n_lines AND l.n_lines >= 2 THEN 1 ELSE 0 END AS actual_is_ato,
   {SROUND_IP} AS ip_fraud_score
@@ -129,7 +130,8 @@ LEFT JOIN nation sn ON s.s_nationkey = sn.n_nationkey)
 _IP_DRAW = """CAST(('0x' || substr(md5('ip:' || ('10.' || CAST(c.c_nationkey AS VARCHAR) || '.' ||
         CAST(CAST(trunc(o.o_custkey / 256) AS BIGINT) % 256 AS VARCHAR) || '.' || CAST(o.o_custkey % 256 AS VARCHAR))), 1, 8)) AS BIGINT)
         / 4294967296.0"""
-TXN_SQL = TXN_SQL.replace("{SROUND_B}", sround("l.discount_score", 4)).replace("{SROUND_IP}", sround(_IP_DRAW, 4))
+TXN_SQL = TXN_SQL.replace("{SROUND_B}", sround("l.discount_score", 4)).replace(
+    "{SROUND_IP}", sround(f"1.0 - (1.0 - {_IP_DRAW}) * (1.0 - {_IP_DRAW})", 4))
 
 EVENTS_SQL = """
 (SELECT event_id, user_id AS account, ts, event_type, value AS amount,

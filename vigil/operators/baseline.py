@@ -17,26 +17,21 @@ from vigil.functions import behavioral_level
 
 def build(sessions: DataFrame, signals: list[str], key: str = "account",
           min_sessions: int = S.BASELINE_MIN_SESSIONS) -> DataFrame:
-    """K1: one grouped aggregate of n, Σx and Σx² per signal (partial
-    aggregation, so a hot account is combined map-side); accounts under
-    the minimum are rejected.  For integral signals the sums are exact
-    (DECIMAL(38,0)) and mean = Σx/n, std = sqrt((nΣx² − (Σx)²)/n²) come
-    out bit-identical on any partitioning."""
-    dec = "decimal(38,0)"
+    """K1: mean and population standard deviation of every signal, as
+    doubles, in one grouped aggregate (partial aggregation, so a hot account
+    is combined map-side); accounts under the minimum are rejected."""
     aggs = [F.count(F.lit(1)).cast("bigint").alias("n_sessions")]
     for s in signals:
-        aggs += [F.sum(F.col(s).cast(dec)).alias(f"_s1_{s}"),
-                 F.sum((F.col(s).cast(dec) * F.col(s).cast(dec)).cast(dec)).alias(f"_s2_{s}")]
-    b = sessions.groupBy(key).agg(*aggs).where(F.col("n_sessions") >= min_sessions)
-    n = F.col("n_sessions")
-    cols = []
-    for s in signals:
-        s1, s2 = F.col(f"_s1_{s}"), F.col(f"_s2_{s}")
-        var_num = (n.cast(dec) * s2 - s1 * s1).cast(dec)
-        cols += [F.round(s1.cast("double") / n.cast("double"), 6).alias(f"mean_{s}"),
-                 F.round(F.sqrt(F.greatest(var_num.cast("double"), F.lit(0.0))
-                                / (n.cast("double") * n.cast("double"))), 6).alias(f"std_{s}")]
-    return b.select(key, "n_sessions", *cols)
+        # sums of 12-digit decimals are exact, so the mean does not depend on the order of addition
+        total = F.sum(F.col(s).cast("double").cast("decimal(28,12)")).cast("double")
+        aggs += [(total / F.count(s)).alias(f"mean_{s}"),
+                 F.stddev_pop(F.col(s).cast("double")).alias(f"std_{s}")]
+    return sessions.groupBy(key).agg(*aggs).where(F.col("n_sessions") >= min_sessions)
+
+
+def rounded(baselines: DataFrame, signals: list[str], digits: int = 6) -> DataFrame:
+    """The baselines for display; scores use the full moments."""
+    return baselines.withColumns({f"{m}_{s}": F.round(f"{m}_{s}", digits) for s in signals for m in ("mean", "std")})
 
 
 def lookup(accounts: DataFrame, baselines: DataFrame, key: str = "account") -> DataFrame:
@@ -61,6 +56,7 @@ def score(sessions: DataFrame, baselines: DataFrame, signals: list[str], key: st
     raw = terms[0]
     for t in terms[1:]:
         raw = raw + t
-    sc = F.when(F.col("_has"), F.round(raw / float(len(signals)), 4)).otherwise(F.lit(S.DEFAULT_BEHAVIORAL))
-    out = j.withColumn("anomaly_score", sc).withColumn("has_baseline", F.coalesce("_has", F.lit(False)))
-    return out.withColumn("risk_level", behavioral_level(F.col("anomaly_score"))).drop("_has")
+    has = F.coalesce("_has", F.lit(False))
+    exact = F.when(has, raw / float(len(signals))).otherwise(F.lit(S.DEFAULT_BEHAVIORAL))
+    return (j.withColumn("has_baseline", has).withColumn("risk_level", behavioral_level(exact))
+            .withColumn("anomaly_score", F.round(exact, 4)).drop("_has"))

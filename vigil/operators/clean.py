@@ -3,16 +3,18 @@
 Schema-level steps (rename, allow-list, missing columns) read only the
 schema; value-level steps are single projections with built-in
 expressions, so the whole cleaning plan is one shuffle-free pass except
-label encoding, whose distinct-value table is small by nature.
+label encoding, which orders and joins the distinct values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil import schemas as S
 from vigil.functions import bool_flag, clamp, parse_double, to_double_or_zero
+from vigil.functions.ordering import dense_index
+from vigil.session import materialize
 
 
 def rename_target(df: DataFrame, src: str = "fraud_bool", dst: str = "is_ato") -> DataFrame:
@@ -28,11 +30,19 @@ def project_allowed(df: DataFrame, allowed: list[str] = S.ALL_FEATURES, target:
     return df.select(*keep, *([target] if target in df.columns else []))
 
 
+def _column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, position, present, n_filled) in one aggregate over the table:
+    rows with a value, 0 for an absent column."""
+    filled = [F.count(F.col(c)) if c in df.columns else F.lit(0).cast("bigint") for c in columns]
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[f.alias(f"_{i}") for i, f in enumerate(filled)])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(c in df.columns).alias("present"),
+        F.col(f"_{i}").alias("n_filled")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+
+
 def missing_columns(df: DataFrame, expected: list[str] = S.ALL_FEATURES) -> DataFrame:
-    """(column, position, present) for every expected column."""
-    cols = set(df.columns)
-    rows = [(c, i, c in cols) for i, c in enumerate(expected)]
-    return df.sparkSession.createDataFrame(rows, "column string, position int, present boolean")
+    """(column, position, present, n_filled) for every expected column."""
+    return _column_counts(df, expected)
 
 
 def backfill_zero(df: DataFrame, expected: list[str] = S.NUMERIC_FEATURES) -> DataFrame:
@@ -45,29 +55,20 @@ def coerce_numeric(df: DataFrame, cols: list[str] = S.NUMERIC_FEATURES) -> DataF
     return df.withColumns({c: to_double_or_zero(c) for c in cols if c in df.columns})
 
 
-LABEL_MAP_MAX = 100_000  # code tables up to this size travel as a literal map
-
-
-def label_encode(df: DataFrame, cols: list[str] = S.CATEGORICAL_FEATURES,
-                 max_literal: int = LABEL_MAP_MAX) -> DataFrame:
+def label_encode(df: DataFrame, cols: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
     """code = 0-based rank of the string form among the column's sorted
-    distinct values; null is the string 'nan'.  One distinct pass for all
-    columns; a code table within ``max_literal`` entries (counted first)
-    becomes a literal map in the projection, a larger one is joined back."""
+    distinct values; null is the string 'nan'. One distinct pass and one
+    total order for all columns, spread over tasks; the code tables are
+    joined back (Spark broadcasts the ones whose written size allows it)."""
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
-    as_str = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in present}
-    d = df.withColumns(as_str)
+    d = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in present})
     vals = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("val"))
                                         for c in present])).alias("x")).select("x.*").distinct()
-    codes = vals.withColumn("code", (F.dense_rank().over(Window.partitionBy("col").orderBy("val")) - 1).cast("int"))
-    if codes.count() <= max_literal:
-        table = {}
-        for r in codes.collect():
-            table.setdefault(r["col"], []).extend([F.lit(r["val"]), F.lit(r["code"])])
-        return d.withColumns({c: F.create_map(*table[c])[F.col(c)] if c in table else F.lit(None).cast("int")
-                              for c in present})
+    ordered = dense_index(vals, ["col", "val"], "i")
+    firsts = ordered.groupBy("col").agg(F.min("i").alias("first"))  # one row per column
+    codes = materialize(ordered.join(F.broadcast(firsts), "col").select("col", "val", (F.col("i") - F.col("first")).cast("int").alias("code")), "codes")
     for c in present:
         m = codes.where(F.col("col") == c).select(F.col("val").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         d = d.join(m, d[c] == m[f"_v_{c}"], "left").withColumn(c, F.col(f"_c_{c}")).drop(f"_v_{c}", f"_c_{c}")
@@ -94,6 +95,11 @@ def numeric_feature_columns(df: DataFrame, exclude: list[str] = S.NON_MODEL_COLU
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in ex]
 
 
+def numeric_feature_counts(df: DataFrame, exclude: list[str] = S.NON_MODEL_COLUMNS) -> DataFrame:
+    """B10 over the rows: (column, position, n_filled)."""
+    return _column_counts(df, numeric_feature_columns(df, exclude)).drop("present")
+
+
 def coerce_flags(df: DataFrame, cols: list[str]) -> DataFrame:
     """Boolean-like strings → 1/0."""
     return df.withColumns({c: bool_flag(c) for c in cols if c in df.columns})
@@ -125,17 +131,35 @@ NUMERIC_FIELDS = ["transaction_amount", "ip_fraud_score", "amount_vs_avg", "amou
                   "account_age_days", "previous_fraud_flags"]
 
 
+INT_FIELDS = ["failed_auth_attempts", "session_age_minutes", "txn_frequency_1h", "txn_frequency_24h",
+              "account_age_days", "previous_fraud_flags"]
+BOOL_FIELDS = ["ip_blacklisted", "device_blacklisted", "new_device", "new_location", "location_mismatch_ip",
+               "new_beneficiary", "beneficiary_blacklisted"]
+BEHAVIORAL_FIELDS = ["typing_speed_mobile", "typing_rhythm_mobile", "phone_angle_pitch", "phone_angle_roll",
+                     "swipe_speed_mobile", "mouse_path_complexity", "typing_speed_web", "typing_rhythm_web",
+                     "mouse_speed_web", "scroll_velocity_mobile", "scroll_velocity_web", "session_duration",
+                     "behavioral_anomaly_score"]
+BOOL_TEXTS = ["0", "1", "true", "false", "t", "f", "yes", "no", "y", "n", "on", "off"]
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Fill defaults, then list the broken rules per row
-    (``errors`` empty = accepted).  Split with :func:`accepted`/:func:`rejected`."""
+    (``errors`` empty = accepted).  Split with :func:`accepted`/:func:`rejected`.
+    Numbers must parse, integers must be whole, booleans be one of the usual words."""
     d = df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) if c in df.columns
                         else F.lit(v) for c, v in DEFAULTS.items()})
     checks = []
     for c in REQUIRED:
         checks.append(F.when(F.col(c).isNull() if c in d.columns else F.lit(True), F.lit(f"missing:{c}")))
-    for c in NUMERIC_FIELDS:
-        if c in d.columns:
-            checks.append(F.when(F.col(c).isNotNull() & parse_double(F.col(c)).isNull(), F.lit(f"type:{c}")))
+    for c in [*NUMERIC_FIELDS, *BEHAVIORAL_FIELDS]:
+        if c in df.columns:
+            v = parse_double(F.col(c))
+            bad = v.isNull() | ((v != F.floor(v)) if c in INT_FIELDS else F.lit(False))
+            checks.append(F.when(F.col(c).isNotNull() & bad, F.lit(f"type:{c}")))
+    for c in BOOL_FIELDS:
+        if c in df.columns:
+            text = F.lower(F.trim(F.col(c).cast("string")))
+            checks.append(F.when(F.col(c).isNotNull() & ~text.isin(*BOOL_TEXTS), F.lit(f"type:{c}")))
     for c, (lo, hi) in BOUNDS.items():
         v = parse_double(F.col(c))
         if lo is not None:

@@ -11,7 +11,8 @@ from vigil.functions import band, behavioral_level, decide_action, rule_score
 
 def with_decision(df: DataFrame, p: str = "ato_probability",
                   b: str = "behavioral_anomaly_score") -> DataFrame:
-    """F1 + F4 + F7: action, flags, confirmed fraud; p and b rounded to 4."""
+    """F1 + F4 + F7: action, flags, confirmed fraud; p and b rounded to 4,
+    their full values kept as ``raw_p`` and ``raw_b``."""
     p4, b4 = F.round(F.col(p), 4), F.round(F.col(b), 4)
     action = decide_action(F.col(p), F.col(b))
     otp = action != F.lit("ALLOW")
@@ -20,6 +21,7 @@ def with_decision(df: DataFrame, p: str = "ato_probability",
               .withColumn("contact_mobile", otp)
               .withColumn("suspension_mode", F.when(action == "SUSPEND", F.lit("REVIEW")))
               .withColumn("ato_confirmed", (F.col(p) > S.THRESH_CONFIRMED) & otp)
+              .withColumn("raw_p", F.col(p)).withColumn("raw_b", F.col(b))
               .withColumn(p, p4).withColumn(b, b4))
 
 
@@ -51,9 +53,11 @@ def risk_level(df: DataFrame, b: str = "anomaly_score", out: str = "risk_level")
 def response_record(df: DataFrame, p: str = "ato_probability",
                     b: str = "behavioral_anomaly_score", phone: str | None = None) -> DataFrame:
     """F3 + F5: warning text, capability map, action list and blacklist
-    result struct, built from the decision columns."""
+    result struct, built from the decision columns (the warning shows the
+    score as it was, ``raw_b``, if that is kept)."""
     act = F.col("action")
-    b3 = F.format_string("%.3f", F.round(F.col(b), 3))
+    shown = "raw_b" if "raw_b" in df.columns else b
+    b3 = F.format_string("%.3f", F.round(F.col(shown), 3))
     warning = (F.when(act == "SUSPEND", F.format_string(S.HIGH_WARNING.replace("%.3f", "%s"), b3))
                 .when(act == "OTP_REQUIRED", F.format_string(S.MED_WARNING.replace("%.3f", "%s"), b3)))
     caps = F.when(act == "SUSPEND", F.create_map(*[x for k, v in S.SUSPENDED_CAPABILITIES
@@ -83,22 +87,13 @@ def response_record(df: DataFrame, p: str = "ato_probability",
               .withColumn("blacklist_result", bl))
 
 
-def detect_model_for_table(df: DataFrame) -> str:
-    """Table-level model choice from the schema (no data read)."""
-    cols = set(df.columns)
-    if sum(c in cols for c in S.BEHAVIORAL_FEATURES) >= S.MODEL_PICK_MIN_BEHAVIORAL:
-        return "behavioral"
-    if sum(c in cols for c in S.MODEL_FEATURES) >= S.MODEL_PICK_MIN_TABULAR:
-        return "tabular"
-    return "unknown"
-
-
 def row_model_choice(df: DataFrame, out: str = "model_used") -> DataFrame:
     """≥8 non-null behavioural features → behavioral, else tabular when
-    any tabular feature is present, else rules."""
+    the row has any tabular feature, else rules."""
     beh = [F.col(c).isNotNull().cast("int") for c in S.BEHAVIORAL_FEATURES if c in df.columns]
     tab = [c for c in S.MODEL_FEATURES if c in df.columns]
     n_beh = sum(beh[1:], beh[0]) if beh else F.lit(0)
+    any_tab = F.coalesce(*[F.col(c).cast("string") for c in tab]).isNotNull() if tab else F.lit(False)
     return df.withColumn("behavioral_features_present", n_beh).withColumn(
         out, F.when(n_beh >= S.ROW_PICK_MIN_BEHAVIORAL, F.lit("behavioral"))
-              .when(F.lit(bool(tab)), F.lit("tabular")).otherwise(F.lit("rules")))
+              .when(any_tab, F.lit("tabular")).otherwise(F.lit("rules")))

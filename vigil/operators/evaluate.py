@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.session import materialize
-
-AUC_BUCKETS = 65536  # score buckets for the two-level prefix; the bucket table is bounded by this
-
+from vigil.operators.history import sums_before
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """One row tn, fp, fn, tp."""
@@ -37,24 +34,14 @@ def rates(cm: DataFrame) -> DataFrame:
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC AUC with ties (a tie counts one half); null when a
     class is absent.  Σ_s pos(s)·(neg(<s) + neg(s)/2) / (P·N), with neg(<s)
-    from per-bucket totals (bounded table) + a running sum inside the
-    bucket, so no window sees all scores at once."""
+    a running sum over the distinct scores in segments of the score order, so
+    no window sees all scores at once however they are spread."""
     per = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count_if(F.col(label) == 1).cast("bigint").alias("pos"),
                 F.count_if(F.col(label) != 1).cast("bigint").alias("neg")))
-    bucket = F.least(F.greatest(F.floor(F.col("s") * AUC_BUCKETS), F.lit(-1)), F.lit(AUC_BUCKETS)).cast("int")
-    # one row per distinct score, read by two branches: write it once so the
-    # (possibly large) input is scanned a single time
-    per = materialize(per.withColumn("b", bucket), "auc-scores")
-    bt = per.groupBy("b").agg(F.sum("neg").alias("bneg"))
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ AUC_BUCKETS + 2 rows
-    bt = bt.select("b", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_before_bucket"))
-    wi = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("neg_before_in", F.coalesce(F.sum("neg").over(wi), F.lit(0)))
-    j = per.join(F.broadcast(bt), "b")
-    num = F.sum(F.col("pos").cast("double") * (F.col("neg_before_bucket") + F.col("neg_before_in")
-                                              + F.col("neg").cast("double") / 2.0))
+    j = sums_before(per, [], ["s"], {"neg_before": F.col("neg")})
+    num = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg").cast("double") / 2.0))
     tot = j.agg(num.alias("num"), F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))
     return tot.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
                              F.round(F.col("num") / (F.col("P") * F.col("N")), 6)).alias("auc_roc"))

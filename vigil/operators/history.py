@@ -5,21 +5,23 @@ operator here uses a window partitioned by the entity alone:
 
 * first-seen flags and first/last times are grouped aggregates joined
   back (partial aggregation; AQE splits skewed join partitions);
-* running totals use a two-level prefix: totals per (key, time bucket)
-  → cumulative over buckets (a small table) + a running window inside
-  (key, bucket);
-* range windows of width w replicate each row into the next bucket of
-  width w, then window inside (key, bucket) — each task sees at most two
-  buckets of one key.
+* everything that depends on the order within a key works on
+  :func:`segments`: rows dealt once by ranges of (key, order), so that a hot
+  key spans many segments. A window runs inside (segment, key), and one row
+  per (segment, key) carries totals or last values on to the later segments;
+* range windows are differences of two running sums over one timeline of
+  rows and window ends, for any number of widths at once.
+
+Null keys are a key like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigil.functions import epoch_us
+from vigil.session import materialize
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -41,40 +43,65 @@ def first_seen(df: DataFrame, keys: list[str], ts: str, seq: str, out: str) -> D
     return j.withColumn(out, flag).drop(f"_first_{out}")
 
 
-def running_before(df: DataFrame, keys: list[str], ts: str, seq: str, value: Column,
-                   out: str, bucket_us: int = DAY_US, agg: str = "sum", numeric_time: bool = False) -> DataFrame:
-    """Sum (or count) of ``value`` over the key's rows strictly before the
-    current row in (ts, seq) order, computed skew-safely as prior-bucket
-    total + running total inside the bucket.  ``numeric_time``: ``ts`` is
-    already epoch microseconds."""
-    t = F.col(ts) if numeric_time else epoch_us(ts)
-    b = F.floor(t / F.lit(bucket_us)).cast("bigint")
-    d = df.withColumn("_b", b).withColumn("_v", value)
-    per = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prior = per.select(*keys, "_b", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_prior"))
-    wi = Window.partitionBy(*keys, "_b").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_within", F.coalesce(F.sum("_v").over(wi), F.lit(0)))
-    j = d.join(prior, [*keys, "_b"], "left")
-    return j.withColumn(out, F.col("_prior") + F.col("_within")).drop("_b", "_v", "_prior", "_within")
-
-
-def range_window(df: DataFrame, keys: list[str], ts: str, width_us: int, aggs: dict[str, Column],
-                 row_id: str) -> DataFrame:
-    """Aggregates over the key's rows with epoch in [t − width, t − 1µs]
-    (current row and same-instant rows excluded).  ``aggs`` maps output
-    name → aggregate Column (or a function of the window, for
-    expressions around a window aggregate); result joins back by
-    ``row_id``.  Rows are replicated into the next width-bucket so each
-    (key, bucket) partition is self-sufficient."""
-    e = epoch_us(ts)
-    d = df.withColumn("_e", e).withColumn("_b", F.floor(F.col("_e") / F.lit(width_us)).cast("bigint"))
-    copies = d.withColumn("_tgt", F.lit(True)).unionByName(
-        d.withColumn("_b", F.col("_b") + 1).withColumn("_tgt", F.lit(False)))
-    w = Window.partitionBy(*keys, "_b").orderBy("_e").rangeBetween(-width_us, -1)
-    sel = [F.col(row_id)] + [(a(w) if callable(a) else a.over(w)).alias(n) for n, a in aggs.items()]
-    res = copies.select("_tgt", *sel).where("_tgt").drop("_tgt")
-    return res
+def segments(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` with ``_pid``, the number of the row's range of (keys, order).
+    Range bounds come from a sample, so the rows are dealt once and written;
+    everything after reads the same deal."""
+    # as many range partitions as any other shuffle (sized for the data)
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    return materialize(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()), "segments")
+
+
+def _with_segment(d: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins one row per (segment, key) to the rows; null keys match."""
+    renamed = per.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_pid"]})
+    on = F.col("_pid") == F.col("_k__pid")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return d.join(renamed, on).drop(*[f"_k_{c}" for c in [*keys, "_pid"]])
+
+
+def _earlier_segments(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per segment
+
+
+def sums_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
+                partitions: int | None = None) -> DataFrame:
+    """For each name the sum of its value over the key's rows strictly before
+    the current row in ``order``, for keys of any size."""
+    d = segments(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, order, partitions)
+    w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"_w_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in values})
+    per = d.groupBy(*keys, "_pid").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    offs = per.select(*keys, "_pid", *[F.coalesce(F.sum(f"_t_{n}").over(_earlier_segments(keys)), F.lit(0)).alias(f"_o_{n}") for n in values])
+    j = _with_segment(d, offs, keys).withColumns({n: F.col(f"_o_{n}") + F.col(f"_w_{n}") for n in values})
+    return j.drop("_pid", *[f"_{x}_{n}" for x in "vwo" for n in values])
+
+
+def running_before(df: DataFrame, keys: list[str], ts: str, seq: str, value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the key's rows strictly before the current row in (ts, seq) order."""
+    return sums_before(df, keys, [ts, seq], {out: value})
+
+
+def rolling_sums(df: DataFrame, keys: list[str], ts: str, row_id: str,
+                 sums: dict[str, tuple[int, Column]]) -> DataFrame:
+    """(row_id, one column per name): the sum of the value over the key's
+    rows with epoch in [t − width, t − 1µs] (current row and same-instant rows
+    excluded), for every (width, value) in ``sums`` in one pass: each row
+    asks for the running sums just before t and before t − width."""
+    d = df.select(*keys, F.col(row_id).alias("_row"), epoch_us(ts).alias("_e"),
+                  *[v.cast("bigint").alias(f"_x_{n}") for n, (_, v) in sums.items()])
+    widths = sorted({w for w, _ in sums.values()})
+    nothing = [F.lit(0).cast("bigint").alias(f"_x_{n}") for n in sums]
+    asks = F.explode(F.array(*[F.struct((F.col("_e") - w).alias("_time"), F.lit(w).cast("bigint").alias("_width")) for w in [0, *widths]]))
+    rows = d.select(*keys, F.col("_e").alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_width"),
+                    "_row", *[f"_x_{n}" for n in sums])
+    probes = d.select(*keys, "_row", asks.alias("_ask")).select(
+        *keys, "_ask._time", F.lit(0).alias("_kind"), "_ask._width", "_row", *nothing)  # before the rows of their instant
+    line = sums_before(rows.unionByName(probes), keys, ["_time", "_kind"], {f"_s_{n}": F.col(f"_x_{n}") for n in sums})
+    at = lambda n, w: F.max(F.when(F.col("_width") == w, F.col(f"_s_{n}")))
+    return (line.where("_kind = 0").groupBy("_row")
+            .agg(*[(at(n, 0) - at(n, w)).alias(n) for n, (w, _) in sums.items()]).withColumnRenamed("_row", row_id))
 
 
 def _struct_of(ts: str, seq: str, values: dict[str, Column]) -> Column:
@@ -82,42 +109,32 @@ def _struct_of(ts: str, seq: str, values: dict[str, Column]) -> Column:
 
 
 def last_before(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[str, Column],
-                out: str, cond: Column | None = None, bucket_us: int = DAY_US,
-                inclusive: bool = False) -> DataFrame:
+                out: str, cond: Column | None = None, inclusive: bool = False) -> DataFrame:
     """As-of lookup: struct(t, s, values…) of the key's latest row strictly
     before the current one (or at it when ``inclusive``) in (ts, seq) order
-    where ``cond`` holds; null if none.  Two levels: the last match inside
-    the (key, bucket) partition, else the last match of earlier buckets
-    from a per-bucket table (one row per key and bucket)."""
+    where ``cond`` holds; null if none. The last match inside the segment,
+    else the last one of the key's earlier segments."""
     ref = _struct_of(ts, seq, values)
-    if cond is not None:
-        ref = F.when(cond, ref)
-    d = df.withColumn("_b", F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("bigint")).withColumn("_ref", ref)
-    hi = 0 if inclusive else -1
-    wi = Window.partitionBy(*keys, "_b").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, hi)
+    d = segments(df.withColumn("_ref", ref if cond is None else F.when(cond, ref)), keys, [ts, seq])
+    wi = Window.partitionBy("_pid", *keys).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     d = d.withColumn("_within", F.max("_ref").over(wi))
-    per = d.groupBy(*keys, "_b").agg(F.max("_ref").alias("_last"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prior = per.select(*keys, "_b", F.max("_last").over(wb).alias("_prior"))
-    j = d.join(prior, [*keys, "_b"], "left")
-    return j.withColumn(out, F.coalesce("_within", "_prior")).drop("_b", "_ref", "_within", "_prior")
+    per = d.groupBy(*keys, "_pid").agg(F.max("_ref").alias("_last"))
+    prior = per.select(*keys, "_pid", F.max("_last").over(_earlier_segments(keys)).alias("_prior"))
+    return _with_segment(d, prior, keys).withColumn(out, F.coalesce("_within", "_prior")).drop("_pid", "_ref", "_within", "_prior")
 
 
 def next_after(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[str, Column],
-               out: str, cond: Column | None = None, bucket_us: int = DAY_US) -> DataFrame:
+               out: str, cond: Column | None = None) -> DataFrame:
     """Mirror of :func:`last_before`: the key's earliest row strictly after
     the current one where ``cond`` holds."""
     ref = _struct_of(ts, seq, values)
-    if cond is not None:
-        ref = F.when(cond, ref)
-    d = df.withColumn("_b", F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("bigint")).withColumn("_ref", ref)
-    wi = Window.partitionBy(*keys, "_b").orderBy(ts, seq).rowsBetween(1, Window.unboundedFollowing)
+    d = segments(df.withColumn("_ref", ref if cond is None else F.when(cond, ref)), keys, [ts, seq])
+    wi = Window.partitionBy("_pid", *keys).orderBy(ts, seq).rowsBetween(1, Window.unboundedFollowing)
     d = d.withColumn("_within", F.min("_ref").over(wi))
-    per = d.groupBy(*keys, "_b").agg(F.min("_ref").alias("_first"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    later = per.select(*keys, "_b", F.min("_first").over(wb).alias("_later"))
-    j = d.join(later, [*keys, "_b"], "left")
-    return j.withColumn(out, F.coalesce("_within", "_later")).drop("_b", "_ref", "_within", "_later")
+    per = d.groupBy(*keys, "_pid").agg(F.min("_ref").alias("_first"))
+    wb = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
+    later = per.select(*keys, "_pid", F.min("_first").over(wb).alias("_later"))
+    return _with_segment(d, later, keys).withColumn(out, F.coalesce("_within", "_later")).drop("_pid", "_ref", "_within", "_later")
 
 
 def first_per_key(df: DataFrame, keys: list[str], ts: str, out: str) -> DataFrame:
@@ -142,192 +159,68 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, seq: str, gap_us: int,
 def prefix_sum_sorted(df: DataFrame, group: list[str], order: list[str], value: Column, out: str,
                       partitions: int | None = None) -> DataFrame:
     """Sum of ``value`` over the rows before each row in ``order`` inside its
-    group, for groups of any size: range partitioning spreads a large group
-    over many tasks, a running window works inside each (task, group), and
-    the per-(group, task) totals — at most one row per group and task —
-    give the offsets."""
-    # as many range partitions as any other shuffle (sized for the data)
-    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    d = df.withColumn("_val", value).repartitionByRange(n, *group, *order) \
-          .withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_within", F.coalesce(F.sum("_val").over(w), F.lit(0)))
-    per = d.groupBy(*group, "_pid").agg(F.sum("_val").alias("_t"))
-    wb = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*group, "_pid", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_off"))
-    j = d.join(offs, [*group, "_pid"])
-    return j.withColumn(out, F.col("_off") + F.col("_within")).drop("_val", "_pid", "_within", "_off")
-
-
-SMALL_GROUP_ROWS = 50_000
-
-
-def split_by_group_size(df: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(rows of groups with ≤ bound rows, rows of larger groups, whether any
-    larger group exists).  Group sizes come from one grouped count."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    d = df.join(sizes, keys)
-    has_big = bool(sizes.where(F.col("_gn") > bound).limit(1).count())
-    return (d.where(F.col("_gn") <= bound).drop("_gn"), d.where(F.col("_gn") > bound).drop("_gn"), has_big)
-
-
-def _dominance_in_group(keys, ts, seq, value, row_id, out_count, out_prior):
-    import numpy as np
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, seq], kind="stable").reset_index(drop=True)
-        v = pdf[value].to_numpy()
-        uniq = np.unique(v)
-        rank = np.searchsorted(uniq, v, side="left") + 1        # 1-based Fenwick index
-        tree = np.zeros(len(uniq) + 1, dtype=np.int64)
-        counts = np.zeros(len(v), dtype=np.int64)
-        for i in range(len(v)):
-            j, c = int(rank[i]), 0
-            while j > 0:                                         # earlier values ≤ v[i]
-                c += tree[j]
-                j -= j & -j
-            counts[i] = c
-            j = int(rank[i])
-            while j <= len(uniq):
-                tree[j] += 1
-                j += j & -j
-        out = pdf[list(dict.fromkeys([*keys, ts, seq, value, row_id]))].copy()
-        out[out_count] = counts
-        out[out_prior] = np.arange(len(v), dtype=np.int64)
-        return out
-    return fn
+    group, for groups of any size."""
+    return sums_before(df, group, order, {out: value}, partitions)
 
 
 def earlier_at_most(df: DataFrame, keys: list[str], ts: str, seq: str, value: str, row_id: str,
-                    out_count: str = "earlier_at_most", out_prior: str = "prior_rows",
-                    small_group: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    out_count: str = "earlier_at_most", out_prior: str = "prior_rows") -> DataFrame:
     """For each row, the number of the key's strictly earlier rows (in
     (ts, seq) order) whose ``value`` is ≤ its own, and the number of
-    earlier rows.  Groups of at most ``small_group`` rows (a counted bound)
-    are solved inside one grouped ``applyInPandas`` with a Fenwick tree over
-    value ranks; larger groups go through :func:`_earlier_at_most_dc`, which
-    never puts a group into one task."""
-    cols = list(dict.fromkeys([*keys, ts, seq, value, row_id]))
-    small, big, has_big = split_by_group_size(df.select(*cols), keys, small_group)
-    schema = T.StructType(list(small.schema.fields) + [T.StructField(out_count, T.LongType()),
-                                                       T.StructField(out_prior, T.LongType())])
-    res = small.groupBy(*keys).applyInPandas(
-        _dominance_in_group(keys, ts, seq, value, row_id, out_count, out_prior), schema)
-    if has_big:
-        res = res.unionByName(_earlier_at_most_dc(big, keys, ts, seq, value, row_id, out_count, out_prior)
-                              .select(*schema.fieldNames()))
-    return res
-
-
-def _earlier_at_most_dc(df: DataFrame, keys: list[str], ts: str, seq: str, value: str, row_id: str,
-                        out_count: str = "earlier_at_most", out_prior: str = "prior_rows") -> DataFrame:
-    """L5 for groups of any size: for each row, the number of the key's strictly earlier rows
-    (in (ts, seq) order) whose ``value`` is ≤ its own, and the number of
-    earlier rows.  Exact offline dominance counting by divide and conquer
-    on the per-key time rank r: at level ℓ, rows with the same r >> (ℓ+1)
-    form a node, its left half (bit ℓ of r = 0) are the earlier rows and
-    each right-half row counts the left-half rows ordered before it by
-    (value, half).  Every earlier/later pair meets in exactly one node;
-    each level is one :func:`prefix_sum_sorted`, so no pair is ever
-    materialised and no key is ever one task."""
+    earlier rows. Exact dominance counting by divide and conquer on the
+    per-key time rank r: at level ℓ, rows with the same r >> (ℓ+1) form a
+    node, its left half (bit ℓ of r = 0) are the earlier rows and each
+    right-half row counts the left-half rows ordered before it by (value,
+    half). Every earlier/later pair meets in exactly one node. All levels go
+    through one running sum (a key of n rows takes log2(n) copies of each),
+    so no pair is ever made and no key is ever one task."""
     from vigil.functions.ordering import dense_index
-    idx = dense_index(df, [*keys, ts, seq], "_gi")
+    cols = list(dict.fromkeys([*keys, ts, seq, value, row_id]))
+    idx = dense_index(df.select(*cols), [*keys, ts, seq], "_gi")
     start = idx.groupBy(*keys).agg(F.min("_gi").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-    d = idx.join(start, keys).withColumn("_r", F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
-    max_n = d.agg(F.max("_n")).first()[0] or 0
-    levels = max(int(max_n - 1).bit_length(), 0)
-    base = d.select(row_id, *keys, "_r", F.col(value).alias("_v"))
-    parts = []
-    for lvl in range(levels):
-        lv = base.withColumn("_node", F.shiftright("_r", lvl + 1)) \
-                 .withColumn("_side", F.shiftright("_r", lvl).bitwiseAND(F.lit(1)))
-        c = prefix_sum_sorted(lv, [*keys, "_node"], ["_v", "_side", "_r"],
-                              (F.col("_side") == 0).cast("bigint"), "_c")
-        parts.append(c.where(F.col("_side") == 1).select(row_id, "_c"))
-    if parts:
-        allc = parts[0]
-        for p in parts[1:]:
-            allc = allc.unionByName(p)
-        counts = allc.groupBy(row_id).agg(F.sum("_c").alias(out_count))
-        d = d.join(counts, row_id, "left")
-    else:
-        d = d.withColumn(out_count, F.lit(None).cast("bigint"))
-    return d.withColumn(out_count, F.coalesce(F.col(out_count), F.lit(0)).cast("bigint")) \
-            .withColumn(out_prior, F.col("_r").cast("bigint")).drop("_r", "_n")
-
-
-def _distinct_in_group(key, item, ts, width_us, row_id, out):
-    import numpy as np
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf["_e"].to_numpy()
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        items = pdf[item].to_numpy()[order]
-        counts: dict = {}
-        res = np.zeros(len(t), dtype=np.int32)
-        lo = hi = 0   # rows [lo, hi) are inside [t_i − width, t_i − 1]
-        for i in range(len(t)):
-            while hi < len(t) and t[hi] <= t[i] - 1:
-                x = items[hi]
-                if x is not None and x == x:
-                    counts[x] = counts.get(x, 0) + 1
-                hi += 1
-            while lo < hi and t[lo] < t[i] - width_us:
-                x = items[lo]
-                if x is not None and x == x:
-                    counts[x] -= 1
-                    if counts[x] == 0:
-                        del counts[x]
-                lo += 1
-            res[i] = len(counts)
-        return pd.DataFrame({row_id: pdf[row_id].to_numpy()[order], out: res})
-    return fn
+    start = start.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if on is None else on & same
+    d = materialize(idx.join(start, on).drop(*[f"_k_{k}" for k in keys])
+                    .withColumn("_r", F.col("_gi") - F.col("_g0")), "ranks")
+    levels = F.ceil(F.log2(F.greatest(F.col("_n"), F.lit(1)).cast("double"))).cast("int")
+    lv = d.where("_n > 1").select(F.col(row_id).alias("_row"), "_g0", "_r", F.col(value).alias("_v"),
+                                  F.explode(F.sequence(F.lit(0), levels - 1)).alias("_lvl"))
+    lv = (lv.withColumn("_node", F.expr("shiftright(_r, _lvl + 1)"))
+            .withColumn("_side", F.expr("shiftright(_r, _lvl) & 1")))
+    c = sums_before(lv, ["_g0", "_lvl", "_node"], ["_v", "_side", "_r"], {"_c": (F.col("_side") == 0).cast("bigint")})
+    counts = c.where("_side = 1").groupBy("_row").agg(F.sum("_c").alias(out_count))
+    return (d.join(counts, d[row_id] == counts["_row"], "left")
+            .withColumn(out_count, F.coalesce(F.col(out_count), F.lit(0)).cast("bigint"))
+            .withColumn(out_prior, F.col("_r").cast("bigint")).select(*cols, out_count, out_prior))
 
 
 def distinct_in_window(df: DataFrame, key: str, item: str, ts: str, seq: str, width_us: int,
-                       row_id: str, out: str, small_group: int = SMALL_GROUP_ROWS) -> DataFrame:
+                       row_id: str, out: str) -> DataFrame:
     """Number of distinct ``item`` values among the key's rows with
-    time in [t − width, t − 1µs], exactly and without per-row sets.  Keys
-    with at most ``small_group`` rows (a counted bound) are solved in one
-    grouped ``applyInPandas`` with a two-pointer sliding window; larger keys
-    go through :func:`_distinct_sweep`."""
-    d = df.select(*dict.fromkeys([key, item, ts, seq, row_id])).withColumn("_e", epoch_us(ts))
-    small, big, has_big = split_by_group_size(d, [key], small_group)
-    schema = T.StructType([df.schema[row_id], T.StructField(out, T.IntegerType())])
-    res = small.groupBy(key).applyInPandas(_distinct_in_group(key, item, ts, width_us, row_id, out), schema)
-    if has_big:
-        res = res.unionByName(_distinct_sweep(big.drop("_e"), key, item, ts, seq, width_us, row_id, out))
-    return res
-
-
-def _distinct_sweep(df: DataFrame, key: str, item: str, ts: str, seq: str, width_us: int,
-                    row_id: str, out: str) -> DataFrame:
-    """Distinct count for keys of any size:
+    time in [t − width, t − 1µs], exactly, without per-row sets and for keys
+    of any size.
 
     Each row covers the query times (t_j, t_j + width]; an item's rows
     whose gaps are ≤ width merge into one coverage segment, which starts
     after a row with no earlier row of the item within width and ends width
-    after a row with no later row within width (prev/next per (key, item)
-    from the bucketed as-of helpers).  The count at t is then the number of
-    segment starts ≤ t minus segment ends < t: a running sum of +1/−1 over
-    one time-ordered union per key, again in two levels."""
+    after a row with no later row within width. The count at t is then the
+    number of segment starts ≤ t minus segment ends < t: a running sum of
+    +1/−1 over one time-ordered union per key."""
     e = epoch_us(ts)
-    d = df.where(F.col(item).isNotNull()).select(row_id, key, item, ts, seq)
-    d = last_before(d, [key, item], ts, seq, {}, "_prev", bucket_us=width_us)
-    d = next_after(d, [key, item], ts, seq, {}, "_next", bucket_us=width_us)
+    d = df.where(F.col(item).isNotNull()).select(*dict.fromkeys([row_id, key, item, ts, seq]))
+    d = last_before(d, [key, item], ts, seq, {}, "_prev")
+    d = next_after(d, [key, item], ts, seq, {}, "_next")
     d = d.withColumn("_e", e)
     gap_prev = F.col("_e") - epoch_us(F.col("_prev.t"))
     gap_next = epoch_us(F.col("_next.t")) - F.col("_e")
+    no_row = F.lit(None).cast(df.schema[row_id].dataType).alias(row_id)
     starts = d.where(F.col("_prev").isNull() | (gap_prev > width_us)).select(
-        F.col(key), (F.col("_e") + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"),
-        F.lit(None).cast(df.schema[row_id].dataType).alias(row_id))
+        F.col(key), (F.col("_e") + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"), no_row)
     ends = d.where(F.col("_next").isNull() | (gap_next > width_us)).select(
-        F.col(key), (F.col("_e") + width_us + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(-1).alias("_delta"),
-        F.lit(None).cast(df.schema[row_id].dataType).alias(row_id))
+        F.col(key), (F.col("_e") + width_us + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(-1).alias("_delta"), no_row)
     queries = df.select(F.col(key), e.alias("_time"), F.lit(1).alias("_kind"), F.lit(0).alias("_delta"), row_id)
-    tl = starts.unionByName(ends).unionByName(queries)
-    r = running_before(tl, [key], "_time", "_kind", F.col("_delta"), "_n", bucket_us=width_us, numeric_time=True)
+    r = running_before(starts.unionByName(ends).unionByName(queries), [key], "_time", "_kind", F.col("_delta"), "_n")
     return r.where(F.col("_kind") == 1).select(row_id, F.col("_n").cast("int").alias(out))

@@ -13,10 +13,10 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from vigil.operators.history import sums_before
 
 MEDIAN_SKETCH_ACCURACY = 1_000_000  # rank error of the bracketing sketch ≤ n / accuracy
 
@@ -70,9 +70,9 @@ def _median_in_brackets(spark, long: DataFrame, brackets: dict) -> dict:
     below = j.where(F.col("v") < F.col("lo")).groupBy("col").agg(F.count(F.lit(1)).alias("below"))
     inside = (j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
               .groupBy("col", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = inside.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(br.select("col", "n")), "col") \
-                .join(F.broadcast(below), "col", "left") \
+    # running counts in segments of (column, value): no column is one task, however wide its bracket
+    cum = sums_before(inside, ["col"], ["v"], {"before": F.col("c")}).withColumn("upto", F.col("before") + F.col("c"))
+    cum = cum.join(F.broadcast(br.select("col", "n")), "col").join(F.broadcast(below), "col", "left") \
                 .withColumn("upto", F.col("upto") + F.coalesce(F.col("below"), F.lit(0)))
     r_lo, r_hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # 0-based middle ranks
     start = F.col("upto") - F.col("c")                                   # rank of the value's first copy

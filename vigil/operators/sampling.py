@@ -22,13 +22,18 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
 
 
+def _with_class_size(ranked: DataFrame, df: DataFrame, label: str) -> DataFrame:
+    """Joins ``_n_class``; null is a class like any other."""
+    n = class_sizes(df, label).withColumnRenamed(label, "_class")
+    return ranked.join(n, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """``is_test`` is true for the ceil(frac·n_c) rows with the smallest
     draw in each class c; the rest is train."""
     r = hash_rank(df, [label], id_col, f"split{seed}", "_r")
-    n = class_sizes(df, label)
-    j = r.join(F.broadcast(n), label)  # one row per class
+    j = _with_class_size(r, df, label)
     return j.withColumn("is_test", F.col("_r") < F.ceil(F.col("_n_class") * F.lit(test_frac))).drop("_r", "_n_class")
 
 
@@ -84,14 +89,16 @@ def _knn_block(k: int, id_col: str, vec_col: str):
     return fn
 
 
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: int = 20000) -> DataFrame:
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: int = 2000) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, ties by id) of every point
     among the same set, fully distributed.  Points are hashed into
     B = ⌈n / chunk_rows⌉ blocks; every (query block, reference block) pair
     is one cogroup of two bounded blocks, whose Arrow-batched numpy kernel
     emits only the k best per query point; the per-point top k over the B
-    pairs is a grouped aggregate of k·B rows.  Exact kNN is quadratic in
-    n by nature; this spreads it evenly and never gathers the set."""
+    pairs is a grouped aggregate of k·B rows.  A worker holds three
+    chunk_rows² matrices of doubles (96 MB at 2,000).  Exact kNN is quadratic
+    in n by nature; this spreads it evenly and never gathers the set, and
+    :func:`knn_lsh` is the form for sets where that is too much."""
     # the points are read B times: write them once (shared folder) and
     # start from that table, which also gives a lineage-free input
     pts = materialize(points.select(id_col, vec_col), "knn-points")
@@ -112,6 +119,24 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: in
         (F.col("pos") + 1).cast("int").alias("rank"))
 
 
+def knn_lsh(points: DataFrame, id_col: str, vec_col: str, k: int = 5, bucket_length: float = 2.0,
+            tables: int = 6, seed: int = 42) -> DataFrame:
+    """C5 at size, approximate: candidates share a bucket of at least one of
+    ``tables`` random projections (bucket width ``bucket_length``); the k
+    nearest candidates by exact distance stay.  Narrower buckets are cheaper
+    and miss more neighbours, more tables find more."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    pts = materialize(points.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v")), "lsh-points")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(pts)
+    pairs = model.approxSimilarityJoin(pts, pts, float("inf"), distCol="distance").filter("datasetA.id <> datasetB.id")
+    best = (pairs.select(F.col("datasetA.id").alias("id"), F.struct("distance", F.col("datasetB.id").alias("neighbor_id")).alias("x"))
+            .groupBy("id").agg(F.slice(F.array_sort(F.collect_set("x")), 1, k).alias("nn")))
+    return best.select("id", F.posexplode("nn").alias("pos", "x")).select(
+        "id", F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"),
+        (F.col("pos") + 1).cast("int").alias("rank"))
+
+
 def smote_synthesize(minority: DataFrame, neighbours: DataFrame, id_col: str, vec_col: str, n_new: int,
                      k: int, seed: int = 42) -> DataFrame:
     """Draw i picks base = minority row at index ⌊u₁·m⌋ (id order), its
@@ -153,8 +178,7 @@ def pick_exact(df: DataFrame, label: str | None, id_col: str, rate: float, seed:
     group = [label] if label else []
     if label:
         r = hash_rank(df, group, id_col, seed, "_r")
-        n = class_sizes(df, label)
-        j = r.join(F.broadcast(n), label)
+        j = _with_class_size(r, df, label)
     else:
         d = df.withColumn("_one", F.lit(1))
         r = hash_rank(d, ["_one"], id_col, seed, "_r")

@@ -23,6 +23,7 @@ DETECTION_COLUMNS = [
     "behavioral_anomaly_score", "action", "otp_required", "contact_mobile",
     "suspension_mode", "ato_confirmed", "actual_is_ato",
 ]
+RAW_COLUMNS = ["raw_p", "raw_b"]  # the scores before rounding
 
 
 def seed_lists(txn: DataFrame) -> DataFrame:
@@ -32,27 +33,27 @@ def seed_lists(txn: DataFrame) -> DataFrame:
     return lists.fold_adds(adds)
 
 
-def detections_from(txn: DataFrame) -> DataFrame:
+def detections_from(txn: DataFrame, raw: bool = False) -> DataFrame:
     t = history.first_seen(txn, ["account_number", "device_id"], "transaction_ts", "txn_seq", "new_device")
     t = history.first_seen(t, ["account_number", "location_city"], "transaction_ts", "txn_seq", "new_location")
-    # one table keyed by entity with each list's first listing: the three
-    # flag joins read the same subtree, so it is computed once and reused
-    per_key = lists.first_listing_by_key(seed_lists(txn))
+    # one table keyed by entity with each list's first listing, written once
+    # for the three flag joins
+    per_key = materialize(lists.first_listing_by_key(seed_lists(txn)), "listings")
     t = lists.flag_listed_before_by_key(t, per_key, "ip", "ip_address", "ip_blacklisted")
     t = lists.flag_listed_before_by_key(t, per_key, "device", "device_id", "device_blacklisted")
     t = lists.flag_listed_before_by_key(t, per_key, "beneficiary", "beneficiary_account", "beneficiary_blacklisted")
     t = t.withColumn("behavioral_anomaly_score", decide.behaviour_or_default())
     t = decide.score_rules(t)
     t = decide.with_decision(t)
-    return t.select(*DETECTION_COLUMNS)
+    return t.select(*DETECTION_COLUMNS, *(RAW_COLUMNS if raw else []))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, raw: bool = False) -> DataFrame:
     """The bound transactions feed five branches (two first-seen
     aggregates, the list seed and three flag joins); they are written once
     so each branch scans a table instead of re-running the order/line
     joins."""
-    return detections_from(materialize(bindings.transactions(spark, sf_dir), "transactions"))
+    return detections_from(materialize(bindings.transactions(spark, sf_dir), "transactions"), raw)
 
 
 DETECTIONS_SQL = """
@@ -100,7 +101,7 @@ DETECTIONS_SQL = """
    (ato_probability > 0.5 OR behavioral_anomaly_score > 0.2) AS contact_mobile,
    CASE WHEN ato_probability > 0.8 OR behavioral_anomaly_score > 0.3 THEN 'REVIEW' END AS suspension_mode,
    (ato_probability > 0.9 AND (ato_probability > 0.5 OR behavioral_anomaly_score > 0.2)) AS ato_confirmed,
-   actual_is_ato
+   actual_is_ato, ato_probability AS raw_p, behavioral_anomaly_score AS raw_b
  FROM p)
 """.replace("{TXN}", bindings.TXN_SQL).replace("{R_P}", sround("ato_probability", 4)).replace(
     "{R_B}", sround("behavioral_anomaly_score", 4))

@@ -12,11 +12,11 @@ from vigil.plans import detect
 from vigil.session import materialize
 from vigil.sources.tables import table
 
-TX = f"WITH tx AS {bindings.TXN_SQL}, "
+TX = f"WITH tx AS {detect.DETECTIONS_SQL}, "
 ADDS = """adds AS (
-   SELECT 'ip' AS list, ip_address AS key, account_number AS account, transaction_ts AS ts, txn_seq AS seq, CAST(NULL AS VARCHAR) AS reason FROM tx WHERE actual_is_ato = 1
-   UNION ALL SELECT 'device', device_id, account_number, transaction_ts, txn_seq, NULL FROM tx WHERE actual_is_ato = 1
-   UNION ALL SELECT 'beneficiary', beneficiary_account, account_number, transaction_ts, txn_seq, NULL FROM tx WHERE actual_is_ato = 1),
+   SELECT 'ip' AS list, ip_address AS key, account_number AS account, transaction_ts AS ts, txn_seq AS seq, CAST(NULL AS VARCHAR) AS reason FROM tx WHERE ato_confirmed
+   UNION ALL SELECT 'device', device_id, account_number, transaction_ts, txn_seq, NULL FROM tx WHERE ato_confirmed
+   UNION ALL SELECT 'beneficiary', beneficiary_account, account_number, transaction_ts, txn_seq, NULL FROM tx WHERE ato_confirmed),
  vadds AS (SELECT * FROM adds WHERE key IS NOT NULL AND trim(key) <> '')"""
 
 
@@ -30,8 +30,8 @@ CUT = "1998-01-01"
 
 
 def _adds(spark, sf):
-    tx = bindings.transactions(spark, sf)
-    return lists.fan_out_adds(tx.where(F.col("actual_is_ato") == 1))
+    """Every confirmed fraud (F4) lists its ip, device and beneficiary."""
+    return lists.fan_out_adds(detect.detections(spark, sf).where("ato_confirmed"))
 
 
 def q_fan_out(spark, sf):
@@ -97,8 +97,8 @@ FROM o FULL OUTER JOIN n ON o.list = n.list AND o.key = n.key"""
 
 
 def q_membership(spark, sf):
-    tx = materialize(bindings.transactions(spark, sf), "transactions")
-    ls = lists.fold_adds(lists.fan_out_adds(tx.where(F.col("actual_is_ato") == 1)))
+    tx = materialize(detect.detections(spark, sf), "detections")
+    ls = lists.fold_adds(lists.fan_out_adds(tx.where("ato_confirmed")))
     t = tx.select("transaction_id", "ip_address", "device_id", "beneficiary_account")
     t = lists.is_listed(t, ls, "ip", "ip_address", "ip_listed")
     t = lists.is_listed(t, ls, "device", "device_id", "device_listed")
@@ -198,7 +198,7 @@ def attempts_from(chal):
     first = chal.select(F.concat("transaction_id", F.lit("-a")).alias("attempt_id"), "account_number",
                         (F.col("issued_ts") + F.expr("INTERVAL 1 HOUR")).alias("attempt_ts"),
                         (F.col("cseq") * 3).alias("attempt_seq"),
-                        F.when(u < 0.3, F.lit("000000")).otherwise(F.col("otp")).alias("otp"))
+                        F.when(u < 0.1, F.lit("abc123")).when(u < 0.3, F.lit("000000")).otherwise(F.col("otp")).alias("otp"))
     second = chal.where(hash_uniform("retry", F.col("transaction_id")) < 0.6).select(
                          F.concat("transaction_id", F.lit("-b")).alias("attempt_id"), "account_number",
                          (F.col("issued_ts") + F.expr("INTERVAL 2 DAYS")).alias("attempt_ts"),
@@ -215,7 +215,7 @@ def _u_sql(seed):
 
 AT = f""", atm AS (
   SELECT transaction_id || '-a' AS attempt_id, account_number, issued_ts + INTERVAL 1 HOUR AS attempt_ts, cseq * 3 AS attempt_seq,
-         CASE WHEN {_u_sql('try')} < 0.3 THEN '000000' ELSE otp END AS otp FROM ch
+         CASE WHEN {_u_sql('try')} < 0.1 THEN 'abc123' WHEN {_u_sql('try')} < 0.3 THEN '000000' ELSE otp END AS otp FROM ch
   UNION ALL SELECT transaction_id || '-b', account_number, issued_ts + INTERVAL 2 DAY, cseq * 3 + 1, otp FROM ch
             WHERE {_u_sql('retry')} < 0.6
   UNION ALL SELECT transaction_id || '-c', account_number, issued_ts + INTERVAL 30 MINUTE, cseq * 3 + 2, 'x1' FROM ch
@@ -228,7 +228,7 @@ def q_attempts(spark, sf):
 
 
 SQL_ATTEMPTS = D + CH + AT + """ SELECT attempt_id, account_number, otp,
-  coalesce(length(otp) BETWEEN 4 AND 8 AND regexp_matches(otp, '^[0-9]+$'), false) AS shape_ok FROM atm"""
+  coalesce(length(otp) BETWEEN 4 AND 8, false) AS shape_ok FROM atm"""
 
 
 def verified(spark, sf):
@@ -236,7 +236,7 @@ def verified(spark, sf):
     return A.verify(ch, attempts_from(ch))
 
 
-VER = """, wf AS (SELECT * FROM atm WHERE length(otp) BETWEEN 4 AND 8 AND regexp_matches(otp, '^[0-9]+$')),
+VER = """, wf AS (SELECT * FROM atm WHERE length(otp) BETWEEN 4 AND 8),
  tl AS (SELECT account_number, issued_ts AS ts, cseq AS ord, otp, cseq AS c_id, NULL AS attempt_id FROM ch
         UNION ALL SELECT account_number, attempt_ts, 1099511627776 + attempt_seq, otp, NULL, attempt_id FROM wf),
  lv AS (SELECT *, last_value(c_id IGNORE NULLS) OVER (PARTITION BY account_number ORDER BY ts, ord

@@ -5,39 +5,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil import bindings
+from vigil import schemas as S
 from vigil.operators import baseline as K
 from vigil.plans.q_history import SQL_SESSIONS, sessions
 from vigil.plans.sqltext import sround
+from vigil.session import materialize
 
-# seven integral per-session signals (exact moments, see baseline.build)
-SIGNALS = ["session_length_seconds", "n_events", "n_pages", "failed_login_attempts_session",
-           "n_purchases", "n_signups", "n_devices"]
+# the seven signals, bound to per-session features (some of them fractional)
+BINDING = dict(zip(S.BASELINE_SIGNALS, [
+    "page_navigation_velocity", "session_amount", "n_events", "n_pages", "n_purchases", "n_devices",
+    "session_length_in_minutes"], strict=True))
+SIGNALS = S.BASELINE_SIGNALS
 CUT = "2024-01-21"
-SE = f"WITH se AS ({SQL_SESSIONS}) "
+_BOUND = ", ".join(f"{column} AS {signal}" for signal, column in BINDING.items())
+SE = f"WITH se AS (SELECT account, session_no, session_start, {_BOUND} FROM ({SQL_SESSIONS}) s0) "
 
 
 def _split(spark, sf):
     s = sessions(spark, sf)
+    s = materialize(s.select("account", "session_no", "session_start", *[F.col(c).alias(k) for k, c in BINDING.items()]), "sessions")
     cut = F.lit(CUT).cast("timestamp_ntz")
     return s.where(F.col("session_start") < cut), s.where(F.col("session_start") >= cut)
 
 
 def q_build(spark, sf):
     hist, _ = _split(spark, sf)
-    return K.build(hist, SIGNALS)
+    return K.rounded(K.build(hist, SIGNALS), SIGNALS)
 
 
 def _build_sql():
-    aggs = ", ".join(
-        f"{sround(f'CAST(sum(CAST({s} AS HUGEINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE)', 6)} AS mean_{s}, "
-        f"{sround(f'sqrt(greatest(CAST(count(*) * sum(CAST({s} AS HUGEINT) * {s}) - sum(CAST({s} AS HUGEINT)) * sum(CAST({s} AS HUGEINT)) AS DOUBLE), 0.0) / (CAST(count(*) AS DOUBLE) * CAST(count(*) AS DOUBLE)))', 6)} AS std_{s}"
-        for s in SIGNALS)
+    aggs = ", ".join(f"CAST(sum(CAST(CAST({s} AS DOUBLE) AS DECIMAL(28,12))) AS DOUBLE) / count({s}) AS mean_{s}, stddev_pop(CAST({s} AS DOUBLE)) AS std_{s}" for s in SIGNALS)
     return f"""SELECT account, count(*) AS n_sessions, {aggs}
 FROM se WHERE session_start < TIMESTAMP '{CUT}' GROUP BY account HAVING count(*) >= 3"""
 
 
 BUILD = f"bl AS ({_build_sql()})"
-SQL_BUILD = SE + f", {BUILD} SELECT * FROM bl"
+_ROUNDED = ", ".join(f"{sround(f'{m}_{s}', 6)} AS {m}_{s}" for s in SIGNALS for m in ("mean", "std"))
+SQL_BUILD = SE + f", {BUILD} SELECT account, n_sessions, {_ROUNDED} FROM bl"
 
 
 def q_lookup(spark, sf):
@@ -65,10 +69,11 @@ def q_score(spark, sf):
 
 def _score_sql():
     terms = " + ".join(f"least(abs(CAST(s.{c} AS DOUBLE) - bl.mean_{c}) / greatest(bl.std_{c} * 3.0, 1e-9), 1.0)" for c in SIGNALS)
-    sc = f"CASE WHEN bl.account IS NOT NULL THEN {sround(f'({terms}) / {float(len(SIGNALS))}', 4)} ELSE 0.05 END"
-    return SE + f""", {BUILD}, sc AS (SELECT s.account, s.session_no, {sc} AS anomaly_score, bl.account IS NOT NULL AS has_baseline
+    sc = f"CASE WHEN bl.account IS NOT NULL THEN ({terms}) / {float(len(SIGNALS))} ELSE 0.05 END"
+    return SE + f""", {BUILD}, sc AS (SELECT s.account, s.session_no, {sc} AS exact, bl.account IS NOT NULL AS has_baseline
   FROM se s LEFT JOIN bl ON s.account = bl.account WHERE s.session_start >= TIMESTAMP '{CUT}')
-SELECT *, CASE WHEN anomaly_score > 0.3 THEN 'HIGH' WHEN anomaly_score > 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sc"""
+SELECT account, session_no, {sround('exact', 4)} AS anomaly_score, has_baseline,
+  CASE WHEN exact > 0.3 THEN 'HIGH' WHEN exact > 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sc"""
 
 
 def q_default(spark, sf):

@@ -45,6 +45,7 @@ def _code_sql(col):
 
 
 ALLOWED_PRESENT = [c for c in S.ALL_FEATURES if c in PRESENT_NUM + ["income"] + S.CATEGORICAL_FEATURES]
+NUMERIC_PROCESSED = ALLOWED_PRESENT  # every kept column is a number after cleaning
 
 
 def _processed_sql():
@@ -74,10 +75,14 @@ def q_missing(spark, sf):
     return clean.missing_columns(clean.rename_target(bindings.applications(spark, sf)))
 
 
+def _counts_sql(columns, present, rel):
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {i} AS position, {'true' if c in present else 'false'} AS present, """
+        + (f"count({c})" if c in present else "count(CASE WHEN false THEN 1 END)") + f" AS n_filled FROM {rel}" for i, c in enumerate(columns))
+
+
 def _missing_sql():
-    present = set(PRESENT_NUM + ["income"] + S.CATEGORICAL_FEATURES)
-    vals = ", ".join(f"('{c}', {i}, {'true' if c in present else 'false'})" for i, c in enumerate(S.ALL_FEATURES))
-    return f'SELECT * FROM (VALUES {vals}) v("column", position, present)'
+    return AP + _counts_sql(S.ALL_FEATURES, set(PRESENT_NUM + ["income"] + S.CATEGORICAL_FEATURES), "ap")
 
 
 def q_backfill(spark, sf):
@@ -137,9 +142,11 @@ SQL_FEATURES = AP + "SELECT application_id, " + ", ".join(
 
 
 def q_numeric_columns(spark, sf):
-    d = processed(spark, sf)
-    names = clean.numeric_feature_columns(d)
-    return d.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, column string")
+    return clean.numeric_feature_counts(processed(spark, sf))
+
+
+def _numeric_columns_sql():
+    return f"WITH pr AS ({SQL_PROCESSED}) SELECT * EXCLUDE (present) FROM ({_counts_sql(NUMERIC_PROCESSED, set(NUMERIC_PROCESSED), 'pr')})"
 
 
 def q_flags(spark, sf):
@@ -165,19 +172,26 @@ def _requests(spark, sf):
         F.when(s % 97 == 0, F.lit(None).cast("double")).otherwise(F.col("transaction_amount")).alias("transaction_amount"),
         F.round(F.col("ip_fraud_score") * 1.2, 4).alias("ip_fraud_score"),
         F.when(s % 89 == 0, F.lit("-1")).when(s % 83 == 0, F.lit("two"))
+         .when(s % 79 == 0, F.lit("2.5"))
          .otherwise(F.col("failed_auth_attempts").cast("string")).alias("failed_auth_attempts"),
+        F.when(s % 73 == 0, F.lit("fast")).when(s % 5 == 0, F.lit("4.25")).alias("typing_speed_mobile"),
+        F.when(s % 71 == 0, F.lit("maybe")).when(s % 2 == 0, F.lit(" Yes ")).otherwise(F.lit("false")).alias("new_device"),
         F.when(s % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("ip_address")).alias("ip_address"))
 
 
 REQ = f"""WITH tx AS {bindings.TXN_SQL}, rq AS (SELECT transaction_id, account_number,
    CASE WHEN txn_seq % 97 = 0 THEN NULL ELSE transaction_amount END AS transaction_amount,
    {sround('ip_fraud_score * 1.2', 4)} AS ip_fraud_score,
-   CASE WHEN txn_seq % 89 = 0 THEN '-1' WHEN txn_seq % 83 = 0 THEN 'two' ELSE CAST(failed_auth_attempts AS VARCHAR) END AS failed_auth_attempts,
+   CASE WHEN txn_seq % 89 = 0 THEN '-1' WHEN txn_seq % 83 = 0 THEN 'two' WHEN txn_seq % 79 = 0 THEN '2.5' ELSE CAST(failed_auth_attempts AS VARCHAR) END AS failed_auth_attempts,
+   CASE WHEN txn_seq % 73 = 0 THEN 'fast' WHEN txn_seq % 5 = 0 THEN '4.25' END AS typing_speed_mobile,
+   CASE WHEN txn_seq % 71 = 0 THEN 'maybe' WHEN txn_seq % 2 = 0 THEN ' Yes ' ELSE 'false' END AS new_device,
    CASE WHEN txn_seq % 7 = 0 THEN NULL ELSE ip_address END AS ip_address FROM tx),
  v AS (SELECT transaction_id, account_number, transaction_amount, ip_fraud_score, coalesce(ip_address, '0.0.0.0') AS ip_address,
    failed_auth_attempts,
    list_filter([CASE WHEN transaction_amount IS NULL THEN 'missing:transaction_amount' END,
-    CASE WHEN failed_auth_attempts IS NOT NULL AND {_parse_sql('failed_auth_attempts')} IS NULL THEN 'type:failed_auth_attempts' END,
+    CASE WHEN failed_auth_attempts IS NOT NULL AND coalesce({_parse_sql('failed_auth_attempts')} <> floor({_parse_sql('failed_auth_attempts')}), true) THEN 'type:failed_auth_attempts' END,
+    CASE WHEN typing_speed_mobile = 'fast' THEN 'type:typing_speed_mobile' END,
+    CASE WHEN lower(trim(new_device)) NOT IN ('0', '1', 'true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', 'on', 'off') THEN 'type:new_device' END,
     CASE WHEN ip_fraud_score < 0 THEN 'min:ip_fraud_score' END, CASE WHEN ip_fraud_score > 1 THEN 'max:ip_fraud_score' END,
     CASE WHEN {_parse_sql('failed_auth_attempts')} < 0 THEN 'min:failed_auth_attempts' END], lambda x: x IS NOT NULL) AS errors
    FROM rq) """
@@ -305,7 +319,7 @@ REGISTRY = {
     "b7_drop_null_target": (q_drop_null, SQL_DROP_NULL),
     "b8_class_balance": (q_balance, SQL_BALANCE),
     "b9_feature_projection": (q_features, SQL_FEATURES),
-    "b10_numeric_columns": (q_numeric_columns, None),
+    "b10_numeric_columns": (q_numeric_columns, _numeric_columns_sql()),
     "b11_flag_coercion": (q_flags, SQL_FLAGS),
     "b12_validate_accepted": (q_validate_accepted, REQ + "SELECT transaction_id, account_number, transaction_amount, ip_fraud_score, ip_address, failed_auth_attempts FROM v WHERE len(errors) = 0"),
     "b12_validate_rejected": (q_validate_rejected, REQ + "SELECT transaction_id, array_to_string(errors, ';') AS errors FROM v WHERE len(errors) > 0"),

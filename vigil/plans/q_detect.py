@@ -9,6 +9,7 @@ from vigil import bindings
 from vigil.operators import decide, evaluate, lists, reports
 from vigil.plans import detect
 from vigil.plans.sqltext import sround
+from vigil.session import materialize
 from vigil.sources.tables import table
 
 D = f"WITH d AS {detect.DETECTIONS_SQL} "
@@ -51,7 +52,7 @@ FROM d"""
 
 
 def q_response(spark, sf):
-    r = decide.response_record(_det(spark, sf))
+    r = decide.response_record(detect.detections(spark, sf, raw=True))
     return r.select(
         "transaction_id", "action", "suspension_mode", "otp_required", "contact_mobile",
         "behavioral_warning",
@@ -65,8 +66,8 @@ def q_response(spark, sf):
 
 
 SQL_RESPONSE = D + f"""SELECT transaction_id, action, suspension_mode, otp_required, contact_mobile,
-  CASE WHEN action = 'SUSPEND' THEN printf('High behavioral anomaly: %s (threshold: 0.3)', printf('%.3f', {sround('behavioral_anomaly_score', 3)}))
-       WHEN action = 'OTP_REQUIRED' THEN printf('Unusual behavioral pattern: %s', printf('%.3f', {sround('behavioral_anomaly_score', 3)})) END AS behavioral_warning,
+  CASE WHEN action = 'SUSPEND' THEN printf('High behavioral anomaly: %s (threshold: 0.3)', printf('%.3f', {sround('raw_b', 3)}))
+       WHEN action = 'OTP_REQUIRED' THEN printf('Unusual behavioral pattern: %s', printf('%.3f', {sround('raw_b', 3)})) END AS behavioral_warning,
   CASE WHEN action = 'SUSPEND' THEN false END AS can_transfer_money,
   CASE WHEN action = 'SUSPEND' THEN true END AS can_view_balance,
   CASE action WHEN 'SUSPEND' THEN 3 WHEN 'OTP_REQUIRED' THEN 2 ELSE 0 END AS n_user_actions,
@@ -215,13 +216,13 @@ SQL_LOOKUP = D + """SELECT account_number, arg_min(transaction_id, (transaction_
 
 
 def q_review_rows(spark, sf):
-    d = _det(spark, sf).where("ato_confirmed OR action = 'SUSPEND'").select(
+    """I12 for every transaction of the log, all of its columns that the review shows."""
+    return reports.review_rows(_det(spark, sf).select(
         "transaction_id", "account_number", "ip_address", "device_id", "ip_country",
-        "ato_probability", "action", "transaction_amount", "failed_auth_attempts")
-    return reports.review_rows(d)
+        "ato_probability", "action", "transaction_amount", "failed_auth_attempts"))
 
 
-SQL_REVIEW_ROWS = D + """, s AS (SELECT * FROM d WHERE ato_confirmed OR action = 'SUSPEND')
+SQL_REVIEW_ROWS = D + """, s AS (SELECT * FROM d)
 SELECT transaction_id, "group", field, value FROM (
   SELECT transaction_id, 'core' AS "group", 'account_number' AS field, account_number AS value FROM s
   UNION ALL SELECT transaction_id, 'core', 'ip_address', ip_address FROM s
@@ -247,10 +248,9 @@ def _seed_list_table(spark, sf):
 
 
 def q_summary(spark, sf):
-    d = _det(spark, sf)
+    d = materialize(detect.detections(spark, sf, raw=True), "detections")
     lab = d.where(F.col("actual_is_ato").isNotNull()).select(
-        F.col("actual_is_ato").alias("label"), F.col("ato_probability").alias("score"),
-        (F.col("ato_probability") > 0.5).cast("int").alias("prediction"))
+        F.col("actual_is_ato").alias("label"), F.col("raw_p").alias("score"), (F.col("raw_p") > 0.5).cast("int").alias("prediction"))
     m = evaluate.rates(evaluate.confusion(lab)).crossJoin(evaluate.auc(lab))
     flagged = reports.fraud_log(d).agg(F.count(F.lit(1)).cast("bigint").alias("fraud_transactions_count"))
     susp = d.where("action = 'SUSPEND'").agg(F.countDistinct("account_number").cast("bigint")
@@ -283,14 +283,13 @@ FROM rt, au"""
 # --- J: evaluation of the rule scorer against the labels ------------------------
 
 def _labelled(spark, sf):
-    return _det(spark, sf).where(F.col("actual_is_ato").isNotNull()).select(
+    return detect.detections(spark, sf, raw=True).where(F.col("actual_is_ato").isNotNull()).select(
         "transaction_id", F.col("actual_is_ato").alias("label"),
-        F.col("ato_probability").alias("score"),
-        (F.col("ato_probability") > 0.5).cast("int").alias("prediction"))
+        F.col("raw_p").alias("score"), (F.col("raw_p") > 0.5).cast("int").alias("prediction"))
 
 
-L = D + """, lab AS (SELECT transaction_id, actual_is_ato AS label, ato_probability AS score,
-  CAST(ato_probability > 0.5 AS INTEGER) AS prediction FROM d WHERE actual_is_ato IS NOT NULL) """
+L = D + """, lab AS (SELECT transaction_id, actual_is_ato AS label, raw_p AS score,
+  CAST(raw_p > 0.5 AS INTEGER) AS prediction FROM d WHERE actual_is_ato IS NOT NULL) """
 
 
 def q_confusion(spark, sf):
@@ -386,7 +385,7 @@ SQL_LOG_LOSS = L + log_loss_sql("lab")
 
 
 REGISTRY = {
-    "detect_transactions": (detect.detections, f"SELECT * FROM {detect.DETECTIONS_SQL} d"),
+    "detect_transactions": (detect.detections, f"SELECT * EXCLUDE (raw_p, raw_b) FROM {detect.DETECTIONS_SQL} d"),
     "e8_rule_score": (q_rule_score, D + "SELECT transaction_id, ato_probability, behavioral_anomaly_score FROM d"),
     "f1_actions": (q_actions, SQL_ACTIONS),
     "f2_bands": (q_bands, SQL_BANDS),

@@ -23,11 +23,9 @@ def _ev(spark, sf):
 
 def q_velocity(spark, sf):
     ev = _ev(spark, sf)
-    out = ev.select("event_id", "account")
-    for name, w in (("velocity_6h", 6 * HOUR), ("velocity_24h", DAY), ("velocity_4w", 4 * WEEK)):
-        r = H.range_window(ev, ["account"], "ts", w, {name: F.count(F.lit(1))}, "event_id")
-        out = out.join(r, "event_id")
-    return out
+    widths = {"velocity_6h": 6 * HOUR, "velocity_24h": DAY, "velocity_4w": 4 * WEEK}
+    r = H.rolling_sums(ev, ["account"], "ts", "event_id", {n: (w, F.lit(1)) for n, w in widths.items()})
+    return ev.select("event_id", "account").join(r, "event_id")
 
 
 def _range_sql(agg, part, w, order="epoch_us(ts)"):
@@ -42,10 +40,9 @@ SQL_VELOCITY = EV + f"""SELECT event_id, account,
 
 def q_txn_frequency(spark, sf):
     p = _ev(spark, sf).where("event_type = 'purchase'")
-    out = p.select("event_id", "account")
-    for name, w in (("txn_frequency_1h", HOUR), ("txn_frequency_24h", DAY)):
-        out = out.join(H.range_window(p, ["account"], "ts", w, {name: F.count(F.lit(1))}, "event_id"), "event_id")
-    return out
+    widths = {"txn_frequency_1h": HOUR, "txn_frequency_24h": DAY}
+    r = H.rolling_sums(p, ["account"], "ts", "event_id", {n: (w, F.lit(1)) for n, w in widths.items()})
+    return p.select("event_id", "account").join(r, "event_id")
 
 
 SQL_TXN_FREQUENCY = EV + f"""SELECT event_id, account,
@@ -55,8 +52,8 @@ SQL_TXN_FREQUENCY = EV + f"""SELECT event_id, account,
 
 def q_failed_1h(spark, sf):
     ev = _ev(spark, sf)
-    r = H.range_window(ev, ["account"], "ts", HOUR,
-                       {"failed_tx_count_1h": F.count(F.when(F.col("event_type") == "error", F.lit(1)))}, "event_id")
+    failed = F.coalesce((F.col("event_type") == "error").cast("int"), F.lit(0))
+    r = H.rolling_sums(ev, ["account"], "ts", "event_id", {"failed_tx_count_1h": (HOUR, failed)})
     return ev.select("event_id", "account").join(r, "event_id")
 
 
@@ -66,8 +63,7 @@ SQL_FAILED_1H = EV + f"""SELECT event_id, account,
 
 def q_amount_vs_avg(spark, sf):
     p = _ev(spark, sf).where("event_type = 'purchase'")
-    d = H.running_before(p, ["account"], "ts", "event_id", F.col("amount"), "_sum")
-    d = H.running_before(d, ["account"], "ts", "event_id", F.lit(1), "_n")
+    d = H.sums_before(p, ["account"], ["ts", "event_id"], {"_sum": F.col("amount"), "_n": F.lit(1)})
     ratio = F.when(F.col("_n") > 0, F.col("amount") / (F.col("_sum") / F.col("_n")))
     return d.select("event_id", "account", "amount",
                     F.col("_n").cast("bigint").alias("prior_purchases"),
@@ -125,6 +121,36 @@ SQL_DISTINCT = EV + f"""SELECT event_id, account, device,
 FROM ev"""
 
 
+def q_new_beneficiary(spark, sf):
+    tx = bindings.transactions(spark, sf)
+    return H.first_seen(tx, ["account_number", "beneficiary_account"], "transaction_ts", "txn_seq", "new_beneficiary").select(
+        "transaction_id", "account_number", "beneficiary_account", "new_beneficiary")
+
+
+SQL_NEW_BENEFICIARY = TX + """SELECT transaction_id, account_number, beneficiary_account,
+  CASE WHEN beneficiary_account IS NULL THEN false
+       ELSE row_number() OVER (PARTITION BY account_number, beneficiary_account ORDER BY transaction_ts, txn_seq) = 1 END AS new_beneficiary
+FROM tx"""
+
+
+def q_distinct_transactions(spark, sf):
+    """L7 over the transactions: accounts per country in a day, ips and devices per account in eight weeks."""
+    tx = materialize(bindings.transactions(spark, sf), "transactions")
+    out = tx.select("transaction_id", "account_number", "ip_country")
+    for name, key, item, width in (("country_distinct_accounts_24h", "ip_country", "account_number", DAY),
+                                   ("account_distinct_ips_8w", "account_number", "ip_address", 8 * WEEK),
+                                   ("account_distinct_devices_8w", "account_number", "device_id", 8 * WEEK)):
+        out = out.join(H.distinct_in_window(tx, key, item, "transaction_ts", "txn_seq", width, "transaction_id", name), "transaction_id")
+    return out
+
+
+SQL_DISTINCT_TRANSACTIONS = TX + f"""SELECT transaction_id, account_number, ip_country,
+  CAST(coalesce(len(list_distinct({_range_sql('list(account_number)', 'ip_country', DAY, 'epoch_us(transaction_ts)')})), 0) AS INTEGER) AS country_distinct_accounts_24h,
+  CAST(coalesce(len(list_distinct({_range_sql('list(ip_address)', 'account_number', 8 * WEEK, 'epoch_us(transaction_ts)')})), 0) AS INTEGER) AS account_distinct_ips_8w,
+  CAST(coalesce(len(list_distinct({_range_sql('list(device_id)', 'account_number', 8 * WEEK, 'epoch_us(transaction_ts)')})), 0) AS INTEGER) AS account_distinct_devices_8w
+FROM tx"""
+
+
 def q_prior_frauds(spark, sf):
     tx = materialize(bindings.transactions(spark, sf), "transactions")
     fraud = F.coalesce((F.col("actual_is_ato") == 1).cast("bigint"), F.lit(0).cast("bigint"))
@@ -253,7 +279,7 @@ GROUP BY account, session_no"""
 
 def q_rolling_other_keys(spark, sf):
     ev = _ev(spark, sf)
-    a = H.range_window(ev, ["device"], "ts", 4 * WEEK, {"device_events_4w": F.count(F.lit(1))}, "event_id")
+    a = H.rolling_sums(ev, ["device"], "ts", "event_id", {"device_events_4w": (4 * WEEK, F.lit(1))})
     return ev.select("event_id", "device").join(a, "event_id")
 
 
@@ -262,8 +288,7 @@ SQL_ROLLING_OTHER = EV + f"""SELECT event_id, device, {_range_sql('count(*)', 'd
 
 def q_country_8w(spark, sf):
     tx = materialize(bindings.transactions(spark, sf), "transactions")
-    a = H.range_window(tx, ["ip_country"], "transaction_ts", 8 * WEEK,
-                       {"country_txn_8w": F.count(F.lit(1))}, "transaction_id")
+    a = H.rolling_sums(tx, ["ip_country"], "transaction_ts", "transaction_id", {"country_txn_8w": (8 * WEEK, F.lit(1))})
     return tx.select("transaction_id", "ip_country").join(a, "transaction_id")
 
 
@@ -278,6 +303,8 @@ REGISTRY = {
     "l4_amount_vs_avg": (q_amount_vs_avg, SQL_AMOUNT_VS_AVG),
     "l5_amount_percentile": (q_amount_percentile, SQL_AMOUNT_PERCENTILE),
     "l6_new_device": (q_new_device, SQL_NEW_DEVICE),
+    "l6_new_beneficiary": (q_new_beneficiary, SQL_NEW_BENEFICIARY),
+    "l7_distinct_transactions": (q_distinct_transactions, SQL_DISTINCT_TRANSACTIONS),
     "l7_distinct_rolling": (q_distinct, SQL_DISTINCT),
     "l8_prior_frauds": (q_prior_frauds, SQL_PRIOR_FRAUDS),
     "l9_days_since_last": (q_days_since_last, SQL_DAYS_SINCE_LAST),

@@ -120,13 +120,27 @@ def q_live_scoring(spark, sf):
 
 # --- E6 / E7: which model a table or a row goes to -------------------------------
 
+def _tables(spark, sf):
+    return {"applications": bindings.applications(spark, sf), "transactions": bindings.transactions(spark, sf),
+            "behavioral_events": behavioral_rows(spark, sf)}
+
+
 def q_model_for_tables(spark, sf):
-    frames = {"applications": bindings.applications(spark, sf),
-              "transactions": bindings.transactions(spark, sf),
-              "behavioral_events": behavioral_rows(spark, sf)}
-    rows = [(n, M.model_for_table(df.columns), sum(c in set(df.columns) for c in S.BEHAVIORAL_FEATURES),
-             sum(c in set(df.columns) for c in S.MODEL_FEATURES)) for n, df in frames.items()]
-    return spark.createDataFrame(rows, "source string, model string, behavioral_columns int, tabular_columns int")
+    """The model each table goes to, and how many rows that sends there."""
+    out = None
+    for n, df in _tables(spark, sf).items():
+        cols = set(df.columns)
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(n).alias("source"), F.lit(M.model_for_table(df.columns)).alias("model"),
+            F.lit(sum(c in cols for c in S.BEHAVIORAL_FEATURES)).alias("behavioral_columns"),
+            F.lit(sum(c in cols for c in S.MODEL_FEATURES)).alias("tabular_columns"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+SQL_MODEL_FOR_TABLES = """SELECT 'applications' AS source, 'behavioral' AS model, 10 AS behavioral_columns, 23 AS tabular_columns, count(*) AS n_rows FROM documents
+UNION ALL SELECT 'transactions', 'unknown', 0, 0, count(*) FROM orders
+UNION ALL SELECT 'behavioral_events', 'unknown', 8, 1, count(*) FROM events"""
 
 
 def behavioral_rows(spark, sf):
@@ -150,19 +164,25 @@ def behavioral_rows(spark, sf):
 
 
 def q_row_model_choice(spark, sf):
-    d = decide.row_model_choice(behavioral_rows(spark, sf))
+    """E7 over the events: some carry eight behavioural features or more,
+    every fiftieth carries none at all."""
+    d = behavioral_rows(spark, sf).join(bindings.session_events(spark, sf).select("event_id", "device"), "event_id")
+    d = d.withColumns({"customer_age": F.lit(18) + F.col("account") % 60, "email_is_free": F.col("account") % 2,
+                       "account_age_months": F.lit(1), "is_new_device_uid": F.when(F.col("device").isNotNull(), F.lit(0))})
+    blank = F.col("event_id") % 50 == 0
+    d = d.withColumns({c: F.when(~blank, F.col(c)) for c in d.columns if c in S.BEHAVIORAL_FEATURES})
+    d = decide.row_model_choice(d)
     return d.groupBy("model_used", "behavioral_features_present").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-SQL_ROW_MODEL_CHOICE = f"""WITH ev AS {bindings.EVENTS_SQL}, b AS (SELECT
-  1 AS login_hour_of_day_local, 1 AS month,
+SQL_ROW_MODEL_CHOICE = f"""WITH ev AS {bindings.EVENTS_SQL}, b AS (SELECT event_id, device,
   lag(ts) OVER (PARTITION BY account ORDER BY ts, event_id) IS NOT NULL AS has_prev,
   event_type, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY account ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT NULL AS has_signup
   FROM ev),
- c AS (SELECT 2 + CAST(has_prev AS INTEGER) + CAST(event_type = 'purchase' AND has_signup AS INTEGER)
+ c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 0 ELSE 5 + CAST(device IS NOT NULL AS INTEGER) + CAST(has_prev AS INTEGER) + CAST(event_type = 'purchase' AND has_signup AS INTEGER)
         + CAST(event_type = 'signup' AND has_prev AS INTEGER) + CAST(event_type = 'error' AS INTEGER)
-        + CAST(event_type = 'purchase' AS INTEGER) + CAST(event_type IN ('click', 'view') AS INTEGER) AS behavioral_features_present FROM b)
-SELECT CASE WHEN behavioral_features_present >= 8 THEN 'behavioral' ELSE 'tabular' END AS model_used,
+        + CAST(event_type = 'purchase' AS INTEGER) + CAST(event_type IN ('click', 'view') AS INTEGER) END AS behavioral_features_present FROM b)
+SELECT CASE WHEN behavioral_features_present >= 8 THEN 'behavioral' WHEN behavioral_features_present > 0 THEN 'tabular' ELSE 'rules' END AS model_used,
   behavioral_features_present, count(*) AS n FROM c GROUP BY ALL"""
 
 REGISTRY = {
@@ -171,6 +191,6 @@ REGISTRY = {
     "e3_random_search": (q_search, None),
     "e4_live_scoring": (q_live_scoring, None),
     "e5_a11_persist_and_score": (q_persist, None),
-    "e6_model_for_table": (q_model_for_tables, None),
+    "e6_model_for_table": (q_model_for_tables, SQL_MODEL_FOR_TABLES),
     "e7_row_model_choice": (q_row_model_choice, SQL_ROW_MODEL_CHOICE),
 }

@@ -103,6 +103,13 @@ def q_knn(spark, sf):
     return _knn(spark, sf).select("id", "neighbor_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def q_knn_lsh(spark, sf):
+    """C5 at size: the approximate form over the same minority."""
+    v = _vectors(spark, sf).where("y = 1")
+    nn = C.knn_lsh(v, "vec_id", "embedding", K)
+    return nn.select("id", "neighbor_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 KNN = f""", mi AS (SELECT vec_id, embedding FROM em WHERE y = 1),
  pr AS (SELECT a.vec_id AS id, b.vec_id AS neighbor_id,
    sqrt(list_sum([(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2 FOR i IN range(1, len(a.embedding) + 1)])) AS distance
@@ -293,6 +300,7 @@ REGISTRY = {
     "c3_class_weight": (q_class_weight, SQL_CLASS_WEIGHT),
     "c4_smote_plan": (q_smote_plan, SQL_SMOTE_PLAN),
     "c5_minority_knn": (q_knn, SQL_KNN),
+    "c5_minority_knn_lsh": (q_knn_lsh, None),
     "c6_smote_synthesize": (q_synth, SQL_SYNTH),
     "c7_j7_class_distribution": (q_balanced, SQL_BALANCED),
     "c8_synthetic_metadata": (q_metadata, SQL_METADATA),

@@ -7,6 +7,7 @@ returns the sink read back, so the result can be checked like a batch.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from vigil import bindings
@@ -78,8 +79,7 @@ def q_write_table(spark, sf):
 def q_list_documents(spark, sf):
     """A4 → A3 → G7: lists written as JSON documents per list, read back
     and flattened to rows."""
-    tx = bindings.transactions(spark, sf)
-    ls = lists.fold_adds(lists.fan_out_adds(tx.where(F.col("actual_is_ato") == 1))).drop("first_listed")
+    ls = lists.fold_adds(lists.fan_out_adds(detect.detections(spark, sf).where("ato_confirmed"))).drop("first_listed")
     folder = IO.scratch_dir(spark, "lists")
     IO.write_list_documents(ls, folder)
     return IO.read_list_documents(spark, folder)
@@ -194,6 +194,30 @@ def q_stream_alerts(spark, sf):
 SQL_STREAM_ALERTS = D + "SELECT transaction_id, action, ato_probability FROM d WHERE action <> 'ALLOW'"
 
 
+STREAM_FEATURES = ["ip_fraud_score", "failed_auth_attempts", "behavioral_anomaly_score"]
+
+
+def q_stream_model(spark, sf):
+    """S1 with a saved model: the pipeline is fitted on the labelled log,
+    saved, loaded and scores the message stream; each probability is compared
+    with the batch score of the same transaction."""
+    from vigil.operators import models as M
+    base = IO.scratch_dir(spark, "model-stream")
+    det = _publish(spark, sf, base + "/in")
+    train = det.where(F.col("actual_is_ato").isNotNull()).withColumn("label", F.col("actual_is_ato").cast("double"))
+    fitted = M.tabular_pipeline(STREAM_FEATURES, M.gbt(trees=10, depth=4, gamma=0.0), impute_scale=True).fit(train)
+    fitted.write().overwrite().save(base + "/model")
+    loaded = PipelineModel.load(base + "/model")
+    scored = ST.score(ST.good(ST.read_messages(spark, base + "/in")), loaded, STREAM_FEATURES)
+    ST.run_available_now(scored.select("transaction_id", "action", "ato_probability"), "parquet", base + "/out", base + "/ckpt")
+    live = spark.read.schema("transaction_id string, action string, ato_probability double").parquet(base + "/out")
+    batch = M.score(fitted, det.select("transaction_id", *STREAM_FEATURES), STREAM_FEATURES, out="p")
+    return batch.join(live, "transaction_id").select("transaction_id", (F.round("p", 4) == F.col("ato_probability")).alias("same"))
+
+
+SQL_STREAM_MODEL = D + "SELECT transaction_id, true AS same FROM d"
+
+
 def q_stream_resume(spark, sf):
     """A second run on the same checkpoint adds nothing."""
     return _read_alerts(spark, _alerts_dir(spark, sf, runs=2))
@@ -279,10 +303,10 @@ def q_action_counts(spark, sf):
 SQL_ACTION_COUNTS = D + "SELECT action, count(*) AS n FROM d GROUP BY action"
 
 
-def q_window_counts(spark, sf):
-    """S8 windowed: actions per 30-day tumbling event-time window with a
-    2-day watermark over a time-ordered feed (update mode; the latest
-    count per window is kept)."""
+def q_window_counts(spark, sf, slide: str | None = None):
+    """S8 windowed: actions per 30-day event-time window (tumbling, or
+    sliding by ``slide``) with a 2-day watermark over a time-ordered feed
+    (update mode; the latest count per window is kept)."""
     base = IO.scratch_dir(spark, "win")
     det = materialize(detect.detections(spark, sf), "detections")
     msg = det.select(*MSG_FIELDS, "behavioral_anomaly_score",
@@ -291,7 +315,7 @@ def q_window_counts(spark, sf):
                                         F.to_json(F.struct(*msg.columns)).alias("value")), base + "/in", "t", N_FILES)
     m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=1))))
     agg = (m.withWatermark("event_time", REDELIVERY_DELAY)
-           .groupBy(F.window("event_time", "30 days"), "action").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+           .groupBy(F.window("event_time", "30 days", slide), "action").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
     def cb(batch, batch_id):
         batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "action", "n",
@@ -301,6 +325,17 @@ def q_window_counts(spark, sf):
     return r.groupBy("window_start", "action").agg(F.max_by("n", "b").alias("n"))
 
 
+def q_sliding_counts(spark, sf):
+    return q_window_counts(spark, sf, slide="10 days")
+
+
+SQL_SLIDING_COUNTS = D + """SELECT window_start, action, count(*) AS n FROM (
+  SELECT action, unnest([time_bucket(INTERVAL '10 days', transaction_ts, TIMESTAMP '1970-01-01'),
+                         time_bucket(INTERVAL '10 days', transaction_ts, TIMESTAMP '1970-01-01') - INTERVAL 10 DAY,
+                         time_bucket(INTERVAL '10 days', transaction_ts, TIMESTAMP '1970-01-01') - INTERVAL 20 DAY]) AS window_start
+  FROM d) w GROUP BY ALL"""
+
+
 SQL_WINDOW_COUNTS = D + """SELECT time_bucket(INTERVAL '30 days', transaction_ts, TIMESTAMP '1970-01-01') AS window_start, action,
   count(*) AS n FROM d GROUP BY ALL"""
 
@@ -386,6 +421,7 @@ REGISTRY = {
     "a10_export_holdout": (q_export_holdout, SQL_EXPORT_HOLDOUT),
     "a10_export_train_balance": (q_export_train_balance, SQL_EXPORT_TRAIN_BALANCE),
     "s1_s2_stream_alerts": (q_stream_alerts, SQL_STREAM_ALERTS),
+    "s1_stream_model": (q_stream_model, SQL_STREAM_MODEL),
     "s3_dead_letters": (q_dead_letter, SQL_DEAD_LETTER),
     "s4_alert_callback": (q_callback, SQL_CALLBACK),
     "s5_resume_adds_nothing": (q_stream_resume, SQL_STREAM_ALERTS),
@@ -393,6 +429,7 @@ REGISTRY = {
     "s7_running_totals": (q_running_totals, SQL_RUNNING_TOTALS),
     "s8_action_counts": (q_action_counts, SQL_ACTION_COUNTS),
     "s8_window_counts": (q_window_counts, SQL_WINDOW_COUNTS),
+    "s8_sliding_counts": (q_sliding_counts, SQL_SLIDING_COUNTS),
     "s9_stream_list_upsert": (q_stream_lists, SQL_FOLD),
     "s10_dedupe": (q_dedupe, SQL_DEDUPE),
 }

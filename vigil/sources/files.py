@@ -151,20 +151,19 @@ def publish_messages(df: DataFrame, folder: str | None, stamp: str, files: int |
 
 def publish_in_time_order(df: DataFrame, folder: str, time_col: str, slices: int, value: str = "value") -> None:
     """S6 replay feed: write ``value`` lines in ``slices`` consecutive time
-    ranges, one file per range and one write after another, so a file
+    ranges (range-partitioned once, then read slice by slice), one write
+    after another, so a file
     source (which replays files by modification time, one per trigger with
     ``maxFilesPerTrigger=1``) sees the feed in event-time order.  More
     slices give smaller files and finer replay steps."""
+    spark = df.sparkSession
     epoch = F.unix_micros(F.col(time_col).cast("timestamp"))
-    cuts = df.select(epoch.alias("e")).approxQuantile("e", [i / slices for i in range(1, slices)], 0.0)
-    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (epoch > F.lit(lo))
-        if hi is not None:
-            cond = cond & (epoch <= F.lit(hi))
-        df.where(cond).select(value).coalesce(1).write.mode("append").text(folder)
+    dealt = scratch_dir(spark, "replay")
+    (df.select(F.col(value).alias("value"), epoch.alias("e")).repartitionByRange(slices, "e")
+     .select("value", F.spark_partition_id().alias("slice")).write.partitionBy("slice").parquet(dealt))
+    read = spark.read.schema("value string, slice int").parquet(dealt)
+    for r in read.select("slice").distinct().orderBy("slice").collect():  # one row per slice
+        read.where(F.col("slice") == r["slice"]).select("value").write.mode("append").text(folder)
 
 
 def newest(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:

@@ -9,12 +9,14 @@ resumes from the committed offsets and a re-run adds nothing.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions import decide_action, rule_score
 from vigil.operators import lists
+from vigil.operators.models import score as model_score
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()), T.StructField("account_number", T.StringType()),
@@ -41,10 +43,10 @@ def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
 def read_messages(spark: SparkSession, source: str, max_files: int | None = None,
                   kafka_options: dict | None = None) -> DataFrame:
     """A5: the transaction stream — a JSON-lines folder, or a Kafka topic
-    (``kafka_options``, started at the latest offset) when the connector
+    (``kafka_options``, by default from the latest offset) when the connector
     is on the class path; both parse the same way."""
     if kafka_options is not None:
-        raw = spark.readStream.format("kafka").options(**kafka_options).option("startingOffsets", "latest").load()
+        raw = spark.readStream.format("kafka").options(**{"startingOffsets": "latest", **kafka_options}).load()
         return parse_messages(raw)
     r = spark.readStream
     if max_files:
@@ -65,10 +67,11 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.to_timestamp("transaction_ts"))
 
 
-def score(df: DataFrame) -> DataFrame:
-    """Rule score (E8, behaviour default K5) and decision."""
+def score(df: DataFrame, model: PipelineModel | None = None, features: list[str] | None = None) -> DataFrame:
+    """The model's probability (E5: absent features count as 0) or,
+    without a model, the rule score (E8); behaviour default K5; decision (F1, F7)."""
     d = df.withColumn("behavioral_anomaly_score", F.coalesce(F.col("behavioral_anomaly_score"), F.lit(0.05)))
-    d = d.withColumn("_p", rule_score())
+    d = model_score(model, d, features, out="_p") if model is not None else d.withColumn("_p", rule_score())
     act = decide_action(F.col("_p"), F.col("behavioral_anomaly_score"))
     return (d.withColumn("action", act)
              .withColumn("otp_required", act != "ALLOW")
@@ -134,11 +137,11 @@ def alert_callback(out_dir: str):
 
 
 def list_upsert_callback(adds_dir: str):
-    """Confirmed frauds of each batch → list adds (G2) written under
-    ``batch_id``; the lists are the fold (G1) of all adds, so replaying a
+    """The frauds confirmed by scoring each batch (F4) → list adds
+    written under ``batch_id``; the lists are the fold (G1) of all adds, so replaying a
     batch overwrites its own adds instead of counting them twice."""
     def cb(batch: DataFrame, batch_id: int) -> None:
-        conf = batch.where(F.col("actual_is_ato") == 1).withColumn("transaction_ts", F.col("event_time")) \
+        conf = score(batch).where("ato_confirmed").withColumn("transaction_ts", F.col("event_time")) \
                     .withColumn("txn_seq", F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint"))
         adds = lists.fan_out_adds(conf)
         adds.write.mode("overwrite").parquet(f"{adds_dir}/batch_id={batch_id}")
