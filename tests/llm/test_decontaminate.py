@@ -82,3 +82,25 @@ def test_edge_rows(spark, rows, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in contaminated(documents(spark, rows), benchmark).collect()}
     assert got == ({(1, 1), (2, 1), (None, 1)} if rows and items else set())
+
+
+def test_a_full_block_of_passages_loses_no_verbatim_copy():
+    """1,040 passages on 130 topics, more than the space has directions, planted in documents of the same words."""
+    from vigil.llm.decontaminate import RANK, find
+    draw = random.Random(21)
+    topics = [[draw.choice(WORDS) + draw.choice(WORDS) + str(t) for _ in range(25)] for t in range(130)]
+    passages = [draw.choices(topics[i % 130], k=draw.choice([8, 9, 11, 14, 25, 45, 60])) for i in range(1040)]
+    items = Items([(i, 0, p) for i, p in enumerate(passages)])
+    a = np.zeros((len(items.rows), len(items.vocabulary)))
+    for row, codes in zip(a, items.codes, strict=True):
+        terms, weights = items.weigh(codes)
+        row[terms] = weights
+    items.basis = np.linalg.svd(a, full_matrices=False)[2][:RANK].T.astype(np.float32)
+    latent = a @ items.basis
+    items.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    items.index_rare_words(0.7)
+    every = [w for t in topics for w in t]
+    texts = [" ".join([*draw.choices(every, k=300), *p, *draw.choices(every, k=200)]) for p in passages]
+    found = {(i, p) for i, p, _ in find(items, texts, 0.35, 0.7, 0.5)}
+    lost = [len(p) for i, p in enumerate(passages) if (i, i) not in found]
+    assert not lost, (len(lost), sorted(lost))
