@@ -11,6 +11,7 @@ from vigil.llm.packing import op10_vector_packing
 from vigil.llm.pii import op4_bootstrapped_pii
 from vigil.llm.sharding import op2_jump_shards
 from vigil.llm.simhash import op9_vantage_simhash
+from vigil.llm.tokencount import op12_whole_token_counts
 from vigil.llm.toxicity import op3_lexicon_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_vantage_simhash": op9_vantage_simhash,
     "op10_vector_packing": op10_vector_packing,
+    "op12_whole_token_counts": op12_whole_token_counts,
 }
 
 ORACLE_SQL = {
