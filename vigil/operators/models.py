@@ -1,35 +1,41 @@
-"""Models and scoring (survey 2.5) on Spark ML.
+"""Models and scoring (survey 2.5).
 
-The boosted trees are ``GBTClassifier``; L1/L2 leaf penalties and the
-column sample of the reference's learner have no Spark equivalent
-(``featureSubsetStrategy`` samples per node instead).  Everything fitted
-lives in one ``PipelineModel`` (imputer+scaler, assembler, trees) with
-its feature list, saved and loaded with Spark ML persistence.
+The learner is :class:`vigil.operators.boosting.RegularisedTrees`; Spark's own
+boosted trees (``gbt``) remain as the plainer choice without L1/L2, column sample
+and loss-reduction pruning. Everything fitted lives in one ``PipelineModel``
+(imputer + scaler, trees), and a model is published as one version: pipeline,
+parameters, metrics and feature list.
 """
 
 from __future__ import annotations
 
-import random
+import json
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import schemas as S
+from vigil.operators.boosting import RegularisedTrees, RegularisedTreesModel, settings_json
 from vigil.operators.preprocess import ImputeScale
+from vigil.sources import versions as V
+
+
+def regularised(features: list[str], row_id: str, label: str = "label", weight: str | None = None, **settings) -> RegularisedTrees:
+    """E1/E2 learner: the reference's nine settings, but for ``settings``."""
+    return RegularisedTrees(inputCols=features, labelCol=label, weightCol=weight, rowCol=row_id, settings=settings_json(**settings))
 
 
 def gbt(trees: int = S.TABULAR_GBT["trees"], depth: int = S.TABULAR_GBT["depth"],
         rate: float = S.TABULAR_GBT["rate"], subsample: float = S.TABULAR_GBT["subsample"],
         min_child: int = S.TABULAR_GBT["min_child"], gamma: float = S.TABULAR_GBT["gamma"],
         label: str = "label", weight: str | None = None, seed: int = 42) -> GBTClassifier:
-    """E1/E2 learner with the reference's defaults as parameters (gamma as
-    the minimum information gain of a split; l1/l2 have no equivalent)."""
+    """Spark's boosted trees (gamma as the minimum information gain of a
+    split; l1/l2 and the column sample have no equivalent)."""
     g = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth,
                       stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_child,
                       minInfoGain=gamma, featureSubsetStrategy="all", seed=seed, maxBins=64)
@@ -43,10 +49,11 @@ def with_weight(df: DataFrame, label: str, scale_pos_weight: float, out: str = "
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(scale_pos_weight))).otherwise(F.lit(1.0)))
 
 
-def tabular_pipeline(features: list[str], learner: GBTClassifier, impute_scale: bool = False) -> Pipeline:
+def tabular_pipeline(features: list[str], learner: Estimator, impute_scale: bool = False) -> Pipeline:
     stages = [ImputeScale(inputCols=features)] if impute_scale else []
-    stages += [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), learner]
-    return Pipeline(stages=stages)
+    if not isinstance(learner, RegularisedTrees):
+        stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"))
+    return Pipeline(stages=[*stages, learner])
 
 
 def probability(df: DataFrame, out: str = "ato_probability") -> DataFrame:
@@ -62,55 +69,60 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], backfill: bo
     if backfill:
         d = d.withColumns({c: F.lit(0.0) for c in features if c not in d.columns})
     keep = df.columns
+    last = model.stages[-1]
+    if isinstance(last, RegularisedTreesModel):
+        return model.transform(d, {last.outputCol: out}).select(*keep, out)
     return probability(model.transform(d), out).select(*keep, out)
 
 
-# --- FIXED VALUES: search space of the hyper-parameter search (lo, hi), in
-# the reference's order, for the parameters with a Spark equivalent:
-# trees 100-500, depth 3-10, rate .01-.3, subsample .6-.95, min child 1-10,
-# gamma 0-.5 (as minimum information gain).  Column sample and L1/L2 have
-# no GBTClassifier equivalent.
-SEARCH_SPACE = {
-    "maxIter": (100, 500),
-    "maxDepth": (3, 10),
-    "stepSize": (0.01, 0.3),
-    "subsamplingRate": (0.6, 0.95),
-    "minInstancesPerNode": (1, 10),
-    "minInfoGain": (0.0, 0.5),
-}
-
-
-def random_param_maps(learner: GBTClassifier, trials: int = S.SEARCH_TRIALS, seed: int = 42,
-                      space: dict | None = None) -> list[dict]:
-    """Seeded random draws over the space (integers for integer params)."""
-    rng = random.Random(seed)
-    space = space or SEARCH_SPACE
-    maps = []
-    for _ in range(trials):
-        m = {}
-        for name, (lo, hi) in space.items():
-            p = learner.getParam(name)
-            m[p] = rng.randint(lo, hi) if isinstance(lo, int) and isinstance(hi, int) else rng.uniform(lo, hi)
-        maps.append(m)
-    return maps
-
-
-def search(train: DataFrame, features: list[str], learner: GBTClassifier, fold_col: str,
-           trials: int = S.SEARCH_TRIALS, seed: int = 42, parallelism: int = 4,
-           space: dict | None = None):
-    """K-fold (stratified fold column) mean AUC per trial; returns the
-    fitted CrossValidatorModel and a DataFrame of (trial, params, auc)."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            learner])
-    maps = random_param_maps(learner, trials, seed, space)
-    ev = BinaryClassificationEvaluator(labelCol=learner.getLabelCol(), metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(train)
-    rows = [(i, ";".join(f"{p.name}={v}" for p, v in pm.items()), float(a))
-            for i, (pm, a) in enumerate(zip(maps, m.avgMetrics))]
-    res = train.sparkSession.createDataFrame(rows, "trial int, params string, mean_auc double")
-    return m, res
+def score_from_nodes(df: DataFrame, nodes: DataFrame, features: list[str], row_id: str, depth: int, out: str = "ato_probability") -> DataFrame:
+    """(row_id, out): the probability walked through the saved node table with
+    joins, one level at a time (a check of a model by its rows; nodes are the
+    model's, bounded by its settings)."""
+    values = F.create_map(*[x for c in features for x in (F.lit(c), F.col(f"`{c}`").cast("double"))])
+    at = (df.select(F.col(row_id).alias("_row"), values.alias("_v"))
+          .crossJoin(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0)))
+    nodes = F.broadcast(nodes.select("tree", "node", "feature", "threshold", "missing_left", "value"))
+    for _ in range(depth):
+        v = F.nanvl(F.element_at("_v", F.col("feature")), F.lit(None).cast("double"))
+        left = F.coalesce(v <= F.col("threshold"), F.col("missing_left"))
+        at = at.join(nodes, ["tree", "node"]).select(
+            "_row", "_v", "tree", F.when(F.col("feature").isNull(), F.col("node"))
+            .otherwise(2 * F.col("node") + F.when(left, F.lit(1)).otherwise(F.lit(2))).alias("node"))
+    margin = at.join(nodes, ["tree", "node"]).groupBy("_row").agg(F.sum("value").alias("_m"))
+    return margin.select(F.col("_row").alias(row_id), (1.0 / (1.0 + F.exp(-F.col("_m")))).alias(out))
+
+
+# ---- a model as one version (A11) -------------------------------------------
+
+@dataclass(frozen=True)
+class Bundle:
+    """What is saved together: the fitted pipeline, its settings, its metrics and its features."""
+    model: PipelineModel
+    params: dict
+    metrics: dict
+    features: list[str]
+    version: int = 0
+
+
+def publish_bundle(spark: SparkSession, root: str, bundle: Bundle) -> V.Version:
+    """All four parts become the current version at once."""
+    facts = json.dumps({"params": bundle.params, "metrics": bundle.metrics, "features": bundle.features})
+
+    def write(folder: str) -> None:
+        bundle.model.write().save(f"{folder}/pipeline")
+        spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{folder}/facts")
+
+    return V.publish(spark, root, write, {"kind": "model", "features": len(bundle.features)})
+
+
+def load_bundle(spark: SparkSession, root: str, number: int | None = None) -> Bundle:
+    """The current version, or the given one."""
+    found = V.current(spark, root, number)
+    if found is None:
+        raise ValueError(f"no model is published under {root}")
+    facts = json.loads(spark.read.text(f"{found.path}/facts", wholetext=True).first()["value"])
+    return Bundle(PipelineModel.load(f"{found.path}/pipeline"), facts["params"], facts["metrics"], facts["features"], found.number)
 
 
 def model_for_table(columns: list[str]) -> str:

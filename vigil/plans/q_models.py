@@ -1,29 +1,31 @@
 """Queries: model fitting, search, scoring and persistence (E, A11, D4)
-plus the model choice rules (E6, E7)."""
+plus the model choice rules (E6, E7).
 
-from __future__ import annotations
+Fits run at the reference's settings: 400 trees of depth 7 (tabular), 350 of
+depth 6 (behavioural), 30 trials x 5 folds over nine parameters."""
 
-import os
-import uuid
+from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from vigil import bindings
 from vigil import schemas as S
 from vigil.operators import decide, evaluate, models as M, sampling as C
 from vigil.operators import history as H
+from vigil.operators import search as T
+from vigil.operators.preprocess import ImputeScale, exact_medians
+from vigil.plans import q_sampling as QS
 from vigil.plans.q_sampling import NUMS, SEED, labelled
-from vigil.session import ensure_checkpoint_dir, materialize
+from vigil.session import materialize
+from vigil.sources import files as IO
 
-# small settings for the registered queries; the defaults are the reference's
-QUERY_TREES, QUERY_DEPTH = 20, 4
 FEATURES = NUMS + S.CATEGORICAL_FEATURES
+ID = "application_id"
 
 
 def _split(spark, sf):
     d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    return materialize(C.stratified_split(d, "is_ato", "application_id", 0.2, SEED), "split")
+    return materialize(C.stratified_split(d, "is_ato", ID, 0.2, SEED), "split")
 
 
 def _metrics(scored, p="ato_probability"):
@@ -33,89 +35,174 @@ def _metrics(scored, p="ato_probability"):
         evaluate.log_loss(lab, prob="score").drop("n"))
 
 
-def _fit_tabular(spark, sf, impute_scale=False):
+def _weighted(train):
+    w = C.class_weight(train, "is_ato").first()["scale_pos_weight"]
+    return M.with_weight(train, "is_ato", max(int(w), 1))
+
+
+def _fit_tabular(spark, sf, impute_scale=False, **settings):
     sp = _split(spark, sf)
-    train = sp.where(~F.col("is_test"))
-    w = C.class_weight(train, "is_ato").collect()[0]["scale_pos_weight"]
-    train = M.with_weight(train, "is_ato", max(int(w), 1))
-    learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH, weight="weight")
-    model = M.tabular_pipeline(FEATURES, learner, impute_scale=impute_scale).fit(train)
-    return model, sp
+    learner = M.regularised(FEATURES, ID, weight="weight", seed=SEED, **settings)
+    return M.tabular_pipeline(FEATURES, learner, impute_scale).fit(_weighted(sp.where(~F.col("is_test")))), sp
 
 
 def q_tabular(spark, sf):
     """E1 + E5 + J: fit on train with class weight, score test, metrics."""
     model, sp = _fit_tabular(spark, sf)
-    scored = M.score(model, sp.where("is_test"), FEATURES)
-    return _metrics(scored)
+    return _metrics(M.score(model, sp.where("is_test"), FEATURES))
 
 
-def q_behavioral(spark, sf):
+def _same(scored, walked):
+    return scored.select(ID, F.col("ato_probability").alias("p")).join(walked, ID).select(
+        ID, (F.abs(F.col("p") - F.col("ato_probability")) < 1e-9).alias("same"))
+
+
+def q_tabular_walked(spark, sf):
+    """E1 + E5: each test score against the one walked through the model's node table."""
+    model, sp = _fit_tabular(spark, sf)
+    test, trees = sp.where("is_test"), model.stages[-1]
+    walked = M.score_from_nodes(test, trees.nodes(spark), FEATURES, ID, S.TABULAR_GBT["depth"])
+    return _same(M.score(model, test, FEATURES), walked)
+
+
+SQL_TEST_SAME = QS.AP + QS.SPLIT + " SELECT application_id, TRUE AS same FROM sp WHERE is_test"
+
+#: Features of few values, which are cut at every value.
+FEW = ["email_is_free", "phone_home_valid", "device_distinct_emails_8w", "month", "customer_age", *S.CATEGORICAL_FEATURES]
+
+
+def q_first_splits(spark, sf):
+    """The first split on each feature of few values, its gain and its
+    two leaves, by the fit with one tree of depth one (all rows, no pruning)."""
+    train = _weighted(_split(spark, sf).where(~F.col("is_test")))
+    out = None
+    for c in FEW:
+        stump = M.regularised([c], ID, weight="weight", trees=1, depth=1, subsample=1.0, colsample=1.0, gamma=0.0).fit(train).nodes(spark)
+        at = lambda node, v: F.max(F.when(F.col("node") == node, F.col(v)))
+        row = stump.agg(F.lit(c).alias("feature"), at(0, "threshold").alias("threshold"), F.round(at(0, "gain"), 6).alias("gain"),
+                        F.round(at(0, "hessian"), 6).alias("hessian"), F.round(at(1, "value"), 9).alias("left_value"), F.round(at(2, "value"), 9).alias("right_value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_P = S.TABULAR_GBT
+_S = lambda g, h: f"(pow(greatest(abs({g}) - {_P['l1']}, 0), 2) / ({h} + {_P['l2']}))"
+_V = lambda g, h: f"round(-sign({g}) * greatest(abs({g}) - {_P['l1']}, 0) / ({h} + {_P['l2']}) * {_P['rate']}, 9)"
+SQL_FIRST_SPLITS = QS.AP + QS.SPLIT + f""", tr AS (SELECT * FROM sp WHERE NOT is_test),
+ cw AS (SELECT greatest(floor(count(*) FILTER (is_ato = 0) / greatest(count(*) FILTER (is_ato = 1), 1)), 1) AS w FROM tr),
+ vals AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, is_ato FROM tr" for c in FEW)}),
+ per AS (SELECT feature, v, sum((0.5 - is_ato) * CASE WHEN is_ato = 1 THEN w ELSE 1 END) AS g,
+   sum(0.25 * CASE WHEN is_ato = 1 THEN w ELSE 1 END) AS h FROM vals, cw GROUP BY feature, v),
+ cum AS (SELECT feature, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM per
+   WINDOW o AS (PARTITION BY feature ORDER BY v), f AS (PARTITION BY feature)),
+ gains AS (SELECT *, {_S('gl', 'hl')} + {_S('(gt - gl)', '(ht - hl)')} - {_S('gt', 'ht')} AS gain FROM cum
+   WHERE hl >= {_P['min_child']} AND ht - hl >= {_P['min_child']}),
+ best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, v) AS n FROM gains WHERE gain > 1e-6),
+ roots AS (SELECT feature, max(ht) AS ht FROM cum GROUP BY feature)
+SELECT r.feature, b.v AS threshold, round(b.gain, 6) AS gain, round(r.ht, 6) AS hessian,
+  {_V('gl', 'hl')} AS left_value, {_V('(gt - gl)', '(b.ht - hl)')} AS right_value
+FROM roots r LEFT JOIN best b ON b.feature = r.feature AND b.n = 1"""
+
+
+def _fit_behavioral(spark, sf):
     """E2 + D4: impute+scale bundle fitted on train, SMOTE on the scaled
-    train set (exact kNN), boosted trees, metrics on test."""
+    train set (exact kNN), boosted trees."""
     sp = _split(spark, sf)
     train, test = sp.where(~F.col("is_test")), sp.where("is_test")
-    from vigil.operators.preprocess import ImputeScale
     pre = ImputeScale(inputCols=FEATURES).fit(train)
     tr = pre.transform(train).withColumn("vec", F.array(*[F.col(c).cast("double") for c in FEATURES]))
-    plan = C.smote_plan(tr, "is_ato", 1.0, 5).collect()[0]
-    mi = tr.where("is_ato = 1").select(F.col("application_id").alias("id"), "vec")
+    plan = C.smote_plan(tr, "is_ato", 1.0, 5).first()
+    mi = tr.where("is_ato = 1").select(F.col(ID).alias("id"), "vec")
     if plan["run"]:
         nn = C.knn(mi, "id", "vec", int(plan["k"]))
         syn = C.smote_synthesize(mi, nn, "id", "vec", int(plan["n_new"]), int(plan["k"]), SEED)
-        syn = syn.select(*[F.col("vec")[i].alias(c) for i, c in enumerate(FEATURES)],
+        syn = syn.select((-1 - F.col("draw")).alias(ID), *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATURES)],
                          F.lit(1).alias("is_ato"), F.lit(1.0).alias("label"))
-        tr = tr.select(*FEATURES, "is_ato", "label").unionByName(syn)
-    learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH)
-    model = M.tabular_pipeline(FEATURES, learner).fit(tr)
-    scored = M.score(model, pre.transform(test), FEATURES)
-    return _metrics(scored).crossJoin(spark.createDataFrame([(int(plan["n_new"]),)], "synthetic_rows long"))
+        tr = tr.select(ID, *FEATURES, "is_ato", "label").unionByName(syn)
+    learner = M.regularised(FEATURES, ID, seed=SEED, **S.BEHAVIORAL_GBT)
+    return M.tabular_pipeline(FEATURES, learner).fit(tr), pre.transform(test), int(plan["n_new"])
 
 
-def q_search(spark, sf):
-    """Seeded random search, stratified folds, mean AUC per trial."""
+def q_behavioral(spark, sf):
+    """E2 + D4 + J: metrics on the test rows."""
+    model, test, n_new = _fit_behavioral(spark, sf)
+    return _metrics(M.score(model, test, FEATURES)).withColumn("synthetic_rows", F.lit(n_new).cast("long"))
+
+
+def q_behavioral_walked(spark, sf):
+    """E2 + D4: each test score against the one walked through the node table."""
+    model, test, _ = _fit_behavioral(spark, sf)
+    walked = M.score_from_nodes(test, model.stages[-1].nodes(spark), FEATURES, ID, S.BEHAVIORAL_GBT["depth"])
+    return _same(M.score(model, test, FEATURES), walked)
+
+
+def _search(spark, sf):
     d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    d = materialize(C.stratified_folds(d, "is_ato", "application_id", 3, SEED), "folds")
-    w = C.class_weight(d, "is_ato").first()["scale_pos_weight"]
-    d = M.with_weight(d, "is_ato", max(int(w), 1))
-    learner = M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH, weight="weight")
-    # the reference's ranges, with fewer/shallower trees so the registered
-    # query stays small; the full space is models.SEARCH_SPACE
-    space = {"maxIter": (5, 20), "maxDepth": (2, 5), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 0.95),
-             "minInstancesPerNode": (1, 10), "minInfoGain": (0.0, 0.5)}
-    _, res = M.search(d, FEATURES, learner, "fold", trials=3, seed=SEED, space=space)
-    return res.withColumn("mean_auc", F.round("mean_auc", 6))
+    d = _weighted(materialize(C.stratified_folds(d, "is_ato", ID, S.SEARCH_FOLDS, SEED), "folds"))
+    return T.search(d, FEATURES, "label", "fold", ID, trials=S.SEARCH_TRIALS, folds=S.SEARCH_FOLDS, weight="weight", seed=SEED)
+
+
+def q_search(spark, sf):
+    """Adaptive search over nine parameters, stratified folds, mean AUC per trial."""
+    return _search(spark, sf).withColumn("mean_auc", F.round("mean_auc", 6))
 
 
-def _model_dir(spark):
-    return os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
+def q_search_bounds(spark, sf):
+    """Every trial of the search keeps to the bounds and has a mean AUC."""
+    inside = F.lit(True)
+    for name, (low, high) in T.SEARCH_SPACE.items():
+        inside = inside & F.col(name).between(low, high)
+    return _search(spark, sf).select("trial", "batch", inside.alias("inside"), F.col("mean_auc").between(0.0, 1.0).alias("scored"))
+
+
+SQL_SEARCH_BOUNDS = f"""SELECT CAST(i AS INTEGER) AS trial, CAST(i // 5 AS INTEGER) AS batch, TRUE AS inside, TRUE AS scored
+FROM range({S.SEARCH_TRIALS}) t(i) WHERE (SELECT count(*) FROM documents) > 0"""
 
 
 def q_persist(spark, sf):
-    """A11 + D4 + E5: save the fitted pipeline (impute+scale bundle,
-    assembler, trees), load it back, score the test rows with both; the
-    probabilities must agree."""
-    model, sp = _fit_tabular(spark, sf, impute_scale=True)
-    path = _model_dir(spark)
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    test = sp.where("is_test").select("application_id", *FEATURES)
-    a = M.score(model, test, FEATURES, out="p_saved").select("application_id", "p_saved")
-    b = M.score(loaded, test, FEATURES, out="p_loaded").select("application_id", "p_loaded")
-    return a.join(b, "application_id").withColumn("same", F.col("p_saved") == F.col("p_loaded"))
+    """A11 + D4 + E5: a model (pipeline, settings, metrics, features) is
+    published, then a second one in its place; the first, pinned by its number,
+    scores every test row as it did when fitted and has kept its other parts."""
+    root = IO.scratch_dir(spark, "models")
+    saved = []
+    for trees in (_P["trees"], 20):
+        model, sp = _fit_tabular(spark, sf, impute_scale=True, trees=trees)
+        test = materialize(sp.where("is_test"), "test")
+        metrics = _metrics(M.score(model, test, FEATURES)).first().asDict()
+        bundle = M.Bundle(model, dict(_P, trees=trees, seed=SEED), metrics, FEATURES)
+        saved.append((bundle, M.publish_bundle(spark, root, bundle).number))
+    test = test.select(ID, *FEATURES)
+    first, second = M.load_bundle(spark, root, saved[0][1]), M.load_bundle(spark, root)
+    kept = all((b.params, b.metrics, b.features, n) == (loaded.params, loaded.metrics, loaded.features, loaded.version)
+               for (b, n), loaded in zip(saved, (first, second)))
+    a = M.score(saved[0][0].model, test, FEATURES, out="p_saved").select(ID, "p_saved")
+    b = M.score(first.model, test, FEATURES, out="p_loaded").select(ID, "p_loaded")
+    return a.join(b, ID).select(ID, (F.col("p_saved") == F.col("p_loaded")).alias("same_score"), F.lit(kept).alias("same_parts"))
+
+
+SQL_PERSIST = QS.AP + QS.SPLIT + " SELECT application_id, TRUE AS same_score, TRUE AS same_parts FROM sp WHERE is_test"
+
+
+def _gaps(df):
+    """Every third application lacks its income."""
+    return df.withColumn("income", F.when(F.col(ID) % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("income")))
 
 
 def q_live_scoring(spark, sf):
     """Score rows whose features are partly null (the pipeline's
     imputer fills them) and band the result (F2)."""
-    sp = _split(spark, sf)
-    train = sp.where(~F.col("is_test"))
-    model = M.tabular_pipeline(FEATURES, M.gbt(trees=QUERY_TREES, depth=QUERY_DEPTH), impute_scale=True).fit(train)
-    test = sp.where("is_test").withColumn(
-        "income", F.when(F.col("application_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("income")))
-    scored = M.score(model, test.select("application_id", *FEATURES), FEATURES, backfill=False)
-    return decide.band_and_action(scored).select("application_id", "ato_probability", "risk_level",
-                                                 "recommended_action")
+    model, sp = _fit_tabular(spark, sf, impute_scale=True)
+    scored = M.score(model, _gaps(sp.where("is_test")).select(ID, *FEATURES), FEATURES, backfill=False)
+    return decide.band_and_action(scored).select(ID, "ato_probability", "risk_level", "recommended_action")
+
+
+def q_live_filled(spark, sf):
+    """A row with a gap scores as the row whose gap holds the train median."""
+    model, sp = _fit_tabular(spark, sf, impute_scale=True)
+    median = exact_medians(sp.where(~F.col("is_test")), ["income"])["income"]
+    rows = _gaps(sp.where("is_test")).select(ID, *FEATURES)
+    filled = rows.withColumn("income", F.coalesce("income", F.lit(median)))
+    return _same(M.score(model, rows, FEATURES, backfill=False), M.score(model, filled, FEATURES).select(ID, "ato_probability"))
 
 
 # --- E6 / E7: which model a table or a row goes to -------------------------------
@@ -187,10 +274,15 @@ SELECT CASE WHEN behavioral_features_present >= 8 THEN 'behavioral' WHEN behavio
 
 REGISTRY = {
     "e1_tabular_gbt": (q_tabular, None),
+    "e1_first_splits": (q_first_splits, SQL_FIRST_SPLITS),
+    "e1_e5_scores_walked": (q_tabular_walked, SQL_TEST_SAME),
     "e2_d4_behavioral_pipeline": (q_behavioral, None),
-    "e3_random_search": (q_search, None),
+    "e2_d4_scores_walked": (q_behavioral_walked, SQL_TEST_SAME),
+    "e3_adaptive_search": (q_search, None),
+    "e3_search_bounds": (q_search_bounds, SQL_SEARCH_BOUNDS),
     "e4_live_scoring": (q_live_scoring, None),
-    "e5_a11_persist_and_score": (q_persist, None),
+    "e4_gaps_filled": (q_live_filled, SQL_TEST_SAME),
+    "e5_a11_persist_and_score": (q_persist, SQL_PERSIST),
     "e6_model_for_table": (q_model_for_tables, SQL_MODEL_FOR_TABLES),
     "e7_row_model_choice": (q_row_model_choice, SQL_ROW_MODEL_CHOICE),
 }
