@@ -56,8 +56,13 @@ def verify(chal: DataFrame, attempts: DataFrame) -> DataFrame:
     at = tl.where(F.col("attempt_id").isNotNull()).select(
         "attempt_id", "account_number", F.col("ts").alias("attempt_ts"), "ord",
         F.col("_live.c_id").alias("challenge_seq"),
-        F.coalesce(F.col("otp") == F.col("_live.code"), F.lit(False)).alias("_correct"))
-    wins = (at.where("_correct").groupBy("challenge_seq")
+        F.coalesce(F.col("otp") == F.col("_live.code"), F.lit(False)).alias("correct"))
+    return first_right(at)
+
+
+def first_right(at: DataFrame) -> DataFrame:
+    """Of the right codes (``correct``) given to a challenge only the first is valid."""
+    wins = (at.where("correct").groupBy("challenge_seq")
             .agg(F.min(F.struct("attempt_ts", "ord")).alias("_w")))
     j = at.join(wins, "challenge_seq", "left")
     valid = F.coalesce((F.col("_w.attempt_ts") == F.col("attempt_ts")) & (F.col("_w.ord") == F.col("ord")), F.lit(False))

@@ -23,6 +23,7 @@ MODULES = [
     "vigil.plans.q_sampling",
     "vigil.plans.q_models",
     "vigil.plans.q_stream",
+    "vigil.plans.q_live",
 ]
 
 

@@ -238,18 +238,18 @@ FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION
 SESSION_GAP = 12 * HOUR
 
 
-def sessions(spark, sf, gap_us: int = SESSION_GAP):
-    ev = _ev(spark, sf)
-    d = H.gap_sessions(ev, ["account"], "ts", "event_id", gap_us)
-    g = d.groupBy("account", "session_no").agg(
-        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
-        F.count(F.lit(1)).cast("bigint").alias("n_events"),
-        F.count_if(F.col("event_type").isin("click", "view")).cast("bigint").alias("n_pages"),
-        F.count_if(F.col("event_type") == "error").cast("bigint").alias("failed_login_attempts_session"),
-        F.count_if(F.col("event_type") == "purchase").cast("bigint").alias("n_purchases"),
-        F.count_if(F.col("event_type") == "signup").cast("bigint").alias("n_signups"),
-        F.sum("amount").alias("_amount"),
-        F.countDistinct("device").cast("bigint").alias("n_devices"))
+#: The event types that each count of a session is of.
+SESSION_COUNTS = {"n_pages": ("click", "view"), "failed_login_attempts_session": ("error",), "n_purchases": ("purchase",), "n_signups": ("signup",)}
+
+
+def session_aggregates() -> dict:
+    """What a session adds up, but for its number of devices."""
+    kinds = {n: F.count_if(F.col("event_type").isin(*k)).cast("bigint") for n, k in SESSION_COUNTS.items()}
+    return {"n_events": F.count(F.lit(1)).cast("bigint"), **kinds, "_amount": F.sum("amount")}
+
+
+def session_columns(g):
+    """The session table from start, end and the aggregates."""
     minutes = (epoch_us("session_end") - epoch_us("session_start")) / F.lit(60_000_000.0)
     return g.select(
         "account", "session_no", "session_start", "session_end", "n_events", "n_pages",
@@ -261,6 +261,16 @@ def sessions(spark, sf, gap_us: int = SESSION_GAP):
         F.round(F.col("_amount"), 2).alias("session_amount"))
 
 
+def sessions(spark, sf, gap_us: int = SESSION_GAP):
+    ev = _ev(spark, sf)
+    d = H.gap_sessions(ev, ["account"], "ts", "event_id", gap_us)
+    g = d.groupBy("account", "session_no").agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
+        *[c.alias(n) for n, c in session_aggregates().items()],
+        F.countDistinct("device").cast("bigint").alias("n_devices"))
+    return session_columns(g)
+
+
 SQL_SESSIONS = EV + f"""SELECT account, session_no, min(ts) AS session_start, max(ts) AS session_end,
   count(*) AS n_events, count_if(event_type IN ('click', 'view')) AS n_pages,
   count_if(event_type = 'error') AS failed_login_attempts_session, count_if(event_type = 'purchase') AS n_purchases,

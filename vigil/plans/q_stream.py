@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from vigil import bindings
 from vigil.operators import lists
 from vigil.plans import detect
-from vigil.plans import q_accounts as QA
 from vigil.plans.q_accounts import SQL_FOLD
 from vigil.plans.q_clean import SQL_PROCESSED, processed
 from vigil.plans import q_sampling as QS
@@ -21,11 +20,12 @@ from vigil.plans.q_sampling import NUMS, SEED, labelled
 from vigil.plans.sqltext import sround
 from vigil.session import materialize
 from vigil.sources import files as IO
+from vigil.sources import list_table
+from vigil.sources import versions as V
 from vigil.sources.tables import table
 from vigil.streaming import stream as ST
 
 STAMP = "2024-06-01T00:00:00"
-N_FILES = 6
 D = f"WITH d AS {detect.DETECTIONS_SQL} "
 MSG_FIELDS = ["transaction_id", "account_number", "ip_country", "ip_address", "device_id", "beneficiary_account",
               "ip_fraud_score", "ip_blacklisted", "new_device", "new_location", "beneficiary_blacklisted",
@@ -36,7 +36,7 @@ def _publish(spark, sf, folder, behaviour="behavioral_anomaly_score"):
     det = materialize(detect.detections(spark, sf), "detections")
     msgs = det.select(*MSG_FIELDS, F.col(behaviour).alias("behavioral_anomaly_score"),
                       F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"), "txn_seq")
-    IO.publish_messages(msgs.drop("txn_seq"), folder, STAMP, N_FILES, order=["transaction_ts", "transaction_id"])
+    IO.publish_messages(msgs.drop("txn_seq"), folder, STAMP, IO.slices_for(det.count()), order=["transaction_ts", "transaction_id"])
     return det
 
 
@@ -77,12 +77,13 @@ def q_write_table(spark, sf):
 
 
 def q_list_documents(spark, sf):
-    """A4 → A3 → G7: lists written as JSON documents per list, read back
-    and flattened to rows."""
-    ls = lists.fold_adds(lists.fan_out_adds(detect.detections(spark, sf).where("ato_confirmed"))).drop("first_listed")
-    folder = IO.scratch_dir(spark, "lists")
-    IO.write_list_documents(ls, folder)
-    return IO.read_list_documents(spark, folder)
+    """A4 → A3 → G7: lists published as JSON documents per list, once in
+    part and then whole, read back and flattened to rows."""
+    ls = materialize(lists.fold_adds(lists.fan_out_adds(detect.detections(spark, sf).where("ato_confirmed"))).drop("first_listed"), "lists")
+    root = IO.scratch_dir(spark, "lists")
+    IO.publish_lists(ls.where("list = 'ip'"), root)
+    IO.publish_lists(ls, root)
+    return IO.read_published_lists(spark, root)
 
 
 SQL_LIST_DOCUMENTS = SQL_FOLD.replace("SELECT list, key, count(*) AS count", "SELECT list, key, CAST(count(*) AS BIGINT) AS count").replace(
@@ -94,7 +95,7 @@ def q_publish(spark, sf):
     folder = IO.scratch_dir(spark, "msgs")
     tx = bindings.transactions(spark, sf).select("transaction_id", "account_number", "transaction_amount",
                                                  "behavioral_anomaly_score")
-    IO.publish_messages(tx, folder, STAMP, files=4)
+    IO.publish_messages(tx, folder, STAMP, files=IO.slices_for(table(spark, sf, "orders").count()))
     return spark.read.schema("transaction_id string, account_number string, transaction_amount double, "
                              "behavioral_anomaly_score double, streamed_at string").json(folder)
 
@@ -269,7 +270,8 @@ def q_paced(spark, sf):
                  F.sum("count").cast("bigint").alias("messages"))
 
 
-SQL_PACED = D + f"SELECT CAST(least(count(*), {N_FILES}) AS BIGINT) AS batches, count(*) AS messages FROM d"
+SQL_PACED = D + f"""SELECT CAST(least(count(*), greatest(4, ceil(count(*) / {IO.SLICE_ROWS}.0))) AS BIGINT) AS batches,
+  count(*) AS messages FROM d"""
 
 
 def q_running_totals(spark, sf):
@@ -312,7 +314,7 @@ def q_window_counts(spark, sf, slide: str | None = None):
     msg = det.select(*MSG_FIELDS, "behavioral_anomaly_score",
                      F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"))
     IO.publish_in_time_order(msg.select(F.to_timestamp("transaction_ts").alias("t"),
-                                        F.to_json(F.struct(*msg.columns)).alias("value")), base + "/in", "t", N_FILES)
+                                        F.to_json(F.struct(*msg.columns)).alias("value")), base + "/in", "t", IO.slices_for(det.count()))
     m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=1))))
     agg = (m.withWatermark("event_time", REDELIVERY_DELAY)
            .groupBy(F.window("event_time", "30 days", slide), "action").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
@@ -341,13 +343,20 @@ SQL_WINDOW_COUNTS = D + """SELECT time_bucket(INTERVAL '30 days', transaction_ts
 
 
 def q_stream_lists(spark, sf):
-    """List upsert from the live stream (idempotent per batch id)."""
+    """Each micro-batch's confirmed frauds merged into the stored list
+    table, and the last batch delivered once more."""
     base = IO.scratch_dir(spark, "lists")
     _publish(spark, sf, base + "/in")
-    m = ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=2)))
-    ST.run_available_now(m, None, None, base + "/ckpt", foreach_batch=ST.list_upsert_callback(base + "/adds"))
-    adds = spark.read.parquet(base + "/adds")
-    return lists.fold_adds(adds.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).drop("first_listed")
+    merge, seen = ST.list_upsert_callback(base + "/table"), []
+
+    def cb(batch, batch_id):
+        merge(batch, batch_id)
+        merge(batch, batch_id)
+        seen.append(batch_id)
+    m = ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=1)))
+    ST.run_available_now(m, None, None, base + "/ckpt", foreach_batch=cb)
+    assert len(V.versions(spark, base + "/table")) == len(seen)  # a repeated batch is no version
+    return list_table.read_lists(spark, base + "/table")
 
 
 REDELIVERY_DELAY = "2 days"
@@ -364,7 +373,7 @@ def q_dedupe(spark, sf):
     feed = msg.unionByName(msg.where(F.col("txn_seq") % 10 == 0))  # every 10th message twice
     IO.publish_in_time_order(feed.select(F.to_timestamp("transaction_ts").alias("t"),
                                          F.to_json(F.struct(*[c for c in msg.columns if c != "txn_seq"])).alias("value")),
-                             base + "/in", "t", N_FILES)
+                             base + "/in", "t", IO.slices_for(det.count()))
     m = ST.dedupe(ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=1))), REDELIVERY_DELAY)
     out = ST.score(m).select("transaction_id", "action")
     ST.run_available_now(out, "parquet", base + "/out", base + "/ckpt")
@@ -373,45 +382,7 @@ def q_dedupe(spark, sf):
 
 SQL_DEDUPE = D + "SELECT transaction_id, action FROM d"
 
-def q_stream_account_state(spark, sf):
-    """H1 + H3 on a stream: challenges and attempts replayed in time order
-    through keyed state; the accounts still suspended at the end."""
-    from vigil.operators import accounts as A
-    from vigil.plans.q_accounts import attempts_from
-    from vigil.streaming import state as SS
-    base = IO.scratch_dir(spark, "acct")
-    det = materialize(detect.detections(spark, sf), "detections")
-    ch = materialize(A.challenges(det), "challenges")
-    chal = ch.join(det.select("transaction_id", "action", "ato_probability", "behavioral_anomaly_score"),
-                   "transaction_id").select(
-        F.lit("challenge").alias("kind"), "account_number", F.col("issued_ts").alias("t"),
-        F.col("cseq").alias("ord"), "otp", "action", "transaction_id", "ato_probability", "behavioral_anomaly_score")
-    att = attempts_from(ch).select(
-        F.lit("attempt").alias("kind"), "account_number", F.col("attempt_ts").alias("t"),
-        (F.lit(1 << 40) + F.col("attempt_seq")).alias("ord"), "otp", F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("double").alias("ato_probability"),
-        F.lit(None).cast("double").alias("behavioral_anomaly_score"))
-    evs = chal.unionByName(att).withColumn("ts", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-    payload = F.to_json(F.struct("kind", "account_number", "ts", "ord", "otp", "action", "transaction_id",
-                                 "ato_probability", "behavioral_anomaly_score")).alias("value")
-    IO.publish_in_time_order(evs.select("t", payload), base + "/in", "t", N_FILES)
-    raw = spark.readStream.option("maxFilesPerTrigger", 1).text(base + "/in")
-    events = raw.select(F.from_json("value", SS.EVENT_SCHEMA).alias("e")).select("e.*")
-
-    def cb(batch, batch_id):
-        batch.withColumn("b", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-    ST.run_available_now(SS.account_state(events), None, None, base + "/ckpt", mode="update", foreach_batch=cb)
-    out = spark.read.parquet(base + "/out")
-    last = out.groupBy("account_number").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("account_number", "batch")]),
-                                                       "b").alias("s"))
-    return last.where("s.suspended").select(
-        "account_number", F.col("s.suspension_time").cast("timestamp_ntz").alias("suspension_time"),
-        F.col("s.transaction_id").alias("transaction_id"), F.col("s.ato_probability").alias("ato_probability"),
-        F.col("s.behavioral_anomaly_score").alias("behavioral_anomaly_score"), F.lit("SUSPENDED").alias("status"))
-
-
 REGISTRY = {
-    "h1_h3_stream_account_state": (q_stream_account_state, QA.SQL_SUSPENDED),
     "a1_csv_folder": (q_csv_folder, SQL_CSV_FOLDER),
     "a2_write_table": (q_write_table, SQL_PROCESSED),
     "a3_a4_g7_list_documents": (q_list_documents, SQL_LIST_DOCUMENTS),

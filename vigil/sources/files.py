@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.session import ensure_checkpoint_dir
+from vigil.sources import versions as V
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -109,13 +110,25 @@ LIST_ENTRY = T.StructType([
 def write_list_documents(lists: DataFrame, folder: str) -> None:
     """A4: each list as JSON-lines documents, one ``{"key": {...}}`` object
     per line, partitioned by list — splittable, so no document is ever
-    one task's whole input; a new folder per version."""
+    one task's whole input. ``folder`` is new; :func:`publish_lists` makes it
+    the current version."""
     entry = F.struct(F.col("count").cast("long").alias("count"), "account", "fraud_confirmed",
                      F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"), "reason")
     docs = lists.select("list", F.to_json(F.create_map(F.col("key"), entry)).alias("value"))
     docs.write.mode("overwrite").partitionBy("list").text(folder)
 
 
+def publish_lists(lists: DataFrame, root: str) -> V.Version:
+    """A4: the lists as a new version under ``root``; readers see the old one until it is whole."""
+    return V.publish(lists.sparkSession, root, lambda folder: write_list_documents(lists, folder))
+
+
+def read_published_lists(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """A3 + G7 of the current version, or the given one; nothing published gives an empty frame."""
+    found = V.current(spark, root, number)
+    return read_list_documents(spark, found.path if found else f"{root}/nothing")
+
+
 def read_list_documents(spark: SparkSession, folder: str, whole_file: bool = False) -> DataFrame:
     """A3 + G7: read list documents (JSON objects keyed by entity, one per
     line; or one object per file with ``whole_file``) and flatten them to
@@ -133,6 +146,15 @@ def read_list_documents(spark: SparkSession, folder: str, whole_file: bool = Fal
                .select("list", "key", "v.count", "v.account", "v.fraud_confirmed", "v.last_updated", "v.reason"))
 
 
+#: Rows of a replay feed that make a file (and, one a trigger, a micro-batch).
+SLICE_ROWS = 25_000
+
+
+def slices_for(rows: int) -> int:
+    """Files of a feed of so many rows: one per SLICE_ROWS, at least four."""
+    return max(4, -(-rows // SLICE_ROWS))
+
+
 def publish_messages(df: DataFrame, folder: str | None, stamp: str, files: int | None = None,
                      order: list[str] | None = None, kafka_options: dict | None = None) -> None:
     """NaN → null, a ``streamed_at`` stamp (a parameter, so replays are

@@ -1,60 +1,243 @@
-"""Per-account OTP and suspension state on a stream (H1 + H3 streaming).
+"""Keyed state on streams that arrive out of order (L1-L3, H1, H3).
 
-Keyed state with ``applyInPandasWithState``: per account it keeps the
-live OTP challenge (code, id, consumed) and the current suspension.
-Within a micro-batch an account's events are applied in (time, order)
-order; the state carries across batches, so the result equals the batch
-operators when the feed arrives in time order.
+A stateful operator keeps, per key, a buffer of the events that the watermark
+has not passed yet. A timer at the earliest of them wakes the key; events at or
+before the watermark are final (later ones with such a time are late and never
+get here), so they are taken in event-time order and applied once. The result
+does not depend on the order of arrival within the watermark's delay, nor on how
+the feed is cut into micro-batches, nor on a restart.
+
+The buffer holds what arrived within the delay. What is applied is kept as long
+as it can matter: velocity counts in a ring of time buckets, of which those
+older than the widest window go, with the key's whole state when it falls idle;
+of an account only a live challenge and a standing suspension.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigil.operators.accounts import otp_shape_ok
 
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+
+
+def _us(times: pd.Series) -> np.ndarray:
+    return times.to_numpy(dtype="datetime64[us]").astype(np.int64)
+
+
+class InOrder(StatefulProcessor):
+    """Buffers events and hands the final ones on in (event time, ord) order.
+
+    ``columns`` are the event's columns but for the key and the time, with
+    their types; ``ord`` is one of them."""
+
+    columns: dict[str, str] = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "t long, " + ", ".join(f"{k} {t}" for k, t in self.columns.items()))
+        self.open()
+
+    def open(self) -> None:
+        """Further state."""
+
+    def apply(self, key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+        """What the final events, in order, make of the state."""
+        raise NotImplementedError
+
+    def idle_at(self) -> int | None:
+        """The time (µs) at which a key without pending events can be forgotten."""
+        return None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            t = _us(part["event_time"])
+            values = part[list(self.columns)].astype(object).where(part[list(self.columns)].notna(), None)
+            values["ord"] = [None if v is None else int(v) for v in values["ord"]]  # a column with nulls comes as doubles
+            self.pending.appendList([(int(at), *row) for at, row in zip(t, values.itertuples(index=False, name=None), strict=True)])
+            first = int(t.min()) if first is None else min(first, int(t.min()))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.pending.get()) if self.pending.exists() else []
+        final = [r for r in rows if r[0] <= until]
+        if final:
+            left = [r for r in rows if r[0] > until]
+            if left:
+                self.pending.put(left)
+                self.handle.registerTimer(-(-min(r[0] for r in left) // 1000))
+            else:
+                self.pending.clear()
+            events = pd.DataFrame(final, columns=["t", *self.columns]).sort_values(["t", "ord"], kind="stable", ignore_index=True)
+            yield self.apply(key, events)
+        if not rows or len(final) == len(rows):
+            idle = self.idle_at()
+            if idle is not None and idle <= until:
+                self.forget()
+            elif idle is not None:
+                self.handle.registerTimer(-(-idle // 1000))
+
+    def forget(self) -> None:
+        """Clear what ``open`` made."""
+
+    def close(self) -> None:
+        pass
+
+
+# ---- L1-L3: rolling counts per message --------------------------------------
+
+class VelocityRing(InOrder):
+    """Counts of the key's earlier events of a kind in windows before each
+    event, exactly: a ring of buckets with their counts and, for the bucket a
+    window begins or ends in, their times."""
+
+    def __init__(self, windows: dict[str, tuple[str, int]], kinds: list[str], bucket_us: int = DAY_US):
+        self.windows, self.kinds, self.bucket = windows, kinds, bucket_us
+        self.columns = {"ord": "long", **dict.fromkeys(kinds, "boolean")}
+        self.widest = max(width for _, width in windows.values())
+
+    def open(self) -> None:
+        self.counts = self.handle.getMapState("counts", "kind string, bucket long", "n long")
+        self.times = self.handle.getMapState("times", "kind string, bucket long", "t binary")
+        self.newest = self.handle.getValueState("newest", "t long")
+
+    def apply(self, key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+        t = events["t"].to_numpy(dtype=np.int64)
+        held: dict[tuple, int] = {(k[0], k[1]): v[0] for k, v in self.counts.iterator()}
+        read: dict[tuple, np.ndarray] = {}
+
+        def times(kind: str, bucket: int) -> np.ndarray:
+            if (kind, bucket) not in read:
+                raw = self.times.getValue((kind, bucket)) if (kind, bucket) in held else None
+                read[kind, bucket] = np.frombuffer(bytes(raw[0]), dtype=np.int64) if raw else np.empty(0, dtype=np.int64)
+            return read[kind, bucket]
+
+        for kind in self.kinds:
+            mine = t[(events[kind] == True).to_numpy()]  # noqa: E712  null is false
+            for bucket in np.unique(mine // self.bucket):
+                slot = (kind, int(bucket))
+                read[slot] = np.concatenate([times(*slot), mine[mine // self.bucket == bucket]])  # events come in order
+                held[slot] = len(read[slot])
+                self.counts.updateValue(slot, (held[slot],))
+                self.times.updateValue(slot, (read[slot].tobytes(),))
+
+        def before(kind: str, x: np.ndarray) -> np.ndarray:
+            """Number of held events of the kind earlier than each x."""
+            buckets = np.array(sorted(b for k, b in held if k == kind), dtype=np.int64)
+            sums = np.concatenate([[0], np.cumsum([held[kind, int(b)] for b in buckets])]).astype(np.int64)
+            at = x // self.bucket
+            out = sums[np.searchsorted(buckets, at)]
+            for b in np.unique(at):
+                if (kind, int(b)) in held:
+                    here = at == b
+                    out[here] += np.searchsorted(times(kind, int(b)), x[here], side="left")
+            return out
+
+        upto = {kind: before(kind, t) for kind in self.kinds}
+        out = {"key": key[0], "ord": events["ord"]}
+        out |= {name: upto[kind] - before(kind, t - width) for name, (kind, width) in self.windows.items()}
+        newest = int(t[-1])
+        self.newest.update((newest,))
+        for kind, bucket in [s for s in held if (s[1] + 1) * self.bucket <= newest - self.widest]:
+            self.counts.removeKey((kind, bucket))
+            self.times.removeKey((kind, bucket))
+        return pd.DataFrame(out)
+
+    def idle_at(self) -> int | None:
+        newest = self.newest.get()
+        return newest[0] + self.widest + self.bucket if newest else None
+
+    def forget(self) -> None:
+        for state in (self.counts, self.times, self.newest):
+            state.clear()
+
+
+def rolling_counts(events: DataFrame, key: str, ord_col: str, windows: dict[str, tuple[str, int]], delay: str,
+                   bucket_us: int = DAY_US) -> DataFrame:
+    """(key, ord, one column per window): for each event, once its time is
+    final, the number of the key's events of the window's kind with a time in
+    [t - width, t - 1 µs]. ``events`` has event_time, the key, an id and one boolean
+    column per kind; ids may be null (a heartbeat that only moves the watermark)."""
+    kinds = sorted({kind for kind, _ in windows.values()})
+    ring = VelocityRing(windows, kinds, bucket_us)
+    schema = f"key {dict(events.dtypes)[key]}, ord long, " + ", ".join(f"{name} long" for name in windows)
+    slim = events.withWatermark("event_time", delay).select(F.col(key).alias("key"), "event_time", F.col(ord_col).cast("long").alias("ord"), *kinds)
+    counted = slim.groupBy("key").transformWithStateInPandas(ring, schema, "Append", "EventTime")
+    return counted.where(F.col("ord").isNotNull()).withColumnsRenamed({"key": key, "ord": ord_col})
+
+
+# ---- H1 + H3: challenges, attempts and suspensions --------------------------
+
 EVENT_SCHEMA = ("kind string, account_number string, ts string, ord long, otp string, action string, "
                 "transaction_id string, ato_probability double, behavioral_anomaly_score double")
-STATE_SCHEMA = ("live_otp string, live_id long, consumed boolean, suspended boolean, susp_ts timestamp, "
-                "susp_txn string, susp_p double, susp_b double")
-OUT_SCHEMA = ("account_number string, suspended boolean, suspension_time timestamp, transaction_id string, "
+OUT_SCHEMA = ("account_number string, as_of timestamp, suspended boolean, suspension_time timestamp, transaction_id string, "
               "ato_probability double, behavioral_anomaly_score double, valid_otps long")
+_SUSPENSION = ["suspension_time", "transaction_id", "ato_probability", "behavioral_anomaly_score"]
+
+
+class AccountState(InOrder):
+    """The live challenge and the suspension of an account."""
+
+    columns = {"ord": "long", "kind": "string", "otp": "string", "action": "string", "transaction_id": "string",
+               "ato_probability": "double", "behavioral_anomaly_score": "double"}
+
+    def open(self) -> None:
+        self.challenge = self.handle.getValueState("challenge", "otp string")
+        self.suspension = self.handle.getValueState("suspension", "t long, transaction_id string, p double, b double")
+
+    def apply(self, key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+        live, held = self.challenge.get(), self.suspension.get()
+        issued = (events["kind"] == "challenge").to_numpy()
+        # which challenge is live at each event: 0 is the one kept from before
+        number = np.cumsum(issued)
+        codes = np.array([live[0] if live else None, *events["otp"][issued]], dtype=object)
+        given = events["otp"].to_numpy(dtype=object)
+        right = ~issued & (given == codes[number]) & (codes[number] != None)  # noqa: E711
+        first = np.zeros(len(events), dtype=bool)
+        at = np.flatnonzero(right)
+        first[at[np.unique(number[at], return_index=True)[1]]] = True  # a right code uses its challenge up
+        used = bool((first & (number == number[-1])).any())
+        suspends = np.flatnonzero(issued & (events["action"] == "SUSPEND").to_numpy())
+        frees = np.flatnonzero(first)
+        if len(suspends) and (not len(frees) or frees[-1] < suspends[-1]):
+            r = events.iloc[suspends[-1]]
+            held = (int(r["t"]), r["transaction_id"], float(r["ato_probability"]), float(r["behavioral_anomaly_score"]))
+        elif len(frees):
+            held = None
+        self._keep(self.challenge, None if used or codes[-1] is None else (codes[-1],))
+        self._keep(self.suspension, held)
+        out = {"account_number": key[0], "as_of": pd.Timestamp(int(events["t"].iloc[-1]), unit="us"), "suspended": held is not None}
+        values = [pd.Timestamp(held[0], unit="us"), *held[1:]] if held else [None] * 4
+        return pd.DataFrame([out | dict(zip(_SUSPENSION, values, strict=True)) | {"valid_otps": int(first.sum())}])
+
+    @staticmethod
+    def _keep(state, value: tuple | None) -> None:
+        if value is None:
+            state.clear()
+        else:
+            state.update(value)
 
 
-def _step(key, batches, state):
-    if state.exists:
-        (live_otp, live_id, consumed, suspended, susp_ts, susp_txn, susp_p, susp_b) = state.get
-    else:
-        live_otp, live_id, consumed, suspended, susp_ts, susp_txn, susp_p, susp_b = (
-            None, None, False, False, None, None, None, None)
-    valid = 0
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["event_time", "ord"], kind="stable")
-    for r in pdf.itertuples(index=False):
-        if r.kind == "challenge":
-            live_otp, live_id, consumed = r.otp, int(r.ord), False
-            if r.action == "SUSPEND":
-                suspended, susp_ts, susp_txn = True, r.event_time, r.transaction_id
-                susp_p, susp_b = r.ato_probability, r.behavioral_anomaly_score
-        elif r.kind == "attempt":
-            if live_otp is not None and not consumed and r.otp == live_otp:
-                consumed, suspended = True, False
-                valid += 1
-    state.update((live_otp, live_id, consumed, suspended, susp_ts, susp_txn, susp_p, susp_b))
-    yield pd.DataFrame([{
-        "account_number": key[0], "suspended": suspended, "suspension_time": susp_ts if suspended else None,
-        "transaction_id": susp_txn if suspended else None, "ato_probability": susp_p if suspended else None,
-        "behavioral_anomaly_score": susp_b if suspended else None, "valid_otps": valid}])
-
-
-def account_state(events: DataFrame) -> DataFrame:
+def account_state(events: DataFrame, delay: str) -> DataFrame:
     """Challenges (kind 'challenge', action SUSPEND or OTP_REQUIRED) and
-    attempts (kind 'attempt'; malformed codes are dropped first) → the
-    account's state after each batch (update mode)."""
-    ev = events.where((F.col("kind") == "challenge") | otp_shape_ok("otp")) \
-               .withColumn("event_time", F.to_timestamp("ts"))
-    return ev.groupBy("account_number").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "Update", GroupStateTimeout.NoTimeout)
+    attempts (kind 'attempt'; malformed codes are dropped first) in any order
+    within ``delay``: the account's state as of its newest final event, one row
+    each time events become final. Other kinds (a heartbeat) only move the
+    watermark."""
+    ev = events.withColumn("event_time", F.to_timestamp("ts")).withWatermark("event_time", delay)
+    counts = (F.col("kind") == "challenge") | ((F.col("kind") == "attempt") & otp_shape_ok("otp"))
+    ev = ev.where(F.when(counts, F.col("event_time")).isNotNull())  # on the event time too, or it is pushed below the watermark
+    slim = ev.select("account_number", "event_time", *AccountState.columns)
+    return slim.groupBy("account_number").transformWithStateInPandas(AccountState(), OUT_SCHEMA, "Append", "EventTime")

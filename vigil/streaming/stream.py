@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from vigil.functions import decide_action, rule_score
 from vigil.operators import lists
 from vigil.operators.models import score as model_score
+from vigil.sources import list_table
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()), T.StructField("account_number", T.StringType()),
@@ -136,15 +137,13 @@ def alert_callback(out_dir: str):
     return cb
 
 
-def list_upsert_callback(adds_dir: str):
-    """The frauds confirmed by scoring each batch (F4) → list adds
-    written under ``batch_id``; the lists are the fold (G1) of all adds, so replaying a
-    batch overwrites its own adds instead of counting them twice."""
+def list_upsert_callback(root: str, source: str = "stream"):
+    """The frauds confirmed by scoring each batch (F4) → list adds (G2),
+    merged into the stored list table under ``root``; a repeated batch changes nothing."""
     def cb(batch: DataFrame, batch_id: int) -> None:
         conf = score(batch).where("ato_confirmed").withColumn("transaction_ts", F.col("event_time")) \
                     .withColumn("txn_seq", F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint"))
-        adds = lists.fan_out_adds(conf)
-        adds.write.mode("overwrite").parquet(f"{adds_dir}/batch_id={batch_id}")
+        list_table.apply_adds(batch.sparkSession, root, lists.fan_out_adds(conf), source, batch_id)
     return cb
 
 
