@@ -27,6 +27,17 @@ def test_baseline_of_fractional_signals(spark):
     assert (b["mean_s1"], b["std_s1"], b["mean_s2"], b["std_s2"]) == (0.156667, 0.032998, 4.766667, 0.449691)
 
 
+def test_sums_neither_cut_nor_overflow(spark):
+    tiny, huge = [1.5e-15, 2.5e-15, 3.25e-15], [3e19, 4e19, 5e19]
+    rows = [("T", a, b, c) for a, b, c in zip(tiny, huge, [1e200, 1e200, 4e200], strict=True)]
+    s = spark.createDataFrame(rows, "account string, s1 double, s2 double, s3 double")
+    b = K.build(s, ["s1", "s2", "s3"]).first()
+    assert abs(b["mean_s1"] / (7.25e-15 / 3) - 1) < 1e-9 and b["mean_s2"] == 4e19 and abs(b["mean_s3"] / 2e200 - 1) < 1e-12
+    empty = spark.createDataFrame([("T", None, float("inf"))] * 3, "account string, s1 double, s2 double")
+    b = K.build(empty, SIG).first()
+    assert b["mean_s1"] is None and b["mean_s2"] == float("inf")
+
+
 def test_baseline_score(spark):
     hist = spark.createDataFrame([("B", 10, 2), ("B", 20, 4), ("B", 30, 6)], "account string, s1 long, s2 long")
     new = spark.createDataFrame([("B", 20, 4), ("B", 100, 4), ("Z", 1, 1)], "account string, s1 long, s2 long")

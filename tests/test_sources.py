@@ -2,9 +2,11 @@
 absent folders, list documents in both layouts."""
 
 import datetime as dt
-import gzip
+import glob
 import os
 
+import pytest
+
 from vigil.operators import lists
 from vigil.sources import files as IO
 
@@ -27,15 +29,20 @@ def test_csv_folder_mixed_headers_and_broken_file(spark):
     assert any(e.endswith("c.csv") for e in errors)
 
 
-def test_corrupt_compressed_file_is_skipped(spark):
-    folder = IO.scratch_dir(spark, "t-gz")
-    os.makedirs(folder, exist_ok=True)
-    with gzip.open(os.path.join(folder, "good.csv.gz"), "wt") as f:
-        f.write("id,x\n1,2\n")
-    with open(os.path.join(folder, "bad.csv.gz"), "wb") as f:
-        f.write(b"\x1f\x8b not really gzip")
-    df = spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(folder)
-    assert [r["id"] for r in df.collect()] == ["1"]
+def test_corrupt_file_is_left_out_and_listed(spark):
+    """A file that breaks off half-way (its checksum says so) gives no rows, and is listed with its readable lines."""
+    folder = IO.scratch_dir(spark, "t-corrupt")
+    for name, rows in (("a", 3), ("b", 200_000), ("c", 2)):
+        spark.createDataFrame([(i, f"{name}{i}") for i in range(rows)], "id long, x string").coalesce(1).write.mode("append").option("header", True).csv(folder)
+    big = max(glob.glob(folder + "/*.csv"), key=os.path.getsize)
+    with open(big, "r+b") as f:
+        f.seek(os.path.getsize(big) // 2)
+        f.write(b"#" * 100)
+    df, errors = IO.read_csv_folder(spark, folder)
+    assert sorted(r["x"] for r in df.collect()) == ["a0", "a1", "a2", "c0", "c1"]
+    assert [e.endswith(os.path.basename(big)) for e in errors] == [True] and 0 < errors[0].lines < 200_001
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        IO.read_csv_folder(spark, folder, verify=False)[0].collect()
 
 
 def test_empty_or_absent_folder(spark):

@@ -8,7 +8,9 @@ least(|x − mean| / greatest(3·std, 1e-9), 1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import schemas as S
@@ -21,14 +23,31 @@ def build(sessions: DataFrame, signals: list[str], key: str = "account",
     doubles, in one grouped aggregate (partial aggregation, so a hot account
     is combined map-side); accounts under the minimum are rejected."""
     aggs = [F.count(F.lit(1)).cast("bigint").alias("n_sessions")]
-    for s in signals:
-        # sums of 12-digit decimals are exact, so the mean does not depend on the order of addition
-        total = F.sum(F.col(s).cast("double").cast("decimal(28,12)")).cast("double")
+    for s, total in exact_sums(sessions, signals).items():
         aggs += [(total / F.count(s)).alias(f"mean_{s}"),
                  F.stddev_pop(F.col(s).cast("double")).alias(f"std_{s}")]
     return sessions.groupBy(key).agg(*aggs).where(F.col("n_sessions") >= min_sessions)
 
 
+def exact_sums(df: DataFrame, columns: list[str], rows_digits: int = 10) -> dict[str, Column]:
+    """Per column a sum (a double) that does not depend on the order of
+    addition: of decimals with 38 digits, of which the column's largest value and
+    10**``rows_digits`` rows leave the rest to the fraction (one aggregate for the
+    largest values). Where that leaves fewer than 17 digits below the largest
+    value, or there are infinite ones, the doubles themselves are added."""
+    most = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    sums = {}
+    for i, c in enumerate(columns):
+        value, largest = F.col(c).cast("double"), most[f"m{i}"]
+        whole = 1 if not largest else max(1, math.floor(math.log10(largest)) + 2) if math.isfinite(largest) else 99
+        scale = 38 - whole - rows_digits
+        if scale < 0 or not (largest is None or math.isfinite(largest)):
+            sums[c] = F.sum(value)
+        else:
+            sums[c] = F.sum(value.cast(f"decimal({38 - rows_digits},{min(scale, 38 - rows_digits)})")).cast("double")
+    return sums
+
+
 def rounded(baselines: DataFrame, signals: list[str], digits: int = 6) -> DataFrame:
     """The baselines for display; scores use the full moments."""
     return baselines.withColumns({f"{m}_{s}": F.round(f"{m}_{s}", digits) for s in signals for m in ("mean", "std")})

@@ -265,17 +265,19 @@ def q_suspended(spark, sf):
     return A.suspended_now(det, A.verify(ch, attempts_from(ch)))
 
 
-SQL_SUSPENDED = D + CH + AT + VER + """, ls AS (
+LAST_SUSPENSION = """ls AS (
   SELECT account_number, max(transaction_ts) AS mts,
          arg_max(transaction_id, (transaction_ts, txn_seq)) AS transaction_id,
          arg_max(ato_probability, (transaction_ts, txn_seq)) AS ato_probability,
          arg_max(behavioral_anomaly_score, (transaction_ts, txn_seq)) AS behavioral_anomaly_score
   FROM d WHERE action = 'SUSPEND' GROUP BY account_number),
- ul AS (SELECT account_number, max(attempt_ts) AS last_unlock FROM ver WHERE otp_valid GROUP BY account_number)
+ ul AS (SELECT account_number, max(attempt_ts) AS last_unlock FROM ver WHERE otp_valid GROUP BY account_number)"""
+SUSPENDED_SELECT = f"""WITH {LAST_SUSPENSION}
 SELECT ls.account_number, ls.mts AS suspension_time, ls.transaction_id, ls.ato_probability, ls.behavioral_anomaly_score,
   'SUSPENDED' AS status
 FROM ls LEFT JOIN ul ON ls.account_number = ul.account_number
 WHERE ul.last_unlock IS NULL OR ul.last_unlock < ls.mts"""
+SQL_SUSPENDED = D + CH + AT + VER + f" SELECT * FROM ({SUSPENDED_SELECT}) sus"
 
 
 REGISTRY = {

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil import bindings
-from vigil.operators import decide, evaluate, lists, reports
+from vigil.operators import accounts, decide, evaluate, lists, reports
 from vigil.plans import detect
+from vigil.plans import q_accounts as QA
 from vigil.plans.sqltext import sround
 from vigil.session import materialize
 from vigil.sources.tables import table
@@ -211,6 +212,19 @@ def q_lookup(spark, sf):
                          F.col("m.transaction_ts").alias("transaction_ts"))
 
 
+def q_lookup_account(spark, sf):
+    """The first flagged transaction of one account, the one with the most flagged."""
+    flagged = materialize(_det(spark, sf).where("otp_required"), "flagged")
+    most = flagged.groupBy("account_number").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "account_number").first()
+    found = reports.lookup_first(flagged, "account_number", most["account_number"] if most else None, ["transaction_ts", "txn_seq"])
+    return found.select("account_number", "transaction_id", "transaction_ts", "action")
+
+
+SQL_LOOKUP_ACCOUNT = D + """SELECT account_number, transaction_id, transaction_ts, action FROM d
+WHERE otp_required AND account_number = (SELECT account_number FROM d WHERE otp_required GROUP BY 1 ORDER BY count(*) DESC, account_number LIMIT 1)
+ORDER BY transaction_ts, txn_seq LIMIT 1"""
+
+
 SQL_LOOKUP = D + """SELECT account_number, arg_min(transaction_id, (transaction_ts, txn_seq)) AS transaction_id,
   min(transaction_ts) AS transaction_ts FROM d WHERE otp_required GROUP BY account_number"""
 
@@ -242,37 +256,32 @@ def q_action_vs_actual(spark, sf):
 SQL_ACTION_VS_ACTUAL = D + "SELECT action, actual_is_ato, count(*) AS n FROM d GROUP BY ALL"
 
 
-def _seed_list_table(spark, sf):
-    txn = bindings.transactions(spark, sf)
-    return detect.seed_lists(txn).drop("first_listed")
-
-
 def q_summary(spark, sf):
     d = materialize(detect.detections(spark, sf, raw=True), "detections")
     lab = d.where(F.col("actual_is_ato").isNotNull()).select(
         F.col("actual_is_ato").alias("label"), F.col("raw_p").alias("score"), (F.col("raw_p") > 0.5).cast("int").alias("prediction"))
     m = evaluate.rates(evaluate.confusion(lab)).crossJoin(evaluate.auc(lab))
     flagged = reports.fraud_log(d).agg(F.count(F.lit(1)).cast("bigint").alias("fraud_transactions_count"))
-    susp = d.where("action = 'SUSPEND'").agg(F.countDistinct("account_number").cast("bigint")
-                                             .alias("suspended_accounts_count"))
+    challenges = materialize(accounts.challenges(d), "challenges")
+    standing = accounts.suspended_now(d, accounts.verify(challenges, QA.attempts_from(challenges)))  # unlocked accounts are out (H1)
+    susp = standing.agg(F.count(F.lit(1)).cast("bigint").alias("suspended_accounts_count"))
     recent = reports.recent_detections(d).agg(F.count(F.lit(1)).cast("bigint").alias("recent_detections_count"))
-    sizes = lists.counts_per_list(_seed_list_table(spark, sf))
+    sizes = lists.counts_per_list(lists.fold_adds(lists.fan_out_adds(d.where("ato_confirmed"))))  # as G6
     return reports.service_summary(m, flagged, susp, recent, sizes)
 
 
 def _summary_sql():
-    adds = """SELECT 'ip' AS list, ip_address AS key FROM d WHERE actual_is_ato = 1
-      UNION SELECT 'device', device_id FROM d WHERE actual_is_ato = 1
-      UNION SELECT 'beneficiary', beneficiary_account FROM d WHERE actual_is_ato = 1"""
-    return L + f""", rt AS ({_rates_sql(_cm_sql('lab'))}), au AS ({auc_sql('lab')}),
- ls AS (SELECT list, count(*) AS n FROM ({adds}) a WHERE key IS NOT NULL AND trim(key) <> '' GROUP BY list)
+    return f"WITH d AS {detect.DETECTIONS_SQL}, tx AS (SELECT * FROM d), {QA.ADDS}, {QA.CH}{QA.AT}{QA.VER}" + L[len(D):] + f""",
+ sus AS ({QA.SUSPENDED_SELECT}),
+ rt AS ({_rates_sql(_cm_sql('lab'))}), au AS ({auc_sql('lab')}),
+ ls AS (SELECT list, count(DISTINCT key) AS n FROM vadds GROUP BY list)
 SELECT 'ATO Detection System' AS service, 'Online' AS status,
   printf('%.1f%%', {sround('rt.accuracy * 100', 1)}) AS model_accuracy,
   printf('%.4f', {sround('au.auc_roc', 4)}) AS model_auc,
   printf('%.4f', {sround('rt.f1_score', 4)}) AS model_f1,
   printf('%.2f%%', {sround('rt.false_positive_rate * 100', 2)}) AS false_positive_rate,
   (SELECT count(*) FROM (SELECT 1 FROM d WHERE otp_required ORDER BY transaction_ts DESC, txn_seq DESC LIMIT 50)) AS fraud_transactions_count,
-  (SELECT count(DISTINCT account_number) FROM d WHERE action = 'SUSPEND') AS suspended_accounts_count,
+  (SELECT count(*) FROM sus) AS suspended_accounts_count,
   (SELECT count(*) FROM (SELECT 1 FROM d ORDER BY transaction_ts DESC, txn_seq DESC LIMIT 100)) AS recent_detections_count,
   CAST(coalesce((SELECT n FROM ls WHERE list = 'ip'), 0) AS BIGINT) AS blacklisted_ips,
   CAST(coalesce((SELECT n FROM ls WHERE list = 'device'), 0) AS BIGINT) AS blacklisted_devices,
@@ -404,6 +413,7 @@ REGISTRY = {
     "i9_parse_sort": (q_parse_sort, SQL_PARSE_SORT),
     "i10_level_counts": (q_level_counts, SQL_LEVEL_COUNTS),
     "i11_first_flagged": (q_lookup, SQL_LOOKUP),
+    "i11_lookup_account": (q_lookup_account, SQL_LOOKUP_ACCOUNT),
     "i12_review_rows": (q_review_rows, SQL_REVIEW_ROWS),
     "i13_action_vs_actual": (q_action_vs_actual, SQL_ACTION_VS_ACTUAL),
     "j1_confusion": (q_confusion, SQL_CONFUSION),

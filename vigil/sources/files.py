@@ -49,37 +49,54 @@ def headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
     return {r["path"]: r["header"] for r in first}
 
 
-def read_csv_folder(spark: SparkSession, folder: str, empty_schema: str = "is_ato int") -> tuple[DataFrame, list[str]]:
+class Unreadable(str):
+    """A file left out of a read: its path, and how many of its lines could be read."""
+    lines: int
+
+    def __new__(cls, path: str, lines: int = 0):
+        self = super().__new__(cls, path)
+        self.lines = lines
+        return self
+
+
+def corrupt_files(spark: SparkSession, files: list[str]) -> list[Unreadable]:
+    """Files whose content cannot be read to the end. One scan for all; where
+    it fails the list is halved, so good files are read about log2(n) times."""
+    if not files:
+        return []
+    lines = lambda some, **o: spark.read.options(**o).text(some).count()
+    try:
+        lines(files)
+        return []
+    except Exception:
+        if len(files) > 1:
+            half = len(files) // 2
+            return corrupt_files(spark, files[:half]) + corrupt_files(spark, files[half:])
+    return [Unreadable(files[0], lines(files, ignoreCorruptFiles="true"))]
+
+
+def read_csv_folder(spark: SparkSession, folder: str, empty_schema: str = "is_ato int", verify: bool = True) -> tuple[DataFrame, list[Unreadable]]:
     """A1: every CSV of a folder, all columns as text, unioned by column
     name (missing → null).  Files are grouped by header line so there is
-    one read per distinct schema; unreadable files are skipped and listed.
+    one read per distinct schema.  Files without a header, and those that
+    cannot be read to their end, are left out whole and listed with the number of
+    lines that could be read (``verify`` scans the text once for that; without
+    it such a file fails the job that meets it).
     No file (or none readable) gives an empty frame of ``empty_schema``."""
-    groups: dict[str, list[str]] = {}
-    errors: list[str] = []
     files = list_files(spark, folder)
-    try:
-        heads = headers(spark, files)
-    except Exception:  # unreadable content: fall back to one file at a time
-        heads = {}
-        for f in files:
-            try:
-                heads.update(headers(spark, [f]))
-            except Exception:
-                pass
+    errors = corrupt_files(spark, files) if verify else []
+    heads = headers(spark, [f for f in files if f not in set(errors)])
+    groups: dict[str, list[str]] = {}
     for f in files:
+        if f in set(errors):
+            continue
         h = heads.get(f)
         if h is None or not h.strip():
-            errors.append(f)
+            errors.append(Unreadable(f))
             continue
         groups.setdefault(h, []).append(f)
-    frames = []
-    for h, files in groups.items():
-        try:
-            frames.append(spark.read.option("header", True).option("ignoreCorruptFiles", True)
-                          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                          .option("mode", "PERMISSIVE").csv(files))
-        except Exception:
-            errors.extend(files)
+    frames = [spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .option("mode", "PERMISSIVE").csv(some) for some in groups.values()]
     if not frames:
         return spark.createDataFrame([], empty_schema), errors
     out = frames[0]
