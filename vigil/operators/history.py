@@ -5,10 +5,10 @@ operator here uses a window partitioned by the entity alone:
 
 * first-seen flags and first/last times are grouped aggregates joined
   back (partial aggregation; AQE splits skewed join partitions);
-* everything that depends on the order within a key works on
-  :func:`segments`: rows dealt once by ranges of (key, order), so that a hot
-  key spans many segments. A window runs inside (segment, key), and one row
-  per (segment, key) carries totals or last values on to the later segments;
+* everything that depends on the order within a key is a walk
+  (:mod:`vigil.functions.scan`): rows dealt once by ranges of (key, order), so
+  that a hot key spans many tasks, walked where they are dealt; one row a task
+  carries totals or last values on to the later ones;
 * range windows are differences of two running sums over one timeline of
   rows and window ends, for any number of widths at once.
 
@@ -17,10 +17,10 @@ Null keys are a key like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions import epoch_us
+from vigil.functions import epoch_us, scan
 from vigil.session import materialize
 
 DAY_US = 86_400_000_000
@@ -43,39 +43,11 @@ def first_seen(df: DataFrame, keys: list[str], ts: str, seq: str, out: str) -> D
     return j.withColumn(out, flag).drop(f"_first_{out}")
 
 
-def segments(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` with ``_pid``, the number of the row's range of (keys, order).
-    Range bounds come from a sample, so the rows are dealt once and written;
-    everything after reads the same deal."""
-    # as many range partitions as any other shuffle (sized for the data)
-    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    return materialize(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()), "segments")
-
-
-def _with_segment(d: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins one row per (segment, key) to the rows; null keys match."""
-    renamed = per.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_pid"]})
-    on = F.col("_pid") == F.col("_k__pid")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return d.join(renamed, on).drop(*[f"_k_{c}" for c in [*keys, "_pid"]])
-
-
-def _earlier_segments(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per segment
-
-
 def sums_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
                 partitions: int | None = None) -> DataFrame:
     """For each name the sum of its value over the key's rows strictly before
     the current row in ``order``, for keys of any size."""
-    d = segments(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, order, partitions)
-    w = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({f"_w_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in values})
-    per = d.groupBy(*keys, "_pid").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    offs = per.select(*keys, "_pid", *[F.coalesce(F.sum(f"_t_{n}").over(_earlier_segments(keys)), F.lit(0)).alias(f"_o_{n}") for n in values])
-    j = _with_segment(d, offs, keys).withColumns({n: F.col(f"_o_{n}") + F.col(f"_w_{n}") for n in values})
-    return j.drop("_pid", *[f"_{x}_{n}" for x in "vwo" for n in values])
+    return scan.sums_before(df, keys, order, values, partitions)
 
 
 def running_before(df: DataFrame, keys: list[str], ts: str, seq: str, value: Column, out: str) -> DataFrame:
@@ -112,29 +84,17 @@ def last_before(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[
                 out: str, cond: Column | None = None, inclusive: bool = False) -> DataFrame:
     """As-of lookup: struct(t, s, values…) of the key's latest row strictly
     before the current one (or at it when ``inclusive``) in (ts, seq) order
-    where ``cond`` holds; null if none. The last match inside the segment,
-    else the last one of the key's earlier segments."""
+    where ``cond`` holds; null if none."""
     ref = _struct_of(ts, seq, values)
-    d = segments(df.withColumn("_ref", ref if cond is None else F.when(cond, ref)), keys, [ts, seq])
-    wi = Window.partitionBy("_pid", *keys).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    d = d.withColumn("_within", F.max("_ref").over(wi))
-    per = d.groupBy(*keys, "_pid").agg(F.max("_ref").alias("_last"))
-    prior = per.select(*keys, "_pid", F.max("_last").over(_earlier_segments(keys)).alias("_prior"))
-    return _with_segment(d, prior, keys).withColumn(out, F.coalesce("_within", "_prior")).drop("_pid", "_ref", "_within", "_prior")
+    return scan.last_match(df, keys, [ts, seq], ref if cond is None else F.when(cond, ref), out, inclusive)
 
 
 def next_after(df: DataFrame, keys: list[str], ts: str, seq: str, values: dict[str, Column],
                out: str, cond: Column | None = None) -> DataFrame:
     """Mirror of :func:`last_before`: the key's earliest row strictly after
-    the current one where ``cond`` holds."""
+    the current one where ``cond`` holds (the same walk, backwards)."""
     ref = _struct_of(ts, seq, values)
-    d = segments(df.withColumn("_ref", ref if cond is None else F.when(cond, ref)), keys, [ts, seq])
-    wi = Window.partitionBy("_pid", *keys).orderBy(ts, seq).rowsBetween(1, Window.unboundedFollowing)
-    d = d.withColumn("_within", F.min("_ref").over(wi))
-    per = d.groupBy(*keys, "_pid").agg(F.min("_ref").alias("_first"))
-    wb = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
-    later = per.select(*keys, "_pid", F.min("_first").over(wb).alias("_later"))
-    return _with_segment(d, later, keys).withColumn(out, F.coalesce("_within", "_later")).drop("_pid", "_ref", "_within", "_later")
+    return scan.last_match(df, keys, [F.col(ts).desc(), F.col(seq).desc()], ref if cond is None else F.when(cond, ref), out)
 
 
 def first_per_key(df: DataFrame, keys: list[str], ts: str, out: str) -> DataFrame:
@@ -148,12 +108,7 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, seq: str, gap_us: int,
     """L14 batch sessions: a new session starts when the gap to the key's
     previous event exceeds ``gap_us``; the session number is the running
     count of starts (1-based)."""
-    d = last_before(df, keys, ts, seq, {}, "_prev")
-    start = F.when(F.col("_prev").isNull(), F.lit(1)).when(
-        epoch_us(ts) - epoch_us(F.col("_prev.t")) > F.lit(gap_us), F.lit(1)).otherwise(F.lit(0))
-    d = d.withColumn("_start", start).drop("_prev")
-    d = running_before(d, keys, ts, seq, F.col("_start"), "_starts_before")
-    return d.withColumn(out, (F.col("_starts_before") + F.col("_start")).cast("bigint")).drop("_start", "_starts_before")
+    return scan.session_numbers(df, keys, [ts, seq], epoch_us(ts), gap_us, out)
 
 
 def prefix_sum_sorted(df: DataFrame, group: list[str], order: list[str], value: Column, out: str,
@@ -211,11 +166,10 @@ def distinct_in_window(df: DataFrame, key: str, item: str, ts: str, seq: str, wi
     +1/−1 over one time-ordered union per key."""
     e = epoch_us(ts)
     d = df.where(F.col(item).isNotNull()).select(*dict.fromkeys([row_id, key, item, ts, seq]))
-    d = last_before(d, [key, item], ts, seq, {}, "_prev")
-    d = next_after(d, [key, item], ts, seq, {}, "_next")
+    d = scan.neighbours(d, [key, item], [ts, seq], e, "_prev", "_next")
     d = d.withColumn("_e", e)
-    gap_prev = F.col("_e") - epoch_us(F.col("_prev.t"))
-    gap_next = epoch_us(F.col("_next.t")) - F.col("_e")
+    gap_prev = F.col("_e") - F.col("_prev")
+    gap_next = F.col("_next") - F.col("_e")
     no_row = F.lit(None).cast(df.schema[row_id].dataType).alias(row_id)
     starts = d.where(F.col("_prev").isNull() | (gap_prev > width_us)).select(
         F.col(key), (F.col("_e") + 1).alias("_time"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"), no_row)
