@@ -57,6 +57,31 @@ def test_lsh_neighbours_are_nearly_the_exact_ones(spark):
     assert all(abs(r["distance"] - np.linalg.norm(pts[r["id"]] - pts[r["neighbor_id"]])) < 1e-9 for r in found)
 
 
+def test_lsh_compares_few_pairs_of_clustered_points(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 12)) * 10
+    pts = centres[rng.integers(0, 60, 1500)] + rng.normal(size=(1500, 12)) * 0.3
+    pts[0] = 1000.0  # alone: no bucket with anybody
+    df = spark.createDataFrame([(i, [float(v) for v in pts[i]]) for i in range(1500)], "id long, vec array<double>")
+    plan = C.lsh_plan(df, "id", "vec", 4)
+    assert plan.recall >= 0.95 and plan.share < 0.2
+    found = {(r["id"], r["neighbor_id"]) for r in C.knn_lsh(df, "id", "vec", 4, chunk_rows=40).collect()}
+    d = ((pts[:, None, :] - pts[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    exact = {(i, int(j)) for i in range(1500) for j in np.argsort(d[i], kind="stable")[:4]}
+    assert len(found) == 6000 and len(found & exact) / 6000 >= 0.9
+    assert {j for i, j in found if i == 0} == {j for i, j in exact if i == 0}
+    key = plan.keys(pts)
+    assert abs(np.mean([(key[i] == key).any(axis=1).mean() for i in range(0, 1500, 15)]) - plan.share) < 0.05
+
+
+def test_lsh_of_few_and_equal_points(spark):
+    assert C.knn_lsh(spark.createDataFrame([], "id long, vec array<double>"), "id", "vec").collect() == []
+    assert C.knn_lsh(spark.createDataFrame([(1, [0.0])], "id long, vec array<double>"), "id", "vec").collect() == []
+    same = C.knn_lsh(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(7)], "id long, vec array<double>"), "id", "vec", 3).collect()
+    assert len(same) == 21 and {r["distance"] for r in same} == {0.0}
+
+
 def test_null_class_is_a_class_of_its_own(spark):
     rows = [(i, None if i % 3 == 0 else i % 2) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, y int")

@@ -7,8 +7,12 @@ over a whole class).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,52 +93,135 @@ def _knn_block(k: int, id_col: str, vec_col: str):
     return fn
 
 
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: int = 2000) -> DataFrame:
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 5, chunk_rows: int = 2000, queries: DataFrame | None = None) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, ties by id) of every point
-    among the same set, fully distributed.  Points are hashed into
-    B = ⌈n / chunk_rows⌉ blocks; every (query block, reference block) pair
-    is one cogroup of two bounded blocks, whose Arrow-batched numpy kernel
-    emits only the k best per query point; the per-point top k over the B
-    pairs is a grouped aggregate of k·B rows.  A worker holds three
-    chunk_rows² matrices of doubles (96 MB at 2,000).  Exact kNN is quadratic
-    in n by nature; this spreads it evenly and never gathers the set, and
-    :func:`knn_lsh` is the form for sets where that is too much."""
+    (or of the points ``queries``) among the same set, fully distributed.
+    Points are hashed into B = ⌈n / chunk_rows⌉ blocks; every (query block,
+    reference block) pair is one cogroup of two bounded blocks, whose
+    Arrow-batched numpy kernel emits only the k best per query point; the
+    per-point top k over the pairs is a grouped aggregate of k·B rows.  A
+    worker holds three chunk_rows² matrices of doubles (96 MB at 2,000).  For
+    all points this is quadratic in n by nature; it spreads evenly and never
+    gathers the set, and :func:`knn_lsh` is the form for sets where that is
+    too much."""
     # the points are read B times: write them once (shared folder) and
     # start from that table, which also gives a lineage-free input
     pts = materialize(points.select(id_col, vec_col), "knn-points")
-    n = pts.count()
-    b = max(1, -(-n // chunk_rows))
-    blk = (F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint") % b)
-    base = pts.withColumn("_blk", blk)
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint")))
-    q = base.select(F.col("_blk").alias("_qb"), others.alias("_rb"), id_col, vec_col)
-    r = base.select(others.alias("_qb"), F.col("_blk").alias("_rb"), id_col, vec_col)
-    schema = "id long, neighbor_id long, distance double"
+    asked = pts if queries is None else materialize(queries.select(id_col, vec_col), "knn-queries")
+    blocks = lambda df: max(1, -(-df.count() // chunk_rows))
+    n_q, n_r = blocks(asked), blocks(pts)
+    own = lambda n: (F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint") % n)
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = asked.select(own(n_q).alias("_qb"), others(n_r).alias("_rb"), id_col, vec_col)
+    r = pts.select(others(n_q).alias("_qb"), own(n_r).alias("_rb"), id_col, vec_col)
     cand = (q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb"))
-            .applyInPandas(_knn_block(k, id_col, vec_col), schema))
-    best = cand.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
-                                  .alias("nn"))
+            .applyInPandas(_knn_block(k, id_col, vec_col), _NEIGHBOURS))
+    return _nearest(cand, k)
+
+
+_NEIGHBOURS = "id long, neighbor_id long, distance double"
+
+
+def _nearest(cand: DataFrame, k: int) -> DataFrame:
+    """The k best of each point's candidates (id, neighbor_id, distance), ranked."""
+    best = cand.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbor_id"))), 1, k).alias("nn"))
     return best.select("id", F.posexplode("nn").alias("pos", "x")).select(
         "id", F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"),
         (F.col("pos") + 1).cast("int").alias("rank"))
 
 
-def knn_lsh(points: DataFrame, id_col: str, vec_col: str, k: int = 5, bucket_length: float = 2.0,
-            tables: int = 6, seed: int = 42) -> DataFrame:
+@dataclass(frozen=True)
+class LshPlan:
+    """Projections of an LSH index and what its sample says of them."""
+    normals: np.ndarray   # (tables, hashes, dimensions)
+    offsets: np.ndarray   # (tables, hashes), in bucket widths
+    width: float
+    recall: float
+    share: float
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """(points, tables): a bucket number of each table."""
+        cells = np.floor(np.einsum("nd,thd->nth", x, self.normals) / self.width + self.offsets).astype(np.int64)
+        key = np.zeros(cells.shape[:2], dtype=np.uint64)
+        for h in range(cells.shape[2]):
+            key = (key ^ cells[:, :, h].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return key.view(np.int64)
+
+
+def lsh_plan(points: DataFrame, id_col: str, vec_col: str, k: int = 5, recall: float = 0.95, tables: int = 12, sample: int = 200,
+             seed: int = 42) -> LshPlan | None:
+    """Bucket width and number of hashes from a sample: at most about ``sample``
+    points (by a hash of the id) get their exact neighbours among all, the width
+    is tried in multiples of the median distance to the k-th of them, and of the
+    settings that let at least ``recall`` of those neighbours meet the one under
+    which the fewest of the sample's pairs meet is taken. None if there are no
+    points; if no setting is good enough, one bucket holds all."""
+    n = points.count()
+    if n < 2:
+        return None
+    some = points.filter(F.pmod(F.xxhash64(F.lit(f"lsh{seed}"), F.col(id_col)), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20)))
+    truth = knn(points, id_col, vec_col, k, queries=some)
+    ids = some.select(F.col(id_col).alias("id")).unionByName(truth.select(F.col("neighbor_id").alias("id"))).distinct()
+    held = points.join(ids, points[id_col] == ids["id"], "left_semi").select(id_col, vec_col).collect()  # at most sample * (k + 1)
+    at = {r[id_col]: i for i, r in enumerate(held)}
+    x = np.array([r[vec_col] for r in held], dtype=np.float64)
+    rows = truth.collect()
+    if not rows:
+        return None
+    pairs = np.array([(at[r["id"]], at[r["neighbor_id"]]) for r in rows])
+    reach = float(np.median([r["distance"] for r in rows if r["rank"] == max(x["rank"] for x in rows)])) or 1.0
+    asked = np.unique(pairs[:, 0])
+    rng = np.random.default_rng(seed)
+    normals, offsets = rng.normal(size=(tables, 8, x.shape[1])), rng.random((tables, 8))
+    best = None
+    for hashes in range(1, 9):
+        for times in (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0):
+            plan = LshPlan(normals[:, :hashes], offsets[:, :hashes], reach * times, 0.0, 0.0)
+            key = plan.keys(x)
+            met = float((key[pairs[:, 0]] == key[pairs[:, 1]]).any(axis=1).mean())
+            share = float(np.mean([(key[i] == key[asked]).any(axis=1).mean() for i in asked]))
+            if met >= recall and (best is None or share < best.share):
+                best = replace(plan, recall=met, share=share)
+    return best or LshPlan(normals[:, :1] * 0.0, offsets[:, :1] * 0.0, 1.0, 1.0, 1.0)
+
+
+def knn_lsh(points: DataFrame, id_col: str, vec_col: str, k: int = 5, recall: float = 0.95, tables: int = 12, chunk_rows: int = 2000,
+            seed: int = 42) -> DataFrame:
     """C5 at size, approximate: candidates share a bucket of at least one of
-    ``tables`` random projections (bucket width ``bucket_length``); the k
-    nearest candidates by exact distance stay.  Narrower buckets are cheaper
-    and miss more neighbours, more tables find more."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    pts = materialize(points.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v")), "lsh-points")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(pts)
-    pairs = model.approxSimilarityJoin(pts, pts, float("inf"), distCol="distance").filter("datasetA.id <> datasetB.id")
-    best = (pairs.select(F.col("datasetA.id").alias("id"), F.struct("distance", F.col("datasetB.id").alias("neighbor_id")).alias("x"))
-            .groupBy("id").agg(F.slice(F.array_sort(F.collect_set("x")), 1, k).alias("nn")))
-    return best.select("id", F.posexplode("nn").alias("pos", "x")).select(
-        "id", F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"),
-        (F.col("pos") + 1).cast("int").alias("rank"))
+    ``tables`` tables, each keyed by several random projections (:func:`lsh_plan`
+    chooses how many and how wide); the k nearest candidates by exact distance
+    stay. A bucket is compared in blocks of ``chunk_rows``, so a crowded one is many
+    bounded tasks. A point with fewer than k candidates is answered exactly."""
+    pts = materialize(points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "lsh-points")
+    plan = lsh_plan(pts, "id", "v", k, recall, tables, seed=seed)
+    if plan is None:
+        return knn(pts, "id", "v", k, chunk_rows)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("v").to_pylist(), dtype=np.float64)
+            if len(x):
+                key = plan.keys(x)
+                t = key.shape[1]
+                take = pa.array(np.repeat(np.arange(len(x)), t))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take),
+                                                  pa.array(np.tile(np.arange(t, dtype=np.int32), len(x))), pa.array(key.ravel())], ["id", "v", "table", "key"])
+
+    dealt = materialize(pts.mapInArrow(spread, "id long, v array<double>, table int, key long"), "lsh-buckets")
+    sizes = dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / chunk_rows).cast("long")
+    own = dealt.join(sizes, ["table", "key"]).withColumn("b", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "b"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1))
+    # renamed, as the two sides of the cogroup come from one table
+    point = lambda: [F.col(c).alias(n) for c, n in (("table", "t"), ("key", "k"), ("id", "id"), ("v", "v"))]
+    q = own.select(*point(), F.col("own").alias("qb"), others.alias("rb"))
+    r = own.select(*point(), others.alias("qb"), F.col("own").alias("rb"))
+    group = ["t", "k", "qb", "rb"]
+    cand = q.groupBy(*group).cogroup(r.groupBy(*group)).applyInPandas(_knn_block(k, "id", "v"), _NEIGHBOURS)
+    found = materialize(_nearest(cand, k), "lsh-neighbours")
+    few = pts.join(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k), "id", "left_anti")
+    return found.join(few.select("id"), "id", "left_anti").unionByName(knn(pts, "id", "v", k, chunk_rows, few))
 
 
 def smote_synthesize(minority: DataFrame, neighbours: DataFrame, id_col: str, vec_col: str, n_new: int,

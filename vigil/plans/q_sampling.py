@@ -11,6 +11,7 @@ from vigil.functions import parse_double
 from vigil.operators import clean, evaluate, preprocess as P, sampling as C
 from vigil.plans.q_clean import ALLOWED_PRESENT, PRESENT_NUM, _code_sql, _num_sql, _parse_sql, balance_sql
 from vigil.plans.sqltext import sround
+from vigil.session import materialize
 from vigil.sources.tables import table
 
 SEED = 42
@@ -110,6 +111,21 @@ def q_knn_lsh(spark, sf):
     return nn.select("id", "neighbor_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def q_knn_lsh_kept(spark, sf):
+    """Every point of the minority has its k neighbours by LSH, and at
+    least nine in ten of all are the exact ones."""
+    v = materialize(_vectors(spark, sf).where("y = 1"), "minority")
+    found = materialize(C.knn_lsh(v, "vec_id", "embedding", K), "found")
+    exact = C.knn(v, "vec_id", "embedding", K).select("id", "neighbor_id")
+    right = found.join(exact, ["id", "neighbor_id"], "left_semi").agg(F.count(F.lit(1)).alias("right"))
+    share = right.crossJoin(exact.agg(F.count(F.lit(1)).alias("all"))).select((F.col("right") >= 0.9 * F.col("all")).alias("recall_kept"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours")).crossJoin(share)
+
+
+SQL_KNN_LSH_KEPT = EMB + f"""SELECT vec_id AS id, least({K}, (SELECT count(*) FROM em WHERE y = 1) - 1) AS neighbours, TRUE AS recall_kept
+FROM em WHERE y = 1"""
+
+
 KNN = f""", mi AS (SELECT vec_id, embedding FROM em WHERE y = 1),
  pr AS (SELECT a.vec_id AS id, b.vec_id AS neighbor_id,
    sqrt(list_sum([(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2 FOR i IN range(1, len(a.embedding) + 1)])) AS distance
@@ -301,6 +317,7 @@ REGISTRY = {
     "c4_smote_plan": (q_smote_plan, SQL_SMOTE_PLAN),
     "c5_minority_knn": (q_knn, SQL_KNN),
     "c5_minority_knn_lsh": (q_knn_lsh, None),
+    "c5_knn_lsh_kept": (q_knn_lsh_kept, SQL_KNN_LSH_KEPT),
     "c6_smote_synthesize": (q_synth, SQL_SYNTH),
     "c7_j7_class_distribution": (q_balanced, SQL_BALANCED),
     "c8_synthetic_metadata": (q_metadata, SQL_METADATA),
