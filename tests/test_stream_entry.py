@@ -93,3 +93,41 @@ def test_alert_sink_text(spark):
     lines = spark.read.text(base + "/out")
     assert lines.count() == detect.detections(spark, SF001).where("action <> 'ALLOW'").count()
     assert lines.where(F.get_json_object("value", "$.action") == "ALLOW").count() == 0
+
+
+class _Kafka:
+    """Stands for a session's reader: keeps the options, gives a frame with a topic's columns."""
+
+    def __init__(self, frame):
+        self.frame, self.kept = frame, {}
+        self.readStream = self
+
+    def format(self, name):
+        self.kept["format"] = name
+        return self
+
+    def options(self, **options):
+        self.kept |= options
+        return self
+
+    def load(self):
+        return self.frame
+
+
+def test_topic_options_and_parsing(spark):
+    good = '{"transaction_id": "t1", "ip_fraud_score": 0.5, "new_device": true, "failed_auth_attempts": 3}'
+    rows = [(None, bytearray(v, "utf-8"), "tx", 0, i) for i, v in enumerate([good, "{broken", '{"transaction_id": "t2"}'])] + [(None, None, "tx", 0, 3)]
+    topic = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long")
+    reader = _Kafka(topic)
+    messages = ST.read_messages(reader, "", kafka_options={"kafka.bootstrap.servers": "h:1", "subscribe": "tx"})
+    assert reader.kept == {"format": "kafka", "startingOffsets": "latest", "kafka.bootstrap.servers": "h:1", "subscribe": "tx"}
+    ST.read_messages(reader, "", kafka_options={"subscribe": "tx", "startingOffsets": "earliest"})
+    assert reader.kept["startingOffsets"] == "earliest"
+    first = {r["transaction_id"]: r for r in ST.good(messages).where("transaction_id IS NOT NULL").collect()}
+    assert (first["t1"]["ip_fraud_score"], first["t1"]["new_device"], first["t1"]["failed_auth_attempts"]) == (0.5, True, 3) and set(first) == {"t1", "t2"}
+    assert [r["raw"] for r in ST.dead_letters(messages).collect()] == ["{broken"]
+
+
+def test_topic_message_has_a_key(spark):
+    out = ST.as_message(spark.createDataFrame([("t1", "SUSPEND", 0.9)], "transaction_id string, action string, ato_probability double"))
+    assert out.columns == ["value"] and out.first()["value"] == '{"transaction_id":"t1","action":"SUSPEND","ato_probability":0.9}'
