@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil import bindings
 from vigil.operators import accounts, decide, evaluate, lists, reports
 from vigil.plans import detect
 from vigil.plans import q_accounts as QA
