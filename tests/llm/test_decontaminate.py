@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from edge import ROWS, documents
 
-from vigil.llm.decontaminate import (Items, common_subsequence, contaminated, passages_of, randomised_svd, without_benchmark, words_of)
+from vigil.llm.decontaminate import (RANK, Items, common_subsequence, contaminated, find, passages_of, randomised_svd,
+                                     without_benchmark, words_of)
 
 random.seed(8)
 WORDS = [f"{a}{b}{c}" for a in "bdgkmnprst" for b in "aeiou" for c in ("l", "n", "rk", "st")]
@@ -48,8 +49,11 @@ def test_blocks_of_the_benchmark_find_the_same(spark):
     rows, _ = planted()
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     d = documents(spark, rows[:120])
-    once = {(r["doc_id"], r["item_id"], r["part"]) for r in contaminated(d, benchmark).collect()}
-    assert once == {(r["doc_id"], r["item_id"], r["part"]) for r in contaminated(d, benchmark, item_block=3).collect()}
+    for cosine in (2.0, 0.35):  # by the verbatim door alone the same; the latent space is each block's own
+        once = {(r["doc_id"], r["item_id"], r["part"]): r["share"] for r in contaminated(d, benchmark, min_cosine=cosine).collect()}
+        blocks = {(r["doc_id"], r["item_id"], r["part"]): r["share"] for r in contaminated(d, benchmark, min_cosine=cosine, item_block=3).collect()}
+        assert {k for k, v in once.items() if v >= 0.7} == {k for k, v in blocks.items() if v >= 0.7}
+        assert cosine < 1 or once == blocks
 
 
 def test_randomised_svd_spans_the_leading_space(spark):
@@ -84,9 +88,8 @@ def test_edge_rows(spark, rows, items):
     assert got == ({(1, 1), (2, 1), (None, 1)} if rows and items else set())
 
 
-def test_a_full_block_of_passages_loses_no_verbatim_copy():
-    """1,040 passages on 130 topics, more than the space has directions, planted in documents of the same words."""
-    from vigil.llm.decontaminate import RANK, find
+def full_block():
+    """1,040 passages on 130 topics, more than the space has directions, the block fitted, and all words."""
     draw = random.Random(21)
     topics = [[draw.choice(WORDS) + draw.choice(WORDS) + str(t) for _ in range(25)] for t in range(130)]
     passages = [draw.choices(topics[i % 130], k=draw.choice([8, 9, 11, 14, 25, 45, 60])) for i in range(1040)]
@@ -97,10 +100,54 @@ def test_a_full_block_of_passages_loses_no_verbatim_copy():
         row[terms] = weights
     items.basis = np.linalg.svd(a, full_matrices=False)[2][:RANK].T.astype(np.float32)
     latent = a @ items.basis
-    items.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    items.index_rare_words(0.7)
+    length = np.linalg.norm(latent, axis=1, keepdims=True)
+    items.latent = (latent / np.maximum(length, 1e-12)).astype(np.float32)
+    items.kept = length[:, 0] ** 2
     every = [w for t in topics for w in t]
+    return draw, passages, items, every
+
+
+def test_a_full_block_of_passages_loses_no_verbatim_copy():
+    """Planted in documents of the same words."""
+    draw, passages, items, every = full_block()
+    items.index_rare_words(0.7, 0.55)
     texts = [" ".join([*draw.choices(every, k=300), *p, *draw.choices(every, k=200)]) for p in passages]
-    found = {(i, p) for i, p, _ in find(items, texts, 0.35, 0.7, 0.5)}
+    found = {(i, p) for i, p, _ in find(items, texts, 0.35, 0.5)}
     lost = [len(p) for i, p in enumerate(passages) if (i, i) not in found]
     assert not lost, (len(lost), sorted(lost))
+
+
+def test_the_cosine_decides_paraphrases():
+    """Two words in five replaced: too few are left for the verbatim door, so only the latent space finds them."""
+    draw, passages, items, every = full_block()
+    items.index_rare_words(0.7, 0.55)
+    chosen = [p for p, words in enumerate(passages) if len(words) >= 25]
+    texts = [" ".join([*draw.choices(every, k=300), *[w if j % 5 not in (1, 3) else f"other{j}" for j, w in enumerate(passages[p])],
+                       *draw.choices(every, k=200)]) for p in chosen]
+
+    def caught(min_cosine):
+        found = {(i, p) for i, p, _ in find(items, texts, min_cosine, 0.5)}
+        return sum((i, p) in found for i, p in enumerate(chosen)) / len(chosen)
+
+    assert caught(0.35) > 0.9
+    assert caught(2.0) < 0.25  # no window reaches this cosine; passages of 25 words repeat enough of them to keep some
+
+
+def test_every_window_and_passage_against_plain_cosines():
+    draw, passages, items, every = full_block()
+    text = [draw.choices([*every, "unknown"], k=k) for k in (700, 64, 65, 3)]
+    codes, text_of = items.encode([" ".join(t) for t in text])
+    got = set(items.latent_meetings(codes, text_of, 0.35, block=7).tolist())
+    want, close = set(), set()
+    for window in range(len(text_of)):
+        folded = np.zeros(items.basis.shape[1])
+        for part in (window, window + 1):
+            if part < len(text_of) and text_of[part] == text_of[window]:
+                stretch = codes[part * 64:(part + 1) * 64]
+                terms, counts = np.unique(stretch[stretch >= 0], return_counts=True)
+                folded += ((1 + np.log(counts)) * items.idf[terms]) @ items.basis[terms]
+        if np.linalg.norm(folded) > 1e-9:
+            cosines = items.latent @ folded / np.linalg.norm(folded)
+            want |= {window * len(passages) + int(p) for p in np.flatnonzero(cosines >= 0.35)}
+            close |= {window * len(passages) + int(p) for p in np.flatnonzero(abs(cosines - 0.35) < 1e-5)}
+    assert want and got - close == want - close

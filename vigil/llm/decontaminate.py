@@ -9,20 +9,22 @@
 3. A randomised SVD of the TF-IDF passages gives the latent space. The passage
    rows stay distributed: a task multiplies its rows with the random matrix (and,
    in the power steps, with the current basis), only (words x rank) sums leave it.
-4. A second pass reads every window, folds it into that space and takes as
-   candidates the items whose cosine is at least ``min_cosine``. A window is not
-   folded where step 5 could confirm nothing: a passage of n words of which it
-   allows m to be missing has at least three of its m + 3 rarest words in the
-   window, so windows are first met with the passages on those words (an exact
-   bound, not a heuristic). The latent space keeps ``rank`` directions, and a
-   window dilutes a short passage; so a meeting below ``min_cosine`` is taken as
-   well where the window holds as many of the passage's words as step 5 asks
-   for, and the space loses nothing that can be confirmed. The benchmark is the stated query set: it is
-   broadcast in blocks of at most ``item_block`` passages.
+4. A second pass reads every window and takes candidates by two doors. The
+   latent door folds all windows into that space and takes the passages whose
+   cosine is at least ``min_cosine``. The verbatim door needs no cosine: a passage
+   of n words of which step 5 allows m to be missing has at least three of its
+   m + 3 rarest words in the window (an exact bound), so an index of those words
+   loses no close copy to the space's ``rank`` or to a window that dilutes a short
+   passage. Passages that keep less than ``MIN_KEPT`` of their energy in the space
+   can't be judged by a cosine and use the second door for rewordings too. The
+   benchmark is the stated query set: it is broadcast in blocks of at most
+   ``item_block`` passages, each with a latent space of its own.
 5. A candidate is confirmed by the longest common subsequence of words with the
    window (a share of the passage's words, in order, gaps allowed, within a
    stretch not much longer than the passage), and by the answer check: the end of
-   the passage, where the answer stands, must be found too.
+   the passage, where the answer stands, must be found too. The share is
+   ``min_share``; a candidate of the latent door, whose words as a whole point the
+   passage's way, is a paraphrase from ``latent_share`` and ``MIN_WORDS`` words on.
 
 Words outside the vocabulary cannot change a product with an item, so windows
 are folded from their vocabulary words alone. No row is shuffled but the
@@ -52,6 +54,7 @@ from vigil.session import materialize
 ITEM_WORDS = 64
 MIN_WORDS = 8
 RANK = 96
+MIN_KEPT = 0.1
 OVERSAMPLE = 16
 _WORD = re.compile(r"[^\W_]+")
 
@@ -76,6 +79,7 @@ class Items:
         self.idf = np.ones(len(self.vocabulary))
         self.basis = np.zeros((len(self.vocabulary), 1), dtype=np.float32)
         self.latent = np.zeros((len(rows), 1), dtype=np.float32)
+        self.kept = np.ones(len(rows))
 
     def weigh(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a passage."""
@@ -98,12 +102,18 @@ class Items:
                 parts.append(np.full(stretches[i] * ITEM_WORDS - len(words), -1, dtype=np.int32))
         return np.concatenate([np.empty(0, np.int32), *parts]), np.repeat(np.arange(len(texts)), stretches)
 
-    def index_rare_words(self, min_share: float, together: int = 3) -> None:
-        """Each passage's rarest words: as many as may be missing and ``together`` more, which a match must hold."""
+    def index_rare_words(self, min_share: float, latent_share: float, together: int = 3) -> None:
+        """Words a match needs by either door, and each passage's rarest words: as many as may be missing and
+        ``together`` more, which a match must hold."""
+        sizes = np.fromiter(map(len, self.codes), np.int64, len(self.codes))
+        self.least = np.ceil(min_share * sizes - 1e-9).astype(np.int64)
+        self.loose = np.minimum(self.least, np.maximum(np.ceil(latent_share * sizes - 1e-9).astype(np.int64), MIN_WORDS))
+        self.unkept = self.kept < MIN_KEPT
+        self.least[self.unkept] = self.loose[self.unkept]
         self.need = np.zeros(len(self.rows), dtype=np.int64)
         pairs: list[tuple[int, int]] = []
         for p, codes in enumerate(self.codes):
-            spare = len(codes) - int(np.ceil(min_share * len(codes) - 1e-9))
+            spare = len(codes) - int(self.least[p])
             distinct = np.unique(codes)
             rarest = distinct[np.argsort(-self.idf[distinct], kind="stable")][:spare + together]
             self.need[p] = len(rarest) - spare
@@ -113,9 +123,8 @@ class Items:
         self.rare[[t for t, _ in pairs]] = True
         self.holders = np.array([p for _, p in pairs], dtype=np.int64)
         self.first = np.searchsorted(np.array([t for t, _ in pairs], dtype=np.int64), np.arange(len(self.vocabulary) + 1))
-        self.least = np.array([int(np.ceil(min_share * len(c) - 1e-9)) for c in self.codes], dtype=np.int64)
         self.joined = np.concatenate(self.codes)
-        self.lengths = np.fromiter(map(len, self.codes), np.int64, len(self.codes))
+        self.lengths = sizes
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.always = np.flatnonzero(self.need < 1)  # repetitive passages: every window is met with them
 
@@ -136,13 +145,41 @@ class Items:
             found = np.union1d(found, (np.arange(len(text_of))[:, None] * n + self.always[None, :]).reshape(-1))
         return found
 
-
-    def covered(self, passages: np.ndarray, present: np.ndarray) -> np.ndarray:
-        """Which passages have as many words in ``present`` (one flag per vocabulary word) as a match needs."""
+    def latent_meetings(self, codes: np.ndarray, text_of: np.ndarray, min_cosine: float, block: int = 1024) -> np.ndarray:
+        """window * passages + passage where the cosine in the latent space is at least ``min_cosine``; a window
+        is the sum of its two stretches."""
+        n, size, many = len(self.rows), len(self.vocabulary), len(text_of)
+        at = np.flatnonzero(codes >= 0)
+        keys, counts = np.unique(at // ITEM_WORDS * size + codes[at], return_counts=True)
+        stretch, term = keys // size, keys % size
+        weighted = self.basis * self.idf[:, None].astype(np.float32)
+        folded = np.zeros((many, weighted.shape[1]), dtype=np.float32)
+        edges = np.searchsorted(stretch, np.arange(0, many + block, block))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo < hi:
+                rows = weighted[term[lo:hi]]
+                often = np.flatnonzero(counts[lo:hi] > 1)
+                rows[often] *= (1 + np.log(counts[lo:hi][often])).astype(np.float32)[:, None]
+                heads = np.flatnonzero(np.diff(stretch[lo:hi], prepend=-1))
+                folded[stretch[lo:hi][heads]] = np.add.reduceat(rows, heads, axis=0)
+        followed = np.flatnonzero(text_of[1:] == text_of[:-1])
+        windows = folded.copy()
+        windows[followed] += folded[followed + 1]
+        norms = np.linalg.norm(windows, axis=1)
+        found = [np.empty(0, dtype=np.int64)]
+        for lo in range(0, many, block):
+            cosines = windows[lo:lo + block] @ self.latent.T
+            bar = np.where(norms[lo:lo + block] > 1e-9, min_cosine * norms[lo:lo + block], np.inf)
+            window, passage = np.nonzero(cosines >= bar[:, None].astype(np.float32))
+            found.append((lo + window) * n + passage)
+        return np.concatenate(found)
+
+    def covered(self, passages: np.ndarray, present: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which passages have at least so many words in ``present`` (one flag per vocabulary word)."""
         many = self.lengths[passages]
         cuts = np.cumsum(many) - many
         at = np.arange(many.sum()) - np.repeat(cuts, many) + np.repeat(self.begins[passages], many)
-        return np.add.reduceat(present[self.joined[at]], cuts, dtype=np.int64) >= self.least[passages]
+        return np.add.reduceat(present[self.joined[at]], cuts, dtype=np.int64) >= least
 
 
 def read_items(benchmark: DataFrame, item_block: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -239,27 +276,30 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Items:
         terms, weights = items.weigh(codes)
         folded.append(weights @ items.basis[terms])
     latent = np.array(folded, dtype=np.float32)
-    items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    length = np.linalg.norm(latent, axis=1, keepdims=True)
+    items.kept = length[:, 0] ** 2
+    items.latent = latent / np.maximum(length, 1e-12)
     return items
 
 
-def candidates(items: Items, codes: np.ndarray, text_of: np.ndarray, min_cosine: float) -> list[tuple[int, int]]:
-    """(window, passage) with a cosine of at least ``min_cosine`` in the latent space, or with the words that a match needs."""
-    n, met = len(items.rows), items.meetings(codes, text_of)
+def candidates(items: Items, codes: np.ndarray, text_of: np.ndarray, min_cosine: float) -> list[tuple[int, int, bool]]:
+    """(window, passage, whether a paraphrase is enough) of the pairs met by either door that hold the words
+    a match needs."""
+    n = len(items.rows)
+    alike = items.latent_meetings(codes, text_of, min_cosine)
+    met = np.union1d(alike, items.meetings(codes, text_of))
+    loose = np.isin(met, alike, assume_unique=True) | items.unkept[met % n]
+    least = np.where(loose, items.loose[met % n], items.least[met % n])
     present = np.zeros(len(items.vocabulary), dtype=bool)
     found = []
-    for window in np.unique(met // n):
+    windows, heads = np.unique(met // n, return_index=True)
+    for window, lo, hi in zip(windows.tolist(), heads, [*heads[1:], len(met)][:len(heads)], strict=True):
         part = codes[window * ITEM_WORDS:(window + 2) * ITEM_WORDS]
-        terms, weights = items.weigh(part[part >= 0])
-        folded = weights.astype(np.float32) @ items.basis[terms]
-        passages = met[np.searchsorted(met, window * n):np.searchsorted(met, (window + 1) * n)] % n
-        cosine = items.latent[passages] @ folded / max(float(np.linalg.norm(folded)), 1e-12)
-        taken = cosine >= min_cosine
-        if not taken.all():
-            present[terms] = True
-            taken[~taken] = items.covered(passages[~taken], present)
-            present[terms] = False
-        found += [(int(window), int(p)) for p in passages[taken]]
+        part = part[part >= 0]
+        present[part] = True
+        taken = lo + np.flatnonzero(items.covered(met[lo:hi] % n, present, least[lo:hi]))
+        present[part] = False
+        found += [(window, int(met[i] % n), bool(loose[i])) for i in taken]
     return found
 
 
@@ -278,15 +318,16 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def confirmed(items: Items, passage: int, codes: np.ndarray, window: int, min_share: float, min_answer: float) -> float:
+def confirmed(items: Items, passage: int, codes: np.ndarray, window: int, loose: bool, min_answer: float) -> float:
     """Share of the passage's words found in order in the window, 0 if the
     share or the answer (its last quarter) is not enough."""
     target = items.codes[passage]
     n = len(target)
+    least = (items.loose if loose else items.least)[passage]
     lo = window * ITEM_WORDS
     text = codes[lo:lo + 2 * ITEM_WORDS]
     near = text[np.isin(text, target)]
-    if len(near) < min_share * n:
+    if len(near) < least:
         return 0.0
     if n < MIN_WORDS:
         spans = np.lib.stride_tricks.sliding_window_view(text, n) if len(text) >= n else np.empty((0, n), np.int32)
@@ -299,18 +340,17 @@ def confirmed(items: Items, passage: int, codes: np.ndarray, window: int, min_sh
         share = common_subsequence(target, part) / n
         if share > best:
             best, answer = share, common_subsequence(tail, part) / len(tail)
-    return best if best >= min_share and answer >= min_answer else 0.0
+    return best if best * n >= least - 1e-6 and answer >= min_answer else 0.0
 
 
-def find(items: Items, texts: list[str | None], min_cosine: float, min_share: float,
-         min_answer: float) -> Iterator[tuple[int, int, float]]:
+def find(items: Items, texts: list[str | None], min_cosine: float, min_answer: float) -> Iterator[tuple[int, int, float]]:
     """(index of the text, passage, share) of the confirmed matches, the best window of each pair."""
     start = 0
     for part in runs(texts):
         codes, text_of = items.encode(part)
         best: dict[tuple[int, int], float] = {}
-        for window, passage in candidates(items, codes, text_of, min_cosine):
-            share = confirmed(items, passage, codes, window, min_share, min_answer)
+        for window, passage, loose in candidates(items, codes, text_of, min_cosine):
+            share = confirmed(items, passage, codes, window, loose, min_answer)
             pair = (start + int(text_of[window]), passage)
             if share > best.get(pair, 0.0):
                 best[pair] = share
@@ -318,27 +358,28 @@ def find(items: Items, texts: list[str | None], min_cosine: float, min_share: fl
         start += len(part)
 
 
-def fitted_blocks(docs: DataFrame, benchmark: DataFrame, min_share: float, rank: int, item_block: int) -> Iterator:
+def fitted_blocks(docs: DataFrame, benchmark: DataFrame, min_share: float, latent_share: float, rank: int,
+                  item_block: int) -> Iterator:
     """The benchmark in broadcast blocks, each with its latent space and rare words."""
     for block in read_items(benchmark, item_block):
-        fit(docs, block, rank).index_rare_words(min_share)
+        fit(docs, block, rank).index_rare_words(min_share, latent_share)
         yield docs.sparkSession.sparkContext.broadcast(block)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35, min_share: float = 0.7,
-                 min_answer: float = 0.5, rank: int = RANK, item_block: int = 1024) -> DataFrame:
+                 min_answer: float = 0.5, latent_share: float = 0.55, rank: int = RANK, item_block: int = 1024) -> DataFrame:
     """(doc_id, item_id, part, share): the confirmed matches, the best share of each document and passage."""
     plain = id_and_text(docs)
     schema = "doc_id long, item_id long, part int, share double"
     found = []
-    for shared in fitted_blocks(plain, benchmark, min_share, rank, item_block):
+    for shared in fitted_blocks(plain, benchmark, min_share, latent_share, rank, item_block):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             rows = shared.value.rows
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 out = [(ids[i], rows[p][0], rows[p][1], share) for i, p, share
-                       in find(shared.value, batch.column("text").to_pylist(), min_cosine, min_share, min_answer)]
+                       in find(shared.value, batch.column("text").to_pylist(), min_cosine, min_answer)]
                 columns = list(zip(*out, strict=True)) if out else [[]] * 4
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -349,15 +390,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.35, min_share: float = 0.7,
-                      min_answer: float = 0.5, rank: int = RANK, item_block: int = 1024, text_col: str = "text") -> DataFrame:
+                      min_answer: float = 0.5, latent_share: float = 0.55, rank: int = RANK, item_block: int = 1024,
+                      text_col: str = "text") -> DataFrame:
     """The rows without a confirmed match, all columns."""
     kept = docs
     plain = docs.select(F.col(text_col).cast("string").alias("text"))
-    for shared in fitted_blocks(plain, benchmark, min_share, rank, item_block):
+    for shared in fitted_blocks(plain, benchmark, min_share, latent_share, rank, item_block):
 
         def judge(shared=shared):
             def verdicts(texts: list) -> list[bool]:
-                hit = {i for i, _, _ in find(shared.value, texts, min_cosine, min_share, min_answer)}
+                hit = {i for i, _, _ in find(shared.value, texts, min_cosine, min_answer)}
                 return [i in hit for i in range(len(texts))]
             return verdicts
 
