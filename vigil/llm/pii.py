@@ -1,17 +1,20 @@
 """Operator 4: personal data by bootstrapped contextual extraction.
 
 One pass over the whole texts finds the base entities (email, ip, card, phone;
-fixed patterns with their checks, linear in the text) and the other tokens that
-could be identifiers: they hold a digit, an ``@`` or a spelt-out ``(at)`` and
-overlap no base entity. Each occurrence is kept with its lexical patterns, the
-two words before it and the words around it.
+fixed patterns with their checks, linear in the text) and what else could be an
+identifier: a token with a digit, an ``@`` or a spelt-out ``(at)``, a run of digit
+groups with the tokens it lies in, or words spelt ``name at host dot org``; none
+overlaps a base entity. Each occurrence is kept with its lexical patterns, the two
+whole words before it and the words around it (a word above ``LONG_WORD``
+characters stands by its digest).
 
 The occurrences form a bipartite graph of patterns and values. Base entities are
 seeds of score 1. In each round Spark scores every pattern for a kind by the mass
 of known values among all values it goes with (at least ``min_support`` different
 known ones), and every unknown value by the patterns it occurs in (noisy or);
-values above ``min_value`` become known with their score. After the last round
-the occurrences of discovered values are added as spans; base spans stay.
+values above ``min_value`` become known with their score. The rounds end when one
+finds no further value (scores only rise, so the rounds do end). The occurrences
+of discovered values are added as spans; base spans stay.
 
 The graph is written once and holds occurrences only, never texts; patterns and
 values are aggregated before each join, so a pattern or a value that occurs in
@@ -25,6 +28,7 @@ repeat; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -46,9 +50,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _REST = re.compile(r"\S*")
+_GROUPS = re.compile(r"[0-9]++(?:(?:[ .-]?\(|\)[ .-]?|[ .-])[0-9]++)*+")
+_SPELT = re.compile(r" (?:at|[(\[]at[)\]]) [a-z0-9-]++(?: (?:dot|[(\[]dot[)\]]) [a-z0-9-]++)++", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]")
 _TRIM = "\"'`.,;:!?()[]{}<>|*#%$&="
 MIN_VALUE_CHARS = 5
+LONG_WORD = 40
 
 
 def _luhn(digits: str) -> bool:
@@ -88,33 +95,84 @@ def base_entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def _word_start(text: str, at: int, floor: int) -> int:
+    while at > floor and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _spelt(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the addresses written in words."""
+    found: list[tuple[int, int]] = []
+    floor = 0
+    for m in _SPELT.finditer(text):
+        start = _word_start(text, m.start(), floor)
+        while start < m.start() and text[start] in _TRIM:
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+        floor = m.end()
+    return found
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the other tokens that could be identifiers."""
+    """(start, end) of what else could be an identifier, ordered."""
     found: list[tuple[int, int]] = []
     floor, k = 0, 0
     busy = sorted((a, b) for a, b, _ in taken)
+    for start, end in _spelt(text):
+        while k < len(busy) and busy[k][1] <= start:
+            k += 1
+        if not (k < len(busy) and busy[k][0] < end):
+            found.append((start, end))
+    busy = sorted(busy + found)
+    k = 0
     for m in _ANCHOR.finditer(text):
         if m.start() < floor:
             continue
-        start = m.start()
-        while start > floor and not text[start - 1].isspace():
-            start -= 1
-        end = floor = _REST.match(text, m.end()).end()
-        while start < end and text[start] in _TRIM:
+        start = _word_start(text, m.start(), floor)
+        while k < len(busy) and busy[k][1] <= start:
+            k += 1
+        stop = busy[k][0] if k < len(busy) else len(text)
+        if stop <= m.start():  # this token is taken, as a whole or in part
+            floor = _REST.match(text, max(busy[k][1], m.end())).end()
+            continue
+        groups = _GROUPS.match(text, m.start(), stop)
+        last = groups.end() if groups else m.end()
+        end = floor = _REST.match(text, last).end()
+        while start < end and (text[start] in _TRIM or text[start].isspace()):
             start += 1
-        while start < end and text[end - 1] in _TRIM:
+        while start < end and (text[end - 1] in _TRIM or text[end - 1].isspace()):
             end -= 1
+        if start and text[start - 1] == "(" and ")" in text[start:end]:  # the bracket of an area code
+            start -= 1
         while k < len(busy) and busy[k][1] <= start:
             k += 1
         if end - start >= MIN_VALUE_CHARS and not (k < len(busy) and busy[k][0] < end):
             found.append((start, end))
-    return found
+    return sorted(found)
+
+
+def _near(text: str, at: int, words: int, step: int) -> list[str]:
+    """The last (step -1) or first (step 1) whole words beside a place, long ones by their digest."""
+    reach = 64
+    while True:
+        lo, hi = (max(0, at - reach), at) if step < 0 else (at, min(len(text), at + reach))
+        part = text[lo:hi]
+        found = part.split()
+        whole = lo == 0 if step < 0 else hi == len(text)
+        if whole or len(found) > words or len(found) == words and part[0 if step < 0 else -1].isspace():
+            break
+        reach *= 4
+    found = found[-words:] if step < 0 else found[:words]
+    return [w if len(w) <= LONG_WORD else "#" + hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest()[:24]
+            for w in (_DIGIT.sub("9", w.lower()) for w in found)]
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of an occurrence: the two words before it, and the words around it."""
-    before = _DIGIT.sub("9", text[max(0, start - 80):start].lower()).split()[-2:]
-    after = _DIGIT.sub("9", text[end:end + 40].lower()).split()[:1]
+    before = _near(text, start, 2, -1)
+    after = _near(text, end, 1, 1)
     out = [" ".join(before) + " _"] if len(before) == 2 else []
     return [*out, f"{before[-1]} _ {after[0]}"] if before and after else out
 
@@ -145,8 +203,7 @@ def extract(docs: DataFrame) -> DataFrame:
                                               "seen array<struct<start:int,end:int,kind:int,value:string,patterns:array<string>>>")
 
 
-def discover(extracted: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.5,
-             min_value: float = 0.7) -> DataFrame:
+def discover(extracted: DataFrame, min_support: int = 3, min_pattern: float = 0.5, min_value: float = 0.7) -> DataFrame:
     """(value, kind, score) of the values that the pattern graph finds beside the seeds."""
     seen = extracted.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.patterns")
     edges = materialize(seen.select("kind", "value", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
@@ -154,8 +211,8 @@ def discover(extracted: DataFrame, rounds: int = 3, min_support: int = 3, min_pa
     totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values"))
     open_edges = edges.filter("kind < 0").select("value", "pattern")
     known = seeds
-    found = seeds.limit(0)
-    for _ in range(rounds):
+    values = 0
+    while True:
         held = (edges.select("value", "pattern").distinct().join(known, "value").groupBy("pattern", "kind")
                 .agg(F.count(F.lit(1)).alias("support"), F.sum("score").alias("mass")).filter(F.col("support") >= min_support))
         scored = (held.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("values") + 1)).alias("trust"))
@@ -165,8 +222,10 @@ def discover(extracted: DataFrame, rounds: int = 3, min_support: int = 3, min_pa
         best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
         found = materialize(per_kind.filter(F.col("score") >= min_value).withColumn("_n", F.row_number().over(best))
                             .filter("_n = 1").drop("_n"), "discovered")
-        known = seeds.unionByName(found.join(seeds.select("value"), "value", "left_anti"))
-    return found
+        now = found.count()
+        if now <= values:
+            return found
+        values, known = now, seeds.unionByName(found.join(seeds.select("value"), "value", "left_anti"))
 
 
 def personal_data(docs: DataFrame, **limits: float) -> DataFrame:
