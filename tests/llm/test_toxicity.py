@@ -1,9 +1,10 @@
 import pytest
 from edge import ROWS, documents
 
-from vigil.llm.toxicity import EXCEPTIONS, Lexicon, fit, folded_words, op3_lexicon_toxicity, score, without_toxic
+from vigil.llm.toxicity import Lexicon, fit, folded_words, op3_lexicon_toxicity, score, without_toxic
 
 SF01 = "/root/testdata/sf0.01"
+EXCEPTIONS = ("trash can", "circus clown")
 
 
 def test_folding_undoes_disguise():
@@ -25,6 +26,33 @@ def test_matches_weights_and_exceptions():
     assert 0 <= lexicon.score(automaton, []) < 0.5 < lexicon.score(automaton, ["clown", "trash"]) <= 1
 
 
+def test_a_sign_may_stand_for_i_or_l_in_any_number():
+    lexicon = Lexicon({" lollipolls ": 2.0, " hello ": 1.0, " iii ": 1.0, " lil ": 4.0}, ("iil ok",))
+    automaton = lexicon.automaton()
+    total = lambda text: lexicon.measure(automaton, folded_words(text))[1]
+    assert total("lo11ipo11s") == total("lollipolls") == total("1o!lipol|s") == 2.0
+    assert total("hel1o") == total("he1lo") == 1.0 and total("heiio") == 1.0
+    assert total("iii") == 1.0 and total("l1l") == 4.0 and total("lll") == 0.0  # an own spelling first, l is never i
+    assert total("hello iil ok") > 0 and total("l1l ok") > 0
+
+
+def test_matches_against_plain_comparison():
+    import random
+    draw = random.Random(3)
+    for _ in range(300):
+        weights = {" " + "".join(draw.choices("lia", k=draw.randint(1, 3))) + draw.choice([" ", ""]): draw.uniform(1, 3) for _ in range(4)}
+        lexicon = Lexicon(weights)
+        words = ["".join(draw.choices("lia", k=draw.randint(1, 4))) for _ in range(6)]
+        text, at = " " + " ".join(words) + " ", {}
+        for start in range(len(text)):
+            for size in {len(k) for k in weights}:
+                seen = text[start:start + size]
+                fits = [w for k, w in weights.items() if k == seen] or [
+                    w for k, w in weights.items() if len(k) == len(seen) and all(c == e or c == "i" and e == "l" for c, e in zip(seen, k))]
+                at[start] = max([at.get(start, 0.0), *fits])
+        assert lexicon.measure(lexicon.automaton(), words)[1] == pytest.approx(sum(at.values()) / 6 ** 0.5)
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))

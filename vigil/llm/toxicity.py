@@ -8,15 +8,16 @@ lexicon entries: whole words (" term ") and word beginnings (" stem").
 
 The lexicon is learned from labelled documents: entries are words and word
 beginnings whose share of toxic documents is far above that of clean ones;
-the weight is the smoothed log odds. Exception phrases (given ones, and learned
-two-word phrases in which an entry occurs in clean documents) silence the
+the weight is the smoothed log odds. Exception phrases (learned two-word phrases
+in which an entry occurs in clean documents, and given ones) silence the
 matches they cover. A document's weighted sum, by itself and normalised by its
 length, goes through a logistic curve fitted on the same labelled documents.
 
 Only the fit uses labels, and it reads at most ``sample_rows`` labelled rows
 (a documented bound; taken by the hash of the id, spread over the cluster).
 Scoring reads every whole text in one pass without a shuffle; the broadcast
-model has at most ``max_terms`` entries and twice as many phrases.
+model holds what enough of the sampled documents share (``min_docs`` for an entry,
+three for a phrase), so the sample bounds it.
 
 Defined cases: null and empty texts score as a text without matches; labels
 that are null or whose document is missing teach nothing; without any toxic or
@@ -32,7 +33,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,6 @@ LOOK_ALIKES = dict(zip("аесорхуіјѕԁһкмтвнгαεορυχικντ
                        "aecopxyijsdhkmtbhraeopuxikvtbhwilag", strict=True))
 # Digits and signs written for a letter inside a word.
 FOR_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
-# Harmless phrases around words that are often abusive.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "take out the trash", "circus clown", "clown fish")
 
 STEM_LENGTHS = (5, 6, 7)
 
@@ -82,16 +80,15 @@ class Lexicon:
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)       # intercept, log sum, sum by length
 
     def automaton(self):
+        """Entries and exceptions by their spelling with l read as i, for 1, ! and | fold to i but may stand for l;
+        each holds the entries so spelt."""
         import ahocorasick
+        spelt: dict[str, list[tuple[str, float | None]]] = {}
+        for key, weight in {**self.weights, **{f" {p} ": None for p in self.exceptions}}.items():
+            spelt.setdefault(key.replace("l", "i"), []).append((key, weight))
         found = ahocorasick.Automaton()
-        entries = dict.fromkeys((f" {p} " for p in self.exceptions), None)
-        for key, weight in {**self.weights, **{k: None for k in entries}}.items():
-            found.add_word(key, (len(key), weight))
-            if weight is not None:  # 1, ! and | fold to i but may stand for l
-                ends = [("l", "i") if c == "l" and key.count("l") <= 4 else (c,) for c in key]
-                for spelt in map("".join, product(*ends)):
-                    if spelt not in self.weights and spelt not in entries:
-                        found.add_word(spelt, (len(spelt), weight))
+        for key, entries in spelt.items():
+            found.add_word(key, entries)
         if len(found):
             found.make_automaton()
         return found
@@ -101,8 +98,14 @@ class Lexicon:
         if not words or not len(automaton):
             return 0.0, 0.0
         covered, hits = [], []
-        for end, (size, weight) in automaton.iter(" " + " ".join(words) + " "):
-            (covered if weight is None else hits).append((end - size + 1, end, weight))
+        text = " " + " ".join(words) + " "
+        for end, entries in automaton.iter(text.replace("l", "i")):
+            size = len(entries[0][0])
+            seen = text[end - size + 1:end + 1]
+            exact = [e for e in entries if e[0] == seen]  # the spelling itself goes before what it may stand for
+            for key, weight in exact or entries:
+                if exact or weight is not None and all(c == k or (c == "i" and k == "l") for c, k in zip(seen, key, strict=True)):
+                    (covered if weight is None else hits).append((end - size + 1, end, weight))
         if covered:
             hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in covered)]
         at: dict[int, float] = {}
@@ -135,8 +138,8 @@ def _terms_of(words: list[str]) -> set[str]:
     return terms
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms: int = 2_000,
-        min_docs: int = 6, min_log_odds: float = 3.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_docs: int = 6,
+        min_log_odds: float = 3.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
     sample = _sampled(docs, labels, sample_rows)
 
     def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms
     best = (sample.select("text", "toxic").mapInArrow(term_counts, "term string, toxic long, clean long")
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .filter(F.col("toxic") >= needed).withColumn("odds", odds).filter(F.col("odds") >= min_log_odds)
-            .orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(max_terms).collect())
+            .collect())
     weights: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r.term), r.term)):  # a word whose beginning is an entry adds nothing
         if not any(r.term[:k] in weights for k in range(2, len(r.term))):
             weights[r.term] = r.odds
-    lexicon = Lexicon(weights, EXCEPTIONS)
-    lexicon.exceptions = EXCEPTIONS + _learned_exceptions(sample, lexicon, max_terms)
+    lexicon = Lexicon(weights)
+    lexicon.exceptions = tuple(exceptions) + _learned_exceptions(sample, lexicon)
     lexicon.curve = _fit_curve(sample, lexicon)
     return lexicon
 
 
-def _learned_exceptions(sample: DataFrame, lexicon: Lexicon, limit: int) -> tuple[str, ...]:
+def _learned_exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
     """Two-word phrases with an entry that clean documents use and toxic ones hardly do."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon.weights)
 
@@ -192,13 +195,13 @@ def _learned_exceptions(sample: DataFrame, lexicon: Lexicon, limit: int) -> tupl
 
     rows = (sample.select("text", "toxic").mapInArrow(phrases, "phrase string, toxic long, clean long")
             .groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .filter("clean >= 3 AND clean >= 10 * toxic").orderBy(F.desc("clean"), "phrase").limit(limit).collect())
-    return tuple(r.phrase for r in rows)
+            .filter("clean >= 3 AND clean >= 10 * toxic").collect())
+    return tuple(sorted(r.phrase for r in rows))
 
 
 def _fit_curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Logistic regression on the two measures, from their counts in cells
-    (a bounded table: 0.05 wide, both measures are capped by the cells' ends)."""
+    """Logistic regression on the two measures, from their counts in cells 0.05
+    wide (at most one a sampled document)."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,7 @@ def _fit_curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float
             counts: Counter = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 a, b = shared.value.measure(automaton, folded_words(text))
-                counts[(min(200, round(a * 20)), min(200, round(b * 20)), toxic)] += 1
+                counts[(round(a * 20), round(b * 20), toxic)] += 1
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]
                                              + [pa.array([counts[k] for k in keys], pa.int64())], ["a", "b", "toxic", "n"])
