@@ -74,3 +74,24 @@ def test_edge_rows_round_trip(spark, plain, rows):
     assert sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out) == want
     full = pieces(d, default_tokenizer(), with_ids=True).collect()
     assert sorted(zlib.crc32(r["ids"]) for r in full) == sorted(w[3] for w in want)
+
+
+def test_documents_under_a_loss_limit_below_the_capacity(spark):
+    """Pieces are cut to the limit, it binds, and full pieces are held to it too."""
+    rng = np.random.default_rng(2)
+    d = documents(spark, [(i, " ".join(f"w{k}" for k in rng.integers(0, 99, int(rng.integers(0, 900)))), "en", "a") for i in range(150)])
+    made = pieces(d, default_tokenizer(), 300)
+    loss = {(r["doc_id"], r["start"]): r["loss_tokens"] for r in made.collect()}
+    out = packed_documents(d, default_tokenizer(), capacity=1024, max_segments=3, max_loss=300).toPandas()
+    assert {(r.doc_id, r.start) for r in out.itertuples()} == set(loss)
+    out["loss"] = [loss[r.doc_id, r.start] for r in out.itertuples()]
+    by = out.groupby("sequence_id")
+    assert by["loss"].sum().max() == 300 and by["length"].count().max() <= 3 and (out["length"] == 300).sum() > 100
+    assert out.groupby("doc_id")["length"].sum().tolist() == out.groupby("doc_id")["doc_tokens"].first().tolist()
+
+
+def test_full_pieces_are_held_to_every_limit(spark):
+    d = spark.createDataFrame([(1024, 1024, 0, 0)], "length long, loss_tokens long, _task int, _n long")
+    assert pack(d, 1024).count() == 1
+    with pytest.raises(Exception, match="exceeds a limit"):
+        pack(d, 1024, max_loss=1000).collect()

@@ -1,9 +1,10 @@
 """Operator 10: vector bin packing of tokenised examples.
 
-A text becomes its token ids and one end id. Longer texts are cut every
-``capacity`` ids: the full pieces are sequences of their own, the remainder is
-an item with a demand on three limits at once: tokens, segments (one) and
-loss-bearing tokens. Items go to sequences by the dot-product heuristic: for
+A text becomes its token ids and one end id; every id but the end id bears loss.
+Longer texts are cut so that no piece exceeds the capacity or the loss limit: the
+pieces that fill either are sequences of their own, the remainder is an item with
+a demand on three limits at once: tokens, segments (one) and loss-bearing tokens.
+Items go to sequences by the dot-product heuristic: for
 the open sequence, take the item that fits and has the largest dot product of
 its demand with the room left (both scaled by the limits); when nothing fits,
 open the next one. Items with equal demand are interchangeable, so a step
@@ -121,7 +122,7 @@ def tokenizer_of(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0,
+def pieces(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 0,
            with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     loss_tokens (all but the end id), _task and _n (its number in the task)
@@ -139,8 +140,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = tokenizer.ids(text or "") + end
                 total = len(data) // 4
-                for start in range(0, total, capacity):
-                    part = data[4 * start:4 * (start + capacity)]
+                for start in range(0, total, longest):
+                    part = data[4 * start:4 * (start + longest)]
                     length = len(part) // 4
                     rows.append((doc_id, start, length, zlib.crc32(part), total, length - (start + length == total), task, n))
                     n += 1
@@ -192,13 +193,17 @@ def dot_product_pack(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def pack(items: DataFrame, capacity: int = 1024, max_segments: int = 64, max_loss: int | None = None,
          group_items: int = 8192) -> DataFrame:
     """Adds sequence_id and offset to rows with length, loss_tokens, _task and
-    _n (a number unique in the task). No item may exceed a limit."""
+    _n (a number unique in the task). No item may exceed a limit; one that has
+    the whole capacity, or nothing but loss and all of that, stays alone."""
     max_loss = capacity if max_loss is None else max_loss
     limits = np.array([capacity, max_segments, max_loss], dtype=np.int64)
-    full = items.filter(F.col("length") == capacity).select(
+    fills = (F.col("length") == capacity) | ((F.col("loss_tokens") == max_loss) & (F.col("length") == max_loss))
+    above = (F.col("length") > capacity) | (F.col("loss_tokens") > max_loss) | F.lit(max_segments < 1)
+    items = items.withColumn("length", F.when(above, F.raise_error(F.lit("an item exceeds a limit"))).otherwise(F.col("length")))
+    full = items.filter(fills).select(
         "*", (F.shiftleft(F.col("_task").cast("long"), 36) + F.col("_n") + F.lit(1 << 62)).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))
-    rest = items.filter(F.col("length") < capacity)
+    rest = items.filter(~fills)
     groups = max(1, -(-rest.count() // group_items))
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_task", "_n"), F.lit(groups)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long"
@@ -206,8 +211,6 @@ def pack(items: DataFrame, capacity: int = 1024, max_segments: int = 64, max_los
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_task", "_n"]).reset_index(drop=True)
         demands = np.column_stack([rows["length"], np.ones(len(rows), dtype=np.int64), rows["loss_tokens"]]).astype(np.int64)
-        if (demands > limits).any():
-            raise ValueError("an item exceeds a limit")
         rows["sequence_id"] = (int(key[0]) << 32) + dot_product_pack(demands, limits)
         rows = rows.sort_values(["sequence_id", "_task", "_n"])
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
@@ -216,9 +219,12 @@ def pack(items: DataFrame, capacity: int = 1024, max_segments: int = 64, max_los
     return full.unionByName(dealt.groupBy("_group").applyInPandas(place, schema))
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) -> DataFrame:
-    made = materialize(pieces(docs, tokenizer_path, capacity), "pieces")
-    return pack(made, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, max_segments: int = 64,
+                     max_loss: int | None = None) -> DataFrame:
+    """Pieces of whole documents in sequences; without a loss limit of its own a sequence may be all loss."""
+    max_loss = capacity if max_loss is None else max_loss
+    made = materialize(pieces(docs, tokenizer_path, min(capacity, max_loss)), "pieces")
+    return pack(made, capacity, max_segments, max_loss).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:
