@@ -174,12 +174,31 @@ class Items:
             found.append((lo + window) * n + passage)
         return np.concatenate(found)
 
-    def covered(self, passages: np.ndarray, present: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Which passages have at least so many words in ``present`` (one flag per vocabulary word)."""
-        many = self.lengths[passages]
-        cuts = np.cumsum(many) - many
-        at = np.arange(many.sum()) - np.repeat(cuts, many) + np.repeat(self.begins[passages], many)
-        return np.add.reduceat(present[self.joined[at]], cuts, dtype=np.int64) >= least
+    def covered(self, codes: np.ndarray, met: np.ndarray, least: np.ndarray, block: int = 256, pairs: int = 1 << 15) -> np.ndarray:
+        """Which of the pairs (ordered, window * passages + passage) have in the window at least so many words of
+        the passage."""
+        n, taken = len(self.rows), np.zeros(len(met), dtype=bool)
+        windows, passages = met // n, met % n
+        present = np.zeros((block + 1, len(self.vocabulary)), dtype=bool)  # of each stretch, then of it and the next
+        lo = 0
+        while lo < len(met):
+            first = int(windows[lo])
+            last = int(np.searchsorted(windows, first + block))
+            part = codes[first * ITEM_WORDS:(first + block + 1) * ITEM_WORDS]
+            at = np.flatnonzero(part >= 0)
+            present[:] = False
+            present[at // ITEM_WORDS, part[at]] = True
+            present[:-1] |= present[1:]
+            flat = present.reshape(-1)
+            for i in range(lo, last, pairs):
+                some = slice(i, min(i + pairs, last))
+                many = self.lengths[passages[some]]
+                cuts = np.cumsum(many) - many
+                word = np.arange(many.sum()) + np.repeat(self.begins[passages[some]] - cuts, many)
+                held = flat[np.repeat((windows[some] - first) * len(self.vocabulary), many) + self.joined[word]]
+                taken[some] = np.add.reduceat(held, cuts, dtype=np.int64) >= least[some]
+            lo = last
+        return taken
 
 
 def read_items(benchmark: DataFrame, item_block: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -290,17 +309,8 @@ def candidates(items: Items, codes: np.ndarray, text_of: np.ndarray, min_cosine:
     met = np.union1d(alike, items.meetings(codes, text_of))
     loose = np.isin(met, alike, assume_unique=True) | items.unkept[met % n]
     least = np.where(loose, items.loose[met % n], items.least[met % n])
-    present = np.zeros(len(items.vocabulary), dtype=bool)
-    found = []
-    windows, heads = np.unique(met // n, return_index=True)
-    for window, lo, hi in zip(windows.tolist(), heads, [*heads[1:], len(met)][:len(heads)], strict=True):
-        part = codes[window * ITEM_WORDS:(window + 2) * ITEM_WORDS]
-        part = part[part >= 0]
-        present[part] = True
-        taken = lo + np.flatnonzero(items.covered(met[lo:hi] % n, present, least[lo:hi]))
-        present[part] = False
-        found += [(window, int(met[i] % n), bool(loose[i])) for i in taken]
-    return found
+    taken = np.flatnonzero(items.covered(codes, met, least))
+    return [(int(met[i] // n), int(met[i] % n), bool(loose[i])) for i in taken]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
