@@ -91,6 +91,14 @@ def test_a_sketch_far_too_small_changes_nothing(spark, monkeypatch):
     assert rows_of(prefix_trie(placed.select("conv_id").distinct(), placed)) == brute(sequences(rows))
 
 
+def test_a_crowded_sketch_keeps_tails_whole(spark):
+    """Estimates of two in the midst of a tail: after a prefix proven single come some that are not."""
+    rows = [(c, t, "user", f"{c % 7}" if t == 0 else f"{c} {t}") for c in range(1200) for t in range(25)]
+    placed = positions(turn_digests(spark.createDataFrame(rows, SCHEMA)))
+    got = prefix_trie(placed.select("conv_id").distinct(), placed, most_cells=prefixtrie.BLOCK_CELLS)
+    assert rows_of(got) == brute(sequences(rows))
+
+
 EDGE = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, 2, "assistant", "a"), (1, None, None, "first"), (2, 1, "assistant", None), (None, 1, "user", "x"),
         (3, 1, "user", "same"), (3, 1, "user", "same"), (4, 0, "assistant", "long " * 20000), (205, 0, "user", "absent lead"), (-7, 1, "user", "é\U0001f600"),
         (100, 0, "user", "lead"), (100, 1, "assistant", "lead too"), (103, 0, "user", "own"), (104, 0, "user", "own"), (104, 1, "user", "own")]

@@ -11,8 +11,8 @@ begin with it.
    driver) and no conversation has to fit one task.
 2. A count-min sketch of all digests, with counters that stop at two, is
    filled in the tasks, merged block by block and broadcast. It never estimates
-   too low: estimate one proves that a prefix occurs once. It and all that follow
-   it in its conversation form a tail of nodes with one member, emitted where they are.
+   too low: estimate one proves that a prefix occurs once. It and the prefix after
+   it in its conversation are nodes with one member, emitted where they are.
 3. Only possibly shared prefixes are shuffled and grouped exactly.
 
 Sums over subtrees need no walk by depth: a leaf counts for every node on its
@@ -362,9 +362,10 @@ def prefix_trie(members: DataFrame, steps: DataFrame, most_cells: int = MOST_CEL
 
     top = F.lit(first["conv_id"]).cast("long")
     tops = nodes.select(F.col("digest").alias("parent"), F.col("top").alias("parent_top"))
-    above = F.when(F.col("depth") == 1, top).otherwise(F.col("parent_top"))
-    exact = (nodes.join(tops, "parent", "left").join(sums, "digest", "left")
-             .select("digest", F.col("top").alias("conv_id"), "depth", above.alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children",
+    # a parent that is no shared node lies in a tail: its one member is the conversation itself
+    above = F.when(F.col("depth") == 1, top).otherwise(F.coalesce("parent_top", F.col("conv_id")))
+    exact = (nodes.withColumnRenamed("top", "conv_id").join(tops, "parent", "left").join(sums, "digest", "left")
+             .select("digest", "conv_id", "depth", above.alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children",
                      F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens")))
     exact = exact.unionByName(root).join(ends, "digest", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_NO_ENDS))).drop("digest")
 
@@ -374,7 +375,7 @@ def prefix_trie(members: DataFrame, steps: DataFrame, most_cells: int = MOST_CEL
                            one.alias("n_leaves"), none.alias("saved_tokens"), F.when(F.col("last"), _own_end(F.col("conv_id"))).otherwise(F.lit(_NO_ENDS)).alias("ends_sha256"))
 
     inner = tail(tails.filter("parent_single OR depth = 1"), F.when(F.col("depth") == 1, top).otherwise(F.col("conv_id")))
-    return exact.unionByName(inner).unionByName(tail(boundary.filter("depth > 1").join(tops, "parent"), F.col("parent_top")))
+    return exact.unionByName(inner).unionByName(tail(boundary.filter("depth > 1").join(tops, "parent", "left"), above))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
