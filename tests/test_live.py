@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import history as H
+from vigil.session import STATE_STORE
 from vigil.sources import list_table as L
 from vigil.sources import versions as V
 from vigil.streaming import late, sessions as SE, state as SS, stream as ST
@@ -45,6 +46,18 @@ def run_velocity(spark, base, parts, bucket_us):
     return {r["id"]: (r["hour"], r["day"], r["bad_day"]) for r in spark.read.parquet(base + "/out").collect()}
 
 
+def test_keyed_state_in_a_session_with_the_default_store(spark, tmp_path):
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.unset(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        rows = [{"id": i, "k": "a", "us": BASE + i * H.HOUR_US, "bad": None} for i in range(4)]
+        assert run_velocity(spark, str(tmp_path), [rows], H.DAY_US) == {0: (0, 0, 0), 1: (1, 1, 0), 2: (1, 2, 0), 3: (1, 3, 0)}
+        assert SS.account_state(spark.createDataFrame([], SS.EVENT_SCHEMA), "1 day").columns[0] == "account_number"
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 @pytest.mark.parametrize("bucket_us", [H.DAY_US, 2 * H.HOUR_US])
 def test_velocity_over_a_restart(spark, tmp_path, bucket_us):
     rng = random.Random(1)
