@@ -58,6 +58,23 @@ def test_keyed_state_in_a_session_with_the_default_store(spark, tmp_path):
         spark.conf.set(STATE_STORE, before)
 
 
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    """Not the number of partitions of a batch shuffle, each of which every micro-batch would commit."""
+    import os
+    before = spark.conf.get(ST.PARTITIONS)
+    spark.conf.set(ST.PARTITIONS, "64")
+    try:
+        write(spark, f"{tmp_path}/in", [(i, BASE + i) for i in range(20)], "transaction_id long, us long")
+        once = ST.dedupe(read(spark, f"{tmp_path}/in", "transaction_id long, us long"))
+        ST.run_available_now(once, "parquet", f"{tmp_path}/out", f"{tmp_path}/ckpt")
+        assert spark.conf.get(ST.PARTITIONS) == "64"
+    finally:
+        spark.conf.set(ST.PARTITIONS, before)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+    stores = [d for d in os.listdir(f"{tmp_path}/ckpt/state/0") if d.isdigit()]
+    assert len(stores) == max(2 * spark.sparkContext.defaultParallelism, 8)
+
+
 @pytest.mark.parametrize("bucket_us", [H.DAY_US, 2 * H.HOUR_US])
 def test_velocity_over_a_restart(spark, tmp_path, bucket_us):
     rng = random.Random(1)

@@ -6,6 +6,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators import lists
 from vigil.sources import files as IO
@@ -72,3 +73,24 @@ def test_whole_file_document(spark):
                 '    "last_updated": "2026-06-20T12:57:28.708085"\n  }\n}\n')
     rows = IO.read_list_documents(spark, folder, whole_file=True).collect()
     assert [(r["list"], r["key"], r["count"], r["account"]) for r in rows] == [("ip", "10.0.0.143", 1, "X1")]
+
+
+def test_a_time_ordered_feed_is_one_job_and_replays_in_order(spark, tmp_path):
+    """Files carry later modification times by range, whatever the number of jobs before; a second feed comes after the first."""
+    folder = str(tmp_path / "in")
+    rows = spark.range(2000).select(F.timestamp_seconds(F.col("id") * 7919 % 2000 + 5000).alias("t"), (F.col("id") * 7919 % 2000).cast("string").alias("value"))
+    spark.sparkContext.setJobGroup("publish", "publish")
+    IO.publish_in_time_order(rows, folder, "t", 40)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("publish"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 4  # bounds, shuffle and write, not one a file
+    IO.publish_in_time_order(rows.select(F.col("t"), (F.col("value").cast("long") + 2000).cast("string").alias("value")), folder, "t", 5)
+    names = sorted((f for f in os.listdir(folder) if f.startswith("part-")), key=lambda f: os.stat(f"{folder}/{f}").st_mtime_ns)
+    per_file = [[int(r.value) for r in spark.read.text(f"{folder}/{f}").collect()] for f in names]
+    assert sorted(v for part in per_file for v in part) == list(range(4000)) and len(names) > 40
+    assert all(max(a) < min(b) for a, b in zip(per_file, per_file[1:]))
+
+
+def test_micro_batches_of_a_long_feed_are_few():
+    assert [IO.files_per_batch(n) for n in (0, 10_000, 150_000, 600_000, 9_000_000, 54_000_000)] == [1, 1, 1, 6, 40, 40]
+    assert -(-IO.slices_for(54_000_000) // IO.files_per_batch(54_000_000)) == 54

@@ -279,7 +279,7 @@ def q_running_totals(spark, sf):
     base = IO.scratch_dir(spark, "totals")
     det = _publish(spark, sf, base + "/in")
     det.where(F.col("txn_seq") % 50 == 0).select(F.lit("{broken").alias("value")).write.mode("append").text(base + "/in")
-    m = ST.read_messages(spark, base + "/in", max_files=2)
+    m = ST.read_messages(spark, base + "/in", max_files=max(2, IO.files_per_batch(det.count())))
     st = m.select(F.when(F.col("_corrupt_record").isNull(), F.lit("sent")).otherwise(F.lit("failed")).alias("status"))
     agg = st.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     ST.run_available_now(agg, None, None, base + "/ckpt", mode="complete",
@@ -294,8 +294,8 @@ UNION ALL SELECT 'failed', count(*) FROM d WHERE txn_seq % 50 = 0"""
 def q_action_counts(spark, sf):
     """Running action counts (complete mode)."""
     base = IO.scratch_dir(spark, "actions")
-    _publish(spark, sf, base + "/in")
-    m = ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=2)))
+    det = _publish(spark, sf, base + "/in")
+    m = ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=max(2, IO.files_per_batch(det.count())))))
     agg = m.groupBy("action").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     ST.run_available_now(agg, None, None, base + "/ckpt", mode="complete",
                          foreach_batch=ST.counts_callback(base + "/out"))
@@ -315,7 +315,7 @@ def q_window_counts(spark, sf, slide: str | None = None):
                      F.date_format("transaction_ts", "yyyy-MM-dd HH:mm:ss").alias("transaction_ts"))
     IO.publish_in_time_order(msg.select(F.to_timestamp("transaction_ts").alias("t"),
                                         F.to_json(F.struct(*msg.columns)).alias("value")), base + "/in", "t", IO.slices_for(det.count()))
-    m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=1))))
+    m = ST.with_event_time(ST.score(ST.good(ST.read_messages(spark, base + "/in", max_files=IO.files_per_batch(det.count())))))
     agg = (m.withWatermark("event_time", REDELIVERY_DELAY)
            .groupBy(F.window("event_time", "30 days", slide), "action").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
@@ -346,14 +346,14 @@ def q_stream_lists(spark, sf):
     """Each micro-batch's confirmed frauds merged into the stored list
     table, and the last batch delivered once more."""
     base = IO.scratch_dir(spark, "lists")
-    _publish(spark, sf, base + "/in")
+    det = _publish(spark, sf, base + "/in")
     merge, seen = ST.list_upsert_callback(base + "/table"), []
 
     def cb(batch, batch_id):
         merge(batch, batch_id)
         merge(batch, batch_id)
         seen.append(batch_id)
-    m = ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=1)))
+    m = ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=IO.files_per_batch(det.count()))))
     ST.run_available_now(m, None, None, base + "/ckpt", foreach_batch=cb)
     assert len(V.versions(spark, base + "/table")) == len(seen)  # a repeated batch is no version
     return list_table.read_lists(spark, base + "/table")
@@ -374,7 +374,7 @@ def q_dedupe(spark, sf):
     IO.publish_in_time_order(feed.select(F.to_timestamp("transaction_ts").alias("t"),
                                          F.to_json(F.struct(*[c for c in msg.columns if c != "txn_seq"])).alias("value")),
                              base + "/in", "t", IO.slices_for(det.count()))
-    m = ST.dedupe(ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=1))), REDELIVERY_DELAY)
+    m = ST.dedupe(ST.with_event_time(ST.good(ST.read_messages(spark, base + "/in", max_files=IO.files_per_batch(det.count())))), REDELIVERY_DELAY)
     out = ST.score(m).select("transaction_id", "action")
     ST.run_available_now(out, "parquet", base + "/out", base + "/ckpt")
     return spark.read.parquet(base + "/out")
