@@ -158,3 +158,14 @@ def test_hot_key_inside_one_day_and_null_keys(spark):
     assert list(seen.n) == [len({p.kind[j] for j in groups[acc[i]] if us[i] - HOUR <= us[j] < us[i]} - {None}) for i in range(len(p))]
     dom = _pdf(H.earlier_at_most(ev, ["acc"], "ts", "id", "v", "id"))
     assert list(dom.earlier_at_most) == [int((p.v[b] <= p.v[i]).sum()) for i, b in enumerate(before)]
+
+
+def test_average_of_zeros_has_no_ratio(spark, tmp_path):
+    """L4: an account whose purchases so far were all of nothing."""
+    from vigil.plans.q_history import q_amount_vs_avg
+    rows = [(1, "2024-01-01 00:00:00", 7, "purchase", 0.0, None), (2, "2024-01-02 00:00:00", 7, "purchase", 0.0, None),
+            (3, "2024-01-03 00:00:00", 7, "purchase", 9.0, None), (4, "2024-01-04 00:00:00", 7, "purchase", 6.0, None)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string") \
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["tx_amount_vs_historical_avg_ratio"] for r in q_amount_vs_avg(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 2.0}

@@ -64,7 +64,8 @@ SQL_FAILED_1H = EV + f"""SELECT event_id, account,
 def q_amount_vs_avg(spark, sf):
     p = _ev(spark, sf).where("event_type = 'purchase'")
     d = H.sums_before(p, ["account"], ["ts", "event_id"], {"_sum": F.col("amount"), "_n": F.lit(1)})
-    ratio = F.when(F.col("_n") > 0, F.col("amount") / (F.col("_sum") / F.col("_n")))
+    # an average of nothing but zeros has no ratio to it
+    ratio = F.when(F.col("_n") > 0, F.try_divide("amount", F.col("_sum") / F.col("_n")))
     return d.select("event_id", "account", "amount",
                     F.col("_n").cast("bigint").alias("prior_purchases"),
                     F.round(ratio, 6).alias("tx_amount_vs_historical_avg_ratio"))
