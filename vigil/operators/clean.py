@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil import schemas as S
-from vigil.functions import bool_flag, clamp, parse_double, to_double_or_zero
+from vigil.functions import bool_flag, clamp, nan_to_null, parse_double, to_double_or_zero
 from vigil.functions.ordering import dense_index
 from vigil.session import materialize
 
@@ -142,18 +143,27 @@ BEHAVIORAL_FIELDS = ["typing_speed_mobile", "typing_rhythm_mobile", "phone_angle
 BOOL_TEXTS = ["0", "1", "true", "false", "t", "f", "yes", "no", "y", "n", "on", "off"]
 
 
+def _number(df: DataFrame, c: str):
+    """:func:`parse_double`; a column that is a number already needs no text made of it."""
+    whole_or_double = isinstance(df.schema[c].dataType, (T.DoubleType, T.IntegralType))
+    return nan_to_null(F.col(c).cast("double")) if whole_or_double else parse_double(F.col(c))
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Fill defaults, then list the broken rules per row
     (``errors`` empty = accepted).  Split with :func:`accepted`/:func:`rejected`.
     Numbers must parse, integers must be whole, booleans be one of the usual words."""
     d = df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) if c in df.columns
                         else F.lit(v) for c, v in DEFAULTS.items()})
+    # each number is read once, in a projection of its own
+    read = [c for c in dict.fromkeys([*NUMERIC_FIELDS, *BEHAVIORAL_FIELDS, *BOUNDS]) if c in df.columns]
+    d = d.withColumns({f"_number_{c}": _number(d, c) for c in read})
     checks = []
     for c in REQUIRED:
         checks.append(F.when(F.col(c).isNull() if c in d.columns else F.lit(True), F.lit(f"missing:{c}")))
     for c in [*NUMERIC_FIELDS, *BEHAVIORAL_FIELDS]:
         if c in df.columns:
-            v = parse_double(F.col(c))
+            v = F.col(f"_number_{c}")
             bad = v.isNull() | ((v != F.floor(v)) if c in INT_FIELDS else F.lit(False))
             checks.append(F.when(F.col(c).isNotNull() & bad, F.lit(f"type:{c}")))
     for c in BOOL_FIELDS:
@@ -161,12 +171,15 @@ def validate(df: DataFrame) -> DataFrame:
             text = F.lower(F.trim(F.col(c).cast("string")))
             checks.append(F.when(F.col(c).isNotNull() & ~text.isin(*BOOL_TEXTS), F.lit(f"type:{c}")))
     for c, (lo, hi) in BOUNDS.items():
-        v = parse_double(F.col(c))
+        v = F.col(f"_number_{c}") if c in read else parse_double(F.col(c))
         if lo is not None:
             checks.append(F.when(v < lo, F.lit(f"min:{c}")))
         if hi is not None:
             checks.append(F.when(v > hi, F.lit(f"max:{c}")))
-    return d.withColumn("errors", F.array_compact(F.array(*checks)))
+    # exploded (one array a row): a filter on ``errors`` would otherwise be pushed down as
+    # a copy of all checks and of whatever their columns are made from
+    made = F.explode(F.array(F.array_compact(F.array(*checks)))).alias("errors")
+    return d.select("*", made).drop(*[f"_number_{c}" for c in read])
 
 
 def accepted(validated: DataFrame) -> DataFrame:
