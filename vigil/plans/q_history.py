@@ -138,10 +138,12 @@ def q_distinct_transactions(spark, sf):
     """L7 over the transactions: accounts per country in a day, ips and devices per account in eight weeks."""
     tx = materialize(bindings.transactions(spark, sf), "transactions")
     out = tx.select("transaction_id", "account_number", "ip_country")
-    for name, key, item, width in (("country_distinct_accounts_24h", "ip_country", "account_number", DAY),
-                                   ("account_distinct_ips_8w", "account_number", "ip_address", 8 * WEEK),
-                                   ("account_distinct_devices_8w", "account_number", "device_id", 8 * WEEK)):
-        out = out.join(H.distinct_in_window(tx, key, item, "transaction_ts", "txn_seq", width, "transaction_id", name), "transaction_id")
+    for key, counts in (("ip_country", {"country_distinct_accounts_24h": ("account_number", DAY)}),
+                        ("account_number", {"account_distinct_ips_8w": ("ip_address", 8 * WEEK),
+                                            "account_distinct_devices_8w": ("device_id", 8 * WEEK)})):
+        found = H.distinct_in_windows(tx, key, "transaction_ts", "txn_seq", "transaction_id", counts)
+        for name in counts:
+            out = out.join(found.select("transaction_id", name), "transaction_id")
     return out
 
 
