@@ -181,3 +181,25 @@ def test_passes_walk_few_trees(spark, monkeypatch):
     few = B.packed(*B.boost(df, ["a", "b"], "label", None, "id", B.BoostParams(**p)))
     assert max(seen) < 4
     assert few == B.packed(*B.boost(df, ["a", "b"], "label", None, "id", B.BoostParams(**p, level_block=50)))
+
+
+@pytest.mark.parametrize("min_child", [0.0, 1.0])
+def test_a_level_adds_up_at_most_half_the_rows(monkeypatch, min_child):
+    """Of two siblings only the smaller's rows are added up; the sums in every node are those of its rows."""
+    x, y = table(3000, seed=6)
+    bins = B.to_bins(x, [sorted(set(np.round(np.nanquantile(x[:, j], np.linspace(0.05, 0.95, 19)), 3))) for j in range(x.shape[1])])
+    seen, plain = [], B._sums
+
+    def counted(codes, first, cells, rows, *more):
+        seen.append(len(rows))
+        return plain(codes, first, cells, rows, *more)
+
+    monkeypatch.setattr(B, "_sums", counted)
+    p = B.BoostParams(trees=1, depth=6, subsample=1.0, colsample=1.0, min_child=min_child, gamma=0.0)
+    tree = B.boost_rows(np.arange(len(y)), y, np.ones(len(y)), bins, np.zeros(len(y)), 0, 1, p)[0]
+    assert seen[0] == len(y) and len(seen) > 3 and max(seen[1:]) <= len(y) / 2
+    g, h = B.gradients(y, np.ones(len(y)), np.zeros(len(y)))
+    for depth in range(p.depth + 1):
+        at = tree.places(bins, depth)
+        for node in np.unique(at):
+            assert tree.g[node] == g[at == node].sum() / B.UNIT and tree.h[node] == h[at == node].sum() / B.UNIT

@@ -93,3 +93,14 @@ def test_search_over_nine_parameters(spark):
 def test_the_sample_is_bounded(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     assert 800 < T.sample_rows(df, "k", 1000).count() < 1200 and T.sample_rows(df, "k", 20_000).count() == 20_000
+
+
+def test_every_fit_is_a_task_of_its_own_and_long_ones_come_first(spark):
+    rng = np.random.default_rng(3)
+    tried = [T.random_settings(T.SEARCH_SPACE, rng) for _ in range(5)]
+    types = ", ".join(f"{k} {'int' if T.is_whole(b) else 'double'}" for k, b in T.SEARCH_SPACE.items())
+    parts = T.dealt(spark, [(i, f, *s.values()) for i, s in enumerate(tried) for f in range(5)], types, BoostParams()).rdd.glom().collect()
+    assert [len(p) for p in parts] == [1] * 25
+    length = [p[0]["trees"] * p[0]["depth"] for p in parts]
+    assert length == sorted(length, reverse=True)
+    assert {(p[0]["trial"], p[0]["fold"]) for p in parts} == {(i, f) for i in range(5) for f in range(5)}

@@ -245,31 +245,128 @@ def best_splits(hist: np.ndarray, p: BoostParams) -> dict[str, np.ndarray]:
     return {"bin": cut, "missing_left": way == 1, "gain": np.take_along_axis(every, at[..., None], axis=-1)[..., 0], "left": side, "total": total}
 
 
-def grow(tree: Tree, top: int, levels: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, width: int, p: BoostParams) -> None:
-    """Grow the subtree under node ``top`` from the rows that are there."""
-    chosen = bins[:, features]
+def _cells(bins: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(features, rows) numbers of cells: a feature has one per bin up to its last, and one for missing values
+    where there are any. Per cell of all features its feature's place and its number; per feature its first cell
+    and its cell of missing values (-1: none)."""
+    codes = np.ascontiguousarray(bins.T[features])
+    without = codes == MISSING
+    some = without.any(axis=1)
+    sizes = np.where(without, -1, codes.astype(np.int16)).max(axis=1, initial=-1).astype(np.int64) + 1 if some.any() else codes.max(axis=1, initial=0).astype(np.int64) + 1
+    np.copyto(codes, sizes[:, None].astype(np.uint8), where=without)
+    width = sizes + some
+    first = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(features)), width)
+    return codes, owner, np.arange(len(owner)) - first[owner], first, np.where(some, first + sizes, -1)
+
+
+def _sums(codes: np.ndarray, first: np.ndarray, cells: int, rows: np.ndarray, slot: np.ndarray, values: list[np.ndarray], slots: int) -> np.ndarray:
+    """(slots, values, cells): sums of each value over the rows of a slot; a feature at a time, which stays in the cache."""
+    out = np.empty((slots, len(values), cells))
+    values = [v[rows] for v in values]
+    for code, start, end in zip(codes, first, [*first[1:], cells], strict=True):
+        at = slot * (end - start)
+        at += code.take(rows)
+        for i, v in enumerate(values):
+            out[:, i, start:end] = np.bincount(at, v, slots * (end - start)).reshape(slots, -1)
+    return out
+
+
+def _best_cells(sums: np.ndarray, total: np.ndarray, owner: np.ndarray, missing: np.ndarray, p: BoostParams) -> tuple[np.ndarray, ...]:
+    """Per node the best cut, as :func:`best_splits` finds it over all features: gain (-inf: none), cell,
+    missing_left and the left side's sums. Only cuts that leave both sides enough are valued."""
+    nodes, _, cells = sums.shape
+    left = np.cumsum(sums, axis=2)
+    left -= owner * total[:, :, None]  # every feature's cells add up to the node's sums
+    gain, cell, missing_left, side = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, bool), np.zeros((nodes, sums.shape[1]))
+    base = node_score(total[:, 0] / UNIT, total[:, 1] / UNIT, p)
+    gap = missing[owner]
+    for way in (False, True):
+        if way:  # missing values on the left
+            if not (missing >= 0).any():
+                break
+            left = left + np.where(gap >= 0, sums[:, :, gap], 0.0)
+        use = (left[:, 1] >= p.min_child * UNIT) & (total[:, 1, None] - left[:, 1] >= p.min_child * UNIT) & (np.arange(cells) != gap)
+        if sums.shape[1] > 2:
+            use &= (left[:, 2] > 0) & (left[:, 2] < total[:, 2, None])
+        if way:
+            use &= gap >= 0
+        node, at = np.nonzero(use)
+        if not len(node):
+            continue
+        lg, lh = left[node, 0, at] / UNIT, left[node, 1, at] / UNIT
+        rg, rh = total[node, 0] / UNIT - lg, total[node, 1] / UNIT - lh
+        found = node_score(lg, lh, p) + node_score(rg, rh, p) - base[node]
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        most = np.maximum.reduceat(found, starts)
+        first = np.flatnonzero(found == np.repeat(most, np.diff(np.r_[starts, len(node)])))
+        first = first[np.r_[True, node[first[1:]] != node[first[:-1]]]]
+        of, c = node[first], at[first]
+        better = (most > gain[of]) | (most == gain[of]) & (c < cell[of])  # of equal gains the first cut
+        of, c = of[better], c[better]
+        gain[of], cell[of], missing_left[of], side[of] = most[better], c, way, left[of, :, c]
+    return gain, cell, missing_left, side
+
+
+def grow(tree: Tree, top: int, levels: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, p: BoostParams) -> None:
+    """Grow the subtree under node ``top`` from the rows that are there. Of two siblings the
+    rows of the smaller are summed, the other's sums are what is left of the parent's; nodes
+    whose hessian is not enough for two sides are not looked at."""
+    values = [g, h] if p.min_child > 0 else [g, h, np.ones(len(g))]  # a side with a hessian has rows
     tree.g[top], tree.h[top] = g.sum() / UNIT, h.sum() / UNIT
-    open_nodes, place = np.array([top]), np.zeros(len(bins), dtype=np.int64)
-    rows = np.arange(len(bins))
-    for _ in range(levels):
-        if not len(open_nodes) or not len(rows):
+    if not len(bins) or not len(features):
+        return
+    codes, owner, cut_of, first, missing = _cells(bins, features)
+    cells = len(owner)
+    exact = max(np.abs(v).sum() for v in values) * len(features) < 1 << 53  # else differences would round
+    rows, place, open_nodes = np.arange(len(bins)), np.zeros(len(bins), dtype=np.int64), np.array([top])
+    sums = _sums(codes, first, cells, rows, place, values, 1)
+    for level in range(levels):
+        total = sums[:, :, owner == 0].sum(axis=2)
+        gain, cell, missing_left, left = _best_cells(sums, total, owner, missing, p)
+        s = np.flatnonzero(gain > SMALLEST_GAIN)
+        if not len(s):
+            return
+        nodes, cut = open_nodes[s], cell[s]
+        record_splits(tree, nodes, features[owner[cut]], cut_of[cut], missing_left[s], gain[s], left[s].T, total[s].T)
+        if level == levels - 1:
             return
-        found = best_splits(histograms(chosen[rows], place, g[rows], h[rows], len(open_nodes), width), p)
-        best = found["gain"].argmax(axis=1)
-        at = np.arange(len(open_nodes))
-        splits = found["gain"][at, best] > SMALLEST_GAIN
-        s = at[splits]
-        nodes, b = open_nodes[s], best[s]
-        record_splits(tree, nodes, features[b], found["bin"][s, b], found["missing_left"][s, b], found["gain"][s, b],
-                      found["left"][:, s, b], found["total"][:, s, b])
         number = np.full(len(open_nodes), -1)
         number[s] = np.arange(len(s))
-        keep = number[place] >= 0
-        rows, mine = rows[keep], number[place[keep]]
-        v = chosen[rows, b[mine]]
-        left = np.where(v == MISSING, found["missing_left"][s, b][mine], v <= found["bin"][s, b][mine])
-        place = 2 * mine + 1 - left
-        open_nodes = np.column_stack([2 * nodes + 1, 2 * nodes + 2]).ravel()
+        mine = number[place]
+        keep = mine >= 0
+        rows, mine = rows[keep], mine[keep]
+        f = owner[cut]
+        v = codes.ravel().take(f[mine] * len(bins) + rows)
+        goes_left = v <= cut_of[cut][mine]
+        if missing_left[s].any():
+            goes_left |= missing_left[s][mine] & (v == (missing - first)[f][mine])
+        place = 2 * mine + 1 - goes_left
+        count = np.bincount(place, minlength=2 * len(s))
+        child_h = np.column_stack([left[s, 1], total[s, 1] - left[s, 1]]).ravel()
+        alive = (count > 1) & (child_h >= 2 * p.min_child * UNIT)
+        if not alive.any():
+            return
+        if exact:
+            less = 2 * np.arange(len(s)) + (count[1::2] < count[::2])
+            less = less[alive[::2] | alive[1::2]]
+        else:
+            less = np.flatnonzero(alive)
+        slot = np.full(2 * len(s), -1)
+        slot[less] = np.arange(len(less))
+        counted = np.flatnonzero(slot[place] >= 0)
+        found = _sums(codes, first, cells, rows[counted], slot[place[counted]], values, len(less))
+        after = np.flatnonzero(alive)
+        at = slot[after]
+        made = np.empty((len(after), *sums.shape[1:]))
+        made[at >= 0] = found[at[at >= 0]]
+        rest = after[at < 0]
+        made[at < 0] = sums[s[rest // 2]] - found[slot[rest ^ 1]]
+        number = np.full(2 * len(s), -1)
+        number[after] = np.arange(len(after))
+        keep = alive[place]
+        rows, place, sums = rows[keep], number[place[keep]], made
+        open_nodes = np.column_stack([2 * nodes + 1, 2 * nodes + 2]).ravel()[after]
 
 
 def record_splits(tree: Tree, nodes, feature, cut, missing_left, gain, left, total) -> None:
@@ -279,14 +376,14 @@ def record_splits(tree: Tree, nodes, feature, cut, missing_left, gain, left, tot
         tree.g[child], tree.h[child] = side[0] / UNIT, side[1] / UNIT
 
 
-def boost_rows(row: np.ndarray, y: np.ndarray, w: np.ndarray, bins: np.ndarray, margin: np.ndarray, first: int, count: int, width: int, p: BoostParams) -> list[Tree]:
+def boost_rows(row: np.ndarray, y: np.ndarray, w: np.ndarray, bins: np.ndarray, margin: np.ndarray, first: int, count: int, p: BoostParams) -> list[Tree]:
     """Trees ``first`` to ``first + count - 1`` from rows in memory."""
     made, margin = [], margin.copy()
     for t in range(first, first + count):
         g, h = gradients(y, w, margin)
         seen = drawn_rows(row, t, p)
         tree = Tree.blank(p.depth)
-        grow(tree, 0, p.depth, bins[seen], g[seen], h[seen], drawn_features(bins.shape[1], t, p), width, p)
+        grow(tree, 0, p.depth, bins[seen], g[seen], h[seen], drawn_features(bins.shape[1], t, p), p)
         made.append(tree.settle(p))
         margin += tree.margins(bins)
     return made
@@ -371,7 +468,7 @@ def _level(data: DataFrame, pending: list[Tree], tree: Tree, number: int, nodes:
     return chosen
 
 
-def _finish(data: DataFrame, pending: list[Tree], tree: Tree, number: int, nodes: dict[int, int], features: np.ndarray, width: int, p: BoostParams) -> None:
+def _finish(data: DataFrame, pending: list[Tree], tree: Tree, number: int, nodes: dict[int, int], features: np.ndarray, p: BoostParams) -> None:
     """Grow the rest under each of ``nodes`` (node: levels left), one task a node."""
     here = np.zeros(len(tree.feature), dtype=bool)
     here[list(nodes)] = True
@@ -389,7 +486,7 @@ def _finish(data: DataFrame, pending: list[Tree], tree: Tree, number: int, nodes
         top = key[0].as_py()
         bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), dtype=np.uint8).reshape(group.num_rows, -1)
         mine = Tree.blank(p.depth)
-        grow(mine, top, nodes[top], bins, group.column("g").to_numpy(), group.column("h").to_numpy(), features, width, p)
+        grow(mine, top, nodes[top], bins, group.column("g").to_numpy(), group.column("h").to_numpy(), features, p)
 
         def below(t: Tree) -> np.ndarray:
             inside, todo = [], [top]
@@ -421,15 +518,15 @@ def _one_tree(data: DataFrame, pending: list[Tree], number: int, n: int, n_featu
                 record_splits(tree, np.array([node]), features[r["f"]], r["cut"], r["missing_left"], r["gain"], left, whole)
                 open_nodes |= {2 * node + 1: left[2], 2 * node + 2: whole[2] - left[2]}
     if small:
-        _finish(data, pending, tree, number, small, features, width, p)
+        _finish(data, pending, tree, number, small, features, p)
     return tree.settle(p)
 
 
-def _block_in_memory(data: DataFrame, first: int, count: int, width: int, p: BoostParams) -> list[Tree]:
+def _block_in_memory(data: DataFrame, first: int, count: int, p: BoostParams) -> list[Tree]:
     """``count`` trees over a table that is one small node."""
     def boost(group: pa.Table) -> pa.Table:
         row, y, w, bins, margin = _rows(group.combine_chunks(), [])
-        return _node_rows(boost_rows(row, y, w, bins, margin, first, count, width, p), first)
+        return _node_rows(boost_rows(row, y, w, bins, margin, first, count, p), first)
 
     trees = [Tree.blank(p.depth) for _ in range(count)]
     rows = data.groupBy().applyInArrow(boost, _NODE).collect()
@@ -458,7 +555,7 @@ def boost(df: DataFrame, features: list[str], label: str, weight: str | None, ro
     while n and features and len(trees) < p.trees:
         first, count = len(trees), min(at_once, p.trees - len(trees))
         if n <= p.node_rows:
-            trees += _block_in_memory(data, first, count, width, p)
+            trees += _block_in_memory(data, first, count, p)
         else:
             for t in range(first, first + count):
                 trees.append(_one_tree(data, trees[first:], t, n, len(features), width, p))

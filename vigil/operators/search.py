@@ -7,7 +7,7 @@ bounds, with one wide component for the prior), candidates are drawn from the
 good density and the one with the largest ratio good / bad is tried.
 
 Trials are proposed in batches from one state. The (trial, fold) fits of a batch
-are independent and run as Spark tasks over a sample of the labelled rows:
+are independent and run as Spark tasks, one each, over a sample of the labelled rows:
 ``max_rows`` bounds it (a binned row is a byte per feature), so that it can be
 broadcast. The mean over the folds of the exact AUC decides.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import boosting as B
@@ -147,6 +147,19 @@ def sample_rows(df: DataFrame, row_id: str, max_rows: int = MAX_ROWS) -> DataFra
     return df.filter(F.pmod(F.xxhash64(F.lit("search"), F.col(row_id)), F.lit(1 << 20)) < share)
 
 
+def dealt(spark: SparkSession, fits: list[tuple], types: str, settings: B.BoostParams) -> DataFrame:
+    """(trial, fold, settings) of each fit in a partition of its own, the longest fits first: tasks start in the
+    partitions' order, so no long fit begins when the others are done or waits behind another."""
+    names = [t.split()[0] for t in types.split(", ")]
+
+    def length(fit: tuple) -> int:
+        p = replace(settings, **dict(zip(names, fit[2:], strict=True)))
+        return p.trees * p.depth
+
+    fits = sorted(fits, key=length, reverse=True)
+    return spark.createDataFrame(spark.sparkContext.parallelize(fits, len(fits)), f"trial int, fold int, {types}")
+
+
 def search(train: DataFrame, features: list[str], label: str, fold: str, row_id: str, trials: int = 30, folds: int = 5, batch: int = 5,
            weight: str | None = None, seed: int = 42, space: dict | None = None, settings: B.BoostParams | None = None,
            max_rows: int = MAX_ROWS) -> DataFrame:
@@ -155,7 +168,6 @@ def search(train: DataFrame, features: list[str], label: str, fold: str, row_id:
     spark = train.sparkSession
     rows = sample_rows(train.filter(F.col(label).isNotNull()), row_id, max_rows)
     edges = B.bin_edges(rows, features, settings.max_bins)
-    width = max([len(e) + 2 for e in edges], default=2)
     slim = rows.withColumn("_id", F.struct(F.col(fold).cast("int").alias("fold"), F.col(row_id).alias("id")))
     cut = B.binned(slim.withColumn("_fold", F.col(fold).cast("double")), [*features, "_fold"], [*edges, [i + 0.5 for i in range(folds - 1)]], label, weight, row_id)
     held = cut.toArrow()  # max_rows bounds it
@@ -170,7 +182,7 @@ def search(train: DataFrame, features: list[str], label: str, fold: str, row_id:
             for r in b.to_pylist():
                 p = replace(settings, **{k: r[k] for k in space})
                 use = of != r["fold"]
-                trees = B.boost_rows(row[use], y[use], w[use], bins[use], np.zeros(int(use.sum())), 0, p.trees, width, p)
+                trees = B.boost_rows(row[use], y[use], w[use], bins[use], np.zeros(int(use.sum())), 0, p.trees, p)
                 margin = sum((t.margins(bins[~use]) for t in trees), np.zeros(int((~use).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array([r["trial"]], pa.int32()), pa.array([exact_auc(y[~use], margin)])], ["trial", "auc"])
 
@@ -180,7 +192,7 @@ def search(train: DataFrame, features: list[str], label: str, fold: str, row_id:
     while len(history) < trials:
         tried = [propose(history, space, rng) for _ in range(min(batch, trials - len(history)))]
         work = [(len(history) + i, f, *s.values()) for i, s in enumerate(tried) for f in range(folds)]
-        fits = spark.createDataFrame(work, f"trial int, fold int, {types}").repartition(len(work))
+        fits = dealt(spark, work, types, settings)
         mean = {r["trial"]: r["auc"] for r in fits.mapInArrow(fit, "trial int, auc double").groupBy("trial").agg(F.avg("auc").alias("auc")).collect()}
         history += [(s, mean[len(history) + i]) for i, s in enumerate(tried)]
     return spark.createDataFrame([(i, i // batch, *s.values(), a) for i, (s, a) in enumerate(history)], f"trial int, batch int, {types}, mean_auc double")
