@@ -131,3 +131,15 @@ def test_topic_options_and_parsing(spark):
 def test_topic_message_has_a_key(spark):
     out = ST.as_message(spark.createDataFrame([("t1", "SUSPEND", 0.9)], "transaction_id string, action string, ato_probability double"))
     assert out.columns == ["value"] and out.first()["value"] == '{"transaction_id":"t1","action":"SUSPEND","ato_probability":0.9}'
+
+
+def test_messages_are_parsed_once(spark):
+    """Neither a filter nor the columns read after it repeat the parse; null and broken messages are rows as before."""
+    raw = spark.createDataFrame([('{"transaction_id": "a", "ip_fraud_score": 0.5}',), ('{"transaction_id": "b", broken',), (None,)], "value string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    m = ST.parse_messages(raw)
+    assert m.columns == ST.MESSAGE_SCHEMA.names
+    assert plan(ST.score(ST.good(m))).count("from_json") == plan(ST.dead_letters(m)).count("from_json") == 1
+    assert sorted((r["transaction_id"], r["ip_fraud_score"]) for r in ST.good(m).collect() if r["transaction_id"]) == [("a", 0.5)]
+    assert [r["raw"] for r in ST.dead_letters(m).collect()] == ['{"transaction_id": "b", broken']
+    assert m.count() == 3 and ST.good(m).count() == 2
