@@ -198,3 +198,19 @@ def test_distinct_in_windows_of_one_key_share_a_timeline(spark, monkeypatch):
         near = lambda width: [o for o in rows if o["k"] == me["k"] and 0 < me["s"] - o["s"] <= width]
         assert r["cx"] == len({o["x"] for o in near(9)}) and r["cy"] == len({o["y"] for o in near(4)} - {None})
     assert len(both) == len(rows)
+
+
+def test_what_a_match_is_made_of_is_not_written(spark, monkeypatch):
+    """The struct that is carried is made after the deal; only what was found is written."""
+    from vigil.functions import scan
+    rows = [(k, t, t * 10 + (k or 0) if t % 3 == 0 else None) for k in (1, 2, None) for t in range(40)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    written, plain = [], scan.materialize
+    monkeypatch.setattr(scan, "materialize", lambda d, name: written.append(d.columns) or plain(d, name))
+    for inclusive in (False, True):
+        got = scan.last_match(df, ["k"], ["t"], F.when(F.col("v").isNotNull(), F.struct("t", "v")), "m", inclusive)
+        assert got.columns == ["k", "t", "v", "m"]
+        for r in got.collect():
+            hits = [x for x in rows if x[0] == r["k"] and x[2] is not None and (x[1] < r["t"] or inclusive and x[1] == r["t"])]
+            assert (r["m"] and tuple(r["m"])) == (hits[-1][1:] if hits else None)
+    assert len(written) == 2 and all("_ref" not in c for c in written)
