@@ -104,3 +104,37 @@ def test_every_fit_is_a_task_of_its_own_and_long_ones_come_first(spark):
     length = [p[0]["trees"] * p[0]["depth"] for p in parts]
     assert length == sorted(length, reverse=True)
     assert {(p[0]["trial"], p[0]["fold"]) for p in parts} == {(i, f) for i in range(5) for f in range(5)}
+
+
+def test_every_labelled_row_is_searched_at_any_size(spark, monkeypatch):
+    """Rows beyond what is broadcast are not sampled: each fit is distributed and gives the same AUC."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2)).round(1)
+    rows = [(i, float(x[i, 0] + 0.8 * rng.normal() > 0), i % 2, *map(float, x[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label double, fold int, a double, b double")
+    seen = []
+    spread = T.B.boost_binned
+    monkeypatch.setattr(T.B, "boost_binned", lambda data, *a: (seen.append(data.count()), spread(data, *a))[1])
+    space = {"trees": (2, 3), "depth": (2, 3), "rate": (0.1, 0.3)}
+    held, wide = (T.search(df, ["a", "b"], "label", "fold", "id", trials=2, folds=2, batch=2, space=space, settings=BoostParams(seed=1, node_rows=50), held_rows=n).collect()
+                  for n in (600, 100))
+    assert seen == [300] * 4
+    assert [r[:-1] for r in held] == [r[:-1] for r in wide]
+    assert [r["mean_auc"] for r in held] == pytest.approx([r["mean_auc"] for r in wide], abs=1e-12)
+
+
+def test_auc_over_ranges_of_scores_against_the_exact_one(spark):
+    rng = np.random.default_rng(6)
+    y, s = (rng.random(500) < 0.3).astype(float), np.round(rng.normal(size=500), 1)
+    df = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), strict=True)), "margin double, y double").repartition(7)
+    assert T.spread_auc(df) == pytest.approx(T.exact_auc(y.astype(int), s), abs=1e-12)
+    assert T.spread_auc(df.filter("y = 1")) == 0.5 and T.spread_auc(df.filter("y > 1")) == 0.5
+
+
+def test_a_search_over_more_rows_than_were_sampled_once_uses_all(spark, monkeypatch):
+    df = spark.range(100_500).selectExpr("id", "cast(id % 2 as double) AS label", "cast(id % 2 as int) AS fold", "cast((id * 7919) % 13 as double) AS a")
+    given = []
+    held = T._held_fits
+    monkeypatch.setattr(T, "_held_fits", lambda cut, *a: (given.append(cut.count()), held(cut, *a))[1])
+    got = T.search(df, ["a"], "label", "fold", "id", trials=1, folds=2, batch=1, space={"trees": (1, 1)}, settings=BoostParams(seed=1, depth=1)).collect()
+    assert given == [100_500] and len(got) == 1

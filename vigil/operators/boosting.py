@@ -548,20 +548,24 @@ def boost(df: DataFrame, features: list[str], label: str, weight: str | None, ro
     df = df.filter(F.col(label).isNotNull())
     edges = bin_edges(df, features, p.max_bins)
     width = max([len(e) + 2 for e in edges], default=2)  # one bin more than cuts, and the missing values
-    data = materialize(binned(df, features, edges, label, weight, row_id), "binned")
+    return edges, boost_binned(materialize(binned(df, features, edges, label, weight, row_id), "binned"), len(features), width, p)
+
+
+def boost_binned(data: DataFrame, n_features: int, width: int, p: BoostParams) -> list[Tree]:
+    """The trees of a written table of :func:`binned` rows; ``width`` is the most bins of a feature, missing values included."""
     n = data.count()
     trees: list[Tree] = []
     at_once = p.block if n <= p.node_rows else min(p.block, p.level_block)
-    while n and features and len(trees) < p.trees:
+    while n and n_features and len(trees) < p.trees:
         first, count = len(trees), min(at_once, p.trees - len(trees))
         if n <= p.node_rows:
             trees += _block_in_memory(data, first, count, p)
         else:
             for t in range(first, first + count):
-                trees.append(_one_tree(data, trees[first:], t, n, len(features), width, p))
+                trees.append(_one_tree(data, trees[first:], t, n, n_features, width, p))
         if len(trees) < p.trees:
             data = _with_margins(data, trees[first:])
-    return edges, trees
+    return trees
 
 
 # ---- estimator and model --------------------------------------------------

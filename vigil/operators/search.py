@@ -7,9 +7,10 @@ bounds, with one wide component for the prior), candidates are drawn from the
 good density and the one with the largest ratio good / bad is tried.
 
 Trials are proposed in batches from one state. The (trial, fold) fits of a batch
-are independent and run as Spark tasks, one each, over a sample of the labelled rows:
-``max_rows`` bounds it (a binned row is a byte per feature), so that it can be
-broadcast. The mean over the folds of the exact AUC decides.
+are independent and use every labelled row. While there are at most ``held_rows`` of
+them (a binned row is a byte per feature) they are broadcast and each fit is a Spark
+task; beyond that each fit is distributed, as the learner's own (the same trees either
+way). The mean over the folds of the exact AUC decides.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import boosting as B
+from vigil.session import materialize
 
 # --- FIXED VALUES: search space of the hyper-parameter search (low, high), in
 # the reference's order; whole bounds mean whole numbers.
@@ -38,8 +40,8 @@ SEARCH_SPACE = {
     "l1": (0.0, 1.0),
     "l2": (0.5, 2.5),
 }
-#: Labelled rows a search looks at (all fits together read nothing else).
-MAX_ROWS = 100_000
+#: Labelled rows that are broadcast, at most (about 55 bytes each at 29 features); of more rows each fit is distributed.
+HELD_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -138,8 +140,9 @@ def exact_auc(y: np.ndarray, score: np.ndarray) -> float:
     return float((ranks[y == 1].sum() - pos * (pos + 1) / 2.0) / (pos * neg))
 
 
-def sample_rows(df: DataFrame, row_id: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most about ``max_rows`` rows by a hash of the id (all, if there are no more)."""
+def sample_rows(df: DataFrame, row_id: str, max_rows: int) -> DataFrame:
+    """At most about ``max_rows`` rows by a hash of the id (all, if there are no more), for a caller
+    that wants a quicker search over fewer rows; :func:`search` itself uses all it is given."""
     n = df.count()
     if n <= max_rows:
         return df
@@ -160,23 +163,16 @@ def dealt(spark: SparkSession, fits: list[tuple], types: str, settings: B.BoostP
     return spark.createDataFrame(spark.sparkContext.parallelize(fits, len(fits)), f"trial int, fold int, {types}")
 
 
-def search(train: DataFrame, features: list[str], label: str, fold: str, row_id: str, trials: int = 30, folds: int = 5, batch: int = 5,
-           weight: str | None = None, seed: int = 42, space: dict | None = None, settings: B.BoostParams | None = None,
-           max_rows: int = MAX_ROWS) -> DataFrame:
-    """(trial, batch, settings as columns, mean_auc), one row per trial; the best is the first by mean_auc, then trial."""
-    space, settings = space or SEARCH_SPACE, settings or B.BoostParams(seed=seed)
-    spark = train.sparkSession
-    rows = sample_rows(train.filter(F.col(label).isNotNull()), row_id, max_rows)
-    edges = B.bin_edges(rows, features, settings.max_bins)
-    slim = rows.withColumn("_id", F.struct(F.col(fold).cast("int").alias("fold"), F.col(row_id).alias("id")))
-    cut = B.binned(slim.withColumn("_fold", F.col(fold).cast("double")), [*features, "_fold"], [*edges, [i + 0.5 for i in range(folds - 1)]], label, weight, row_id)
-    held = cut.toArrow()  # max_rows bounds it
-    bins = np.frombuffer(b"".join(held.column("bins").to_pylist()), dtype=np.uint8).reshape(held.num_rows, len(features) + 1)
+def _held_fits(cut: DataFrame, features: int, space: dict, types: str, settings: B.BoostParams):
+    """AUC per (trial, fold) of a batch of settings: the rows are broadcast, each fit is a task."""
+    spark = cut.sparkSession
+    held = cut.toArrow()  # held_rows bounds it
+    bins = np.frombuffer(b"".join(held.column("bins").to_pylist()), dtype=np.uint8).reshape(held.num_rows, features + 1)
     order = np.argsort(held.column("row").to_numpy(), kind="stable")
-    sample = spark.sparkContext.broadcast((*(held.column(c).to_numpy()[order] for c in ("row", "y", "w")), bins[order]))
+    rows = spark.sparkContext.broadcast((*(held.column(c).to_numpy()[order] for c in ("row", "y", "w")), bins[order]))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, y, w, all_bins = sample.value
+        row, y, w, all_bins = rows.value
         bins, of = all_bins[:, :-1], all_bins[:, -1]
         for b in batches:
             for r in b.to_pylist():
@@ -184,15 +180,76 @@ def search(train: DataFrame, features: list[str], label: str, fold: str, row_id:
                 use = of != r["fold"]
                 trees = B.boost_rows(row[use], y[use], w[use], bins[use], np.zeros(int(use.sum())), 0, p.trees, p)
                 margin = sum((t.margins(bins[~use]) for t in trees), np.zeros(int((~use).sum())))
-                yield pa.RecordBatch.from_arrays([pa.array([r["trial"]], pa.int32()), pa.array([exact_auc(y[~use], margin)])], ["trial", "auc"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["trial"]], pa.int32()), pa.array([r["fold"]], pa.int32()), pa.array([exact_auc(y[~use], margin)])],
+                                                 ["trial", "fold", "auc"])
+
+    def of_batch(work: list[tuple]) -> dict[tuple[int, int], float]:
+        fits = dealt(spark, work, types, settings).mapInArrow(fit, "trial int, fold int, auc double")
+        return {(r["trial"], r["fold"]): r["auc"] for r in fits.collect()}
+
+    return of_batch
+
+
+def _spread_fits(cut: DataFrame, features: int, width: int, space: dict, settings: B.BoostParams):
+    """The same for rows beyond what is broadcast: each fit takes the learner's passes over all rows of the other folds."""
+    fold_bin = F.conv(F.hex(F.expr(f"substring(bins, {features + 1}, 1)")), 16, 10).cast("int")
+    parts = materialize(cut.select("row", "y", "w", F.expr(f"substring(bins, 1, {features})").alias("bins"), "margin", fold_bin.alias("fold")), "folds-binned")
+
+    def one(fold: int, p: B.BoostParams) -> float:
+        trees = B.boost_binned(parts.filter(F.col("fold") != fold).drop("fold"), features, width, p)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, y, _, _, margin = B._rows(b, trees)
+                yield pa.RecordBatch.from_arrays([pa.array(margin), pa.array(y)], ["margin", "y"])
+
+        return spread_auc(parts.filter(F.col("fold") == fold).mapInArrow(score, "margin double, y double"))
+
+    return lambda work: {(trial, fold): one(fold, replace(settings, **dict(zip(space, values, strict=True)))) for trial, fold, *values in work}
+
+
+def spread_auc(scored: DataFrame) -> float:
+    """:func:`exact_auc` of (margin, y): rows meet per score, ordered ranges of scores are added up on their own
+    and placed by the negatives of the ranges before."""
+    per = scored.groupBy("margin").agg(F.sum("y").cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, pos, neg, pairs = None, 0, 0, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            margin, p, n = (b.column(c).to_numpy() for c in ("margin", "pos", "n"))
+            q = n - p
+            pairs += float((p * (neg + np.cumsum(q) - q / 2.0)).sum())  # of equal scores one half
+            low, pos, neg = (float(margin[0]) if low is None else low), pos + int(p.sum()), neg + int(q.sum())
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (low, pos, neg, pairs)], ["low", "pos", "neg", "pairs"])
+
+    ranges = per.repartitionByRange("margin").sortWithinPartitions("margin").mapInArrow(add, "low double, pos long, neg long, pairs double").collect()
+    pairs, pos, neg = 0.0, 0, 0
+    for r in sorted(ranges, key=lambda r: r["low"]):  # one row a task
+        pairs, pos, neg = pairs + r["pairs"] + r["pos"] * neg, pos + r["pos"], neg + r["neg"]
+    return pairs / (pos * neg) if pos and neg else 0.5
+
+
+def search(train: DataFrame, features: list[str], label: str, fold: str, row_id: str, trials: int = 30, folds: int = 5, batch: int = 5,
+           weight: str | None = None, seed: int = 42, space: dict | None = None, settings: B.BoostParams | None = None,
+           held_rows: int = HELD_ROWS) -> DataFrame:
+    """(trial, batch, settings as columns, mean_auc), one row per trial; the best is the first by mean_auc, then trial."""
+    space, settings = space or SEARCH_SPACE, settings or B.BoostParams(seed=seed)
+    spark = train.sparkSession
+    rows = train.filter(F.col(label).isNotNull())
+    edges = B.bin_edges(rows, features, settings.max_bins)
+    width = max([len(e) + 2 for e in edges], default=2)
+    cut = B.binned(rows.withColumn("_fold", F.col(fold).cast("double")), [*features, "_fold"], [*edges, [i + 0.5 for i in range(folds - 1)]], label, weight, row_id)
+    types = ", ".join(f"{k} {'int' if is_whole(b) else 'double'}" for k, b in space.items())
+    small = rows.count() <= held_rows
+    fits = _held_fits(cut, len(features), space, types, settings) if small else _spread_fits(cut, len(features), width, space, settings)
 
     history: list[tuple[dict, float]] = []
     rng = np.random.default_rng(seed)
-    types = ", ".join(f"{k} {'int' if is_whole(b) else 'double'}" for k, b in space.items())
     while len(history) < trials:
         tried = [propose(history, space, rng) for _ in range(min(batch, trials - len(history)))]
-        work = [(len(history) + i, f, *s.values()) for i, s in enumerate(tried) for f in range(folds)]
-        fits = dealt(spark, work, types, settings)
-        mean = {r["trial"]: r["auc"] for r in fits.mapInArrow(fit, "trial int, auc double").groupBy("trial").agg(F.avg("auc").alias("auc")).collect()}
-        history += [(s, mean[len(history) + i]) for i, s in enumerate(tried)]
+        auc = fits([(i, f, *s.values()) for i, s in enumerate(tried) for f in range(folds)])
+        history += [(s, math.fsum(auc[i, f] for f in range(folds)) / folds) for i, s in enumerate(tried)]
     return spark.createDataFrame([(i, i // batch, *s.values(), a) for i, (s, a) in enumerate(history)], f"trial int, batch int, {types}, mean_auc double")
