@@ -101,3 +101,62 @@ def test_edge_rows(spark, rows):
     got = scores(documents(spark, rows)).collect()
     check_base([r[:2] for r in rows], got)
     assert all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in got)
+
+
+def plain_word_model(rows):
+    """log10 probabilities of texts by counting every pair of words, the weights by long expectation-maximisation."""
+    parts = {k: (collections.Counter(), collections.Counter(), collections.Counter()) for k in (0, 1)}  # pairs, contexts, words
+    for i, t in rows:
+        if fold(i) != 1:
+            words = tokens(t)
+            pairs, contexts, seen = parts[int(fold(i) == 2)]
+            pairs.update(zip(["^", *words], words, strict=False))
+            contexts.update(["^", *words[:-1]])
+            seen.update(words)
+    first, held = parts[0], parts[1]
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+
+    def estimates(model, v, w):
+        pairs, contexts, seen = model
+        return (pairs[v, w] / contexts[v] if contexts[v] else 0.0, seen[w] / sum(seen.values())) if seen[w] else None
+
+    by_bucket = collections.defaultdict(list)
+    for (v, w), n in held[0].items():
+        by_bucket[bucket(first[1][v])].append((estimates(first, v, w), n))
+    by_bucket[None] = [e for b in list(by_bucket) for e in by_bucket[b]]
+    weights = {}
+    for b, events in by_bucket.items():
+        total, lost, share = sum(n for _, n in events), sum(n for e, n in events if e is None), 0.5
+        for _ in range(20_000):
+            known = [(e, n) for e, n in events if e]
+            share = sum(n * share * e[0] / (share * e[0] + (1 - share) * e[1]) for e, n in known) / sum(n for _, n in known) if known else 0.5
+        weights[b] = ((1 - lost / total) * share, (1 - lost / total) * (1 - share), lost / total)
+    both = tuple(a + b for a, b in zip(first, held, strict=True))
+
+    def score(t):
+        out, words = 0.0, tokens(t)
+        for v, w in zip(["^", *words], words, strict=False):
+            b, e = bucket(both[1][v]), estimates(both, v, w)
+            l2, l1, l0 = weights.get(b, weights[None])
+            if b == 0:
+                l2, l1, l0 = 0, l1 / (l1 + l0), l0 / (l1 + l0)
+            out += math.log10(max(l2 * e[0] + l1 * e[1] if e else l0, 1e-300))
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("block_chars", [150, 8_000_000])
+def test_every_pair_of_words_is_counted(spark, block_chars):
+    """Rare words have bigrams of their own: the scores are those of a plain model over all pairs, however texts are dealt to blocks."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{(int(x) * (1 + i % 3)) % 40}" for x in rng.integers(0, 60, 3 + i % 9)) + (f" only{i} pair{i}" if i % 4 == 0 else "")) for i in range(90)]
+    rows += [(1000 + i, f"rare{i // 6} twin{i // 6} end") for i in range(60)]  # a rare word tells the next
+    want = plain_word_model(rows)
+    got = scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_chars=block_chars).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want(dict(rows)[r["doc_id"]]), rel=1e-6)
+    classes = {r["doc_id"]: r["score"] for r in scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=5).collect()}
+    mine = [r for r in got if r["doc_id"] >= 1000]
+    assert sum(r["score"] for r in mine) > sum(classes[r["doc_id"]] for r in mine) + 0.2 * len(mine)
