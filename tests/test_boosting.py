@@ -203,3 +203,22 @@ def test_a_level_adds_up_at_most_half_the_rows(monkeypatch, min_child):
         at = tree.places(bins, depth)
         for node in np.unique(at):
             assert tree.g[node] == g[at == node].sum() / B.UNIT and tree.h[node] == h[at == node].sum() / B.UNIT
+
+
+def test_rows_that_fit_a_task_are_not_scanned_level_by_level(spark, monkeypatch):
+    """70,000 rows took several jobs a tree; they are a few MB of bins."""
+    monkeypatch.setattr(B, "_one_tree", lambda *a: pytest.fail("a job a level"))
+    df = spark.range(70_000).selectExpr("id", "cast(id % 7 > 3 as double) AS label", "cast(id % 7 as double) AS a", "cast(id % 11 as double) AS b")
+    _, trees = B.boost(df, ["a", "b"], "label", None, "id", B.BoostParams(trees=2, depth=2))
+    assert len(trees) == 2 and all((t.feature >= 0).any() for t in trees)
+
+
+def test_the_walk_of_few_rows_is_dealt_to_all_tasks(spark):
+    x, y = table(200)
+    df = frame(spark, x, y).coalesce(1)
+    model = M.regularised(FEATURES, "id", trees=3, depth=3).fit(df)
+    walked = M.score_from_nodes(df, model.nodes(spark), FEATURES, "id", 3)
+    dealt = [line for line in walked._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1
+    same = walked.join(model.transform(df).withColumnRenamed("ato_probability", "p"), "id")
+    assert same.count() == 200 and same.filter(F.abs(F.col("p") - F.col("ato_probability")) > 1e-12).count() == 0

@@ -10,7 +10,9 @@ of gradients and hessians per (node, feature, bin):
 * a node with at most ``node_rows`` rows is not scanned level by level: its rows
   meet in one task, which grows the rest of the subtree from the same histograms
   (nodes are finished in parallel). When the whole table is such a node, the rows
-  stay and ``block`` trees are grown at a time;
+  stay and ``block`` trees are grown at a time. ``node_rows`` bounds what a task
+  holds: a million rows of 29 features are some 400 MB there, and a level of them takes
+  no longer than the jobs of a pass;
 * gradients are rounded to multiples of 2**-24 and summed as whole numbers, so
   a sum does not depend on the order or the number of tasks: both ways, and any
   re-run of a lost task, give the same trees (up to 2**39 units of weight);
@@ -67,7 +69,7 @@ class BoostParams:
     l2: float = S.TABULAR_GBT["l2"]
     max_bins: int = 64
     seed: int = 42
-    node_rows: int = 65_536
+    node_rows: int = 1 << 20
     block: int = 50
     level_block: int = 4
 

@@ -79,17 +79,21 @@ def score_from_nodes(df: DataFrame, nodes: DataFrame, features: list[str], row_i
     """(row_id, out): the probability walked through the saved node table with
     joins, one level at a time (a check of a model by its rows; nodes are the
     model's, bounded by its settings)."""
-    values = F.create_map(*[x for c in features for x in (F.lit(c), F.col(f"`{c}`").cast("double"))])
-    at = (df.select(F.col(row_id).alias("_row"), values.alias("_v"))
-          .crossJoin(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0)))
-    nodes = F.broadcast(nodes.select("tree", "node", "feature", "threshold", "missing_left", "value"))
+    values = F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in features])
+    spark = df.sparkSession  # few rows make many steps: an explicit number, not one that follows their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    at = (df.select(F.col(row_id).alias("_row"), values.alias("_v")).repartition(tasks, "_row")
+          .crossJoin(F.broadcast(nodes.select("tree").distinct())).select("_row", "_v", F.shiftleft(F.col("tree").cast("long"), 32).alias("node")))
+    place = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature")).cast("int") - 1
+    nodes = F.broadcast(nodes.select(F.shiftleft(F.col("tree").cast("long"), 32).bitwiseOR(F.col("node")).alias("node"),  # the tree in the upper half
+                                     place.alias("place"), "threshold", "missing_left", "value"))
     for _ in range(depth):
-        v = F.nanvl(F.element_at("_v", F.col("feature")), F.lit(None).cast("double"))
-        left = F.coalesce(v <= F.col("threshold"), F.col("missing_left"))
-        at = at.join(nodes, ["tree", "node"]).select(
-            "_row", "_v", "tree", F.when(F.col("feature").isNull(), F.col("node"))
-            .otherwise(2 * F.col("node") + F.when(left, F.lit(1)).otherwise(F.lit(2))).alias("node"))
-    margin = at.join(nodes, ["tree", "node"]).groupBy("_row").agg(F.sum("value").alias("_m"))
+        left = F.coalesce(F.get("_v", F.col("place")) <= F.col("threshold"), F.col("missing_left"))
+        inside = F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
+        at = at.join(nodes, "node").select(
+            "_row", "_v", F.when(F.col("place").isNull(), F.col("node"))
+            .otherwise(F.col("node") + inside + F.when(left, F.lit(1)).otherwise(F.lit(2))).alias("node"))
+    margin = at.join(nodes, "node").groupBy("_row").agg(F.sum("value").alias("_m"))
     return margin.select(F.col("_row").alias(row_id), (1.0 / (1.0 + F.exp(-F.col("_m")))).alias(out))
 
 

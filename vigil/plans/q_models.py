@@ -23,14 +23,18 @@ FEATURES = NUMS + S.CATEGORICAL_FEATURES
 ID = "application_id"
 
 
+def _rows(spark, sf):
+    """The labelled rows, written once: the ranks of a draw read them several times, the documents only here."""
+    return materialize(labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double")), "labelled")
+
+
 def _split(spark, sf):
-    d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    return materialize(C.stratified_split(d, "is_ato", ID, 0.2, SEED), "split")
+    return materialize(C.stratified_split(_rows(spark, sf), "is_ato", ID, 0.2, SEED), "split")
 
 
 def _metrics(scored, p="ato_probability"):
-    lab = scored.select(F.col("is_ato").alias("label"), F.col(p).alias("score"),
-                        (F.col(p) > 0.5).cast("int").alias("prediction"))
+    lab = materialize(scored.select(F.col("is_ato").alias("label"), F.col(p).alias("score"),
+                                    (F.col(p) > 0.5).cast("int").alias("prediction")), "scored")  # the trees are walked once
     return evaluate.rates(evaluate.confusion(lab)).crossJoin(evaluate.auc(lab)).crossJoin(
         evaluate.log_loss(lab, prob="score").drop("n"))
 
@@ -40,8 +44,8 @@ def _weighted(train):
     return M.with_weight(train, "is_ato", max(int(w), 1))
 
 
-def _fit_tabular(spark, sf, impute_scale=False, **settings):
-    sp = _split(spark, sf)
+def _fit_tabular(spark, sf, impute_scale=False, sp=None, **settings):
+    sp = _split(spark, sf) if sp is None else sp
     learner = M.regularised(FEATURES, ID, weight="weight", seed=SEED, **settings)
     return M.tabular_pipeline(FEATURES, learner, impute_scale).fit(_weighted(sp.where(~F.col("is_test")))), sp
 
@@ -137,8 +141,7 @@ def q_behavioral_walked(spark, sf):
 
 
 def _search(spark, sf):
-    d = labelled(spark, sf).withColumn("label", F.col("is_ato").cast("double"))
-    d = _weighted(materialize(C.stratified_folds(d, "is_ato", ID, S.SEARCH_FOLDS, SEED), "folds"))
+    d = _weighted(materialize(C.stratified_folds(_rows(spark, sf), "is_ato", ID, S.SEARCH_FOLDS, SEED), "folds"))
     return T.search(d, FEATURES, "label", "fold", ID, trials=S.SEARCH_TRIALS, folds=S.SEARCH_FOLDS, weight="weight", seed=SEED)
 
 
@@ -164,10 +167,10 @@ def q_persist(spark, sf):
     published, then a second one in its place; the first, pinned by its number,
     scores every test row as it did when fitted and has kept its other parts."""
     root = IO.scratch_dir(spark, "models")
-    saved = []
+    saved, sp = [], _split(spark, sf)
+    test = materialize(sp.where("is_test"), "test")
     for trees in (_P["trees"], 20):
-        model, sp = _fit_tabular(spark, sf, impute_scale=True, trees=trees)
-        test = materialize(sp.where("is_test"), "test")
+        model, _ = _fit_tabular(spark, sf, impute_scale=True, sp=sp, trees=trees)
         metrics = _metrics(M.score(model, test, FEATURES)).first().asDict()
         bundle = M.Bundle(model, dict(_P, trees=trees, seed=SEED), metrics, FEATURES)
         saved.append((bundle, M.publish_bundle(spark, root, bundle).number))
