@@ -308,3 +308,51 @@ def test_accounts_of_a_group_share_their_round_trips():
     as_rows = lambda d: sorted(map(str, d.itertuples(index=False, name=None)))
     assert as_rows(together) == sorted(r for d, _ in alone for r in as_rows(d))
     assert len(alone) == 41 and trips <= max(t for _, t in alone)
+
+
+class _Map:
+    def __init__(self, trips):
+        self.rows, self.trips = {}, trips
+
+    def iterator(self):
+        self.trips.append(1)
+        return iter(list(self.rows.items()))
+
+    def keys(self):
+        self.trips.append(1)
+        return iter(list(self.rows))
+
+    def updateValue(self, key, value):
+        self.trips.append(1)
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.trips.append(1)
+        del self.rows[key]
+
+
+def test_velocity_keys_of_a_group_share_their_round_trips():
+    rng = np.random.default_rng(5)
+    us = rng.integers(0, 200, 500) * H.HOUR_US // 4
+    keys = [None if k == 0 else int(k) for k in rng.integers(0, 40, 500)]
+    events = pd.DataFrame({"event_time": pd.to_datetime(us, unit="us"), "key": pd.Series(keys, dtype=object), "ord": range(500), "any": True, "bad": rng.random(500) < 0.3})
+    windows = {"h": ("any", H.HOUR_US), "d": ("bad", H.DAY_US)}
+
+    def run(part):
+        ring, h, out = SS.VelocityRing(windows, ["any", "bad"]), _Handle(), []
+        h.getMapState = lambda *a: _Map(h.trips)
+        ring.init(h)
+        for low, high in ((0, 100), (100, 1000)):
+            hours = (part["event_time"] - pd.Timestamp(0)) / pd.Timedelta(minutes=15)
+            some = part[(hours >= low) & (hours < high)]
+            if len(some):
+                list(ring.handleInputRows((0,), iter([some]), None))
+            out += list(ring.handleExpiredTimer((0,), _Until(high * 900_000 - 1), None))
+        return {int(r.ord): (r.h, r.d) for f in out for r in f.itertuples()}, len(h.trips)
+
+    got, trips = run(events)
+    bad = events["bad"].to_numpy()
+    for i in range(500):
+        near = [j for j in range(500) if keys[j] == keys[i] and us[j] < us[i]]
+        assert got[i] == (sum(us[j] >= us[i] - H.HOUR_US for j in near), sum(us[j] >= us[i] - H.DAY_US and bad[j] for j in near))
+    assert trips < 30
